@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, tokenfiles, warc
+from . import bpe, decontamination, licenses, pii, tokenfiles, warc
 from .common import read_table
 
 #: Folder of the public vocabulary files; a parameter, since they are not part of the repository.
@@ -25,6 +25,14 @@ def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, written).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_windows(docs, read_table(spark, sf_dir, "benchmark")).drop("text")
@@ -38,6 +46,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_warc_archives": op3_warc_archives,
+    "op5_pii": op5_pii,
+    "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op9_bpe": op9_bpe,
 }
