@@ -2,16 +2,17 @@
 
 The base kinds (email, ip, card, phone) are leftmost, non-overlapping matches of fixed patterns; matches that fail their
 check are dropped. The sanitiser then looks at the corpus: an entity is one identifier value, a context is one line
-(copies of a line count once), and a term t discloses an entity e as far as
+and a term t discloses an entity e as far as
 
     PMI(t; e) / IC(e) = 1 - log(n(t) / n(t, e)) / log(N / n(e))
 
 reaches 1, which is when t occurs nowhere without e. Terms with a ratio of at least `threshold` and at least `support`
-distinct common contexts are spans of kind `term` in every document that holds the entity. All steps are DataFrame
+common contexts that are not copies of each other are spans of kind `term` in every document that holds the entity. All steps are DataFrame
 expressions; documents without an identifier never leave their scan for the base kinds.
 
 Contract. Null text counts as empty. Offsets are code points, ends exclusive. Rows that share an id share the terms found
-for it. Repeated lines and copies of documents count once as contexts. An empty table gives no rows. Extra columns pass.
+for it. Repeated lines count in n(.) and N as
+often as they stand in the corpus, but give support only once. An empty table gives no rows. Extra columns pass.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 #: Smallest disclosure ratio, and smallest number of distinct contexts that a term and an entity share.
 THRESHOLD, SUPPORT = 0.8, 3
+#: Candidate terms that may be broadcast to the scan that counts them; more are joined by shuffle.
+MOST_TERMS = 200_000
 
 
 def _valid(kind: str, m: str) -> str:
@@ -87,23 +90,26 @@ def _entity(x: Column) -> Column:
 def disclosing_terms(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """(entity, terms): the terms that disclose each entity, from all documents."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    some = body.rlike("|".join(HINTS.values()))
-    lines = docs.where(some).select(F.explode(F.split(body, "\n")).alias("line")).where(F.col("line").rlike("|".join(HINTS.values())))
-    found = base_spans(lines, "line").where(F.size("base") > 0).groupBy("line").agg(F.first("base").alias("base"))
-    held = settled(found.select("line", F.xxhash64("line").alias("context"), F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"), "base"))
-    entities = held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    some = "|".join(HINTS.values())
+    lines = docs.where(body.rlike(some)).select(F.explode(F.split(body, "\n")).alias("line")).where(F.col("line").rlike(some))
+    lines = base_spans(lines.groupBy("line").agg(F.count("*").alias("copies")), "line").where(F.size("base") > 0)
+    held = settled(lines.select("line", "copies", "base", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")))
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
     # the line without its spans, which are no terms themselves
     rest = F.expr("aggregate(reverse(base), line, (a, x) -> concat(left(a, x.s), ' ', substr(a, x.e + 1)))")
-    words = F.array_distinct(F.regexp_extract_all(F.translate(rest, UPPER, LOWER), F.lit(WORD), F.lit(0)))
-    pairs = held.join(entities, "entity").select("entity", "n_e", F.explode(F.filter(words, lambda w: F.length(w) > 1)).alias("term"))
-    pairs = settled(pairs.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support))
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(rest), F.lit(WORD), F.lit(0))), lambda w: F.length(w) > 1)
+    pairs = held.join(entities, "entity").select("entity", "n_e", "copies", F.explode(words).alias("term"))
+    pairs = pairs.groupBy("entity", "n_e", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("contexts"))
+    pairs = settled(pairs.where(F.col("contexts") >= support))
     if pairs.isEmpty():
         return pairs.select("entity", F.array("term").alias("terms"))
-    terms = pairs.select("term").distinct()
+    terms = settled(pairs.select("term").distinct())
+    if terms.count() <= MOST_TERMS:
+        terms = F.broadcast(terms)
     corpus = docs.select(F.explode(F.split(body, "\n")).alias("line"))
     n = corpus.count()
-    spoken = corpus.select(F.xxhash64("line").alias("context"), F.explode(F.array_distinct(F.regexp_extract_all(F.translate("line", UPPER, LOWER), F.lit(WORD), F.lit(0)))).alias("term"))
-    counts = spoken.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    spoken = corpus.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))).alias("term"))
+    counts = spoken.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     ratio = 1 - F.log2(F.greatest(F.col("n_t") / F.col("n_te"), F.lit(1.0))) / F.log2(F.lit(float(n + 1)) / F.col("n_e"))
     return pairs.join(counts, "term").where(ratio >= threshold).groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
@@ -119,7 +125,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     holders = holders.select(F.col(key).alias("__key"), F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
     by_doc = holders.distinct().join(disclosed, "entity").select("__key", F.explode("terms").alias("term")).groupBy("__key").agg(F.collect_set("term").alias("__terms"))
     joined = found.join(by_doc, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
-    joined = joined.withColumn("__l", F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER))
+    joined = joined.withColumn("__l", F.when(F.col("__terms").isNotNull(), F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)))
     terms = (
         f"CASE WHEN __terms IS NULL THEN cast(array() AS array<struct<s:int,k:int,e:int>>) ELSE transform(filter({matches('__l', WORD)}, "
         "x -> array_contains(__terms, x.m) AND NOT exists(base, b -> b.s < x.e AND x.s < b.e)), x -> named_struct('s', x.s, 'k', 4, 'e', x.e)) END"
