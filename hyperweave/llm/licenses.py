@@ -49,17 +49,22 @@ def _words(column: Column | str) -> Column:
     return F.regexp_extract_all(F.translate(column, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
+def _block_words(column: Column | str) -> Column:
+    """Words of the join. lower() is many times faster than translate(), and the same on templates, which are ASCII."""
+    return F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(0))
+
+
 def find_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(key, block, label, containment) for every line of every document and every template that it meets."""
     spark = docs.sparkSession
     sets = spark.createDataFrame([(k, label, body) for k, (label, body) in enumerate(templates)], "template int, label string, body string")
-    sets = sets.select("template", "label", F.array_distinct(_words("body")).alias("words")).where(F.size("words") > 0)
+    sets = sets.select("template", "label", F.array_distinct(_block_words("body")).alias("words")).where(F.size("words") > 0)
     known = sorted({w for r in sets.select("words").collect() for w in r.words})
     if len(known) > MOST_WORDS:
         raise ValueError(f"templates have {len(known)} distinct words; at most {MOST_WORDS} may be broadcast")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     vocabulary = spark.createDataFrame([(w,) for w in known], "word string")
-    counts = docs.select(F.explode(_words(body)).alias("word")).join(F.broadcast(vocabulary), "word").groupBy("word").count()
+    counts = docs.select(F.explode(_block_words(body)).alias("word")).join(F.broadcast(vocabulary), "word").groupBy("word").count()
     order = {r["word"]: k for k, r in enumerate(sorted(vocabulary.join(counts, "word", "left").fillna(0).collect(), key=lambda r: (r["count"], r["word"])))}
     rows = []
     for r in sets.collect():
@@ -69,7 +74,7 @@ def find_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", templa
     prefixes = spark.createDataFrame(rows, "word string, p int, template int, label string, template_words array<string>, need int")
     first = F.array(*map(F.lit, sorted({r[0] for r in rows})))
     lines = docs.select(F.col(key).alias("key"), F.posexplode(F.split(body, "\n")).alias("block", "line"))
-    lines = lines.select("key", "block", F.array_distinct(_words("line")).alias("words")).where(F.arrays_overlap("words", first))
+    lines = lines.select("key", "block", F.array_distinct(_block_words("line")).alias("words")).where(F.arrays_overlap("words", first))
     rank = F.create_map(*(F.lit(x) for pair in order.items() for x in pair))
     held = F.array_sort(F.filter(F.transform("words", lambda w: F.struct(F.try_element_at(rank, w).alias("r"), w.alias("w"))), lambda x: x["r"].isNotNull()))
     lines = lines.withColumn("held", held).select("key", "block", "words", F.size("held").alias("n_held"), F.posexplode("held").alias("q", "x"))
