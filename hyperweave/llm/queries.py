@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, licenses, parity, pii, tokenfiles, warc
+from . import bpe, decontamination, licenses, parity, pii, quality, tokenfiles, warc
 from .common import read_table
 
 #: Folder of the public vocabulary files; a parameter, since they are not part of the repository.
@@ -39,6 +39,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(found, "doc_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_jaccard_join": op10_jaccard_join,
 }
