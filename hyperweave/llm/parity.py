@@ -102,10 +102,22 @@ def postings(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(states), np.concatenate(owners)) if states else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def bit_sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
-    """The parity sketch of `bits` (a power of two) as 64-bit words."""
+def bit_sketch(shingles: np.ndarray) -> bytes:
+    """The parity sketch in at least as many bits as the set has elements (a power of two, 64 or more)."""
+    bits = 1 << max(6, int(len(shingles) - 1).bit_length())
     toggled = np.bincount((shingles >> np.uint64(8) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(toggled.astype(np.uint8)).view(np.uint64)
+    return np.packbits(toggled.astype(np.uint8)).tobytes()
+
+
+def folded(sketch: bytes, words: int) -> np.ndarray:
+    """The sketch in fewer 64-bit words, which is the sketch that so many bits would have given."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, words), axis=0)
+
+
+def near_enough(x: bytes, y: bytes, total: int, percent: int) -> bool:
+    """False only if sets with these sketches, of `total` elements together, cannot link."""
+    words = min(len(x), len(y)) // 8
+    return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) * (100 + percent) <= (100 - percent) * total
 
 
 def _sets(docs: DataFrame, key: str, text: str, words: int, rows, schema: str) -> DataFrame:
@@ -121,13 +133,13 @@ def _sets(docs: DataFrame, key: str, text: str, words: int, rows, schema: str) -
 
 
 def describe(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, n, fingerprint): each document's number of shingles and a 128-bit digest of its set."""
+    """(id, n, fingerprint, sketch): each document's number of shingles, a 128-bit digest of its set and its bit sketch."""
 
     def rows(ids, sets):
         prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary())], ["id", "n", "fingerprint"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([bit_sketch(s) for s in sets], pa.binary())], ["id", "n", "fingerprint", "sketch"])
 
-    return _sets(docs, key, text, words, rows, "id long, n long, fingerprint binary")
+    return _sets(docs, key, text, words, rows, "id long, n long, fingerprint binary, sketch binary")
 
 
 def hub_pairs(docs: DataFrame, bands: Bands, buckets: int, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -210,31 +222,48 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.mapInArrow(decide, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
-def _in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _screened(pairs: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b, n_a, n_b, s_a, s_b) whose sketches are near enough, as (a, b)."""
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b, s_a, s_b = (batch.column(k).to_pylist() for k in range(2, 6))
+            ok = pa.array([near_enough(x, y, m + n, percent) for m, n, x, y in zip(n_a, n_b, s_a, s_b)], pa.bool_())
+            yield batch.select([0, 1]).filter(ok)
+
+    return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(screen, "a long, b long")
+
+
+def _in_blocks(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of documents of one hub but of different components whose sketches are near enough.
 
-    members: (hub, id, component). Every hub's documents are dealt into blocks; a task has two blocks of one hub.
+    members: (hub, id, component, n, sketch). Every hub's documents are dealt into blocks; a task has two blocks of one hub.
     """
-    sizes = settled(members.groupBy("hub").agg(F.count("*").alias("n")))
+    sizes = settled(members.groupBy("hub").agg(F.count("*").alias("size")))
     few, most = BLOCK
-    n_blocks = F.greatest(F.ceil(F.col("n") / most), F.least(F.lit(32), F.ceil(F.col("n") / few))).cast("int")
+    n_blocks = F.greatest(F.ceil(F.col("size") / most), F.least(F.lit(32), F.ceil(F.col("size") / few))).cast("int")
     rows = members.join(sizes.select("hub", n_blocks.alias("blocks")), "hub").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = rows.select("hub", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select(F.col("hub"), "id", "component", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")).join(sets, "id")
+    dealt = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("hub", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "id", "component", "n", "sketch")
 
     def near(table: pa.Table) -> pa.Table:
-        held = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
-        ids, own = table.column("id").to_numpy(), table.column("component").to_numpy()
-        size = np.array([len(s) for s in held])
-        bits = 1 << max(9, int(2 * size.max()).bit_length())
-        sketch, out = np.stack([bit_sketch(s, bits) for s in held]), []
-        for k in range(len(ids) - 1):
-            apart = np.bitwise_count(sketch[k + 1 :] ^ sketch[k]).sum(1, dtype=np.int64)
-            low, high = np.minimum(size[k + 1 :], size[k]), np.maximum(size[k + 1 :], size[k])
-            ok = (apart * (100 + percent) <= (100 - percent) * (low + high)) & (100 * low >= percent * high) & (own[k + 1 :] != own[k])
-            out.append(np.stack([np.full(ok.sum(), ids[k]), ids[k + 1 :][ok]], 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs.max(1) if len(pairs) else pairs[:, 0], "b": pairs.min(1) if len(pairs) else pairs[:, 1]})
+        table = table.sort_by("n")
+        ids, own, size = (table.column(c).to_numpy() for c in ("id", "component", "n"))
+        held = table.column("sketch").to_pylist()
+        words = np.array([len(x) // 8 for x in held])
+        out = [np.zeros((0, 2), np.int64)]
+        for w in np.unique(words):  # partners' sketches are as long or twice as long
+            at = np.flatnonzero((words == w) | (words == 2 * w))
+            sketch = np.stack([folded(held[k], w) for k in at])
+            stop = np.searchsorted(size[at], size[at] * 100 // percent, "right")
+            for k in np.flatnonzero(words[at] == w):
+                other = slice(k + 1, stop[k])
+                apart = np.bitwise_count(sketch[other] ^ sketch[k]).sum(1, dtype=np.int64)
+                ok = (apart * (100 + percent) <= (100 - percent) * (size[at[k]] + size[at[other]])) & (own[at[other]] != own[at[k]])
+                if ok.any():
+                    out.append(np.stack([np.full(ok.sum(), ids[at[k]]), ids[at[other]][ok]], 1))
+        pairs = np.concatenate(out)
+        return pa.table({"a": pairs.max(1, initial=0), "b": pairs.min(1, initial=1 << 62)})
 
     return dealt.groupBy("hub", "i", "j").applyInArrow(near, "a long, b long").distinct()
 
@@ -246,31 +275,27 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     bands = Bands(percent, total[0] or 0)
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total[1] or 0) // POSTINGS)
     found = settled(hub_pairs(docs, bands, buckets, key, text, words))
-    info = lambda c: described.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("fingerprint").alias(f"f_{c}"))
-    known = found.select(F.col("id").alias("a"), F.col("hub").alias("b"), "crowded").join(info("a"), "a").join(info("b"), "b")
-    known = known.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    known = settled(known.groupBy("a", "b").agg(F.max("crowded").alias("crowded"), F.max(F.expr("f_a = f_b AND n_a = n_b")).alias("equal")))
-    open_pairs = known.where("NOT equal")
-    sets = _with_sets(open_pairs, docs, key, text, words)
-    verified = settled(_verify(open_pairs, sets, percent))
-    linked = known.where("equal").select("a", "b").unionByName(verified.where("linked").select("a", "b"))
+    info = lambda c: described.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("fingerprint").alias(f"f_{c}"), F.col("sketch").alias(f"s_{c}"))
+    known = found.select(F.col("id").alias("a"), F.col("hub").alias("b")).join(info("a"), "a").join(info("b"), "b")
+    known = known.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").withColumn("equal", F.expr("f_a = f_b AND n_a = n_b"))
+    open_pairs = settled(_screened(known.where("NOT equal"), percent).distinct())
+    verified = _verify(open_pairs, _with_sets(open_pairs, docs, key, text, words), percent)
+    linked = settled(known.where("equal").select("a", "b").unionByName(verified.where("linked").select("a", "b")).distinct())
     # hubs with a failed document among more than two: their documents meet again
     unfit = found.where("crowded").select("id", "hub").join(linked.select(F.col("a").alias("id"), F.col("b").alias("hub")), ["id", "hub"], "left_anti")
     mixed = settled(unfit.select("hub").distinct())
     if mixed.isEmpty():
         return described, linked
-    linked = settled(linked)
     parts = settled(components(linked, "a", "b"))
     members = found.where("crowded").join(mixed, "hub", "left_semi").select("hub", "id")
     members = members.unionByName(mixed.select("hub", F.col("hub").alias("id"))).distinct()
     members = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = settled(members.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("hub"))
     # exact copies answer through one of them
-    members = members.join(several, "hub", "left_semi").join(described.select("id", "fingerprint"), "id")
-    members = settled(members.groupBy("hub", "fingerprint", "component").agg(F.min("id").alias("id")).select("hub", "id", "component"))
-    own_sets = settled(_with_sets(members.select(F.col("id").alias("a"), F.col("id").alias("b")), docs, key, text, words))
-    more = settled(_in_blocks(members, own_sets, percent))
-    more = _verify(more, own_sets, percent).where("linked").select("a", "b")
+    members = members.join(several, "hub", "left_semi").join(described, "id")
+    members = settled(members.groupBy("hub", "fingerprint", "component").agg(F.min(F.struct("id", "n", "sketch")).alias("x")).select("hub", "component", "x.*"))
+    more = settled(_in_blocks(members, percent))
+    more = _verify(more, _with_sets(more, docs, key, text, words), percent).where("linked").select("a", "b")
     return described, settled(linked.unionByName(more))
 
 
