@@ -9,13 +9,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, licenses, parity, pii, quality, tokenfiles, warc
+from . import bpe, decontamination, licenses, parity, permutation, pii, quality, tokenfiles, warc
 from .common import read_table
 
 #: Folder of the public vocabulary files; a parameter, since they are not part of the repository.
 TOKENIZERS = os.environ.get("HYPERWEAVE_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.count_tokens(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -54,6 +58,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_permutation_index": op1_permutation_index,
     "op2_token_counts": op2_token_counts,
     "op3_warc_archives": op3_warc_archives,
     "op5_pii": op5_pii,
