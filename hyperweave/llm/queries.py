@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, licenses, parity, permutation, pii, quality, tokenfiles, warc
+from . import bpe, decontamination, licenses, parity, permutation, pii, quality, repeats, tokenfiles, warc
 from .common import read_table
 
 #: Folder of the public vocabulary files; a parameter, since they are not part of the repository.
@@ -29,6 +29,11 @@ def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, written).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
     "op2_token_counts": op2_token_counts,
     "op3_warc_archives": op3_warc_archives,
+    "op4_repeats": op4_repeats,
     "op5_pii": op5_pii,
     "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
