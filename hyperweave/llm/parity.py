@@ -41,7 +41,7 @@ POSTINGS = 1_000_000
 #: Places of the fixed-size table of id hashes that spares most documents the second reading.
 FILTER_BITS = 18
 #: Documents in a block of the last comparison: at least and at most.
-BLOCK = (128, 8192)
+BLOCK = (512, 8192)
 
 
 class Bands:
@@ -132,6 +132,15 @@ def _sets(docs: DataFrame, key: str, text: str, words: int, rows, schema: str) -
     return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(mapped, schema)
 
 
+def _dealt(bucket: np.ndarray, columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns' rows packed by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    if len(cuts):
+        parts = [[c[order[a:b]].tobytes() for a, b in zip(cuts, [*cuts[1:], len(order)])] for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts], pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], names)
+
+
 def describe(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(id, n, fingerprint, sketch): each document's number of shingles, a 128-bit digest of its set and its bit sketch."""
 
@@ -148,12 +157,7 @@ def hub_pairs(docs: DataFrame, bands: Bands, buckets: int, key: str = "doc_id",
 
     def post(ids, sets):
         states, owners = postings(sets, bands)
-        bucket = (states % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        ends = [*cuts[1:], len(order)]
-        packed = [(int(bucket[order[a]]), states[order[a:b]].tobytes(), ids[owners[order[a:b]]].astype(np.int64).tobytes()) for a, b in zip(cuts, ends)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*packed), (pa.int32(), pa.binary(), pa.binary()))] if packed else [pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary())], ["bucket", "states", "ids"])
+        yield from _dealt((states % np.uint64(buckets)).astype(np.int64), [states, ids[owners].astype(np.int64)], ["bucket", "states", "ids"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states, ids = [], []
@@ -175,13 +179,22 @@ def hub_pairs(docs: DataFrame, bands: Bands, buckets: int, key: str = "doc_id",
         hub, crowd = np.repeat(np.minimum.reduceat(ids, first), n), np.repeat(n > 2, n)
         other = ids != hub
         pairs = np.unique(np.stack([ids[other], hub[other], crowd[other]], 1), axis=0)
+        yield from _dealt((mix(pairs[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), [pairs], ["bucket", "pairs"])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(x, np.int64).reshape(-1, 3) for batch in batches for x in batch.column(1).to_pylist()]
+        if not held:
+            return
+        pairs = np.unique(np.concatenate(held), axis=0)
+        last = np.append((pairs[1:, :2] != pairs[:-1, :2]).any(1), True)  # of a pair's rows the crowded one, if any
+        pairs = pairs[last]
         for at in range(0, len(pairs), 100_000):
             p = pairs[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 2] > 0)], ["id", "hub", "crowded"])
 
-    packed = _sets(docs, key, text, words, post, "bucket int, states binary, ids binary")
-    met = packed.repartition(buckets, "bucket").mapInArrow(meet, "id long, hub long, crowded boolean")
-    return met.groupBy("id", "hub").agg(F.max("crowded").alias("crowded"))
+    posted = _sets(docs, key, text, words, post, "bucket int, states binary, ids binary")
+    met = posted.repartition(buckets, "bucket").mapInArrow(meet, "bucket int, pairs binary")
+    return met.repartition(buckets, "bucket").mapInArrow(once, "id long, hub long, crowded boolean")
 
 
 def _with_sets(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
