@@ -33,7 +33,7 @@ def truncated(v: str, n: int) -> Column:
     return F.when(F.size(v) > n, normalised(F.slice(v, 1, n))).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def quantised(v: str) -> Column:
+def quantised(v: Column | str) -> Column:
     """Affine 8-bit codes: struct of codes, low and high; rounded half to even."""
     low, high = F.array_min(v), F.array_max(v)
     width = F.when(high == low, 1.0).otherwise((high - low).cast("double"))
@@ -111,11 +111,10 @@ def hash_encoder(dimension: int = 1024):
     """A deterministic text encoder as a pandas UDF: hashed characters and words, of length 1; blank text gives zeros."""
     import hashlib
 
-    import pandas as pd
 
-    @F.pandas_udf("array<float>")
-    def encode(values: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[float]:
+    @F.pandas_udf("array<float>", F.PandasUDFType.SCALAR)
+    def encode(values):
+        def one(text):
             out = np.zeros(dimension)
             if text and text.strip():
                 for weight, parts in ((1.0, text.lower().split()), (0.5, [text[i : i + 3] for i in range(max(1, len(text) - 2))])):

@@ -1,6 +1,11 @@
-"""Queries by name, with their DuckDB SQL."""
+"""Queries by name, with their DuckDB SQL: one module for each plane of the engine."""
 
 from __future__ import annotations
 
+from . import graph_queries, retrieval_queries
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for _module in (graph_queries, retrieval_queries):
+    QUERIES |= _module.Q.queries
+    ORACLE_SQL |= _module.Q.sql
