@@ -67,7 +67,7 @@ def boxed_match(x: Column | str, truth: Column | str) -> Column:
 
 def lines_match(x: Column | str, y: Column | str) -> Column:
     """Outputs equal once trimmed, or line by line once every line is."""
-    lines = lambda v: F.transform(F.split(F.trim(c(v)), "\n"), F.trim)
+    lines = lambda v: F.transform(F.split(F.trim(c(v)), "\n"), lambda v: F.trim(v))
     return (F.trim(c(x)) == F.trim(c(y))) | (lines(x) == lines(y))
 
 

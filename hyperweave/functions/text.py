@@ -69,7 +69,7 @@ def split_on(x: Column | str, markers: list[str]) -> Column:
     if not markers:
         return F.array(c(x))
     pattern = "|".join(r"\Q" + m + r"\E" for m in markers)
-    return F.filter(F.transform(F.split(c(x), pattern), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(c(x), pattern), lambda v: F.trim(v)), lambda p: p != "")
 
 
 def json_body(x: Column | str) -> Column:
@@ -102,7 +102,7 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 def answer_key(x: Column | str) -> Column:
     """Answers as they are compared: lower case, no ASCII punctuation, no articles, white space collapsed."""
     v = F.translate(F.lower(c(x)), PUNCTUATION, "")
-    return collapse(F.regexp_replace(v, r"\b(a|an|the)\b", " "))
+    return collapse(F.regexp_replace(v, r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])", " "))
 
 
 def answer_of(x: Column | str) -> Column:
@@ -129,7 +129,7 @@ def assistant_blocks(x: Column | str) -> Column:
 def answer_parts(x: Column | str) -> Column:
     """Alternatives, parted by | and then &&, trimmed, each once."""
     parts = F.flatten(F.transform(F.split(c(x), r"\|"), lambda p: F.split(p, "&&")))
-    return F.array_distinct(F.filter(F.transform(parts, F.trim), lambda p: p != ""))
+    return F.array_distinct(F.filter(F.transform(parts, lambda v: F.trim(v)), lambda p: p != ""))
 
 
 def image_ids(x: Column | str) -> Column:
@@ -155,7 +155,7 @@ def preview(x: Column | str, n: int = 200) -> Column:
 
 def description(x: Column | str) -> Column:
     """The text without its first two lines that are not blank, as one line."""
-    lines = F.filter(F.transform(F.split(c(x), "\n"), F.trim), lambda p: p != "")
+    lines = F.filter(F.transform(F.split(c(x), "\n"), lambda v: F.trim(v)), lambda p: p != "")
     return F.when(F.size(lines) > 2, F.array_join(F.slice(lines, 3, F.greatest(F.size(lines), F.lit(1))), " ")).otherwise("")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import graph_queries, retrieval_queries
+from . import dataset_queries, evolution_queries, graph_queries, retrieval_queries, text_queries, trajectory_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (graph_queries, retrieval_queries):
+for _module in (graph_queries, retrieval_queries, text_queries, trajectory_queries, dataset_queries, evolution_queries):
     QUERIES |= _module.Q.queries
     ORACLE_SQL |= _module.Q.sql

@@ -48,7 +48,7 @@ def parse_records(responses: DataFrame, chunk: str = "chunk", text: str = "respo
 def offline_extractor(text: Column) -> Column:
     """A deterministic extraction response: every sentence is a hyper-relation, its words in capitals or of nine letters
     and more are entities."""
-    sentences = F.filter(F.transform(F.split(text, r"[.!?]\s+|\n"), F.trim), lambda s: F.length(s) > 0)
+    sentences = F.filter(F.transform(F.split(text, r"[.!?]\s+|\n"), lambda v: F.trim(v)), lambda s: F.length(s) > 0)
 
     def one(s: Column) -> Column:
         words = F.array_distinct(F.regexp_extract_all(s, F.lit(r"(\p{Lu}[\p{L}]+|[\p{L}]{9,})"), F.lit(1)))

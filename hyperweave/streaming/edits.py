@@ -118,7 +118,8 @@ def task_results(state: DataFrame, tasks: DataFrame) -> DataFrame:
 def apply_all(state: DataFrame, tasks: DataFrame, size: int = BATCH) -> DataFrame:
     """All batches one after the other; the state is settled after each."""
     numbered = settled(batched(tasks, size=size))
-    for n in range((numbered.agg(F.max("batch")).first()[0] or -1) + 1):
+    last = numbered.agg(F.max("batch")).first()[0]
+    for n in range(0 if last is None else last + 1):
         state = settled(apply_batch(state, numbered.where(F.col("batch") == n)))
     return state
 
