@@ -137,14 +137,17 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """docs, same columns: identifiers generalised to their kind in brackets, disclosing terms to [TERM]. Overlapping
     spans become one, named after the first."""
-    found = find(docs, key, text, threshold, support)
+    rest = [c for c in docs.columns if c not in (key, text)]  # out of the way of the names used here
+    packed = docs.select(key, text, *([F.struct(*rest).alias("__rest")] if rest else []))
+    found = find(packed, key, text, threshold, support)
     names = "array('[EMAIL]', '[IP]', '[CARD]', '[PHONE]', '[TERM]')"
     body = (
         f"aggregate(spans, named_struct('at', 0, 'out', ''), (a, x) -> CASE WHEN x.s < a.at THEN named_struct('at', greatest(a.at, x.e), 'out', a.out) "
         f"ELSE named_struct('at', x.e, 'out', concat(a.out, substr(`{text}`, a.at + 1, x.s - a.at), element_at({names}, x.k + 1))) END, "
         f"a -> concat(a.out, substr(`{text}`, a.at + 1)))"
     )
-    return found.withColumn(text, F.when(F.size("spans") > 0, F.expr(body)).otherwise(F.col(text))).select(docs.columns)
+    done = found.withColumn(text, F.when(F.size("spans") > 0, F.expr(body)).otherwise(F.col(text)))
+    return done.select(*[F.col(c) if c in (key, text) else F.col(f"__rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -146,7 +146,7 @@ def _marks(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(mapped, "bucket int, rows binary")
 
 
-def _meet(marks: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
+def _meet(marks: DataFrame, buckets: int, doc_buckets: int, crowd: int) -> DataFrame:
     """What the anchors that occur again say: whole fragments that repeat, and fragments to be looked at."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def _meet(marks: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
         many = np.bincount(kind)[kind] > 1
         ask = new_print & (kinds > 1)
         out = np.zeros(many.sum() + ask.sum(), _FOUND)
-        for at, what, code in ((slice(0, many.sum()), many, SPAN), (slice(many.sum(), None), ask, np.where(kinds[ask] > CROWD, ASK_CROWD, ASK))):
+        for at, what, code in ((slice(0, many.sum()), many, SPAN), (slice(many.sum(), None), ask, np.where(kinds[ask] > crowd, ASK_CROWD, ASK))):
             for c in ("doc", "anchor", "start", "n"):
                 out[c][at] = rows[c][what]
             out["kind"][at] = code
@@ -329,27 +329,27 @@ def _decide(cut: DataFrame, buckets: int, doc_buckets: int, length: int) -> Data
     return cut.repartition(buckets, "bucket").mapInArrow(mapped, "bucket int, rows binary")
 
 
-def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs' key and text with `spans`: arrays of starts and stops (bytes) of the maximal repeated runs."""
+def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
+    """(key, __text, __spans): each document's text and its repeated runs, as binary pairs of starts and stops (bytes)."""
     if length < 2 * ANCHOR:
         raise ValueError(f"length is at least {2 * ANCHOR}")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key), body.alias("text")).withColumn("key", F.xxhash64(F.col(key), F.col("text")))
+    rows = docs.select(F.col(key).alias("__id"), body.alias("text")).withColumn("key", F.xxhash64("__id", "text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(n, 2 * total // (length - ANCHOR) // BUCKET)
     doc_buckets = max(n, buckets // 4)
-    first = settled(_by_doc(_meet(_marks(rows, buckets, length), buckets, doc_buckets), doc_buckets, length))
+    first = settled(_by_doc(_meet(_marks(rows, buckets, length), buckets, doc_buckets, crowd), doc_buckets, length))
     asked = rows.select("key", "text").join(first.where(F.col("asks").isNotNull()).select("key", "asks"), "key")
     second = settled(_by_doc(_decide(_cut(asked, buckets, length), buckets, doc_buckets, length), doc_buckets, length))
     spans = first.select("key", "spans").unionByName(second.select("key", "spans")).where(F.octet_length("spans") > 0)
     spans = spans.groupBy("key").agg(F.collect_list("spans").alias("__spans"))  # two of a document at most
-    return rows.join(spans, "key", "left").drop("key")
+    return rows.join(spans, "key", "left").select(F.col("__id").alias(key), F.col("text").alias("__text"), "__spans")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(key, kept, n_bytes, n_removed, n_spans): the bytes left of each document, and what went."""
-    found = find_repeats(docs, key, text, length)
+    found = find_repeats(docs, key, text, length, crowd)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,4 +365,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.int64())))], [key, "kept", "n_bytes", "n_removed", "n_spans"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return found.select(key, "text", "__spans").mapInArrow(cut, f"`{key}` {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return found.select(key, "__text", "__spans").mapInArrow(cut, f"`{key}` {kind}, kept binary, n_bytes long, n_removed long, n_spans long")

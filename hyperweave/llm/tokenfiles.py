@@ -29,6 +29,14 @@ BLOCK = 4_000_000
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def encoder(ranks: bytes):
+    """The encoding of a rank file's content, without special tokens."""
+    import tiktoken
+
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("flat", pat_str=PIECES, mergeable_ranks=table, special_tokens={})
+
+
 def write_token_files(docs: DataFrame, rank_file: str, key: str = "doc_id", text: str = "text", eod: int = 50256, width: str = "<u2", folder: str | None = None) -> DataFrame:
     """Writes each partition's documents as one flat file in the shared folder; returns (file, ordinal, key) of each.
 
@@ -40,10 +48,7 @@ def write_token_files(docs: DataFrame, rank_file: str, key: str = "doc_id", text
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.value.splitlines())}
-        encoding = tiktoken.Encoding("flat", pat_str=PIECES, mergeable_ranks=table, special_tokens={})
+        encoding = encoder(ranks.value)
         out, n, uri = None, 0, f"{folder}/{uuid.uuid4().hex}.bin"
         for batch in batches:
             if not batch.num_rows:
@@ -75,7 +80,7 @@ def scan_token_files(spark: SparkSession, files: DataFrame, eod: int = 50256, wi
                 starts = list(range(0, total // size, block))
                 ends = [min(s + block, total // size) for s in starts]
                 last = [e == total // size for e in ends]
-                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(starts)), pa.array(range(len(starts)), pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(last, pa.bool_())], ["file", "block", "start", "stop", "is_last"])
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(starts), pa.string()), pa.array(range(len(starts)), pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(last, pa.bool_())], ["file", "block", "start", "stop", "is_last"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -214,7 +214,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, key_type: str = "lon
                     held = held or [offset]
                     held.append(length)
                 rows += [held] if held else []
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array([base + r[0] for r in rows], pa.int64()), pa.array([r[1:] for r in rows], pa.list_(pa.int64()))], ["archive", "start", "lengths"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array([base + r[0] for r in rows], pa.int64()), pa.array([r[1:] for r in rows], pa.list_(pa.int64()))], ["archive", "start", "lengths"])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
