@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: Symbols of a piece up to which the rank array is scanned.
 LONG = 256
 #: Chunks in each of the two generations that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 80_000
 #: Capital sigma lower-cases to the same letter wherever it stands.
 SIGMA = ("\u03a3", "\u03c3")
 #: What the file's pattern counts as white space.
