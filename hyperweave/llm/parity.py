@@ -37,7 +37,9 @@ from .shingles import mix, shingle_sets
 #: Linking similarity, in hundredths, and words in a shingle.
 PERCENT, WORDS = 80, 5
 #: Postings in one task's bucket.
-POSTINGS = 1_000_000
+POSTINGS = 400_000
+#: Documents whose sets a worker holds at once.
+SLICE = 400
 #: Places of the fixed-size table of id hashes that spares most documents the second reading.
 FILTER_BITS = 18
 #: Documents in a block of the last comparison: at least and at most.
@@ -125,8 +127,8 @@ def _sets(docs: DataFrame, key: str, text: str, words: int, rows, schema: str) -
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 yield from rows(part.column(0).to_numpy(zero_copy_only=False), shingle_sets(texts(part.column(1)), words))
 
     return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(mapped, schema)
@@ -209,8 +211,8 @@ def _with_sets(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: in
         bits = np.unpackbits(held.value).view(bool)
         for batch in batches:
             kept = batch.filter(pa.array(bits[batch.column(2).to_numpy()])).select([0, 1])
-            for at in range(0, kept.num_rows, 1000):
-                part = kept.slice(at, 1000)
+            for at in range(0, kept.num_rows, SLICE):
+                part = kept.slice(at, SLICE)
                 sets = shingle_sets(texts(part.column(1)), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
 
