@@ -31,9 +31,9 @@ from .shingles import mix
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, ANCHOR = 200, 32
 #: Bytes hashed at once; longer texts are cut, with an overlap of a window.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Anchors in one bucket, and different fragments of one anchor that may meet in a block.
-BUCKET, CROWD = 400_000, 2000
+BUCKET, CROWD = 250_000, 2000
 _CODES = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
 _BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _LOW = np.uint64((1 << 24) - 1)
@@ -338,7 +338,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(n, 2 * total // (length - ANCHOR) // BUCKET)
-    doc_buckets = max(n, buckets // 4)
+    doc_buckets = max(n, buckets // 2)
     first = settled(_by_doc(_meet(_marks(rows, buckets, length), buckets, doc_buckets, crowd), doc_buckets, length))
     asked = rows.select("key", "text").join(first.where(F.col("asks").isNotNull()).select("key", "asks"), "key")
     second = settled(_by_doc(_decide(_cut(asked, buckets, length), buckets, doc_buckets, length), doc_buckets, length))
