@@ -98,4 +98,56 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s F
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op4_repeats": """
+WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM x WHERE length(h) >= 400),
+win AS (SELECT doc_id, p, hash(substr(h, CAST(2 * p + 1 AS BIGINT), 400)) AS g FROM k),
+dup AS (SELECT doc_id, p FROM win WHERE g IN (SELECT g FROM win GROUP BY g HAVING count(*) > 1)),
+isl AS (SELECT doc_id, p, sum(CASE WHEN p - prev <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS i FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prev FROM dup)),
+runs AS (SELECT doc_id, i, min(p) AS a, max(p) + 200 AS b FROM isl GROUP BY 1, 2),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM runs),
+per AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM gaps GROUP BY 1),
+parts AS (SELECT g.doc_id, string_agg(substr(h, CAST(2 * c + 1 AS BIGINT), CAST(2 * (a - c) AS BIGINT)), '' ORDER BY a) AS s FROM gaps g JOIN x USING (doc_id) GROUP BY 1)
+SELECT x.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE s || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM x LEFT JOIN per USING (doc_id) LEFT JOIN parts USING (doc_id)""",
+    "op10_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
+r(d, m) AS (SELECT x, x FROM e UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.d),
+c AS (SELECT d, min(m) AS m FROM r GROUP BY 1)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(m, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.d = w.doc_id""",
 }
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _license_sql() -> str:
+    """The license scan in SQL: its templates and phrases are those of the operator."""
+    rows = ", ".join(f"({k}, '{label}', '{body}')" for k, (label, body) in enumerate(licenses.TEMPLATES))
+    places = []
+    for phrase, label in licenses.PHRASES:
+        words = phrase.split()
+        same = " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(words, 1))
+        places.append(f"SELECT doc_id, i, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d WHERE list_contains(w, 'license')) WHERE i + {len(words)} <= len(w) AND {same}")
+    return f"""
+WITH t AS (SELECT label, list_distinct({_WORDS.format('body')}) AS t FROM (VALUES {rows}) v(k, label, body)),
+d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+b AS (SELECT doc_id, list_distinct({_WORDS.format('line')}) AS w FROM (SELECT doc_id, unnest(lines) AS line FROM d)),
+f AS (SELECT doc_id, label, len(list_intersect(w, t))::DOUBLE / len(t) AS c FROM b, t WHERE len(list_intersect(w, t)) >= ceil(round({licenses.THRESHOLD} * len(t), 6))),
+p AS ({' UNION ALL '.join(places)}),
+ps AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z FROM p GROUP BY 1),
+pl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT doc_id, label FROM p) GROUP BY 1),
+al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM f) GROUP BY 1),
+fs AS (SELECT doc_id, max(c) AS c FROM f GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(z AS BIGINT) AS last_word,
+       coalesce(pl.s, '') AS base_labels, coalesce(al.s, '') AS labels, CASE WHEN n IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(c, 0) END AS score
+FROM d LEFT JOIN ps USING (doc_id) LEFT JOIN pl USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN fs USING (doc_id)"""
+
+
+ORACLE_SQL["op6_licenses"] = _license_sql()
