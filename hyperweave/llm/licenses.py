@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD
+from .common import WORD, settled
 
 #: Sentences that public licenses ask to be quoted, by label.
 TEMPLATES = [
@@ -41,12 +41,8 @@ PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general publi
 THRESHOLD = 0.9
 #: Distinct words of all templates that may be broadcast.
 MOST_WORDS = 100_000
-#: The same words as WORD, in a text whose capitals are left alone.
-_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-
-def _words(column: Column | str) -> Column:
-    return F.regexp_extract_all(F.translate(column, UPPER, LOWER), F.lit(WORD), F.lit(0))
+#: Prefix words up to which lines are searched for their letters before they are split into words.
+MOST_NEEDLES = 64
 
 
 def _block_words(column: Column | str) -> Column:
@@ -54,30 +50,50 @@ def _block_words(column: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(0))
 
 
-def find_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, block, label, containment) for every line of every document and every template that it meets."""
-    spark = docs.sparkSession
-    sets = spark.createDataFrame([(k, label, body) for k, (label, body) in enumerate(templates)], "template int, label string, body string")
+def _template_sets(docs: DataFrame, templates: list[tuple[str, str]]) -> tuple[DataFrame, list[str]]:
+    """Templates with their sets of words, and all of these words."""
+    sets = docs.sparkSession.createDataFrame([(k, label, body) for k, (label, body) in enumerate(templates)], "template int, label string, body string")
     sets = sets.select("template", "label", F.array_distinct(_block_words("body")).alias("words")).where(F.size("words") > 0)
     known = sorted({w for r in sets.select("words").collect() for w in r.words})
     if len(known) > MOST_WORDS:
         raise ValueError(f"templates have {len(known)} distinct words; at most {MOST_WORDS} may be broadcast")
+    return sets, known
+
+
+def _held(words: Column | str, known: list[str]) -> Column:
+    return F.array_intersect(words, F.array(*map(F.lit, known)) if known else F.array().cast("array<string>"))
+
+
+def find_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, held: DataFrame | None = None) -> DataFrame:
+    """(key, block, label, containment) for every line of every document and every template that it meets.
+
+    held: a table whose column `held` has each document's distinct template words, if that is known already.
+    """
+    spark = docs.sparkSession
+    sets, known = _template_sets(docs, templates)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    vocabulary = spark.createDataFrame([(w,) for w in known], "word string")
-    counts = docs.select(F.explode(_block_words(body)).alias("word")).join(F.broadcast(vocabulary), "word").groupBy("word").count()
-    order = {r["word"]: k for k, r in enumerate(sorted(vocabulary.join(counts, "word", "left").fillna(0).collect(), key=lambda r: (r["count"], r["word"])))}
+    if held is None:
+        held = docs.select(_held(_block_words(body), known).alias("held"))
+    counts = {r["word"]: r["count"] for r in held.select(F.explode("held").alias("word")).groupBy("word").count().collect()}  # a row for each template word at most
+    order = {w: k for k, w in enumerate(sorted(known, key=lambda w: (counts.get(w, 0), w)))}
     rows = []
     for r in sets.collect():
         words, need = sorted(r.words, key=order.__getitem__), -(-int(round(threshold * len(r.words) * 1e6)) // 1_000_000)
         need = max(1, min(need, len(words)))
         rows += [(w, p, r.template, r.label, words, need) for p, w in enumerate(words[: len(words) - need + 1])]
     prefixes = spark.createDataFrame(rows, "word string, p int, template int, label string, template_words array<string>, need int")
-    first = F.array(*map(F.lit, sorted({r[0] for r in rows})))
-    lines = docs.select(F.col(key).alias("key"), F.posexplode(F.split(body, "\n")).alias("block", "line"))
-    lines = lines.select("key", "block", F.array_distinct(_block_words("line")).alias("words")).where(F.arrays_overlap("words", first))
-    rank = F.create_map(*(F.lit(x) for pair in order.items() for x in pair))
-    held = F.array_sort(F.filter(F.transform("words", lambda w: F.struct(F.try_element_at(rank, w).alias("r"), w.alias("w"))), lambda x: x["r"].isNotNull()))
-    lines = lines.withColumn("held", held).select("key", "block", "words", F.size("held").alias("n_held"), F.posexplode("held").alias("q", "x"))
+    first = sorted({r[0] for r in rows})
+    lines = docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.lower(body), "\n")).alias("block", "line"))
+    if first and len(first) <= MOST_NEEDLES:  # a line without the letters of any prefix word has none of the words
+        some = F.contains("line", F.lit(first[0]))
+        for w in first[1:]:
+            some = some | F.contains("line", F.lit(w))
+        lines = lines.where(some)
+    lines = lines.select("key", "block", F.array_distinct(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("words"))
+    lines = lines.where(F.size(_held("words", first)) > 0)
+    rank = F.create_map(*(F.lit(x) for pair in order.items() for x in pair)) if order else F.create_map().cast("map<string,int>")
+    ranked = F.array_sort(F.filter(F.transform("words", lambda w: F.struct(F.try_element_at(rank, w).alias("r"), w.alias("w"))), lambda x: x["r"].isNotNull()))
+    lines = lines.withColumn("held", ranked).select("key", "block", "words", F.size("held").alias("n_held"), F.posexplode("held").alias("q", "x"))
     pairs = lines.withColumn("word", F.col("x.w")).join(F.broadcast(prefixes), "word")
     pairs = pairs.where("size(words) >= need AND 1 + least(size(template_words) - p - 1, n_held - q - 1) >= need")
     common = F.size(F.array_intersect("words", "template_words"))
@@ -88,15 +104,18 @@ def find_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", templa
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: its words, the base phrases' places, the labels of both kinds and a score from 0 to 1."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(key, F.regexp_count(body, F.lit(_ANY_CASE)).cast("long").alias("n_words"), F.when(body.rlike("(?i)license"), _words(body)).alias("w"))
     places = []
     for phrase, label in PHRASES:
         want = phrase.split()
         same = " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(want))
         inside = f"CASE WHEN size(w) >= {len(want)} THEN filter(sequence(0, size(w) - {len(want)}), i -> {same}) ELSE cast(array() AS array<int>) END"
         places.append(f"transform({inside}, i -> named_struct('i', cast(i AS bigint), 'label', '{label}'))")
-    rows = rows.withColumn("places", F.when(F.col("w").isNotNull(), F.expr(f"array_sort(concat({', '.join(places)}))"))).drop("w")
-    blocks = find_blocks(docs, key, text, templates, threshold)
+    found = f"CASE WHEN array_contains(w, 'license') THEN array_sort(concat({', '.join(places)})) END"
+    _, known = _template_sets(docs, templates)
+    # lower() leaves the words' number as it is and makes none of the phrases' letters from others than A-Z
+    rows = docs.select(key, _block_words(body).alias("w")).select(key, F.size("w").cast("long").alias("n_words"), _held("w", known).alias("held"), F.expr(found).alias("places"))
+    rows = settled(rows)
+    blocks = find_blocks(docs, key, text, templates, threshold, rows)
     blocks = blocks.groupBy(F.col(key).alias("__key")).agg(F.collect_set("label").alias("__labels"), F.max("containment").alias("__score"))
     joined = rows.join(blocks, F.col(key).eqNullSafe(F.col("__key")), "left")
     n = F.coalesce(F.array_size("places"), F.lit(0))
