@@ -202,3 +202,15 @@ def args_violation(args: Column | str, required: list[str], numbers: list[str] =
 def flops(lengths: DataFrame, length: str, per_token: float, per_square: float) -> DataFrame:
     """Closed-form estimate from sequence lengths."""
     return lengths.agg(F.sum(length).alias("tokens"), F.sum(F.col(length).cast("double") * F.col(length)).alias("squares")).withColumn("flops", F.col("tokens") * per_token + F.col("squares") * per_square)
+
+
+def until_first_call(x: Column | str) -> Column:
+    """The text up to and with its first closed tool call; the whole without one."""
+    return F.when(c(x).contains("</tool_call>"), F.concat(F.substring_index(c(x), "</tool_call>", 1), F.lit("</tool_call>"))).otherwise(c(x))
+
+
+def runs_replaced(ids: Column | str, token: int, by: list[int]) -> Column:
+    """Every run of a token in an id array as one fixed sequence."""
+    v = c(ids)
+    starts = F.transform(v, lambda x, i: F.when(x != token, F.array(x)).when((i == 0) | (F.element_at(v, F.greatest(i, F.lit(1))) != token), F.array(*map(F.lit, by))).otherwise(F.array().cast("array<int>")))
+    return F.flatten(starts)

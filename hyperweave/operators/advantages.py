@@ -91,3 +91,29 @@ def pass_at_k(df: DataFrame, problem: str, score: str) -> DataFrame:
 
 def clipped_surrogate(ratio: Column, advantage: Column, eps: float) -> Column:
     return F.greatest(-advantage * ratio, -advantage * F.greatest(F.lit(1 - eps), F.least(F.lit(1 + eps), ratio)))
+
+
+def state_coverage(df: DataFrame, loss_mask: str, response_mask: str) -> DataFrame:
+    """Tokens that the loss counts, and their share of the response's."""
+    return df.agg(F.sum(loss_mask).alias("tokens"), (F.sum(loss_mask) / F.sum(response_mask)).alias("coverage"))
+
+
+def timing(df: DataFrame, section: str, seconds: str, tokens: str) -> DataFrame:
+    """Seconds, tokens and milliseconds for each token, by section."""
+    return df.groupBy(section).agg(F.sum(seconds).alias("seconds"), F.sum(tokens).alias("tokens")).withColumn("ms_per_token", F.try_divide(F.col("seconds") * 1000, F.col("tokens")))
+
+
+def policy_loss(df: DataFrame, old: str, new: str, advantage: str, mask: str, eps: float = 0.2) -> DataFrame:
+    """One row: the masked mean of the clipped surrogate, the share of clipped tokens, and the masked mean of -log ratio."""
+    ratio = F.exp(F.col(new) - F.col(old))
+    plain = -F.col(advantage) * ratio
+    clipped = clipped_surrogate(ratio, F.col(advantage), eps)
+    n = F.sum(mask)
+    return df.agg((F.sum(clipped * F.col(mask)) / n).alias("loss"), (F.sum((clipped > plain).cast("int") * F.col(mask)) / n).alias("clip_fraction"), (F.sum((F.col(old) - F.col(new)) * F.col(mask)) / n).alias("kl"))
+
+
+def value_loss(df: DataFrame, predicted: str, old: str, returns: str, mask: str, eps: float = 0.2) -> DataFrame:
+    low, high = F.col(old) - eps, F.col(old) + eps
+    clipped = F.greatest(low, F.least(high, F.col(predicted)))
+    a, b = F.pow(F.col(predicted) - F.col(returns), 2), F.pow(clipped - F.col(returns), 2)
+    return df.agg((0.5 * F.sum(F.greatest(a, b) * F.col(mask)) / F.sum(mask)).alias("loss"), (F.sum((b > a).cast("int") * F.col(mask)) / F.sum(mask)).alias("clip_fraction"))

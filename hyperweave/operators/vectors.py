@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Queries in one broadcast of an exact search; more take more passes over the vectors.
 SLICE = 8192
@@ -112,7 +113,7 @@ def hash_encoder(dimension: int = 1024):
     import hashlib
 
 
-    @F.pandas_udf("array<float>", F.PandasUDFType.SCALAR)
+    @F.pandas_udf(T.ArrayType(T.FloatType()), F.PandasUDFType.SCALAR)
     def encode(values):
         def one(text):
             out = np.zeros(dimension)
@@ -128,3 +129,18 @@ def hash_encoder(dimension: int = 1024):
         return values.map(one)
 
     return encode
+
+
+def mock_encoder(dimension: int = 64):
+    """Unit Gaussian vectors seeded by the SHA-256 of their text, as a pandas UDF."""
+    import hashlib
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()), F.PandasUDFType.SCALAR)
+    def encode(values):
+        def one(text):
+            v = np.random.default_rng(int.from_bytes(hashlib.sha256((text or "").encode()).digest()[:8], "big")).normal(size=dimension)
+            return (v / np.sqrt((v * v).sum())).astype(np.float32).tolist()
+
+        return values.map(one)
+
+    return encode

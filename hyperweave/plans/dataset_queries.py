@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import payloads as L
 from ..functions.text import entity_label
 from ..operators import dataset as D
 from ..operators import joins as J
 from ..operators import partition as P
 from ..operators.kv import first_per_key
+from ..sources.files import prompts_within
 from .base import Catalogue, read_table
 
 Q = Catalogue()
@@ -231,3 +233,54 @@ def assets(spark, d):
 def first_file(spark, d):
     rows = read_table(spark, d, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
     return first_per_key(rows, ["l_partkey"], [F.col("o")])
+
+
+@Q("image_compaction", "WITH f AS (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o) AS place FROM f) SELECT user_id, CAST(place AS INT) AS place, event_type FROM r WHERE place <= 3")
+def compaction(spark, d):
+    return L.compact_images(read_table(spark, d, "events"), "user_id", "event_type", "event_id", ["event_type"])
+
+
+@Q("edit_scope", "SELECT doc_id, CASE WHEN lang <> 'en' THEN 'lang is not loaded' WHEN source <> 'src0' THEN 'source is not loaded' END AS error FROM documents")
+def scope(spark, d):
+    docs = read_table(spark, d, "documents")
+    return docs.select("doc_id", L.scope_error(docs, {"lang": "en", "source": "src0"}).alias("error"))
+
+
+@Q("coerced_results", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS knowledge, CASE WHEN event_id % 2 = 0 THEN 0.5::DOUBLE ELSE 0.25 END AS coherence FROM events")
+def coerced(spark, d):
+    text = F.when(F.col("event_id") % 2 == 0, '["a"]').otherwise('[{"knowledge":"b","coherence":0.25}]')
+    return read_table(spark, d, "events").select("event_id", F.explode(L.coerced_results(text)).alias("x")).select("event_id", "x.*")
+
+
+@Q("manifest_validation", "SELECT event_id, list_filter([CASE WHEN event_id % 2 = 0 THEN 'version' END, CASE WHEN event_id % 3 = 0 THEN 'status' END, CASE WHEN event_id % 5 < 4 THEN 'subset incomplete' END], lambda x: x IS NOT NULL) AS blockers FROM events")
+def manifest(spark, d):
+    text = F.to_json(F.struct((F.lit(1) + (F.col("event_id") % 2 == 0).cast("int")).alias("version"), F.lit("d").alias("dataset"), F.when(F.col("event_id") % 3 == 0, "partial").otherwise("complete").alias("status"), F.lit(4).alias("requested"), (F.col("event_id") % 5).alias("complete"), F.lit(9).alias("images")))
+    return read_table(spark, d, "events").select("event_id", L.manifest_violations(text, "d").alias("blockers"))
+
+
+@Q("exploded_contents", "SELECT event_id, unnest(CASE WHEN event_id % 2 = 0 THEN ['a', 'b'] ELSE ['one'] END) AS content FROM events")
+def exploded(spark, d):
+    raw = F.when(F.col("event_id") % 2 == 0, '["a", " ", "b"]').otherwise("one")
+    return L.exploded_contents(read_table(spark, d, "events").select("event_id", raw.alias("raw")), "raw").select("event_id", "content")
+
+
+@Q("archive_profile", "SELECT '.' || lang AS suffix, count(*) AS n, sum(n_chars) AS bytes, list_slice(list_sort(list(doc_id || '.' || lang)), 1, 5) AS samples FROM documents GROUP BY 1")
+def archives(spark, d):
+    docs = read_table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang")).alias("member"), F.col("n_chars").alias("size"))
+    return L.archive_profile(docs)
+
+
+@Q("golden_answers", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN [lang] ELSE [source] END AS golds FROM documents")
+def golds(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", F.struct(F.when(F.col("doc_id") % 2 == 0, F.array("lang")).alias("golden_answers")).alias("extra_info"), F.struct(F.array("source").alias("ground_truth")).alias("reward_model"))
+    return docs.select("doc_id", L.golden_answers(docs).alias("golds"))
+
+
+@Q("prompt_template", "SELECT doc_id, 'Q: ' || lang || ' in ' || source || '?' AS prompt FROM documents")
+def templates(spark, d):
+    return read_table(spark, d, "documents").select("doc_id", L.prompt("Q: {lang} in {source}?", lang=F.col("lang"), source=F.col("source")).alias("prompt"))
+
+
+@Q("prompt_length_filter", r"SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) <= 200")
+def prompt_lengths(spark, d):
+    return prompts_within(read_table(spark, d, "documents").select("doc_id", "text"), F.col("text"), 200).select("doc_id")

@@ -189,3 +189,67 @@ def entropy(spark, d):
 @Q("turn_counts", "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'assistant') AS actions FROM conversations GROUP BY 1")
 def turns(spark, d):
     return read_table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "assistant").alias("actions"))
+
+
+_LOSS = "ls AS (SELECT event_id, -value / 100 AS o, -value / 100 + (event_id % 11 - 5) / 10.0::DOUBLE AS n, CAST(event_id % 5 - 2 AS DOUBLE) AS a, CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS m, value FROM events)"
+
+
+def _losses(spark, d):
+    e = read_table(spark, d, "events")
+    return e.select("event_id", (-F.col("value") / 100).alias("o"), (-F.col("value") / 100 + (F.col("event_id") % 11 - 5) / 10.0).alias("n"), (F.col("event_id") % 5 - 2).cast("double").alias("a"), (F.col("event_type") != "error").cast("int").alias("m"), "value")
+
+
+@Q("policy_loss", f"WITH {_LOSS}, r AS (SELECT *, exp(n - o) AS r FROM ls), c AS (SELECT *, -a * r AS p, greatest(-a * r, -a * greatest(0.8, least(1.2, r))) AS c FROM r) SELECT round(sum(c * m) / sum(m), 6) AS loss, round(sum(CASE WHEN c > p THEN m ELSE 0 END)::DOUBLE / sum(m), 6) AS clip_fraction, round(sum((o - n) * m) / sum(m), 6) AS kl FROM c")
+def policy_loss(spark, d):
+    r = A.policy_loss(_losses(spark, d), "o", "n", "a", "m")
+    return r.select(*(F.round(x, 6).alias(x) for x in r.columns))
+
+
+@Q("value_loss", f"WITH {_LOSS}, c AS (SELECT m, pow(n - a, 2) AS x, pow(greatest(o - 0.2, least(o + 0.2, n)) - a, 2) AS y FROM ls) SELECT round(0.5 * sum(greatest(x, y) * m) / sum(m), 6) AS loss FROM c")
+def value_loss(spark, d):
+    return A.value_loss(_losses(spark, d), "n", "o", "a", "m").select(F.round("loss", 6).alias("loss"))
+
+
+@Q("state_coverage", f"WITH {_LOSS} SELECT sum(m) AS tokens, round(sum(m)::DOUBLE / count(*), 6) AS coverage FROM ls")
+def state_coverage(spark, d):
+    return A.state_coverage(_losses(spark, d).withColumn("one", F.lit(1)), "m", "one").withColumn("coverage", F.round("coverage", 6))
+
+
+@Q("timing_metrics", "SELECT event_type, round(sum(value), 4) AS seconds, sum(event_id % 100) AS tokens, round(sum(value) * 1000 / nullif(sum(event_id % 100), 0), 4) AS ms_per_token FROM events GROUP BY 1")
+def timing(spark, d):
+    t = A.timing(read_table(spark, d, "events").withColumn("tokens", F.col("event_id") % 100), "event_type", "value", "tokens")
+    return t.select("event_type", F.round("seconds", 4).alias("seconds"), "tokens", F.round("ms_per_token", 4).alias("ms_per_token"))
+
+
+@Q("first_call_prefix", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || '</tool_call>' ELSE role END AS kept FROM conversations")
+def first_call(spark, d):
+    c = read_table(spark, d, "conversations")
+    text = F.when(F.col("turn") % 2 == 0, F.concat("role", F.lit("</tool_call> more </tool_call>"))).otherwise(F.col("role"))
+    return c.select("conv_id", "turn", S.until_first_call(text).alias("kept"))
+
+
+@Q("token_runs", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN [1, 2] ELSE [1, 8, 9, 2] END AS ids FROM events")
+def token_runs(spark, d):
+    ids = F.concat(F.array(F.lit(1)), F.array_repeat(F.lit(7), (F.col("event_id") % 4).cast("int")), F.array(F.lit(2)))
+    return read_table(spark, d, "events").select("event_id", S.runs_replaced(ids, 7, [8, 9]).alias("ids"))
+
+
+@Q("trajectory_totals", "SELECT conv_id, count(*) AS turns, round(sum(CASE WHEN turn % 3 = 0 THEN 0.9::DOUBLE ELSE 1 END), 6) AS reward FROM conversations GROUP BY 1")
+def totals(spark, d):
+    from .training import trajectory_totals
+
+    t = read_table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("action"), (F.col("turn") % 3 != 0).alias("valid"), F.lit(True).alias("effective"), F.lit(1.0).alias("reward"))
+    return trajectory_totals(t, "conv_id", "turn").select("conv_id", "turns", F.round("reward", 6).alias("reward"))
+
+
+@Q("batched_generation", "SELECT conv_id, list(text ORDER BY turn) AS responses FROM conversations GROUP BY 1")
+def generation(spark, d):
+    from .training import collected
+
+    return collected(read_table(spark, d, "conversations"), "conv_id", "text", "turn")
+
+
+@Q("tool_arguments", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'missing query' WHEN event_id % 3 = 1 THEN 'k is no number' END AS fault FROM events")
+def tool_arguments(spark, d):
+    args = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("k"), F.lit("1"))).when(F.col("event_id") % 3 == 1, F.create_map(F.lit("query"), F.lit("q"), F.lit("k"), F.lit("x"))).otherwise(F.create_map(F.lit("query"), F.lit("q"), F.lit("k"), F.lit("2.5")))
+    return read_table(spark, d, "events").select("event_id", S.args_violation(args, ["query"], ["k"]).alias("fault"))
