@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import compact, query_key
 from .kv import first_per_key
+from .partition import numbered
 
 
 def fallback_join(build: DataFrame, probe: DataFrame, first: str, second: str, row: str) -> DataFrame:
@@ -102,8 +103,7 @@ def broadcast_args(rows: DataFrame, args: DataFrame, row: str) -> DataFrame:
 
 def scatter(batch: DataFrame, active: DataFrame, row: str, value: str, fill: object) -> DataFrame:
     """The i-th active result goes to the i-th active row; the others get the fill."""
-    w = Window.orderBy(row)
-    order = batch.where("active").select(row, F.row_number().over(w).alias("i"))
+    order = numbered(batch.where("active").select(row), row, into="i").withColumn("i", F.col("i") + 1)
     return batch.join(order.join(active, "i").select(row, value), row, "left").withColumn(value, F.coalesce(value, F.lit(fill)))
 
 

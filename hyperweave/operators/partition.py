@@ -8,6 +8,29 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
+
+def numbered(df: DataFrame, *order: Column | str, into: str = "place") -> DataFrame:
+    """df with the rows' places in the order, from 0, without gathering them in one task: rows are sorted by range, each
+    range numbers its own, and the ranges' sizes, summed up, shift them. The sorted table is settled."""
+    m = F.col("__m")
+    rows = settled(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()))
+    part, own = F.shiftright(m, 33), m.bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return rows.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(into, F.col("__before") + own).drop("__part", "__before", "__m")
+
+
+def running_total(df: DataFrame, value: str, *order: Column | str, into: str = "total") -> DataFrame:
+    """df with the sum of the values up to each row, by the same two steps."""
+    m = F.col("__m")
+    rows = settled(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id())).withColumn("__part", F.shiftright(m, 33))
+    sums = rows.groupBy("__part").agg(F.sum(value).alias("__s"))
+    before = sums.select("__part", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.sum(value).over(Window.partitionBy("__part").orderBy("__m").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(into, F.col("__before") + F.col("__own")).drop("__part", "__before", "__own", "__m")
+
 
 def seeded(seed: int, *columns: str) -> Column:
     """A deterministic order: md5 of the seed and the columns."""
@@ -35,7 +58,7 @@ def round_robin(df: DataFrame, key: str, shard: str, row: str, seed: int = 42) -
     df = df.withColumn("__t", turn)
     in_key = F.row_number().over(Window.partitionBy(key).orderBy("__t", shard))
     df = df.withColumn("__k", in_key)
-    return df.withColumn("place", F.row_number().over(Window.orderBy("__k", key))).drop("__t", "__k")
+    return numbered(df, "__k", key).withColumn("place", F.col("place") + 1).drop("__t", "__k")
 
 
 def size_guard(df: DataFrame, size: str, most: int, n: int, order: str) -> DataFrame:
@@ -44,15 +67,14 @@ def size_guard(df: DataFrame, size: str, most: int, n: int, order: str) -> DataF
 
 def running_budget(df: DataFrame, size: str, order: str, most: int) -> DataFrame:
     """Rows in order as long as their sizes add up to at most `most`."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("__s", F.sum(size).over(w)).where(F.col("__s") <= most).drop("__s")
+    return running_total(df, size, order, into="__total").where(F.col("__total") <= most).drop("__total")
 
 
 def repeated(df: DataFrame, n: int, interleave: bool = True, pos: str = "pos") -> DataFrame:
     """Every row n times: each one's copies together, or the whole table again and again. Column `place` orders them."""
     out = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     keys = (pos, "copy") if interleave else ("copy", pos)
-    return out.withColumn("place", F.row_number().over(Window.orderBy(*keys)) - 1)
+    return numbered(out, *keys)
 
 
 def padded_to(df: DataFrame, divisor: int, pos: str) -> DataFrame:
@@ -62,8 +84,7 @@ def padded_to(df: DataFrame, divisor: int, pos: str) -> DataFrame:
 
 
 def mini_batches(df: DataFrame, size: int, epoch: int, key: str, seed: int = 42) -> DataFrame:
-    place = F.row_number().over(Window.orderBy(seeded(seed + epoch, key), key)) - 1
-    return df.withColumn("batch", F.floor(place / size))
+    return numbered(df, seeded(seed + epoch, key), key, into="__place").withColumn("batch", F.floor(F.col("__place") / size)).drop("__place")
 
 
 def inverse_permutation(df: DataFrame, pos: str, target: str) -> DataFrame:

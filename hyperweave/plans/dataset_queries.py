@@ -149,7 +149,7 @@ def seeded_sample(spark, d):
     return P.sample(read_table(spark, d, "documents").select("doc_id", "lang"), 100, "doc_id")
 
 
-@Q("stratified_round_robin", "WITH a AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5('42:' || doc_id), doc_id) AS t FROM documents), b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY t, source) AS k FROM a) SELECT doc_id, lang, source, CAST(row_number() OVER (ORDER BY k, lang) AS INT) AS place FROM b")
+@Q("stratified_round_robin", "WITH a AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5('42:' || doc_id), doc_id) AS t FROM documents), b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY t, source) AS k FROM a) SELECT doc_id, lang, source, row_number() OVER (ORDER BY k, lang) AS place FROM b")
 def round_robin(spark, d):
     return P.round_robin(read_table(spark, d, "documents").select("doc_id", "lang", "source"), "lang", "source", "doc_id")
 
@@ -169,7 +169,7 @@ def budget(spark, d):
     return P.running_budget(read_table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 500000)
 
 
-@Q("repeat_rows", "SELECT n_nationkey AS pos, CAST(copy AS INT) AS copy, CAST(row_number() OVER (ORDER BY n_nationkey, copy) - 1 AS INT) AS place FROM nation, (SELECT unnest(range(3)) AS copy)")
+@Q("repeat_rows", "SELECT n_nationkey AS pos, CAST(copy AS INT) AS copy, row_number() OVER (ORDER BY n_nationkey, copy) - 1 AS place FROM nation, (SELECT unnest(range(3)) AS copy)")
 def repeat_rows(spark, d):
     return P.repeated(read_table(spark, d, "nation").select(F.col("n_nationkey").alias("pos")), 3)
 

@@ -357,3 +357,16 @@ def test_entry_without_the_corpus_operators():
         shutil.copy(f"{root}/__spark_entry__.py", d)
         code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') and n[2].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q)"
         subprocess.run([sys.executable, "-c", code], cwd=d, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_distributed_numbers_and_totals(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(50)) for k in range(400)]
+    df = spark.createDataFrame(rows, "id int, v int").repartition(5)
+    places = {r.id: r.place for r in P.numbered(df, "v", "id").collect()}
+    assert places == {k: i for i, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    totals = {r.id: r.total for r in P.running_total(df, "v", "id").collect()}
+    assert totals == {k: sum(v for j, v in rows if j <= k) for k, _ in rows}
+    batch = spark.createDataFrame([(k, k % 3 == 0) for k in range(9)], "row int, active boolean")
+    got = J.scatter(batch, spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "i long, value string"), "row", "value", "-").orderBy("row").collect()
+    assert "".join(r.value for r in got) == "a--b--c--"
