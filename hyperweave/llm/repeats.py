@@ -34,6 +34,8 @@ LENGTH, ANCHOR = 200, 32
 PIECE = 1 << 20
 #: Anchors in one bucket, and different fragments of one anchor that may meet in a block.
 BUCKET, CROWD = 250_000, 2000
+#: Fragments whose windows are looked at together.
+AT_ONCE = 4000
 _CODES = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
 _BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _LOW = np.uint64((1 << 24) - 1)
@@ -301,7 +303,7 @@ def _decide(cut: DataFrame, buckets: int, doc_buckets: int, length: int) -> Data
             new = np.flatnonzero(np.diff(rows["anchor"][order].view(np.int64), prepend=0))
             cuts, at = [0], 0
             for a, b in zip(new, [*new[1:], len(order)]):  # some anchors at a time
-                if b - at > 20_000:
+                if b - at > AT_ONCE:
                     cuts.append(int(a))
                     at = a
             for a, b in zip(cuts, [*cuts[1:], len(order)]):
