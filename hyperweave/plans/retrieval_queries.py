@@ -35,9 +35,9 @@ def _hybrid(spark, d, k):
     return R.hybrid_query(g, nodes, e, h, k)
 
 
-@Q("kg_hybrid_query", f"{_HYBRID} SELECT query, k AS knowledge, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
+@Q("kg_hybrid_query", f"{_HYBRID} SELECT query, k AS knowledge, round(score, 9) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
 def kg_hybrid(spark, d):
-    return _hybrid(spark, d, R.RAG_K).drop("coherence")
+    return _rounded(_hybrid(spark, d, R.RAG_K).drop("coherence"))
 
 
 @Q("entity_branch", f"{_HYBRID} SELECT query, CAST(i AS INT) AS i, k AS knowledge FROM b1")

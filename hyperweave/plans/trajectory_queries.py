@@ -62,10 +62,10 @@ def reinforce(spark, d):
     return a.select("traj", F.size("r").alias("n"), F.round(F.aggregate("r", F.lit(0.0), lambda s, x: s + x), 9).alias("total"))
 
 
-@Q("gae_advantage", f"""WITH RECURSIVE {_STEPS}, o AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY pos DESC) AS r, reward + 0.99 * coalesce(lead(value) OVER (PARTITION BY traj ORDER BY pos), 0) - value AS delta FROM st), f(traj, r, a) AS (SELECT traj, r, delta FROM o WHERE r = 1 UNION ALL SELECT o.traj, o.r, o.delta + 0.99 * 0.95 * f.a FROM f JOIN o ON o.traj = f.traj AND o.r = f.r + 1) SELECT traj, CAST(count(*) AS INT) AS n, round(sum(a), 9) AS total FROM f GROUP BY traj""")
+@Q("gae_advantage", f"""WITH RECURSIVE {_STEPS}, o AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY pos DESC) AS r, reward + 0.99 * coalesce(lead(value / 7.0::DOUBLE) OVER (PARTITION BY traj ORDER BY pos), 0) - value / 7.0::DOUBLE AS delta FROM st), f(traj, r, a) AS (SELECT traj, r, delta FROM o WHERE r = 1 UNION ALL SELECT o.traj, o.r, o.delta + 0.99 * 0.95 * f.a FROM f JOIN o ON o.traj = f.traj AND o.r = f.r + 1) SELECT traj, CAST(count(*) AS INT) AS n, round(sum(a), 6) AS total FROM f GROUP BY traj""")
 def gae(spark, d):
-    a = _arrays(spark, d).withColumn("a", A.gae(F.col("rewards"), F.col("vals"), 0.99, 0.95))
-    return a.select("traj", F.size("a").alias("n"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 9).alias("total"))
+    a = _arrays(spark, d).withColumn("a", A.gae(F.col("rewards"), F.transform("vals", lambda v: v / 7.0), 0.99, 0.95))
+    return a.select("traj", F.size("a").alias("n"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 @Q("masked_whiten", f"WITH {_STEPS}, m AS (SELECT avg(value) FILTER (mask = 1) AS m, var_samp(value) FILTER (mask = 1) AS v FROM st) SELECT event_id, round((value - m) / sqrt(v + 1e-8) * mask, 6) + 0.0 AS whitened FROM st, m")
