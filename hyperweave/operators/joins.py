@@ -47,26 +47,37 @@ def resolve_paths(rows: DataFrame, candidates: Column, listing: DataFrame, row:
 def substring_resolve(asked: DataFrame, stored: DataFrame, least: int = 10, ratio: float = 0.5) -> DataFrame:
     """asked: (ask, text); stored: (id, pos, content). (ask, id, how): exact match by normalised content, earliest first;
     else, for texts of `least` characters or more, the stored content that contains it with the greatest length ratio
-    of at least `ratio`, earliest on ties. The containment test meets only texts without an exact match."""
+    of at least `ratio`, earliest on ties. Containment is an equi-join: a text that is contained has its first `least`
+    characters among the content's substrings of that length; what meets there is verified."""
     a = asked.withColumn("t", query_key("text"))
     s = stored.withColumn("c", query_key("content"))
     exact = a.join(first_per_key(s, ["c"], [F.col("pos")]), F.col("t") == F.col("c")).select("ask", "id", F.lit("exact").alias("how"))
     rest = a.join(exact.select("ask"), "ask", "left_anti").where(F.length("t") >= least)
     share = F.length("t") / F.length("c")
-    near = rest.join(s, F.col("c").contains(F.col("t")) & (share >= ratio)).withColumn("share", share)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("c") - (least - 1)), lambda i: F.col("c").substr(i, F.lit(least))))
+    s = s.where(F.length("c") >= least).withColumn("g", F.explode(grams))
+    near = rest.withColumn("g", F.substring("t", 1, least)).join(s, "g").where(F.contains("c", F.col("t")) & (share >= ratio)).withColumn("share", share)
     near = first_per_key(near, ["ask"], [F.desc("share"), F.col("pos")]).select("ask", "id", F.lit("contains").alias("how"))
     return exact.unionByName(near)
 
 
 def jaccard_best(asked: DataFrame, stored: DataFrame, least: float = 0.8) -> DataFrame:
     """asked: (ask, text); stored: (id, pos, content). The stored text with the greatest Jaccard similarity of words, if at
-    least `least`; earliest on ties. Candidates meet on words alone, by a join."""
-    words = lambda d, k, t: d.select(k, F.array_distinct(F.filter(F.split(query_key(t), " "), lambda w: w != "")).alias("w")).where(F.size("w") > 0)
+    least `least`; earliest on ties. Candidates share one of their rarest words: of n words, the first
+    n - ceil(least * n) + 1 in the order of frequency; they are verified on all words."""
+    words = lambda d, k, t: d.select(k, F.explode(F.array_distinct(F.filter(F.split(query_key(t), " "), lambda w: w != ""))).alias("w"))
     a, s = words(asked, "ask", "text"), words(stored.withColumn("key", F.struct("pos", "id")), "key", "content")
-    common = a.select("ask", F.size("w").alias("n"), F.explode("w").alias("x")).join(s.select("key", F.size("w").alias("m"), F.explode("w").alias("x")), "x")
-    scored = common.groupBy("ask", "key", "n", "m").agg(F.count("*").alias("both")).withColumn("jaccard", F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
-    best = first_per_key(scored.where(F.col("jaccard") >= least), ["ask"], [F.desc("jaccard"), F.col("key")])
-    return best.select("ask", "key.id", "jaccard")
+    common = a.select("w").unionByName(s.select("w")).groupBy("w").agg(F.count("*").alias("f"))
+
+    def ordered(d: DataFrame, k: str) -> DataFrame:
+        rows = d.join(common, "w").groupBy(k).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda x: x["w"]).alias(f"w_{k}"))
+        n = F.size(f"w_{k}")
+        return rows.withColumn("p", F.explode(F.slice(f"w_{k}", 1, n - F.ceil(n * least - 1e-9).cast("int") + 1)))
+
+    met = ordered(a, "ask").join(ordered(s, "key"), "p").drop("p").distinct()
+    both = F.size(F.array_intersect("w_ask", "w_key"))
+    scored = met.withColumn("jaccard", both / (F.size("w_ask") + F.size("w_key") - both)).where(F.col("jaccard") >= least)
+    return first_per_key(scored, ["ask"], [F.desc("jaccard"), F.col("key")]).select("ask", "key.id", "jaccard")
 
 
 def answer_section(pages: DataFrame, answers: DataFrame) -> DataFrame:
@@ -96,9 +107,9 @@ def zip_union(left: DataFrame, right: DataFrame, row: str) -> DataFrame:
 
 def broadcast_args(rows: DataFrame, args: DataFrame, row: str) -> DataFrame:
     """args: (pos, ...). A single row of arguments goes with every row; else the i-th with the i-th."""
-    n = args.agg(F.count("*").alias("__n"))
-    one = args.join(F.broadcast(n)).withColumn("__pos", F.when(F.col("__n") > 1, F.col("pos"))).drop("pos", "__n")
-    return rows.join(one, one["__pos"].isNull() | (one["__pos"] == rows[row]), "left").drop("__pos")
+    if len(args.limit(2).collect()) == 1:
+        return rows.crossJoin(F.broadcast(args.drop("pos").limit(1)))
+    return rows.join(args.withColumnRenamed("pos", row), row, "left")
 
 
 def scatter(batch: DataFrame, active: DataFrame, row: str, value: str, fill: object) -> DataFrame:

@@ -10,6 +10,8 @@ from ..operators.kv import first_per_key
 
 #: Default sizes of the answers.
 ENTITY_K, HYPEREDGE_K, RAG_K, LIBRARY_K = 5, 5, 10, 60
+#: Recent mutations that are kept.
+RING = 256
 #: Weights of the three modalities, and of the route that treats them alike.
 MIXED, EVEN = {"image": 0.2, "entity": 0.55, "hyperedge": 0.25}, {"image": 1.0, "entity": 1.0, "hyperedge": 1.0}
 
@@ -92,12 +94,13 @@ def promote_recent(matches: DataFrame, recent: DataFrame, searchable: DataFrame)
     """matches: (query, pos, content); recent: (seq, content, active), newest first; searchable: (content).
 
     Recent contents equal to the query, then those that contain it or lie in it (queries of 12 characters or more), go
-    before the matches; each content once. A query without searchable contents, or a blank one, keeps its matches.
+    before the matches; each content once. The ring of recent mutations holds RING rows, the bound of what is broadcast. A query without searchable contents, or a blank one, keeps its matches.
     """
     q = matches.select("query").distinct().withColumn("q", F.expr("lower(regexp_replace(trim(query), '\\\\s+', ' '))")).where("q <> ''")
+    recent = recent.orderBy("seq").limit(RING)
     known = recent.join(searchable, "content", "left_semi").withColumn("c", F.expr("lower(regexp_replace(trim(content), '\\\\s+', ' '))"))
     equal = q.join(known.where("active"), F.col("q") == F.col("c")).select("query", F.lit(0).alias("tier"), F.col("seq").alias("pos"), "content")
-    near = q.join(known, (F.col("q") == F.col("c")) | ((F.length("q") >= 12) & (F.col("c").contains(F.col("q")) | F.col("q").contains(F.col("c"))))).select("query", F.lit(1).alias("tier"), F.col("seq").alias("pos"), "content")
+    near = q.join(F.broadcast(known), (F.col("q") == F.col("c")) | ((F.length("q") >= 12) & (F.col("c").contains(F.col("q")) | F.col("q").contains(F.col("c"))))).select("query", F.lit(1).alias("tier"), F.col("seq").alias("pos"), "content")
     every = equal.unionByName(near).unionByName(matches.select("query", F.lit(2).alias("tier"), "pos", "content"))
     every = first_per_key(every, ["query", "content"], [F.col("tier"), F.col("pos")])
     return every.select("query", "content", _rank(["query"], F.col("tier"), F.col("pos")).alias("rank"))

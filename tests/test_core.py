@@ -370,3 +370,11 @@ def test_distributed_numbers_and_totals(spark):
     batch = spark.createDataFrame([(k, k % 3 == 0) for k in range(9)], "row int, active boolean")
     got = J.scatter(batch, spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "i long, value string"), "row", "value", "-").orderBy("row").collect()
     assert "".join(r.value for r in got) == "a--b--c--"
+
+
+def test_arguments_for_every_row_or_each(spark):
+    rows = spark.createDataFrame([(0,), (1,)], "row int")
+    all_rows = J.broadcast_args(rows, spark.createDataFrame([(0, "x")], "pos int, v string"), "row")
+    assert sorted((r.row, r.v) for r in all_rows.collect()) == [(0, "x"), (1, "x")]
+    each = J.broadcast_args(rows, spark.createDataFrame([(0, "x"), (1, "y")], "pos int, v string"), "row")
+    assert sorted((r.row, r.v) for r in each.collect()) == [(0, "x"), (1, "y")]
