@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,8 @@ from .shingles import mix, shingle_sets
 PERCENT, WORDS = 80, 5
 #: Postings in one task's bucket.
 POSTINGS = 400_000
-#: Documents whose sets a worker holds at once.
-SLICE = 400
+#: Documents, and bytes of text but for one document, whose sets a worker holds at once.
+SLICE, SLICE_BYTES = 400, 4 << 20
 #: Places of the fixed-size table of id hashes that spares most documents the second reading.
 FILTER_BITS = 18
 #: Documents in a block of the last comparison: at least and at most.
@@ -122,13 +123,25 @@ def near_enough(x: bytes, y: bytes, total: int, percent: int) -> bool:
     return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) * (100 + percent) <= (100 - percent) * total
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch (texts in column 1) in parts of a bounded number of documents and bytes."""
+    sizes = np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(float))
+    first, held = 0, 0.0
+    for k, n in enumerate(sizes):
+        if k > first and (held + n > SLICE_BYTES or k - first >= SLICE):
+            yield batch.slice(first, k - first)
+            first, held = k, 0.0
+        held += n
+    if len(sizes) > first:
+        yield batch.slice(first)
+
+
 def _sets(docs: DataFrame, key: str, text: str, words: int, rows, schema: str) -> DataFrame:
     """rows(ids, sets) for the documents with an id, batch by batch."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in _slices(batch):
                 yield from rows(part.column(0).to_numpy(zero_copy_only=False), shingle_sets(texts(part.column(1)), words))
 
     return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(mapped, schema)
@@ -211,8 +224,7 @@ def _with_sets(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: in
         bits = np.unpackbits(held.value).view(bool)
         for batch in batches:
             kept = batch.filter(pa.array(bits[batch.column(2).to_numpy()])).select([0, 1])
-            for at in range(0, kept.num_rows, SLICE):
-                part = kept.slice(at, SLICE)
+            for part in _slices(kept):
                 sets = shingle_sets(texts(part.column(1)), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
 
