@@ -27,10 +27,13 @@ WORD_TABLE = bytes(
 
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch: documents are long, and a Python worker holds a batch as a whole.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once for each application: they need not have it installed."""
+    """Sends the package to the executors, once for each application: they need not have it installed. Arrow batches are
+    made smaller, unless their size was set."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -41,6 +44,8 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(top.parent))
     sc.addPyFile(str(path))
     _shipped.add(sc.applicationId)
+    if spark.conf.get(BATCH, "10000") == "10000":  # Spark's own default; any other choice is left alone
+        spark.conf.set(BATCH, ROWS)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
