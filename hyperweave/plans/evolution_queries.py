@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.text import query_key
@@ -91,7 +89,7 @@ def stream_windows(spark, d):
     stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(d)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     counted = E.windowed_counts(stream, "ts", "event_type", "1 hour", late="40 days")
-    return E.drain(counted, f"w{uuid.uuid4().hex}", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return E.drain(counted, "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @Q("stream_mutations", f"WITH {_LOG} SELECT id, count(*) AS n, max(seq) AS seq FROM lg GROUP BY id")
@@ -99,7 +97,7 @@ def stream_mutations(spark, d):
     kind = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(d)
     state = stream.groupBy(F.concat(F.lit("h"), (F.col("event_id") % 977).cast("string")).alias("id")).agg(F.count("*").alias("n"), F.max("event_id").alias("seq"))
-    return E.drain(state, f"m{uuid.uuid4().hex}", "complete")
+    return E.drain(state, "complete")
 
 
 @Q("lookup_by_key", r"SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS key, count(*) AS n FROM benchmark GROUP BY 1")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_key
-from ..session import settled
+from ..session import scratch, settled
 
 BATCH, RING = 50, 256
 STATE = "working_dir string, id long, content string, weight double, original_weight double, deleted boolean, changed long"
@@ -157,12 +157,18 @@ def cache_hits(reads: DataFrame, seq: str, text: str) -> DataFrame:
     return keyed.groupBy("query_key").agg(F.min_by(text, seq).alias("original"), (F.count("*") - 1).alias("hit_count"), F.min(seq).alias("created"), F.max(seq).alias("updated"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None):
-    """Runs a bounded stream to its end into a memory table of that name."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
+    """Runs a bounded stream to its end into a table in the shared folder; a complete result replaces the last one."""
+    spark, path, batches = stream.sparkSession, scratch(stream.sparkSession, "stream"), []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        batches.append(n)
+
+    place = checkpoint or scratch(spark, "progress")
+    query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", place).foreachBatch(write).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path) if batches else spark.createDataFrame([], stream.schema)
 
 
 def ring(rows: Iterator, size: int = RING) -> list:
