@@ -210,7 +210,7 @@ def json_profile(spark, d):
     return D.json_profile(read_table(spark, d, "events"), "props")
 
 
-@Q("payload_pairs")
+@Q("payload_pairs", "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY 1")
 def pairs(spark, d):
     return D.payload_pairs(read_table(spark, d, "events"), "props").groupBy("key").agg(F.count("*").alias("n"))
 

@@ -41,7 +41,9 @@ def section_group(spark, d):
     return merges.group_sections(rows, F.col("lang"), F.col("source"), "short", "doc_id")
 
 
-@Q("fingerprint")
+@Q("fingerprint", """WITH h AS (SELECT sha256(length(text) || ':' || text) AS h FROM documents),
+s AS (SELECT count(*) AS n, sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) AS a, sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT)) AS b, sum(CAST('0x' || substr(h, 31, 15) AS HUGEINT)) AS c, sum(CAST('0x' || substr(h, 46, 15) AS HUGEINT)) AS d FROM h)
+SELECT n, sha256(n || ':' || a || ':' || b || ':' || c || ':' || d) AS fingerprint FROM s""")
 def fingerprint(spark, d):
     return merges.fingerprint(_docs(spark, d), "text")
 
@@ -65,7 +67,7 @@ def normalisers(spark, d):
     return t.select("doc_id", X.clean("text", entities=False).alias("clean"), X.query_key("text").alias("query_key"), X.answer_key("text").alias("answer_key"), X.summary("text", 60).alias("summary"), X.preview("text").alias("preview"), X.dataset_name("source").alias("dataset"))
 
 
-@Q("clean_entities")
+@Q("clean_entities", "SELECT page_id, '<b> & é ' || url AS clean FROM pages")
 def clean_entities(spark, d):
     p = read_table(spark, d, "pages")
     return p.select("page_id", X.clean(F.concat(F.lit(" &lt;b&gt; &amp; &eacute; "), "url")).alias("clean"))
