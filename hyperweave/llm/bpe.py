@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: Symbols of a piece up to which the rank array is scanned.
 LONG = 256
 #: Chunks in each of the two generations that a worker remembers.
-REMEMBERED = 80_000
+REMEMBERED = 200_000
 #: Capital sigma lower-cases to the same letter wherever it stands.
 SIGMA = ("\u03a3", "\u03c3")
 #: What the file's pattern counts as white space.
@@ -56,6 +56,7 @@ class Bpe:
         self.suffix = inner.get("end_of_word_suffix") or ""
         pairs = (m if isinstance(m, list) else m.split(" ") for m in inner["merges"])
         self.ranks = {(a, b): k for k, (a, b) in enumerate(pairs)}
+        self.decimals = {p: str(i) for p, i in self.vocabulary.items()}
         self.special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
         self.names = {v: k for k, v in (self.vocabulary | self.special).items()}
         self.symbols = byte_symbols()
@@ -110,16 +111,17 @@ class Bpe:
         if out := self.older.get(chunk):
             self.known[chunk] = out
             return out
-        ids, names = [], []
+        names: list[str] = []
         whole = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace(*SIGMA).lower()
         for piece in [whole] if whole.isalpha() and whole.isascii() else self.pieces.findall(whole):
             parts = list(piece) if piece.isascii() and piece.isprintable() else [self.symbols[b] for b in piece.encode("utf-8", "replace")]
             parts[-1] += self.suffix
-            for p in self.merge(parts):
-                if (i := self.vocabulary.get(p)) is not None:
-                    ids.append(i)
-                    names.append(p)
-        out = (len(ids), " ".join(map(str, ids)), " ".join(names))
+            names += self.merge(parts)
+        ids = list(map(self.decimals.get, names))
+        if None in ids:  # symbols that the vocabulary lacks give no ids
+            names = [p for p in names if p in self.decimals]
+            ids = [self.decimals[p] for p in names]
+        out = (len(ids), " ".join(ids), " ".join(names))
         if len(chunk) <= LONG:
             if len(self.known) >= REMEMBERED:
                 self.older, self.known = self.known, {}
