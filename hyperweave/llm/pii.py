@@ -10,6 +10,8 @@ reaches 1, which is when t occurs nowhere without e. Terms with a ratio of at le
 common contexts that are not copies of each other are spans of kind `term` in every document that holds the entity. All steps are DataFrame
 expressions; documents without an identifier never leave their scan for the base kinds.
 
+Terms are learnt and looked up in lower case of all scripts; their offsets are those of the text as it stands.
+
 Contract. Null text counts as empty. Offsets are code points, ends exclusive. Rows that share an id share the terms found
 for it. Repeated lines count in n(.) and N as
 often as they stand in the corpus, but give support only once. An empty table gives no rows. Extra columns pass.
@@ -33,6 +35,8 @@ PATTERNS = {
 }
 #: What a text must hold to be worth the pattern.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
+#: A word as it stands in the text, in any case.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Smallest disclosure ratio, and smallest number of distinct contexts that a term and an entity share.
 THRESHOLD, SUPPORT = 0.8, 3
 #: Candidate terms that may be broadcast to the scan that counts them; more are joined by shuffle.
@@ -87,6 +91,12 @@ def _entity(x: Column) -> Column:
     return F.concat_ws(":", x["k"].cast("string"), F.translate(x["m"], UPPER, LOWER))
 
 
+def _folded(x: Column) -> Column:
+    """The one form in which terms are learnt and looked up: lower case of all scripts. Lower case of a capital sigma
+    depends on its neighbours, so both small forms count as one; a word then folds alone as it does inside its text."""
+    return F.replace(F.lower(x), F.lit("ς"), F.lit("σ"))
+
+
 def disclosing_terms(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """(entity, terms): the terms that disclose each entity, from all documents."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -97,7 +107,7 @@ def disclosing_terms(docs: DataFrame, text: str = "text", threshold: float = THR
     entities = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
     # the line without its spans, which are no terms themselves
     rest = F.expr("aggregate(reverse(base), line, (a, x) -> concat(left(a, x.s), ' ', substr(a, x.e + 1)))")
-    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(rest), F.lit(WORD), F.lit(0))), lambda w: F.length(w) > 1)
+    words = F.filter(F.array_distinct(F.regexp_extract_all(_folded(rest), F.lit(WORD), F.lit(0))), lambda w: F.length(w) > 1)
     pairs = held.join(entities, "entity").select("entity", "n_e", "copies", F.explode(words).alias("term"))
     pairs = pairs.groupBy("entity", "n_e", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("contexts"))
     pairs = settled(pairs.where(F.col("contexts") >= support))
@@ -108,7 +118,7 @@ def disclosing_terms(docs: DataFrame, text: str = "text", threshold: float = THR
         terms = F.broadcast(terms)
     corpus = docs.select(F.explode(F.split(body, "\n")).alias("line"))
     n = corpus.count()
-    spoken = corpus.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))).alias("term"))
+    spoken = corpus.select(F.explode(F.array_distinct(F.regexp_extract_all(_folded(F.col("line")), F.lit(WORD), F.lit(0)))).alias("term"))
     counts = spoken.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     ratio = 1 - F.log2(F.greatest(F.col("n_t") / F.col("n_te"), F.lit(1.0))) / F.log2(F.lit(float(n + 1)) / F.col("n_e"))
     return pairs.join(counts, "term").where(ratio >= threshold).groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
@@ -125,13 +135,13 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     holders = holders.select(F.col(key).alias("__key"), F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
     by_doc = holders.distinct().join(disclosed, "entity").select("__key", F.explode("terms").alias("term")).groupBy("__key").agg(F.collect_set("term").alias("__terms"))
     joined = found.join(by_doc, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
-    joined = joined.withColumn("__l", F.when(F.col("__terms").isNotNull(), F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)))
+    joined = joined.withColumn("__t", F.when(F.col("__terms").isNotNull(), F.coalesce(F.col(text).cast("string"), F.lit(""))))
     terms = (
-        f"CASE WHEN __terms IS NULL THEN cast(array() AS array<struct<s:int,k:int,e:int>>) ELSE transform(filter({matches('__l', WORD)}, "
-        "x -> array_contains(__terms, x.m) AND NOT exists(base, b -> b.s < x.e AND x.s < b.e)), x -> named_struct('s', x.s, 'k', 4, 'e', x.e)) END"
+        f"CASE WHEN __terms IS NULL THEN cast(array() AS array<struct<s:int,k:int,e:int>>) ELSE transform(filter({matches('__t', ANY_WORD)}, "
+        "x -> array_contains(__terms, replace(lower(x.m), 'ς', 'σ')) AND NOT exists(base, b -> b.s < x.e AND x.s < b.e)), x -> named_struct('s', x.s, 'k', 4, 'e', x.e)) END"
     )
     both = f"array_sort(concat(transform(base, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e)), {terms}))"
-    return joined.withColumn("spans", F.expr(both)).drop("__terms", "__l")
+    return joined.withColumn("spans", F.expr(both)).drop("__terms", "__t")
 
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:

@@ -219,6 +219,16 @@ def test_disclosing_terms(spark, odd):
     assert "zanzibar" not in out[0] and "[TERM]" in out[0] and "[EMAIL]" in out[0] and out[10] == rows[4][1] and "quokka" in out[100]
 
 
+def test_disclosing_terms_of_all_scripts(spark, odd):
+    forms = [("Éva", "Ñíll", "ΟΔΟΣ"), ("éva", "ÑÍLL", "οδος"), ("ÉVA", "ñíll", "Οδος"), ("Éva", "Ñíll", "ΟΔΟΣ")]
+    rows = [(k, f"row {k} by {a}, {b} {c}. mail joe@x.org") for k, (a, b, c) in enumerate(forms)]
+    df = spark.createDataFrame(rows + [(10 + k, f"other text {k} by nobody in a row") for k in range(60)], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.report(pii.find(df)).collect()}
+    out = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    for (i, t), words in zip(rows, forms):
+        assert all(f"term:{t.index(w)}:{t.index(w) + len(w)}" in found[i] and w not in out[i] for w in words)
+
+
 # 6
 
 
