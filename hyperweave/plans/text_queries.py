@@ -37,8 +37,7 @@ def contents_dedup(spark, d):
 @Q("section_group", r"""WITH t AS (SELECT lang AS title, source AS section, left(text, 20) AS t, min(doc_id) AS p FROM documents GROUP BY 1, 2, 3)
 SELECT title, section, string_agg(t, chr(10) || chr(10) ORDER BY p) AS contents, left(sha1(title || chr(10) || section), 16) AS id FROM t GROUP BY 1, 2""")
 def section_group(spark, d):
-    rows = _docs(spark, d).withColumn("short", F.substring("text", 1, 20))
-    return merges.group_sections(rows, F.col("lang"), F.col("source"), "short", "doc_id")
+    return merges.group_sections(_docs(spark, d), F.col("lang"), F.col("source"), "text", "doc_id")
 
 
 @Q("fingerprint", """WITH h AS (SELECT sha256(length(text) || ':' || text) AS h FROM documents),
@@ -52,8 +51,7 @@ def fingerprint(spark, d):
 p(lang, r, size, pack) AS (SELECT lang, r, length(t), 0 FROM x WHERE r = 1 UNION ALL SELECT x.lang, x.r, CASE WHEN p.size + 2 + length(t) > 2000 THEN length(t) ELSE p.size + 2 + length(t) END, CASE WHEN p.size + 2 + length(t) > 2000 THEN pack + 1 ELSE pack END FROM p JOIN x ON x.lang = p.lang AND x.r = p.r + 1)
 SELECT p.lang, CAST(pack AS INT) AS pack, string_agg(t, chr(10) || chr(10) ORDER BY p.r) AS text FROM p JOIN x USING (lang, r) GROUP BY 1, 2""")
 def packing(spark, d):
-    rows = _docs(spark, d).select("lang", "doc_id", F.substring("text", 1, 300).alias("text"))
-    return merges.pack(rows, "lang", "doc_id", "text", 2000)
+    return merges.pack(_docs(spark, d).select("lang", "doc_id", "text"), "lang", "doc_id", "text", 2000)
 
 
 @Q("text_normalisers", r"""SELECT doc_id, regexp_replace(trim(text), '[\x00-\x1f\x7f-\x{9f}]', '', 'g') AS clean, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS query_key,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hyperweave.functions import payloads as L
 from hyperweave.operators import vectors as V
-from hyperweave.plans import search, training
+from hyperweave.plans import catalogue, search, training
 from hyperweave.sources import tables
 from hyperweave.streaming.versions import Versions
 
@@ -86,3 +86,29 @@ def test_versions(spark, tmp_path):
     assert v.commit({"t": spark.range(3)}) == 1 and v.read("t").count() == 3 and v.changed_since(0)
     v.restore(0)
     assert v.read("t").count() == 2
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_whole_texts(spark, tmp_path):
+    texts = ["one beginning of many words " + "x y" * 90 + " one", "one beginning of many words " + "x y" * 90 + " two", "é" * 2500, "short", "short", "z " * 700]
+    rows = [(k, t, "en" if k < 5 else "fr", "s", len(t)) for k, t in enumerate(texts)]
+    d = table(spark, tmp_path, "documents", rows, DOCS)
+    run = lambda n: catalogue.QUERIES[n](spark, d).collect()
+    packs, at = {}, {}
+    for _, t, lang, _, _ in rows:
+        if lang in at and len(packs[lang, at[lang]]) + 2 + len(t) <= 2000:
+            packs[lang, at[lang]] += "\n\n" + t
+        else:
+            at[lang] = at.get(lang, -1) + 1
+            packs[lang, at[lang]] = t
+    assert {(r.lang, r.pack): r.text for r in run("text_packing")} == packs
+    assert {r.title: r.contents for r in run("section_group")} == {"en": "\n\n".join(texts[:4]), "fr": texts[5]}
+    assert {r.content for r in run("record_build")} == set(texts)
+    assert {r.doc_id: r.contents for r in run("contents_assembly")} == {k: "\n\n".join(["s"] + ["en" if k < 5 else "fr"] * (k % 2) + [" ".join(t.split())]) for k, t in enumerate(texts)}
