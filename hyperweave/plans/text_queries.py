@@ -61,7 +61,7 @@ CASE WHEN length(text) > 200 THEN left(text, 197) || '...' ELSE text END AS prev
 trim(regexp_replace(source, '[^A-Za-z0-9_.-]', '_', 'g'), '._-') AS dataset
 FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*'))""")
 def normalisers(spark, d):
-    t = _docs(spark, d).where(~F.col("text").rlike(r"[^\x00-\x7f]"))
+    t = _docs(spark, d)
     return t.select("doc_id", X.clean("text", entities=False).alias("clean"), X.query_key("text").alias("query_key"), X.answer_key("text").alias("answer_key"), X.summary("text", 60).alias("summary"), X.preview("text").alias("preview"), X.dataset_name("source").alias("dataset"))
 
 
@@ -149,7 +149,7 @@ def substring(spark, d):
 @Q("answer_in_section", r"""WITH p AS (SELECT doc_id AS page, list_transform(string_split(text, chr(10)), lambda x: ' ' || trim(regexp_replace(lower(x), '[^\p{L}\p{N}_]+', ' ', 'g')) || ' ') AS s FROM documents WHERE lang = 'en'), x AS (SELECT page, unnest(s) AS t, unnest(range(len(s))) AS section FROM p), h AS (SELECT page, section, 'of the' AS alias, 0 AS k FROM x WHERE contains(t, ' of the ') UNION ALL SELECT page, section, 'and', 1 FROM x WHERE contains(t, ' and ')),
 r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY section, k) AS r FROM h) SELECT page, CAST(section AS INT) AS section, alias FROM r WHERE r = 1""")
 def answer_section(spark, d):
-    t = _docs(spark, d).where("lang = 'en'")
+    t = _docs(spark, d)
     pages = t.select(F.col("doc_id").alias("page"), F.split("text", "\n").alias("sections"))
     answers = t.select(F.col("doc_id").alias("page"), F.array(F.lit("of  The"), F.lit("and")).alias("aliases"))
     return joins.answer_section(pages, answers).withColumn("alias", X.compact("alias"))
@@ -168,7 +168,7 @@ def unique_suffix(spark, d):
 
 @Q("content_lookup", r"SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS content, min(doc_id) AS doc_id FROM documents WHERE lang = 'en' AND lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) <> '' GROUP BY 1")
 def lookup(spark, d):
-    return merges.content_lookup(_docs(spark, d).where("lang = 'en'"), X.query_key("text"), "doc_id", "doc_id")
+    return merges.content_lookup(_docs(spark, d), X.query_key("text"), "doc_id", "doc_id")
 
 
 @Q("first_valid_turn", "SELECT conv_id, min(turn) AS turn FROM conversations WHERE trim(text) <> '' AND role = 'assistant' GROUP BY 1")

@@ -1,5 +1,9 @@
 """Composite plans, payloads, tables and versions."""
 
+import collections
+import re
+import string
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +116,21 @@ def test_whole_texts(spark, tmp_path):
     assert {r.title: r.contents for r in run("section_group")} == {"en": "\n\n".join(texts[:4]), "fr": texts[5]}
     assert {r.content for r in run("record_build")} == set(texts)
     assert {r.doc_id: r.contents for r in run("contents_assembly")} == {k: "\n\n".join(["s"] + ["en" if k < 5 else "fr"] * (k % 2) + [" ".join(t.split())]) for k, t in enumerate(texts)}
+
+
+def test_rows_of_all_languages(spark, tmp_path):
+    texts = ["The Éva and a thé, an Öztürk!", "plain of the  text", "中文 of the\nnaïve a", "Straße \x07 and ÉCOLE", "plain of the text"]
+    d = table(spark, tmp_path, "documents", [(k, t, ["de", "fr", "zh", "en", "fr"][k], "s é", len(t)) for k, t in enumerate(texts)], DOCS)
+    table(spark, tmp_path, "benchmark", [(5 * k, t) for k, t in enumerate(texts)], "item_id long, text string")
+    run = lambda n: catalogue.QUERIES[n](spark, d).collect()
+    flat = [" ".join(t.split()) for t in texts]
+    keys = [" ".join(re.sub(r"\b(a|an|the)\b", " ", "".join(x for x in t.lower() if x not in string.punctuation)).split()) for t in texts]
+    got = {r.doc_id: r for r in run("text_normalisers")}
+    for k, t in enumerate(texts):
+        assert got[k].clean == re.sub(r"[\x00-\x1f\x7f-\x9f]", "", t) and got[k].query_key == flat[k].lower() and got[k].answer_key == keys[k]
+        assert got[k].summary == flat[k] and got[k].preview == t and got[k].dataset == "s"
+    words = [collections.Counter(k.split()) for k in keys]
+    f1 = {(5 * i, 5 * j): round(2 * (x & y).total() / (x.total() + y.total()), 6) for i, x in enumerate(words) for j, y in enumerate(words)}
+    assert {(r.a, r.b): r.f1 for r in run("token_f1")} == f1
+    assert {(r.page, r.section, r.alias) for r in run("answer_in_section")} == {(0, 0, "and"), (1, 0, "of the"), (2, 0, "of the"), (3, 0, "and"), (4, 0, "of the")}
+    assert {(r.content, r.doc_id) for r in run("content_lookup")} == {(flat[k].lower(), k) for k in range(4)}
