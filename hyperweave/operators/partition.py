@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -124,6 +125,44 @@ def differencing_partition(lengths: list[float], k: int, equal_size: bool = Fals
     return sorted(sorted(ids) for _, ids in heap[0][2]) if heap else [[] for _ in range(k)]
 
 
+#: Rows that are balanced at once: every row belongs to the batch of so many consecutive rows that it stands in.
+BATCH = 4096
+
+
+def balanced_bins(df: DataFrame, key: str, length: str, k: int, batch: int = BATCH) -> DataFrame:
+    """(key, bin, length) for all rows: batches of consecutive rows by the key, each balanced by largest differencing."""
+    rows = numbered(df.select(key, length), key, length).withColumn("batch", F.floor(F.col("place") / batch))
+
+    def placed(frame):
+        frame = frame.sort_values("place", ignore_index=True)
+        bins = {i: b for b, ids in enumerate(differencing_partition([float(n) for n in frame[length]], k)) for i in ids}
+        return frame[[key, length]].assign(bin=[bins[i] for i in range(len(frame))])[[key, "bin", length]]
+
+    return rows.groupBy("batch").applyInPandas(placed, _binned(df, key, length))
+
+
+def greedy_bins(df: DataFrame, key: str, length: str, k: int) -> DataFrame:
+    """(key, bin, length) for all rows: by the key, each to the lightest bin (the first of equal ones). The rows stream
+    through one task in order, and only the bins' totals are kept."""
+
+    def placed(frames: Iterator):
+        heap = [(0, b) for b in range(k)]
+        for frame in frames:
+            out = []
+            for n in frame[length]:
+                total, b = heap[0]
+                heapq.heapreplace(heap, (total + int(n), b))
+                out.append(b)
+            yield frame.assign(bin=out)[[key, "bin", length]]
+
+    return df.select(key, length).coalesce(1).sortWithinPartitions(key, length).mapInPandas(placed, _binned(df, key, length))
+
+
+def _binned(df: DataFrame, key: str, length: str) -> str:
+    kind = lambda x: f"`{x}` {df.schema[x].dataType.simpleString()}"
+    return f"{kind(key)}, bin int, {kind(length)}"
+
+
 def micro_batches(lengths: list[float], most: float) -> list[list[int]]:
     """As many balanced bins as the total needs at `most` each."""
     return differencing_partition(lengths, max(1, -(-int(sum(lengths)) // int(most))))

@@ -184,20 +184,18 @@ def batches(spark, d):
     return P.mini_batches(read_table(spark, d, "nation").select("n_nationkey"), 4, 1, "n_nationkey")
 
 
-def _bins(spark, d, find):
-    rows = read_table(spark, d, "benchmark").select("item_id", F.length("text").alias("n")).orderBy("item_id").limit(4096).collect()  # a batch, by contract small
-    parts = find([float(r.n) for r in rows], 4)
-    return spark.createDataFrame([(rows[i].item_id, b, rows[i].n) for b, ids in enumerate(parts) for i in ids], "item_id long, bin int, n int")
+def _lengths(spark, d):
+    return read_table(spark, d, "benchmark").select("item_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
 
 
 @Q("balanced_bins")
 def balanced(spark, d):
-    return _bins(spark, d, P.differencing_partition)
+    return P.balanced_bins(_lengths(spark, d), "item_id", "n", 4)
 
 
 @Q("greedy_bins", """WITH RECURSIVE x AS (SELECT item_id, length(text) AS n, row_number() OVER (ORDER BY item_id) AS r FROM benchmark), f(r, s, b) AS (SELECT 0::BIGINT, [0, 0, 0, 0]::BIGINT[], 0::BIGINT UNION ALL SELECT x.r, list_transform(s, lambda v, i: CASE WHEN i = list_position(s, list_min(s)) THEN v + n ELSE v END), list_position(s, list_min(s)) - 1 FROM f JOIN x ON x.r = f.r + 1) SELECT item_id, CAST(b AS INT) AS bin, CAST(n AS INT) AS n FROM f JOIN x USING (r)""")
 def greedy(spark, d):
-    return _bins(spark, d, P.greedy_partition)
+    return P.greedy_bins(_lengths(spark, d), "item_id", "n", 4)
 
 
 @Q("imbalance", "SELECT min(s) AS least, max(s) AS most, round(avg(s), 6) AS mean FROM (SELECT sum(n_chars) AS s FROM documents GROUP BY source)")

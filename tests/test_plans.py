@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hyperweave.functions import payloads as L
+from hyperweave.operators import partition as P
 from hyperweave.operators import vectors as V
 from hyperweave.plans import catalogue, search, training
 from hyperweave.sources import tables
@@ -134,3 +135,17 @@ def test_rows_of_all_languages(spark, tmp_path):
     assert {(r.a, r.b): r.f1 for r in run("token_f1")} == f1
     assert {(r.page, r.section, r.alias) for r in run("answer_in_section")} == {(0, 0, "and"), (1, 0, "of the"), (2, 0, "of the"), (3, 0, "and"), (4, 0, "of the")}
     assert {(r.content, r.doc_id) for r in run("content_lookup")} == {(flat[k].lower(), k) for k in range(4)}
+
+
+def test_bins_hold_every_item(spark, tmp_path):
+    sizes = [(k * 7919) % 301 for k in range(9000)]
+    d = table(spark, tmp_path, "benchmark", [(k, "x" * n) for k, n in enumerate(sizes)], "item_id long, text string")
+    got = {r.item_id: (r.bin, r.n) for r in catalogue.QUERIES["greedy_bins"](spark, d).collect()}
+    want = {i: (b, sizes[i]) for b, ids in enumerate(P.greedy_partition(sizes, 4)) for i in ids}
+    assert got == want
+    got = {r.item_id: (r.bin, r.n) for r in catalogue.QUERIES["balanced_bins"](spark, d).collect()}
+    want = {}
+    for at in range(0, len(sizes), 4096):
+        batch = sizes[at : at + 4096]
+        want |= {at + i: (b, batch[i]) for b, ids in enumerate(P.differencing_partition(batch, 4)) for i in ids}
+    assert got == want and len(got) == 9000
