@@ -149,3 +149,26 @@ def test_bins_hold_every_item(spark, tmp_path):
         batch = sizes[at : at + 4096]
         want |= {at + i: (b, batch[i]) for b, ids in enumerate(P.differencing_partition(batch, 4)) for i in ids}
     assert got == want and len(got) == 9000
+
+
+def test_all_ids(spark, tmp_path):
+    customers = [(k, k % 3, "ABC"[k % 3]) for k in range(1, 45)]
+    d = table(spark, tmp_path, "customer", customers, "c_custkey long, c_nationkey int, c_mktsegment string")
+    table(spark, tmp_path, "supplier", [(k, k) for k in range(6)], "s_suppkey long, s_nationkey int")
+    lines = [(o, p, 1.0) for o in range(1, 40) for p in (o % 5, o % 7)]
+    table(spark, tmp_path, "lineitem", lines, "l_orderkey long, l_partkey long, l_quantity double")
+    run = lambda n: catalogue.QUERIES[n](spark, d).collect()
+    edges = {(f"o{o}", f"p{p}") for o, p, _ in lines}
+    both = edges | {(b, a) for a, b in edges}
+    walks = {(r.start, r.step): r.node for r in run("random_walks")}
+    assert set(walks) == {(a, k) for a, _ in both for k in range(4)}
+    assert all(walks[a, 0] == a and all((walks[a, k], walks[a, k + 1]) in both for k in range(3)) for a, _ in both)
+    pairs = {(c, s, "url") for c, n, _ in customers for s in range(6) if 2 * n == s}
+    pairs |= {(c, s, "title") for c, n, _ in customers for s in range(6) if 2 * n > 5 and c % 7 == s % 5}
+    assert {(r.c_custkey, r.b_s_suppkey, r.match_key) for r in run("fallback_key_join")} == pairs
+    assert {(r.dimension, r.value): r.n for r in run("alignment_summary")} == {("match_key", "url"): 44} | {("c_mktsegment", x): sum(c[2] == x for c in customers) for x in "ABC"}
+    wide = [(k, 0, "A") for k in range(1, 46)] + [(11 * k + 7, 0, "A") for k in range(10, 20)]  # the key 7 has most customers
+    (tmp_path / "wide").mkdir()
+    d = table(spark, tmp_path / "wide", "customer", wide, "c_custkey long, c_nationkey int, c_mktsegment string")
+    assert {(r.source, r.target) for r in run("connected_component_largest")} == {(f"C{k}", "K7") for k, _, _ in wide if k % 11 == 7}
+    assert {r.query for r in run("match_fallback")} == set(range(10))
