@@ -34,7 +34,8 @@ TEMPLATES = [
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related rights to this work"),
-    ("proprietary", "All rights reserved. No part may be reproduced without permission"),
+    ("proprietary", "All rights reserved"),
+    ("proprietary", "No part may be reproduced without permission"),
 ]
 #: Phrases and labels of the base.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]

@@ -263,6 +263,12 @@ def test_licenses(spark, odd, none):
     assert bag(got) == bag(want) and licenses.scan(none).count() == 0
 
 
+def test_reservation_of_rights(spark, odd):
+    rows = [(1, "Copyright Example.\nAll rights reserved.\nText"), (2, "No part of this may be reproduced without written permission"), (3, "All rights"), (4, "All parts reserved")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("proprietary", 1.0), 2: ("proprietary", 1.0), 3: ("", 0.0), 4: ("", 0.0)}
+
+
 # 7
 
 
