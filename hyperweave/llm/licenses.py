@@ -1,6 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line, its set the distinct words. A template is found in a block that holds at least `threshold` of its
+A block is a line, or a stretch of a paragraph of several lines (blank lines part paragraphs), since notices are wrapped;
+its set is the distinct words. Stretches follow each other so that any run of `SLACK` times as many words as the longest
+template has lies whole in one, however it is wrapped. A template is found in a block that holds at least `threshold` of its
 words. Words are ordered by their frequency in the whole corpus, rarest first. Prefix filter: a block that holds `need`
 of a template's n words holds one of its first n - need + 1. Length filter: the block has at least `need` words.
 Positional filter: from the first common word on, both sides must have enough words left. What passes is verified.
@@ -15,6 +17,9 @@ by the word. A template without words finds nothing. An empty table gives no row
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +45,8 @@ TEMPLATES = [
 #: Phrases and labels of the base.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 THRESHOLD = 0.9
+#: Words of a wrapped notice, in the longest template's: notices say more than the template between its words.
+SLACK = 2
 #: Distinct words of all templates that may be broadcast.
 MOST_WORDS = 100_000
 #: Prefix words up to which lines are searched for their letters before they are split into words.
@@ -51,11 +58,11 @@ def _block_words(column: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(0))
 
 
-def _template_sets(docs: DataFrame, templates: list[tuple[str, str]]) -> tuple[DataFrame, list[str]]:
-    """Templates with their sets of words, and all of these words."""
+def _template_sets(docs: DataFrame, templates: list[tuple[str, str]]) -> tuple[list, list[str]]:
+    """Templates with their lengths and sets of words, and all of these words."""
     sets = docs.sparkSession.createDataFrame([(k, label, body) for k, (label, body) in enumerate(templates)], "template int, label string, body string")
-    sets = sets.select("template", "label", F.array_distinct(_block_words("body")).alias("words")).where(F.size("words") > 0)
-    known = sorted({w for r in sets.select("words").collect() for w in r.words})
+    sets = sets.select("template", "label", F.size(_block_words("body")).alias("length"), F.array_distinct(_block_words("body")).alias("words")).where(F.size("words") > 0).collect()
+    known = sorted({w for r in sets for w in r.words})
     if len(known) > MOST_WORDS:
         raise ValueError(f"templates have {len(known)} distinct words; at most {MOST_WORDS} may be broadcast")
     return sets, known
@@ -65,22 +72,44 @@ def _held(words: Column | str, known: list[str]) -> Column:
     return F.array_intersect(words, F.array(*map(F.lit, known)) if known else F.array().cast("array<string>"))
 
 
+def _needed(words: list[str], threshold: float) -> int:
+    return max(1, min(-(-int(round(threshold * len(words) * 1e6)) // 1_000_000), len(words)))
+
+
+def _stretches(body: str, held: str, sets: list, threshold: float) -> Column:
+    """Stretches (their distinct words) of paragraphs of several lines that hold enough of any template; null for texts
+    whose words, all told, do not."""
+    span = SLACK * max([r.length for r in sets], default=1)
+
+    def meets(words: Column) -> Column:
+        return reduce(or_, [F.size(F.array_intersect(words, F.array(*map(F.lit, r.words)))) >= _needed(r.words, threshold) for r in sets], F.lit(False))
+
+    def cut(paragraph: Column) -> Column:
+        """2 * span words, a new stretch every span words."""
+        words = F.regexp_extract_all(paragraph, F.lit(WORD), F.lit(0))
+        starts = F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - span, F.lit(0)) + 1, F.lit(span)), lambda k: F.array_distinct(F.slice(w, k, F.lit(2 * span)))))
+        return F.flatten(starts)
+
+    paragraphs = F.filter(F.split(F.lower(body), r"\n[ \t\r]*\n"), lambda x: F.contains(x, F.lit("\n")))  # of one line, they are lines
+    return F.when(meets(F.col(held)), F.filter(F.flatten(F.transform(paragraphs, cut)), meets))
+
+
 def find_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, held: DataFrame | None = None) -> DataFrame:
-    """(key, block, label, containment) for every line of every document and every template that it meets.
+    """(key, block, label, containment) for every block of every document and every template that it meets; block is the
+    line's number, and null for stretches of several lines.
 
-    held: a table whose column `held` has each document's distinct template words, if that is known already.
+    held: a table (key, held, stretches) of each document's distinct template words and its stretches, if known already.
     """
     spark = docs.sparkSession
     sets, known = _template_sets(docs, templates)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     if held is None:
-        held = docs.select(_held(_block_words(body), known).alias("held"))
+        held = docs.select(key, body.alias("body"), _held(_block_words(body), known).alias("held")).select(key, "held", _stretches("body", "held", sets, threshold).alias("stretches"))
     counts = {r["word"]: r["count"] for r in held.select(F.explode("held").alias("word")).groupBy("word").count().collect()}  # a row for each template word at most
     order = {w: k for k, w in enumerate(sorted(known, key=lambda w: (counts.get(w, 0), w)))}
     rows = []
-    for r in sets.collect():
-        words, need = sorted(r.words, key=order.__getitem__), -(-int(round(threshold * len(r.words) * 1e6)) // 1_000_000)
-        need = max(1, min(need, len(words)))
+    for r in sets:
+        words, need = sorted(r.words, key=order.__getitem__), _needed(r.words, threshold)
         rows += [(w, p, r.template, r.label, words, need) for p, w in enumerate(words[: len(words) - need + 1])]
     prefixes = spark.createDataFrame(rows, "word string, p int, template int, label string, template_words array<string>, need int")
     first = sorted({r[0] for r in rows})
@@ -91,6 +120,8 @@ def find_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", templa
             some = some | F.contains("line", F.lit(w))
         lines = lines.where(some)
     lines = lines.select("key", "block", F.array_distinct(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("words"))
+    stretches = held.where(F.size("stretches") > 0).select(F.col(key).alias("key"), F.lit(None).cast("int").alias("block"), F.explode("stretches").alias("words"))
+    lines = lines.unionByName(stretches)
     lines = lines.where(F.size(_held("words", first)) > 0)
     rank = F.create_map(*(F.lit(x) for pair in order.items() for x in pair)) if order else F.create_map().cast("map<string,int>")
     ranked = F.array_sort(F.filter(F.transform("words", lambda w: F.struct(F.try_element_at(rank, w).alias("r"), w.alias("w"))), lambda x: x["r"].isNotNull()))
@@ -112,10 +143,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
         inside = f"CASE WHEN size(w) >= {len(want)} THEN filter(sequence(0, size(w) - {len(want)}), i -> {same}) ELSE cast(array() AS array<int>) END"
         places.append(f"transform({inside}, i -> named_struct('i', cast(i AS bigint), 'label', '{label}'))")
     found = f"CASE WHEN array_contains(w, 'license') THEN array_sort(concat({', '.join(places)})) END"
-    _, known = _template_sets(docs, templates)
+    sets, known = _template_sets(docs, templates)
     # lower() leaves the words' number as it is and makes none of the phrases' letters from others than A-Z
-    rows = docs.select(key, _block_words(body).alias("w")).select(key, F.size("w").cast("long").alias("n_words"), _held("w", known).alias("held"), F.expr(found).alias("places"))
-    rows = settled(rows)
+    rows = docs.select(key, body.alias("body"), _block_words(body).alias("w")).select(key, "body", F.size("w").cast("long").alias("n_words"), _held("w", known).alias("held"), F.expr(found).alias("places"))
+    rows = settled(rows.select(key, "n_words", "held", "places", _stretches("body", "held", sets, threshold).alias("stretches")))
     blocks = find_blocks(docs, key, text, templates, threshold, rows)
     blocks = blocks.groupBy(F.col(key).alias("__key")).agg(F.collect_set("label").alias("__labels"), F.max("containment").alias("__score"))
     joined = rows.join(blocks, F.col(key).eqNullSafe(F.col("__key")), "left")

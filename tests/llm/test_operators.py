@@ -7,6 +7,7 @@ import os
 import random
 import re
 import struct
+import textwrap
 import zipfile
 import zlib
 
@@ -269,6 +270,16 @@ def test_reservation_of_rights(spark, odd):
     assert got == {1: ("proprietary", 1.0), 2: ("proprietary", 1.0), 3: ("", 0.0), 4: ("", 0.0)}
 
 
+def test_wrapped_notices(spark, odd):
+    text = lambda label, k=0: [b for x, b in licenses.TEMPLATES if x == label][k]
+    wrapped = lambda t, n, mark="": "\n".join(mark + x for x in textwrap.wrap(t, n))
+    mit = text("mit", 1).replace("files,", 'files (the "Software"),')
+    rows = [(1, "Prose.\n\n" + wrapped(mit, 76, " * ") + "\n\nProse."), (2, wrapped(text("bsd"), 40, "# ")), (3, "word\n" * 500 + text("mpl").replace(" ", "\r\n")), (4, wrapped("About this: " + text("cc0"), 72))]
+    rows += [(5, wrapped(text("bsd"), 90).replace("\n", "\n \n")), (6, "Redistribution and use in source and binary forms, with or without modification,\n" + "word " * 400 + "\nare permitted provided that the following conditions are met"), (7, None)]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "mit", 2: "bsd", 3: "mpl", 4: "cc0", 5: "", 6: "", 7: ""}
+
+
 # 7
 
 
