@@ -9,6 +9,7 @@ from ..session import settled
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """edges (a, b), a > b. Every node u links its larger (large) or its smaller neighbours and itself to the smallest of all."""
     down = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     sides = down.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else down
     least = settled(sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
@@ -20,7 +21,11 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): the smallest node in reach, for every node with an edge to another one."""
+    """(node, component): the smallest node in reach, for every node with an edge to another one.
+
+    Nulls and edges of a node with itself are left out; repeated edges and either direction count once. The number of
+    rounds grows with the logarithm of a component's diameter; a round's rows are at most twice the edges.
+    """
     edges = settled(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct())
     before = None
     while True:
