@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+from ..session import scratch, settled, ship  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -26,31 +25,16 @@ WORD_TABLE = bytes(
 )
 
 
-_shipped: set[str] = set()
 #: Rows of an Arrow batch: documents are long, and a Python worker holds a batch as a whole.
 BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once for each application: they need not have it installed. Arrow batches are
-    made smaller, unless their size was set."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="hyperweave-")) / "hyperweave.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(str(path))
-    _shipped.add(sc.applicationId)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; the package goes to the executors, and Arrow batches are made smaller, unless their size was set."""
+    found = session.read_table(spark, sf_dir, name)
     if spark.conf.get(BATCH, "10000") == "10000":  # Spark's own default; any other choice is left alone
         spark.conf.set(BATCH, ROWS)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return found
 
 
 def ascii_lower(text: Column) -> Column:
@@ -58,31 +42,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, as a URI. Only where that is unset (local tests) a temporary folder is made."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    held = spark.sparkContext.getCheckpointDir()
-    if not found and not held:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="hyperweave-")
-    found = found or held
-    if not held:
-        spark.sparkContext.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else "file://" + os.path.abspath(found)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read from there: a lost executor or a retried task does not run its lineage again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 

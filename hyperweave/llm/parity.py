@@ -31,8 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import settled, texts
-from .components import components
 from .shingles import mix, shingle_sets
 
 #: Linking similarity, in hundredths, and words in a shingle.

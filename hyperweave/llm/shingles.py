@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Bytes of text that are hashed at once.
@@ -10,16 +12,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
-
-
-_UP, _DOWN = _powers(_BASE, 4096), _powers(pow(_BASE, -1, 1 << 64), 4096)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes from which a word is hashed by BLAKE2b instead of in steps of eight bytes.
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,14 +26,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words in the bytes."""
-    global _UP, _DOWN
-    if len(data) >= len(_UP):
-        _UP, _DOWN = _powers(_BASE, len(data)), _powers(pow(_BASE, -1, 1 << 64), len(data))
+    """Hashes, starts and ends of the words in the bytes.
+
+    A word goes into its hash eight bytes at a time, with a bijection after each step, so words of one length
+    up to eight bytes never clash, and no family of longer ones does for algebraic reasons, as under a polynomial hash."""
     edge = np.diff(np.concatenate([[True], _SPACE[data], [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[_LOWER[data]] * _UP[: len(data)], dtype=np.uint64)])
-    return mix((sums[ends] - sums[starts]) * _DOWN[starts] + (ends - starts).astype(np.uint64)), starts, ends
+    low = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(low) - 7,), "<u8", low.data, strides=(1,))  # the eight bytes from each place on
+    n = ends - starts
+    hashes = mix(n.astype(np.uint64))
+    at, k = np.flatnonzero(n < LONG), 0
+    while len(at):
+        block = eight[starts[at] + k] & _MASK[np.minimum(n[at] - k, 8)]
+        hashes[at] = mix((hashes[at] ^ block) * _STEP)
+        k += 8
+        at = at[n[at] > k]
+    for j in np.flatnonzero(n >= LONG):
+        hashes[j] = int.from_bytes(hashlib.blake2b(low[starts[j] : ends[j]].tobytes(), digest_size=8).digest(), "little")
+    return hashes, starts, ends
 
 
 def _chunk(texts: list[bytes], size: int) -> list[np.ndarray]:
