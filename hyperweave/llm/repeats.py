@@ -12,7 +12,9 @@
 
 Contract. Texts are UTF-8 bytes, null is empty, and no match crosses documents; a string may repeat inside its own
 document. Strings are judged on the input, not on what is left. Rows that agree in id and text are copies of each other
-like any others. A null id is a row like others. An empty table gives no rows. Extra columns are ignored.
+like any others. A null id is a row like others. An empty table gives no rows. Extra columns are ignored. Between the
+steps a document goes by 96 hash bits of its id and text. Fragments of one anchor count as equal when their length, the
+anchor's place in them and 62 bits of two polynomials modulo a prime agree; their bytes are not read again.
 """
 
 from __future__ import annotations
@@ -38,30 +40,45 @@ BUCKET, CROWD = 250_000, 2000
 AT_ONCE = 4000
 _CODES = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
 _BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: Fingerprints are polynomials modulo a prime, two in each; four bases, codes of the bytes for each.
+_PRIME = (1 << 31) - 1
+_BASES = (1_145_141_919, 810_893_364, 1_907_231_117, 523_987_211)
+_VALUES = np.random.default_rng(11).integers(1, _PRIME, (4, 256), dtype=np.uint64)
 _LOW = np.uint64((1 << 24) - 1)
-_MARK = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("print", "<u8"), ("n", "<i4")])
-_FOUND = np.dtype([("doc", "<i8"), ("anchor", "<u8"), ("start", "<i8"), ("n", "<i4"), ("kind", "<i4")])
-_WINDOW = np.dtype([("print", "<u8"), ("other", "<u8"), ("doc", "<i8"), ("start", "<i8")])
+_MARK = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("salt", "<i4"), ("start", "<i8"), ("print", "<u8"), ("n", "<i4")])
+_FOUND = np.dtype([("doc", "<i8"), ("salt", "<i4"), ("anchor", "<u8"), ("start", "<i8"), ("n", "<i4"), ("kind", "<i4")])
+_WINDOW = np.dtype([("print", "<u8"), ("other", "<u8"), ("doc", "<i8"), ("salt", "<i4"), ("start", "<i8")])
 SPAN, ASK, ASK_CROWD = 0, 1, 2
 _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) <= n:
-        _powers[base] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 16), base, np.uint64)]))
-    return _powers[base]
+    """The first powers of the base modulo the prime, more than n."""
+    held = _powers.get(base)
+    if held is None or len(held) <= n:
+        size = max(n + 1, 1 << 16)
+        held = np.ones(1, np.uint64)
+        while len(held) < size:
+            held = np.concatenate([held, held * np.uint64(pow(base, len(held), _PRIME)) % np.uint64(_PRIME)])
+        _powers[base] = held
+    return held
 
 
 class Prints:
-    """Fingerprints of any ranges of some bytes, equal for equal ranges wherever they stand."""
+    """Fingerprints (62 bits) of any ranges of some bytes, equal for equal ranges wherever they stand."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
-        base = _BASE[which]
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[which][data] * _power(base, len(data))[: len(data)], dtype=np.uint64)])
-        self.down = _power(pow(base, -1, 1 << 64), len(data))
+        self.halves = []
+        for k in (2 * which, 2 * which + 1):
+            term = _VALUES[k][data] * _power(_BASES[k], len(data))[: len(data)]
+            term = (term & np.uint64(_PRIME)) + (term >> np.uint64(31))  # below 2^32: sums of 2^32 bytes do not overflow
+            self.halves.append((np.concatenate([np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)]), _power(pow(_BASES[k], -1, _PRIME), len(data))))
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
+        (a, x), (b, y) = self.halves
+        p = np.uint64(_PRIME)
+        high, low = (a[stop] - a[start]) % p * x[start] % p, (b[stop] - b[start]) % p * y[start] % p
+        return mix((high << np.uint64(31) | low) ^ mix((stop - start).astype(np.uint64)))
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -136,16 +153,17 @@ def _gathered(batches: Iterator[pa.RecordBatch], column: int, kind: np.dtype) ->
 def _marks(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for places, offsets, parts in _pieces(texts(batch.column(1)), length):
+            keys, salts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for places, offsets, parts in _pieces(texts(batch.column(2)), length):
                 data, bounds = _laid(parts)
                 h, text, first, n, prints = anchors(data, bounds, length)
                 rows = np.zeros(len(h), _MARK)
-                rows["anchor"], rows["doc"], rows["print"], rows["n"] = h, keys[np.array(places)[text]], prints, n
+                own = np.array(places)[text]
+                rows["anchor"], rows["doc"], rows["salt"], rows["print"], rows["n"] = h, keys[own], salts[own], prints, n
                 rows["start"] = first - bounds[text] + np.array(offsets)[text]
                 yield from _packed(rows, h, buckets, ["bucket", "rows"])
 
-    return docs.select("key", "text").mapInArrow(mapped, "bucket int, rows binary")
+    return docs.select("key", "salt", "text").mapInArrow(mapped, "bucket int, rows binary")
 
 
 def _meet(marks: DataFrame, buckets: int, doc_buckets: int, crowd: int) -> DataFrame:
@@ -153,7 +171,7 @@ def _meet(marks: DataFrame, buckets: int, doc_buckets: int, crowd: int) -> DataF
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _gathered(batches, 1, _MARK)
-        rows = rows[np.lexsort((rows["start"], rows["doc"], rows["print"], rows["anchor"]))]
+        rows = rows[np.lexsort((rows["start"], rows["salt"], rows["doc"], rows["print"], rows["anchor"]))]
         if not len(rows):
             return
         new_anchor = np.concatenate([[True], rows["anchor"][1:] != rows["anchor"][:-1]])
@@ -164,7 +182,7 @@ def _meet(marks: DataFrame, buckets: int, doc_buckets: int, crowd: int) -> DataF
         ask = new_print & (kinds > 1)
         out = np.zeros(many.sum() + ask.sum(), _FOUND)
         for at, what, code in ((slice(0, many.sum()), many, SPAN), (slice(many.sum(), None), ask, np.where(kinds[ask] > crowd, ASK_CROWD, ASK))):
-            for c in ("doc", "anchor", "start", "n"):
+            for c in ("doc", "salt", "anchor", "start", "n"):
                 out[c][at] = rows[c][what]
             out["kind"][at] = code
         yield from _packed(out, out["doc"].view(np.uint64), doc_buckets, ["bucket", "rows"])
@@ -183,21 +201,21 @@ def _merged(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 def _by_doc(found: DataFrame, doc_buckets: int, length: int) -> DataFrame:
-    """(key, spans, asks): each document's repeated ranges, and the fragments of it that are asked for."""
+    """(key, salt, spans, asks): each document's repeated ranges, and the fragments of it that are asked for."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _gathered(batches, 1, _FOUND)
-        rows = rows[np.argsort(rows["doc"], kind="stable")]
-        cuts = np.flatnonzero(np.concatenate([[True], rows["doc"][1:] != rows["doc"][:-1]])) if len(rows) else []
+        rows = rows[np.lexsort((rows["salt"], rows["doc"]))]
+        cuts = np.flatnonzero(np.concatenate([[True], (rows["doc"][1:] != rows["doc"][:-1]) | (rows["salt"][1:] != rows["salt"][:-1])])) if len(rows) else []
         out = []
         for a, b in zip(cuts, [*cuts[1:], len(rows)]):
             own = rows[a:b]
             spans, asks = own[own["kind"] == SPAN], own[own["kind"] != SPAN]
-            out.append((int(own["doc"][0]), _merged(spans["start"], spans["start"] + spans["n"] + length - 1).tobytes(), asks.tobytes() or None))
+            out.append((int(own["doc"][0]), int(own["salt"][0]), _merged(spans["start"], spans["start"] + spans["n"] + length - 1).tobytes(), asks.tobytes() or None))
         for k in range(0, len(out), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 10_000]), (pa.int64(), pa.binary(), pa.binary()))], ["key", "spans", "asks"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 10_000]), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["key", "salt", "spans", "asks"])
 
-    return found.repartition(doc_buckets, "bucket").mapInArrow(mapped, "key long, spans binary, asks binary")
+    return found.repartition(doc_buckets, "bucket").mapInArrow(mapped, "key long, salt int, spans binary, asks binary")
 
 
 def _cut(asked: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -220,7 +238,7 @@ def _cut(asked: DataFrame, buckets: int, length: int) -> DataFrame:
                     data = np.frombuffer(text, np.uint8)
                     starts = np.repeat(rows["start"] - np.cumsum(rows["n"]) + rows["n"], rows["n"]) + np.arange(rows["n"].sum())
                     windows = np.zeros(len(starts), _WINDOW)
-                    windows["doc"], windows["start"] = rows["doc"][0], starts
+                    windows["doc"], windows["salt"], windows["start"] = rows["doc"][0], rows["salt"][0], starts
                     for which, c in enumerate(("print", "other")):
                         windows[c] = Prints(data, which).of(starts, starts + length)
                     crowded.append(windows)
@@ -271,17 +289,20 @@ def _block(rows: np.ndarray, data: np.ndarray, starts: np.ndarray, length: int)
     runs: dict[int, dict[bytes, list]] = {}
     for a, b in zip(first, last):
         runs.setdefault(group[own[a]], {}).setdefault(data[at[a] : at[b] + length].tobytes(), []).append((own[a], step[a], b - a + 1))
-    out = []
+    out: list[tuple[int, int, int]] = []  # fragment, first window, windows
     for kinds in runs.values():
         found = repeated_windows(list(kinds), length) if len(kinds) > 1 else [np.zeros(0, np.int64)]
         for members, windows in zip(kinds.values(), found):
             if len(members) > 1:
-                out += [(rows["doc"][k], 0, rows["start"][k] + s, m, SPAN) for k, s, m in members]
+                out += members
             elif len(windows):
                 k, s, _ = members[0]
                 cuts = np.flatnonzero(np.diff(windows, prepend=-9) > 1)
-                out += [(rows["doc"][k], 0, rows["start"][k] + s + windows[a], b - a, SPAN) for a, b in zip(cuts, [*cuts[1:], len(windows)])]
-    return np.array(out, _FOUND)
+                out += [(k, s + windows[a], b - a) for a, b in zip(cuts, [*cuts[1:], len(windows)])]
+    which, step, n = np.array(out, np.int64).reshape(-1, 3).T
+    found = rows[which]
+    found["start"], found["n"], found["kind"] = found["start"] + step, n, SPAN
+    return found
 
 
 def _decide(cut: DataFrame, buckets: int, doc_buckets: int, length: int) -> DataFrame:
@@ -319,11 +340,11 @@ def _decide(cut: DataFrame, buckets: int, doc_buckets: int, length: int) -> Data
             w = w[np.lexsort((w["other"], w["print"]))]
             same = (w["print"][1:] == w["print"][:-1]) & (w["other"][1:] == w["other"][:-1])
             w = w[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-            w = w[np.lexsort((w["start"], w["doc"]))]
+            w = w[np.lexsort((w["start"], w["salt"], w["doc"]))]
             if len(w):
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(w["start"]) != 1) | (np.diff(w["doc"]) != 0)]))
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(w["start"]) != 1) | (w["doc"][1:] != w["doc"][:-1]) | (w["salt"][1:] != w["salt"][:-1])]))
                 out = np.zeros(len(new), _FOUND)
-                out["doc"], out["start"], out["n"] = w["doc"][new], w["start"][new], np.diff([*new, len(w)])
+                out["doc"], out["salt"], out["start"], out["n"] = w["doc"][new], w["salt"][new], w["start"][new], np.diff([*new, len(w)])
                 found.append(out)
         for out in found:
             yield from _packed(out, out["doc"].view(np.uint64), doc_buckets, ["bucket", "rows"])
@@ -336,17 +357,17 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     if length < 2 * ANCHOR:
         raise ValueError(f"length is at least {2 * ANCHOR}")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("__id"), body.alias("text")).withColumn("key", F.xxhash64("__id", "text"))
+    rows = docs.select(F.col(key).alias("__id"), body.alias("text")).withColumns({"key": F.xxhash64("__id", "text"), "salt": F.hash("__id", "text")})
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(n, 2 * total // (length - ANCHOR) // BUCKET)
     doc_buckets = max(n, buckets // 2)
     first = settled(_by_doc(_meet(_marks(rows, buckets, length), buckets, doc_buckets, crowd), doc_buckets, length))
-    asked = rows.select("key", "text").join(first.where(F.col("asks").isNotNull()).select("key", "asks"), "key")
+    asked = rows.select("key", "salt", "text").join(first.where(F.col("asks").isNotNull()).select("key", "salt", "asks"), ["key", "salt"])
     second = settled(_by_doc(_decide(_cut(asked, buckets, length), buckets, doc_buckets, length), doc_buckets, length))
-    spans = first.select("key", "spans").unionByName(second.select("key", "spans")).where(F.octet_length("spans") > 0)
-    spans = spans.groupBy("key").agg(F.collect_list("spans").alias("__spans"))  # two of a document at most
-    return rows.join(spans, "key", "left").select(F.col("__id").alias(key), F.col("text").alias("__text"), "__spans")
+    spans = first.select("key", "salt", "spans").unionByName(second.select("key", "salt", "spans")).where(F.octet_length("spans") > 0)
+    spans = spans.groupBy("key", "salt").agg(F.collect_list("spans").alias("__spans"))  # two of a document at most
+    return rows.join(spans, ["key", "salt"], "left").select(F.col("__id").alias(key), F.col("text").alias("__text"), "__spans")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
