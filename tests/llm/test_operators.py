@@ -66,6 +66,67 @@ def test_permutation_index(spark, odd):
     assert permutation.search(vectors(spark, [(3, [1.0])]), F.col("id") == 0).count() == 0
 
 
+def near_by_force(ids, m, i, k=5):
+    unit = permutation.scaled(m)
+    unit = unit / np.sqrt((unit * unit).sum(1, keepdims=True))
+    score = unit @ unit[list(ids).index(i)]
+    return [int(ids[x]) for x in np.lexsort((ids, -score)) if ids[x] != i][:k]
+
+
+def test_vectors_of_several_lengths(spark, odd):
+    rng = np.random.default_rng(3)
+    wide, narrow = rng.normal(size=(60, 8)), rng.normal(size=(40, 3))
+    data = [(k, v.tolist()) for k, v in enumerate(wide)] + [(100 + k, v.tolist()) for k, v in enumerate(narrow)] + [(300, [1.0])]
+    got = collections.defaultdict(list)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    for r in permutation.search(df, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = {i: near_by_force(np.arange(60), wide, i) for i in (0, 50)} | {100: near_by_force(np.arange(100, 140), narrow, 100)}
+    assert got == want  # 300 has no other vector of its length
+
+
+def test_vectors_near_the_ends_of_doubles(spark, odd):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(30, 6)) * np.array([1e200, 1e-200, 1e300])[np.arange(30) % 3, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<double>")
+    rows = permutation.search(df, F.col("id") % 10 == 0).orderBy("query_id", "rank").collect()
+    got = collections.defaultdict(list)
+    for r in rows:
+        got[r.query_id].append(r.vec_id)
+        x, y = m[r.query_id] / np.abs(m[r.query_id]).max(), m[r.vec_id] / np.abs(m[r.vec_id]).max()
+        assert abs(r.score - x @ y / np.sqrt((x @ x) * (y @ y))) < 1e-12
+    assert got == {i: near_by_force(np.arange(30), m, i) for i in (0, 10, 20)}
+
+
+def test_recall_of_whole_blocks():
+    """Blocks of production size, where a tenth is reranked: spread-out and clustered vectors."""
+    rng = np.random.default_rng(5)
+    spread = rng.normal(size=(permutation.BLOCK, 64))
+    centres = rng.normal(size=(40, 64))
+    for m in (spread, centres[rng.integers(0, 40, permutation.BLOCK)] + 0.3 * rng.normal(size=spread.shape)):
+        m = m / np.sqrt((m * m).sum(1, keepdims=True))
+        index = permutation.PivotOrders(permutation.unlike(m[: permutation.SAMPLED], permutation.PIVOTS), permutation.LISTED)
+        orders = index.of(m)
+        block, hit, looked = permutation.Block(orders, len(index.pivots)), 0, []
+        for j in range(0, len(m), 100):
+            at = block.nearest(orders[j], len(m) // permutation.PART)
+            looked.append(len(at))
+            score = m @ m[j]
+            score[j] = -2
+            hit += len(set(at) & set(np.argsort(-score)[:5]))
+        assert hit / (5 * len(looked)) >= 0.9
+        assert m is not spread or np.median(looked) <= 1.3 * len(m) / permutation.PART
+
+
+def test_footrule_of_whole_lists():
+    rng = np.random.default_rng(6)
+    orders = np.stack([rng.permutation(20)[:8] for _ in range(50)]).astype(np.int32)
+    block = permutation.Block(orders, 20)
+    for q in orders[:5]:
+        want = [sum(8 - abs(i - list(q).index(p)) for i, p in enumerate(o) if p in q) for o in orders]
+        assert block.agreement(q, 8, 8).tolist() == want
+
+
 # 2
 
 
@@ -150,6 +211,34 @@ def repeats_of(df, **more):
     return bag(repeats.remove_repeats(df, **more).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect())
 
 
+def thue_morse(k):
+    bits = [0]
+    for _ in range(k):
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_fingerprints_of_opposite_texts(spark, odd):
+    a, b = thue_morse(10)  # equal under any polynomial hash modulo a power of two
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    for which in (0, 1):
+        x, y = repeats.Prints(data, which).of(np.array([0, 1024]), np.array([1024, 2048]))
+        assert x != y
+    u, v = a[:256], b[:256]
+    rows = [(1, "q" * 180 + u + "r" * 150), (2, "s" * 160 + v + "t" * 170), (3, v[::-1] + u), (4, u + "w" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert repeats_of(df) == brute_repeats(rows)
+
+
+def test_ranges_keep_their_fingerprints():
+    rng = np.random.default_rng(9)
+    data = rng.integers(0, 4, 3000).astype(np.uint8)
+    data[2000:2500] = data[100:600]
+    prints = repeats.Prints(data)
+    assert (prints.of(np.arange(100, 300), np.arange(400, 600)) == prints.of(np.arange(2000, 2200), np.arange(2300, 2500))).all()
+    assert len(np.unique(prints.of(np.arange(1000), np.arange(1000) + 40))) == 1000
+
+
 def test_repeats(spark, odd, none):
     small = odd.where("doc_id IS NULL OR doc_id <> 4")
     assert repeats_of(small) == brute_repeats(rows_of(small))
@@ -464,6 +553,17 @@ def test_sketches_bound_the_difference():
             assert parity.near_enough(a, b, len(x) + len(y), 80)
 
 
+def test_words_that_are_opposites(spark, odd):
+    a, b = thue_morse(10)
+    rows = [(1, a), (2, b), (3, " ".join([a] * 6)), (4, " ".join([b] * 6)), (5, a.upper())]
+    got = {r.doc_id: r.component_id for r in parity.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    rng = random.Random(12)
+    words = {"".join(rng.choice("abcé") for _ in range(n)) for n in range(1, 700) for _ in range(3)}
+    hashes = shingles._words(np.frombuffer(" ".join(words).encode(), np.uint8))[0]
+    assert len(set(hashes.tolist())) == len(words)
+
+
 def test_shingles_of_many_texts_are_those_of_each():
     texts = [b"", b"a", b"A b c d", b"a b c d e", b"a b c d e f a b c d e", b" \t x\n", "é ü a b c d".encode()]
     together = shingles.shingle_sets(texts)
