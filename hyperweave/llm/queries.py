@@ -174,23 +174,24 @@ def _spans_sql(name: str, source: str, key: str, text: str) -> str:
 def _pii_sql() -> str:
     """The identifiers and the disclosing terms in SQL, with the operator's own thresholds."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     names = "['email', 'ip', 'card', 'phone', 'term']"
+    low = lambda x: f"replace(lower({x}), 'ς', 'σ')"
+    kept = "concat(k, ':', translate(m, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-ln AS (SELECT line, count(*) AS copies FROM (SELECT unnest(string_split(t, chr(10))) AS line FROM docs) GROUP BY 1),
+ln AS (SELECT line, count(*) AS copies FROM (SELECT unnest(regexp_extract_all(t, '{pii.STRETCH}')) AS line FROM docs) GROUP BY 1),
 {_spans_sql("ls", "ln", "line", "line")},
 {_spans_sql("ds", "docs", "doc_id", "t")},
-held AS (SELECT DISTINCT line, copies, k || ':' || {low.format("m")} AS entity FROM ls JOIN ln USING (line)),
+held AS (SELECT DISTINCT line, copies, {kept} AS entity FROM ls JOIN ln USING (line)),
 ent AS (SELECT entity, sum(copies) AS n_e FROM held GROUP BY 1 HAVING count(*) >= {pii.SUPPORT}),
 cut AS (SELECT line, string_agg(substr(line, c + 1, greatest(s - c, 0)), ' ' ORDER BY s, e) || ' ' || substr(line, max(e) + 1) AS rest FROM (SELECT line, s, e, coalesce(max(e) OVER (PARTITION BY line ORDER BY s, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ls) GROUP BY 1),
-pr AS (SELECT entity, n_e, term, sum(copies) AS n_te FROM (SELECT entity, n_e, copies, unnest(list_distinct(regexp_extract_all(lower(rest), '{word}'))) AS term FROM held JOIN ent USING (entity) JOIN cut USING (line)) WHERE length(term) > 1 GROUP BY 1, 2, 3 HAVING count(*) >= {pii.SUPPORT}),
-tc AS (SELECT term, sum(copies) AS n_t FROM (SELECT copies, unnest(list_distinct(regexp_extract_all(lower(line), '{word}'))) AS term FROM ln) WHERE term IN (SELECT term FROM pr) GROUP BY 1),
+pr AS (SELECT entity, n_e, term, sum(copies) AS n_te FROM (SELECT entity, n_e, copies, unnest(list_distinct(regexp_extract_all({low("rest")}, '{word}'))) AS term FROM held JOIN ent USING (entity) JOIN cut USING (line)) WHERE length(term) > 1 GROUP BY 1, 2, 3 HAVING count(*) >= {pii.SUPPORT}),
+tc AS (SELECT term, sum(copies) AS n_t FROM (SELECT copies, unnest(list_distinct(regexp_extract_all({low("line")}, '{word}'))) AS term FROM ln) WHERE term IN (SELECT term FROM pr) GROUP BY 1),
 dt AS (SELECT entity, term FROM pr JOIN tc USING (term) WHERE 1 - log2(greatest(n_t::DOUBLE / n_te, 1)) / log2(((SELECT sum(copies) FROM ln) + 1)::DOUBLE / n_e) >= {pii.THRESHOLD}),
-wt AS (SELECT DISTINCT doc_id, term FROM ds JOIN dt ON entity = k || ':' || {low.format("m")}),
-wd AS (SELECT doc_id, regexp_extract_all({low.format("t")}, '{word}') AS ms, regexp_split_to_array({low.format("t")}, '{word}') AS gs FROM docs WHERE doc_id IN (SELECT doc_id FROM wt)),
+wt AS (SELECT DISTINCT doc_id, term FROM ds JOIN dt ON entity = {kept}),
+wd AS (SELECT doc_id, regexp_extract_all(t, '{pii.ANY_WORD}') AS ms, regexp_split_to_array(t, '{pii.ANY_WORD}') AS gs FROM docs WHERE doc_id IN (SELECT doc_id FROM wt)),
 ws AS (SELECT doc_id, ms[i] AS m, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM wd)),
-ts AS (SELECT ws.doc_id, 4 AS k, s, s + length(m) AS e FROM ws JOIN wt ON wt.doc_id = ws.doc_id AND term = m WHERE NOT EXISTS (SELECT 1 FROM ds b WHERE b.doc_id = ws.doc_id AND b.s < ws.s + length(m) AND ws.s < b.e)),
+ts AS (SELECT ws.doc_id, 4 AS k, s, s + length(m) AS e FROM ws JOIN wt ON wt.doc_id = ws.doc_id AND term = {low("m")} WHERE NOT EXISTS (SELECT 1 FROM ds b WHERE b.doc_id = ws.doc_id AND b.s < ws.s + length(m) AND ws.s < b.e)),
 al AS (SELECT doc_id, string_agg({names}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans FROM (SELECT doc_id, k, s, e FROM ds UNION ALL SELECT * FROM ts) GROUP BY 1),
 ba AS (SELECT doc_id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, count(*) FILTER (k = 3) AS n3, string_agg({names}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS base FROM ds GROUP BY 1)
 SELECT doc_id, coalesce(n0, 0) AS n_email, coalesce(n1, 0) AS n_ip, coalesce(n2, 0) AS n_card, coalesce(n3, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
