@@ -309,6 +309,40 @@ def test_disclosing_terms(spark, odd):
     assert "zanzibar" not in out[0] and "[TERM]" in out[0] and "[EMAIL]" in out[0] and out[10] == rows[4][1] and "quokka" in out[100]
 
 
+def test_spans_of_very_long_texts(spark, odd):
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdé😀") for _ in range(5)) for _ in range(500)]
+    long = " ".join(rng.choice(words) for _ in range(60_000)) + " Zanzibar joe@x.org " + " ".join(f"u{k}@x.org" for k in range(6000))
+    rows = [(1, long)] + [(k, f"mail joe@x.org of zanzibar {k}") for k in range(2, 8)] + [(100 + k, f"other text {k}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.report(pii.find(df)).where("doc_id = 1").first()
+    at = long.index("Zanzibar")
+    assert (got.n_email, got.base_sha256) == (6001, brute_pii(long)[1]) and f"term:{at}:{at + 8}," in got.spans
+    out = pii.sanitise(df).where("doc_id = 1").first().text
+    assert out == long[:at] + "[TERM] [EMAIL]" + " [EMAIL]" * 6000
+
+
+def test_overlapping_spans_become_one(spark, odd):
+    text = "é 1.2.3.4a@5.6 b +1 301 555 0346 1 x@y.z@w"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    spans = [tuple(map(int, x.split(":")[1:])) for x in pii.report(pii.find(df)).where("doc_id = 1").first().spans.split(",")]
+    kinds = [x.split(":")[0] for x in pii.report(pii.find(df)).where("doc_id = 1").first().spans.split(",")]
+    want, at = "", 0
+    for (a, b), kind in zip(spans, kinds):
+        if a >= at:
+            want += text[at:a] + f"[{kind.upper()}]"
+        at = max(at, b)
+    assert {r.doc_id: r.text for r in pii.sanitise(df).collect()} == {1: want + text[at:], 2: "", 3: None}
+
+
+def test_contexts_are_bounded(spark, odd):
+    words = [f"w{k:04d}" for k in range(900)]
+    line = " ".join(words)
+    parts = re.findall(pii.STRETCH, "one\n\n" + line + "\ntwo")
+    assert parts[0] == "one" and parts[-1] == "two" and "".join(parts[1:-1]) == line and all(len(x) <= 1300 for x in parts)
+    assert all(not x.startswith(("w0", "w1")) or x[:5] in words for x in parts)
+
+
 def test_disclosing_terms_of_all_scripts(spark, odd):
     forms = [("Éva", "Ñíll", "ΟΔΟΣ"), ("éva", "ÑÍLL", "οδος"), ("ÉVA", "ñíll", "Οδος"), ("Éva", "Ñíll", "ΟΔΟΣ")]
     rows = [(k, f"row {k} by {a}, {b} {c}. mail joe@x.org") for k, (a, b, c) in enumerate(forms)]
