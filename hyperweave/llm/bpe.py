@@ -23,6 +23,7 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -59,13 +60,14 @@ class Bpe:
         self.decimals = {p: str(i) for p, i in self.vocabulary.items()}
         self.special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
         self.names = {v: k for k, v in (self.vocabulary | self.special).items()}
+        self.named = {str(v): k for v, k in self.names.items()}
         self.symbols = byte_symbols()
         pattern = model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern.replace(r"\s", SPACE))
         self.space = re.compile(f"[{SPACE}]+")
         self.odd_space = re.compile("[\x1c-\x1f]")
         self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, str]] = {}
         self.older = self.known
 
     def merge(self, parts: list[str]) -> list[str]:
@@ -106,8 +108,8 @@ class Bpe:
                     heapq.heappush(heap, (r, a, parts[a], parts[b]))
         return [p for p in parts if p is not None]
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        """Number of ids, the ids and the vocabulary entries, each joined by spaces."""
+    def _chunk(self, chunk: str) -> tuple[int, str]:
+        """Number of ids, and the ids joined by spaces."""
         if out := self.older.get(chunk):
             self.known[chunk] = out
             return out
@@ -119,32 +121,31 @@ class Bpe:
             names += self.merge(parts)
         ids = list(map(self.decimals.get, names))
         if None in ids:  # symbols that the vocabulary lacks give no ids
-            names = [p for p in names if p in self.decimals]
-            ids = [self.decimals[p] for p in names]
-        out = (len(ids), " ".join(ids), " ".join(names))
+            ids = [i for i in ids if i is not None]
+        out = (len(ids), " ".join(ids))
         if len(chunk) <= LONG:
             if len(self.known) >= REMEMBERED:
                 self.older, self.known = self.known, {}
             self.known[chunk] = out
         return out
 
-    def _plain(self, text: str) -> list[tuple[int, str, str]]:
+    def _plain(self, text: str) -> list[tuple[int, str]]:
         chunks = self.space.split(text) if self.odd_space.search(text) else text.split()
         known = self.known
         return [known.get(c) or self._chunk(c) for c in chunks if c]
 
-    def encode(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, the ids as decimals and the decoded text."""
+    def encode(self, text: str) -> tuple[int, str]:
+        """Number of ids, and the ids as decimals joined by spaces."""
         if self.special_at and "<" in text and self.special_at.search(text):
             found, at = [], 0
             for m in self.special_at.finditer(text):
-                found += [*self._plain(text[at : m.start()]), (1, str(self.special[m[0]]), m[0])]
+                found += [*self._plain(text[at : m.start()]), (1, str(self.special[m[0]]))]
                 at = m.end()
             found += self._plain(text[at:])
         else:
             found = self._plain(text)
         found = [x for x in found if x[0]]
-        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+        return sum(x[0] for x in found), " ".join([x[1] for x in found])
 
     def ids(self, text: str) -> list[int]:
         return [int(x) for x in self.encode(text)[1].split()]
@@ -153,6 +154,11 @@ class Bpe:
         """The ids' vocabulary entries joined by spaces; unknown ids are left out."""
         return " ".join(self.names[i] for i in ids if i in self.names)
 
+    def decode_decimals(self, ids: str) -> str:
+        """decode() of ids written as decimals joined by spaces."""
+        found = list(map(self.named.get, ids.split()))
+        return " ".join(found if None not in found else [x for x in found if x is not None])
+
 
 _loaded: dict[str, Bpe] = {}
 
@@ -191,17 +197,34 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
 
     def row(bpe: Bpe, value: str) -> tuple:
         found = bpe.ids(value)
-        return (found, bpe.decode(found))[: len(added)]
+        return (found, bpe.decode(found)) if decoded else (found,)
 
     return _mapped(docs, model_path, text, added, row)
 
 
+_DIGEST = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+
+
+def _digests(n: int, ids: str, decoded: str) -> tuple[int, str, str]:
+    return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+
 def digest(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: n_tokens, and SHA-256 of its ids and of its decoded text."""
-    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    """One row per document: n_tokens, and SHA-256 of its ids and of the text that they decode to."""
+
+    def row(bpe: Bpe, value: str) -> tuple:
+        n, ids = bpe.encode(value)
+        return _digests(n, ids, bpe.decode_decimals(ids))
+
+    return _mapped(docs.select(key, text), model_path, text, _DIGEST, row).drop(text)
+
+
+def tokenise(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """docs, all columns, with `ids` (array of int) and the columns of digest(); columns of these names are replaced."""
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType())), *_DIGEST]
 
     def row(bpe: Bpe, value: str) -> tuple:
-        n, ids, decoded = bpe.encode(value)
-        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        n, found = bpe.encode(value)
+        return (np.array(found.split(), np.int32), *_digests(n, found, bpe.decode_decimals(found)))
 
-    return _mapped(docs.select(key, text), model_path, text, added, row).drop(text)
+    return _mapped(docs.drop(*(f.name for f in added)), model_path, text, added, row)
