@@ -1,18 +1,22 @@
 """WARC records in ZIP-packaged archives, written and read by range.
 
-An archive is a ZIP file whose members are stored, not deflated: `archive/data.warc.gz`, in which each record is a gzip
-member of its own, and `indexes/index.cdx`, one line for each record with its place. The reader finds the end record,
-follows the ZIP64 locator where it is there, walks the central directory, maps stored members to absolute offsets and
-range-reads single records; nothing is extracted.
+An archive is a ZIP file whose members are stored, not deflated: `archive/*.warc.gz`, in which each record is a gzip
+member of its own (or `archive/*.warc`, plain), and `indexes/*`, CDXJ lines that say where records lie. The reader finds
+the end record, follows the ZIP64 locator where it is there, walks the central directory, maps stored members to absolute
+offsets and range-reads single records; nothing is extracted. Data members that no index names are scanned from their
+beginning, by bounded reads. The writer closes an archive and begins another when its data has `ROLL` bytes.
 
 Contract. Of records with equal payloads of at least `least` bytes, the one with the smallest key is a response and the
 others revisit it, without payload. Shorter ones are all responses. Null payload counts as empty. Rows with a null key
 take part as responses. Repeated keys: equal payloads under the smallest key are all responses. An empty table writes
-no archive and gives no rows. Extra columns are ignored.
+no archive and gives no rows. Extra columns are ignored. Records that others wrote: the payload of an HTTP response is
+what follows its header; its digest is computed anew and compared with the record's, if that is SHA-256 or SHA-1; the key
+is the record's id, and null where the key's type cannot hold it. A revisit of unknown length has a null length.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import json
@@ -31,7 +35,11 @@ from .common import create, filesystem, open_ranges, scratch, settled
 LEAST = 100
 #: Bytes of neighbouring records that one range read takes together.
 RANGE = 4 << 20
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+#: Bytes that a scan inflates at once.
+STEP = 1 << 16
+#: Data bytes from which an archive is closed.
+ROLL = 1 << 30
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _LOCAL, _CENTRAL, _END, _END64, _LOCATOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 _BIG = 0xFFFFFFFF
 
@@ -141,15 +149,96 @@ def record(key: object, uri: str | None, payload: bytes, digest: str, refers_to:
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers by lower-case name, and the block."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("no WARC record")
     named = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     return named, rest[: int(named["content-length"])]
 
 
-def write_archives(pages: DataFrame, key: str, payload: str, uri: str | None = None, least: int = LEAST, folder: str | None = None, zip64: bool = False, level: int = 1) -> DataFrame:
-    """Writes each partition's rows as one archive in the shared folder; returns (archive, n_records), written once.
+def _urn(value: str | None) -> str | None:
+    """What a record's id names: the key of rows written here, else the whole id."""
+    value = (value or "").removeprefix("<").removesuffix(">")
+    return value.removeprefix("urn:row:") or None
+
+
+def _payload(head: dict[str, str], block: bytes) -> bytes:
+    if head.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        return block.partition(b"\r\n\r\n")[2]
+    return block
+
+
+def _row(head: dict[str, str], block: bytes, with_payload: bool) -> tuple:
+    """(key, target, payload_bytes, payload_digest, record_type, refers_to, payload) of a record."""
+    kind, (name, _, digest) = head["warc-type"], head.get("warc-payload-digest", "").partition(":")
+    target = head.get("warc-target-uri", "").removeprefix("<").removesuffix(">")
+    if head.get("warc-record-id", "").startswith("<urn:row:"):  # targets written here are escaped
+        target = json.loads(f'"{target}"')
+    if kind == "revisit":
+        length = head.get("x-payload-length")
+        return _urn(head.get("warc-record-id")), target, int(length) if length else None, digest, kind, _urn(head.get("warc-refers-to")), None
+    payload = _payload(head, block)
+    found = hashlib.sha256(payload)
+    known = {"sha256": found, "sha1": hashlib.sha1(payload)}.get(name.lower())
+    if known and digest.lower() != known.hexdigest() and digest.upper().rstrip("=") != base64.b32encode(known.digest()).decode().rstrip("="):
+        raise ValueError("a payload does not match its digest")
+    return _urn(head.get("warc-record-id")), target, len(payload), found.hexdigest(), kind, None, payload if with_payload else None
+
+
+def scan_records(f, start: int, size: int, packed: bool) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Every record of a stored data member, one after the other, by reads of at most RANGE bytes."""
+    f.seek(start)
+    left, held, at = size, b"", 0
+
+    def more() -> bool:
+        nonlocal left, held, at
+        data = f.read(min(RANGE, left))
+        left -= len(data)
+        held, at = held[at:] + data, 0
+        return bool(data)
+
+    def ended() -> bool:
+        return at >= len(held) and not more()
+
+    if packed:
+        while not ended():
+            inflate, out = zlib.decompressobj(31), []
+            while not inflate.eof:
+                if ended():
+                    raise ValueError("a record ends early")
+                piece = held[at : at + STEP]
+                out.append(inflate.decompress(piece))
+                at += len(piece) - len(inflate.unused_data)
+            yield parse(b"".join(out))
+        return
+    while not ended():
+        while (stop := held.find(b"\r\n\r\n", at)) < 0 and more():
+            pass
+        found = [x for x in held[at:stop].lower().split(b"\r\n") if x.startswith(b"content-length:")] if stop >= 0 else []
+        if not found:
+            raise ValueError("a record ends early")
+        length = stop - at + 4 + int(found[0].partition(b":")[2])
+        while len(held) - at < length + 4 and more():
+            pass
+        yield parse(held[at : at + length])
+        at += length + 4
+
+
+def index_lines(data: bytes) -> list[tuple[str, int, int]]:
+    """(file name, offset, length) of each line of a CDXJ index that says so."""
+    out = []
+    for line in data.decode("utf-8", "replace").splitlines():
+        entry = line[line.find("{") :] if "{" in line else ""
+        try:
+            found = json.loads(entry)
+            out.append((found["filename"], int(found["offset"]), int(found["length"])))
+        except (ValueError, KeyError, TypeError):
+            continue  # a header line, or one that places nothing
+    return out
+
+
+def write_archives(pages: DataFrame, key: str, payload: str, uri: str | None = None, least: int = LEAST, folder: str | None = None, zip64: bool = False, level: int = 1, roll: int = ROLL) -> DataFrame:
+    """Writes each partition's rows as archives in the shared folder; returns (archive, n_records), written once.
 
     Which payloads repeat is found from digests alone (key, digest), pre-aggregated before the shuffle; only revisits'
     targets are joined back to the rows, by their key.
@@ -164,77 +253,111 @@ def write_archives(pages: DataFrame, key: str, payload: str, uri: str | None = N
     joined = rows.join(revisits, (rows.k == F.col("__k")) & (rows.d == F.col("__d")), "left").select("k", "uri", "body", "__first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, index, name = None, [], f"{folder}/{uuid.uuid4().hex}.wacz"
+        out, index = None, []
+
+        def closed() -> pa.RecordBatch:
+            archive.end()
+            archive.begin(INDEX)
+            archive.write("".join(sorted(index)).encode())
+            archive.end()
+            archive.close()
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64())], ["archive", "n_records"])
+
         for batch in batches:
             for k, target, text, first in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
+                    name, index = f"{folder}/{uuid.uuid4().hex}.wacz", []
                     out = create(name)
                     archive = StoredZip(out, zip64)
                     archive.begin(DATA)
                 data = text.encode()
-                packed = gzip.compress(record(k, target, data, hashlib.sha256(data).hexdigest(), first, len(data)), level, mtime=0)
-                index.append(f"{'' if k is None else k} {archive.open['size']} {len(packed)}\n")
+                digest = hashlib.sha256(data).hexdigest()
+                packed = gzip.compress(record(k, target, data, digest, first, len(data)), level, mtime=0)
+                place = {"url": target or "", "digest": f"sha256:{digest}", "filename": DATA.rpartition("/")[2], "offset": str(archive.open["size"]), "length": str(len(packed))}
+                index.append(f"{'' if k is None else k} 20240101000000 {json.dumps(place)}\n")
                 archive.write(packed)
+                if archive.open["size"] >= roll:
+                    yield closed()
+                    out = None
         if out:
-            archive.end()
-            archive.begin(INDEX)
-            archive.write("".join(index).encode())
-            archive.end()
-            archive.close()
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64())], ["archive", "n_records"])
+            yield closed()
 
     return settled(joined.mapInArrow(write, "archive string, n_records long"))
 
 
-def read_archives(spark: SparkSession, archives: DataFrame, key_type: str = "long", with_payload: bool = False) -> DataFrame:
+def read_archives(spark: SparkSession, archives: DataFrame, key_type: str = "long", with_payload: bool = False, kinds: tuple[str, ...] = ("response", "revisit")) -> DataFrame:
     """One row per record of the archives (column `archive`: URIs): key, target, payload_bytes, payload_digest,
-    record_type, refers_to, and the payload if asked (null for revisits).
+    record_type, refers_to, and the payload if asked (null for revisits). `kinds` of records are read.
 
-    First each archive's directory and index are read and its records are grouped to ranges of about `RANGE` bytes; then
-    the ranges, dealt to all tasks, are read and parsed. A response's digest is computed anew and must match its header.
+    First each archive's directory and indexes are read, and the records that they place are grouped to ranges of about
+    `RANGE` bytes; a data member that no index names is one range, to be scanned. Then the ranges, dealt to all tasks,
+    are read and parsed.
     """
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 store, path = filesystem(name)
+                rows = []
                 with store.open_input_file(path) as f:
                     members = read_directory(f, f.size())
-                    if members[DATA]["method"] or members[INDEX]["method"]:
-                        raise ValueError(f"{name}: its members are not stored")
-                    f.seek(members[INDEX]["start"])
-                    lines = f.read(members[INDEX]["size"]).decode().splitlines()
-                base, rows, held = members[DATA]["start"], [], []
-                for line in lines:
-                    offset, length = map(int, line.rsplit(" ", 2)[1:])
-                    if held and offset + length - held[0] > RANGE:
-                        rows.append(held)
-                        held = []
-                    held = held or [offset]
-                    held.append(length)
-                rows += [held] if held else []
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array([base + r[0] for r in rows], pa.int64()), pa.array([r[1:] for r in rows], pa.list_(pa.int64()))], ["archive", "start", "lengths"])
+                    data = {n: m for n, m in members.items() if n.startswith("archive/") and n.endswith((".warc.gz", ".warc"))}
+                    if any(m["method"] for m in data.values()):
+                        raise ValueError(f"{name}: its data members are not stored")
+                    placed: dict[str, list] = {n: [] for n in data}
+                    for n, m in members.items():
+                        if n.startswith("indexes/") and m["size"]:
+                            f.seek(m["start"])
+                            raw = f.read(m["stored"])
+                            raw = zlib.decompress(raw, -15) if m["method"] else raw
+                            for file, offset, length in index_lines(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                                if f"archive/{file}" in placed:
+                                    placed[f"archive/{file}"].append((offset, length))
+                for n, found in placed.items():
+                    start, packed, held = data[n]["start"], n.endswith(".gz"), []
+                    if not found and data[n]["size"]:
+                        rows.append((name, start, [data[n]["size"]], packed, True))
+                    for offset, length in sorted(set(found)):
+                        if held and (offset != held[0] + sum(held[1:]) or offset + length - held[0] > RANGE):
+                            rows.append((name, start + held[0], held[1:], packed, False))
+                            held = []
+                        held = held or [offset]
+                        held.append(length)
+                    if held:
+                        rows.append((name, start + held[0], held[1:], packed, False))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.bool_()))], ["archive", "start", "lengths", "packed", "whole"])
+
+    def read(row: dict) -> Iterator[tuple[dict[str, str], bytes]]:
+        with open_ranges(row["archive"]) as f:
+            if row["whole"]:
+                yield from scan_records(f, row["start"], row["lengths"][0], row["packed"])
+                return
+            f.seek(row["start"])
+            data, at = memoryview(f.read(sum(row["lengths"]))), 0
+            for n in row["lengths"]:
+                yield parse(gzip.decompress(data[at : at + n]) if row["packed"] else bytes(data[at : at + n]))
+                at += n
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "target", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+        types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
         for batch in batches:
             for row in batch.to_pylist():
-                with open_ranges(row["archive"]) as f:
-                    f.seek(row["start"])
-                    data = memoryview(f.read(sum(row["lengths"])))
-                rows, at = [], 0
-                for n in row["lengths"]:
-                    head, block = parse(gzip.decompress(data[at : at + n]))
-                    at += n
-                    digest, whole = head["warc-payload-digest"].partition(":")[2], head["warc-type"] == "response"
-                    if whole and hashlib.sha256(block).hexdigest() != digest:
-                        raise ValueError("a payload does not match its digest")
-                    urn = lambda name: head.get(name, "<urn:row:>")[9:-1] or None  # noqa: B023, E731
-                    rows.append((urn("warc-record-id"), json.loads(f'"{head["warc-target-uri"]}"'), len(block) if whole else int(head["x-payload-length"]), digest, head["warc-type"], urn("warc-refers-to"), block if with_payload and whole else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()))], ["key", "target", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                rows, size = [], 0
+                for head, block in read(row):
+                    if head["warc-type"] in kinds:
+                        rows.append(_row(head, block, with_payload))
+                        size += 1 + (len(block) if with_payload else 0)
+                    if size >= RANGE or len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    planned = archives.select("archive").mapInArrow(ranges, "archive string, start long, lengths array<long>")
+    planned = archives.select("archive").mapInArrow(ranges, "archive string, start long, lengths array<long>, packed boolean, whole boolean")
     found = planned.repartition(n, "archive", "start").mapInArrow(records, "key string, target string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
-    found = found.withColumns({c: F.col(c).cast(key_type) for c in ("key", "refers_to")})
+    found = found.withColumns({c: F.col(c).try_cast(key_type) for c in ("key", "refers_to")})
     return found if with_payload else found.drop("payload")
