@@ -167,6 +167,61 @@ def test_warc_round_trip(spark, odd, tmp_path):
     assert empty.count() == 0 and warc.read_archives(spark, empty).count() == 0
 
 
+def test_archives_of_others(spark, odd, tmp_path):
+    import base64
+    import gzip
+
+    def made(kind, ident, payload, http=True, digest="sha1", more=()):
+        block = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" if http else b"") + payload
+        name = {"sha1": lambda: "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode(), "sha256": lambda: "sha256:" + sha(payload), None: lambda: "md5:0"}[digest]()
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{ident}>", f"WARC-Target-URI: http://x/{ident}", f"WARC-Payload-Digest: {name}", f"Content-Type: {'application/http; msgtype=response' if http else 'text/html'}", *more, f"Content-Length: {len(block)}"]
+        return ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    a = [made("warcinfo", "i", b"software: x", http=False, digest=None), made("response", "a1", b"one" * 50), made("request", "q", b"GET", digest=None), made("revisit", "a2", b"", more=["WARC-Refers-To: <urn:uuid:a1>"])]
+    b = [made("response", "b1", "zwei é".encode(), digest="sha256"), made("response", "b2", b"\0bin\r\n\r\nary", http=False)]
+    c = [made("response", "c1", b"plain", digest=None), made("response", "c2", b"")]
+    packed = [[gzip.compress(r) for r in x] for x in (a, b)]
+    index = ["!meta 0 {}", "not json {"] + [f"com,x)/ 2024 " + json.dumps({"url": "http://x", "filename": "a.warc.gz", "offset": str(sum(map(len, packed[0][:k]))), "length": len(packed[0][k]), "status": "200"}) for k in (3, 1)]
+    with zipfile.ZipFile(tmp_path / "others.wacz", "w") as z:
+        z.writestr("archive/a.warc.gz", b"".join(packed[0]))
+        z.writestr("archive/b.warc.gz", b"".join(packed[1]))
+        z.writestr("archive/c.warc", b"".join(c))
+        z.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(index).encode()))
+        z.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+    given = spark.createDataFrame([(f"file://{tmp_path}/others.wacz",)], "archive string")
+    got = {r.key: r for r in warc.read_archives(spark, given, "string", with_payload=True).collect()}
+    want = {"a1": b"one" * 50, "b1": "zwei é".encode(), "b2": b"\0bin\r\n\r\nary", "c1": b"plain", "c2": b""}
+    assert {k: bytes(r.payload) for k, r in got.items() if r.record_type == "response"} == {f"urn:uuid:{k}": v for k, v in want.items()}
+    assert all(r.payload_digest == sha(bytes(r.payload)) and r.payload_bytes == len(r.payload) for r in got.values() if r.record_type == "response")
+    r = got["urn:uuid:a2"]
+    assert (r.record_type, r.refers_to, r.payload_bytes, r.payload) == ("revisit", "urn:uuid:a1", None, None) and got["urn:uuid:b1"].target == "http://x/b1"
+    assert {r.key for r in warc.read_archives(spark, given).collect()} == {None}
+    with zipfile.ZipFile(tmp_path / "deflated.wacz", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("archive/a.warc.gz", b"x" * 1000)
+    with pytest.raises(Exception, match="not stored"):
+        warc.read_archives(spark, spark.createDataFrame([(f"file://{tmp_path}/deflated.wacz",)], "archive string")).count()
+
+
+def test_archives_roll_over(spark, odd):
+    rows = [(k, random.Random(k).randbytes(300).hex()) for k in range(40)] + [(50, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").coalesce(1)
+    written = warc.write_archives(pages, "page_id", "html", roll=2000)
+    assert written.count() > 5 and written.agg(F.sum("n_records")).first()[0] == 41
+    assert {(r.key, r.payload_digest) for r in warc.read_archives(spark, written).collect()} == {(k, sha(t or "")) for k, t in rows}
+
+
+def test_scans_cross_reads(monkeypatch):
+    import gzip
+    import io
+
+    monkeypatch.setattr(warc, "RANGE", 7)
+    records = [warc.record(k, "u", b"p" * k, sha(b"p" * k), None, k) for k in (0, 5, 100)]
+    for packed in (True, False):
+        data = b"".join(gzip.compress(r) if packed else r for r in records)
+        got = list(warc.scan_records(io.BytesIO(b"junk" + data + b"after"), 4, len(data), packed))
+        assert [len(block) for _, block in got] == [0, 5, 100]
+
+
 def test_zip_directory_rejects_rubbish(tmp_path):
     import io
 
