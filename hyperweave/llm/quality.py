@@ -4,8 +4,9 @@ Every line gets features of its own and of its two neighbours; the chain labels
 is the mean of its lines' forward-backward marginals of `good`, weighted by the lines' lengths; a logistic curve, fitted on
 the training documents, turns it into the probability of label 1. Inputs are the text alone.
 
-Training: at most `sample` labelled rows (a documented bound; those with the smallest hashes of their ids), of which only
-line features reach the driver. Lines of documents labelled 1 are good. Lines of the others start out bad; after a first
+Training: at most `sample` labelled rows (a documented bound; those with the smallest hashes of their ids) that have at
+most `lines` lines together (another; in the order of the hashes, a row that no longer fits is passed over), of which only
+line features reach the driver. Of rows that share an id, the shortest text trains. Lines of documents labelled 1 are good. Lines of the others start out bad; after a first
 fit, those that the chain itself takes for good are relabelled, except for each document's worst line, and it is fitted
 again.
 
@@ -24,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts
+from .common import settled, texts
 from .shingles import CHUNK, _words
 
-#: Labelled rows that the fit may use.
-SAMPLE = 4000
+#: Labelled rows that the fit may use, and lines that these may have together.
+SAMPLE, LINES = 4000, 400_000
 #: Score from which a document counts as good.
 CUT = 0.3
 FEATURES = (
@@ -198,8 +199,8 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> LineCrf:
-    """A chain fitted on at most `sample` labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, lines: int = LINES) -> LineCrf:
+    """A chain fitted on at most `sample` labelled rows with at most `lines` lines that are not held out."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"))
     known = known.orderBy(F.xxhash64("k"), "k").limit(sample)  # the bound of what is broadcast
 
@@ -209,7 +210,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 x, length, _ = line_features([t])
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([int(y)], pa.int32()), pa.array([x.astype(np.float32).tobytes()]), pa.array([length.astype(np.int64).tobytes()])], ["k", "y", "x", "length"])
 
-    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(known), "k").select(F.col("k").cast("long").alias("k"), "t", "y")
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(known), "k")
+    rows = settled(rows.groupBy(F.col("k").cast("long").alias("k")).agg(F.min("y").alias("y"), F.min(F.struct(F.length("t").alias("n"), "t")).alias("x")).select("k", "y", "x.t"))
+    sizes = rows.select("k", (F.octet_length("t") - F.octet_length(F.replace("t", F.lit("\n"), F.lit(""))) + 1).alias("n"), F.xxhash64("k").alias("h")).collect()  # at most `sample`
+    chosen, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r.h, r.k)):
+        if total + r.n <= lines:
+            chosen.append((r.k,))
+            total += r.n
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "k long")), "k", "left_semi").select("k", "t", "y")
     rows = sorted(rows.mapInArrow(features, "k long, y int, x binary, length binary").collect(), key=lambda r: (r.k, bytes(r.x)))
     length = [np.frombuffer(r.length, np.int64) for r in rows]
     if not rows:
