@@ -526,6 +526,97 @@ def test_quality(spark, odd, none):
     assert quality.score(odd, model, into="q").count() == odd.count()
 
 
+def plain_features(text):
+    """Every line's features, from its characters."""
+    ends, plain = b".?!:;\"'", b".,;:?'\"()-"
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    digit = lambda b: 48 <= b <= 57
+    mark = lambda b: 32 < b < 127 and not letter(b) and not digit(b)
+    odd = lambda b: mark(b) and b not in plain
+    rows, seen = [], []
+    for line in text.split(b"\n"):
+        words = [w for w in re.split(rb"[\x20\t-\r]+", bytes(b + 32 if 65 <= b <= 90 else b for b in line)) if w]
+        n, letters, marks, digits, odds = max(len(words), 1), sum(map(letter, line)), sum(map(mark, line)), sum(map(digit, line)), sum(map(odd, line))
+        all_seen = max(letters + marks + digits, 1)
+        rows.append([
+            np.log1p(len(words)), np.log1p(len(line)), sum(65 <= b <= 90 for b in line) / max(letters, 1), digits / all_seen, marks / all_seen, odds / all_seen,
+            len(set(words)) / n if words else 1, sum(a == b for a, b in zip(words, words[1:])) / n, np.log1p(sum(map(len, words)) / n),
+            sum(not any(letter(b) or digit(b) for b in w) for w in words) / n, sum(odd(w[-1]) for w in words) / n, float(bool(words) and words in seen),
+            float(bool(line) and 65 <= line[0] <= 90), float(bool(line) and line[-1] in ends),
+        ])
+        seen.append(words)
+    near = [[r[k] for k in quality.NEAR] for r in rows]
+    zero = [0.0] * len(quality.NEAR)
+    return np.array([r + (near[k - 1] if k else zero) + (near[k + 1] if k + 1 < len(rows) else zero) + [float(k == 0), float(k == len(rows) - 1), 1.0] for k, r in enumerate(rows)])
+
+
+def plain_score(model, text):
+    x = plain_features(text)
+    emit = np.clip((x - model.mean) / model.scale @ model.weights, -30, 30)
+    n, move = len(emit), model.step
+    ahead, back = [[0.0, emit[0]]], [[0.0, 0.0]]
+    for t in range(1, n):
+        ahead.append([np.logaddexp(ahead[-1][0] + move[0, y], ahead[-1][1] + move[1, y]) + y * emit[t] for y in (0, 1)])
+    for t in range(n - 1, 0, -1):
+        back.insert(0, [np.logaddexp(move[y, 0] + back[0][0], move[y, 1] + emit[t] + back[0][1]) for y in (0, 1)])
+    good = [1 / (1 + np.exp(a[0] + b[0] - a[1] - b[1])) for a, b in zip(ahead, back)]
+    weight = [max(len(line), 1) for line in text.split(b"\n")]
+    mean = np.clip(np.dot(good, weight) / sum(weight), 1e-4, 1 - 1e-4)
+    return 1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * np.log(mean / (1 - mean)))))
+
+
+def test_quality_scores_of_plain_text(spark, odd):
+    """Scores of the query's own operator against features, chain and weighting written out."""
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice(["Alpha", "beta.", "x9", "%%%", "gamma", "gamma", "é!", "$$"]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    docs = [(k, "\n".join(rng.sample(texts, rng.randint(1, 6)))) for k in range(120)] + [(500, None), (501, ""), (502, "\n\n"), (503, "same line\nSame  line\n\tother\x0bx\r")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").unionByName(odd.where("doc_id is null or doc_id not in (4, 5)").select("doc_id", "text"))
+    labels = spark.createDataFrame([(k, int("%%" not in (docs[k][1] or "")), 0) for k in range(120)], "doc_id long, quality int, toxic int")
+    model = quality.train(df, labels)
+    assert model.constant is None
+    for r in quality.score(df, model).collect():
+        assert abs(r.score - plain_score(model, (r.text or "").encode())) < 1e-9
+
+
+def test_fit_climbs_the_likelihood():
+    rng = np.random.default_rng(15)
+    n = np.array([3, 1, 4, 2])
+    x, y = rng.normal(size=(10, 3)), rng.integers(0, 2, 10)
+    model = quality.LineCrf()
+    model.weights, model.step = rng.normal(size=3), rng.normal(size=(2, 2))
+
+    def value(w, step):
+        score, at, out = x @ w, 0, 0.0
+        for m in n:
+            ways = [[(z >> t) & 1 for t in range(m)] for z in range(1 << m)]
+            weigh = lambda s, at=at: sum(score[at + t] * s[t] for t in range(len(s))) + sum(step[a, b] for a, b in zip(s, s[1:]))
+            out += weigh(list(y[at : at + m])) - np.logaddexp.reduce([weigh(s) for s in ways])
+            at += m
+        return out / len(y)
+
+    got = model._gradient(x, y, n, np.ones(10), 0.0)
+    for k in range(3):
+        d = np.eye(3)[k] * 1e-5
+        assert abs((value(model.weights + d, model.step) - value(model.weights - d, model.step)) / 2e-5 - got[0][k]) < 1e-7
+    for k in range(4):
+        d = np.eye(4)[k].reshape(2, 2) * 1e-5
+        assert abs((value(model.weights, model.step + d) - value(model.weights, model.step - d)) / 2e-5 - got[1].ravel()[k]) < 1e-7
+
+
+def test_training_is_bounded_by_lines(spark, odd):
+    rows = [(k, "good line.\n" * 5 if k % 2 else "%% $$\n" * 5) for k in range(40)] + [(100, "x\n" * 50_000)] + [(101, f"copy {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(100, 1), (101, 1)], "doc_id long, quality int")
+    seen = []
+    fit = quality.LineCrf.fit
+    quality.LineCrf.fit = lambda self, x, length, n, y, **more: seen.append((len(x), len(n))) or fit(self, x, length, n, y, **more)
+    try:
+        quality.train(docs, labels, lines=120)
+    finally:
+        quality.LineCrf.fit = fit
+    assert 100 <= seen[0][0] <= 120 and seen[0][1] <= 42
+
+
 def test_forward_backward_against_enumeration():
     import itertools
 
