@@ -6,8 +6,9 @@ template has lies whole in one, however it is wrapped. A template is found in a
 words. Words are ordered by their frequency in the whole corpus, rarest first. Prefix filter: a block that holds `need`
 of a template's n words holds one of its first n - need + 1. Length filter: the block has at least `need` words.
 Positional filter: from the first common word on, both sides must have enough words left. What passes is verified.
-All steps are DataFrame expressions. Templates are a parameter; their words are checked against a bound before they are
-broadcast.
+All steps are DataFrame expressions. Templates are a parameter, sentences or whole texts (see read_templates); as many are
+searched for at once as have `MOST_WORDS` distinct words together, so that what is broadcast stays bounded, and the
+others after them.
 
 Base phrases (consecutive words) are found beside the join and always reported.
 
@@ -19,8 +20,9 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import or_
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, settled
@@ -47,8 +49,8 @@ PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general publi
 THRESHOLD = 0.9
 #: Words of a wrapped notice, in the longest template's: notices say more than the template between its words.
 SLACK = 2
-#: Distinct words of all templates that may be broadcast.
-MOST_WORDS = 100_000
+#: Distinct words of the templates that are searched for at once.
+MOST_WORDS = 20_000
 #: Prefix words up to which lines are searched for their letters before they are split into words.
 MOST_NEEDLES = 64
 
@@ -58,14 +60,24 @@ def _block_words(column: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(0))
 
 
-def _template_sets(docs: DataFrame, templates: list[tuple[str, str]]) -> tuple[list, list[str]]:
-    """Templates with their lengths and sets of words, and all of these words."""
+def read_templates(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(label, text) of license texts, one in each file below the path; the label is the file's name without its ending."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("label"), "value")
+    return sorted((unquote(r.label), r.value) for r in files.collect())  # a bounded set by nature: there are some hundreds of licenses
+
+
+def _template_sets(docs: DataFrame, templates: list[tuple[str, str]]) -> list[tuple[list, list[str]]]:
+    """Templates with their lengths and sets of words, and all of these words: in slices of at most MOST_WORDS of them."""
     sets = docs.sparkSession.createDataFrame([(k, label, body) for k, (label, body) in enumerate(templates)], "template int, label string, body string")
     sets = sets.select("template", "label", F.size(_block_words("body")).alias("length"), F.array_distinct(_block_words("body")).alias("words")).where(F.size("words") > 0).collect()
-    known = sorted({w for r in sets for w in r.words})
-    if len(known) > MOST_WORDS:
-        raise ValueError(f"templates have {len(known)} distinct words; at most {MOST_WORDS} may be broadcast")
-    return sets, known
+    slices, held, known = [], [], set()
+    for r in sorted(sets, key=lambda r: r.template):
+        if held and len(known | set(r.words)) > MOST_WORDS:
+            slices.append((held, sorted(known)))
+            held, known = [], set()
+        held.append(r)
+        known |= set(r.words)
+    return [*slices, (held, sorted(known))]
 
 
 def _held(words: Column | str, known: list[str]) -> Column:
@@ -100,8 +112,13 @@ def find_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", templa
 
     held: a table (key, held, stretches) of each document's distinct template words and its stretches, if known already.
     """
+    slices = _template_sets(docs, templates)
+    found = [_find_slice(docs, key, text, sets, known, threshold, held if len(slices) == 1 else None) for sets, known in slices]
+    return reduce(DataFrame.unionByName, found).groupBy(key, "block", "label").agg(F.max("containment").alias("containment"))
+
+
+def _find_slice(docs: DataFrame, key: str, text: str, sets: list, known: list[str], threshold: float, held: DataFrame | None) -> DataFrame:
     spark = docs.sparkSession
-    sets, known = _template_sets(docs, templates)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     if held is None:
         held = docs.select(key, body.alias("body"), _held(_block_words(body), known).alias("held")).select(key, "held", _stretches("body", "held", sets, threshold).alias("stretches"))
@@ -129,8 +146,7 @@ def find_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", templa
     pairs = lines.withColumn("word", F.col("x.w")).join(F.broadcast(prefixes), "word")
     pairs = pairs.where("size(words) >= need AND 1 + least(size(template_words) - p - 1, n_held - q - 1) >= need")
     common = F.size(F.array_intersect("words", "template_words"))
-    verified = pairs.where(common >= F.col("need")).select("key", "block", "label", (common / F.size("template_words")).alias("containment"))
-    return verified.groupBy("key", "block", "label").agg(F.max("containment").alias("containment")).withColumnRenamed("key", key)
+    return pairs.where(common >= F.col("need")).select(F.col("key").alias(key), "block", "label", (common / F.size("template_words")).alias("containment"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -143,7 +159,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
         inside = f"CASE WHEN size(w) >= {len(want)} THEN filter(sequence(0, size(w) - {len(want)}), i -> {same}) ELSE cast(array() AS array<int>) END"
         places.append(f"transform({inside}, i -> named_struct('i', cast(i AS bigint), 'label', '{label}'))")
     found = f"CASE WHEN array_contains(w, 'license') THEN array_sort(concat({', '.join(places)})) END"
-    sets, known = _template_sets(docs, templates)
+    sets, known = _template_sets(docs, templates)[0]
     # lower() leaves the words' number as it is and makes none of the phrases' letters from others than A-Z
     rows = docs.select(key, body.alias("body"), _block_words(body).alias("w")).select(key, "body", F.size("w").cast("long").alias("n_words"), _held("w", known).alias("held"), F.expr(found).alias("places"))
     rows = settled(rows.select(key, "n_words", "held", "places", _stretches("body", "held", sets, threshold).alias("stretches")))
