@@ -458,6 +458,23 @@ def test_wrapped_notices(spark, odd):
     assert got == {1: "mit", 2: "bsd", 3: "mpl", 4: "cc0", 5: "", 6: "", 7: ""}
 
 
+def test_whole_license_texts(spark, odd, tmp_path, monkeypatch):
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    texts = {f"L-{k}.0": " ".join(rng.sample(words, 120)) for k in range(5)}
+    for name, body in texts.items():
+        (tmp_path / f"{name}.txt").write_text(textwrap.fill(body, 70))
+    templates = licenses.read_templates(spark, str(tmp_path))
+    assert [label for label, _ in templates] == sorted(texts)
+    rows = [(k, "intro\n\n" + textwrap.fill(body, 60, initial_indent="// ", subsequent_indent="// ") + "\n\nend") for k, body in enumerate(texts.values())] + [(9, " ".join(rng.sample(words, 90))), (10, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (20_000, 150):  # all at once, and one after the other
+        monkeypatch.setattr(licenses, "MOST_WORDS", most)
+        assert len(licenses._template_sets(df, templates)) == (1 if most > 400 else 5)
+        got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(df, templates=templates).collect()}
+        assert got == {k: (name, 1.0) for k, name in enumerate(texts)} | {9: ("", 0.0), 10: ("", 0.0)}
+
+
 # 7
 
 
