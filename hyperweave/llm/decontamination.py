@@ -5,9 +5,10 @@ whole. A document word is hit if it lies in any occurrence of a window. Nulls ha
 without words take no part; repeated item rows count once. Repeated document rows are each judged. Extra columns pass.
 An empty benchmark hits nothing; an empty document table gives no rows.
 
-Every window of the set that a hash finds is verified against the item's own words. One broadcast holds at most
-`slice_words` item words; a larger benchmark is dealt into slices by a hash of the item id, and the documents pass
-through one mapper after another, so that no worker holds more than one slice and no document is shuffled.
+Every window of the set that a hash finds is verified against the item's own words. One broadcast holds about
+`slice_words` item words; a larger benchmark is dealt into slices by a hash of the item id, longer items in pieces that
+overlap by a window less a word, and the documents pass through one mapper after another, so that no worker holds more
+than one slice and no document is shuffled.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WORD_TABLE, texts
+from .common import WORD, WORD_TABLE, ascii_lower, texts
 
-#: Words of benchmark items in one broadcast.
+#: Words of benchmark items in one broadcast, about.
 SLICE_WORDS = 4_000_000
 _WORD_BYTES = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -118,16 +119,18 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: st
     cut: the hit words' spans leave the text too, in the same pass.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item).alias("i"), F.col(item_text).cast("string").alias("t")).dropna().distinct()
-    words = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    slices = max(1, -(-words // (4 * slice_words)))
+    words = F.regexp_extract_all(ascii_lower(F.col(item_text).cast("string")), F.lit(WORD), F.lit(0))
+    items = benchmark.select(F.col(item).alias("i"), words.alias("w")).dropna().where(F.size("w") > 0).distinct()
+    slices = max(1, -(-(items.agg(F.sum(F.size("w"))).first()[0] or 0) // slice_words))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)), F.lit(slice_words))
+    pieces = items.select("i", "w", F.explode(starts).alias("at")).select("i", "at", F.array_join(F.slice("w", F.col("at") + 1, slice_words + size - 1), " ").alias("t"))
     if isinstance(items.schema["i"].dataType, (T.StructType, T.ArrayType, T.MapType)):
         raise TypeError("item ids must be atomic")
     kind = items.schema["i"].dataType
     found = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(kind))])
     df = docs.withColumn("__found", F.lit(None).cast(found))
     for k in range(slices):
-        rows = [(r.i, r.t.encode()) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(slices)) == k).collect()]
+        rows = [(r.i, r.t.encode()) for r in pieces.where(F.pmod(F.xxhash64("i", "at"), F.lit(slices)) == k).collect()]
         index = spark.sparkContext.broadcast(WindowIndex(rows, size))
         schema = T.StructType(df.schema.fields)
         mark = _marker(index, docs.columns.index(text), to_arrow_type(found), df.columns, cut and k == slices - 1)
