@@ -1,10 +1,16 @@
 """Corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input.
 
 quality      documents that the line chain rejects go
-duplicates   of documents whose shingle sets link, the smallest id stays
+duplicates   of documents whose shingle sets link, those of the smallest id stay
 benchmark    words inside benchmark windows are cut out; a document of nothing else goes
 privacy      identifiers and the terms that disclose them are generalised in place
-tokens       BPE ids of what is left, and their decoding
+tokens       BPE ids of what is left beside the text, with digests of the ids and of what they decode to
+
+Contract. Every stage takes all rows that the one before it kept and returns their columns, extra ones too; the last adds
+ids, n_tokens, ids_sha256 and decoded_sha256. Null and empty texts are scored as one empty line, link with nothing, hold
+nothing to cut, and have no ids; rows with a null id are never duplicates and never train. Rows that share an id share
+its component: where an id is not its component's smallest, all of its rows go. An empty table stays empty. n_chars, where
+it is there, follows the text.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digest(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.tokenise(docs, f"{TOKENIZERS}/word_bpe_49k.json")
 
 
 STAGES = [("quality", good), ("duplicates", unlike), ("benchmark", untested), ("privacy", private), ("tokens", encoded)]
