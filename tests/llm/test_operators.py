@@ -503,7 +503,7 @@ def test_decontamination(spark, odd, none):
     items = [(1, texts[10]), (2, " ".join(texts[11].split()[3:9])), (10, texts[10].upper()), (3, None), (4, " . "), (None, texts[12]), (5, "TEXT"), (2, " ".join(texts[11].split()[3:9]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_windows(rows_of(docs), items)
-    for size in (4_000_000, 20):  # one slice, and several
+    for size in (4_000_000, 20, 7):  # one slice, several, and items in pieces
         found = decontamination.find_windows(docs, bench, slice_words=size)
         assert bag(decontamination.report(found, "doc_id").collect()) == want
     hit = {r.doc_id for r in decontamination.report(found, "doc_id").where("contaminated").collect()}
@@ -783,13 +783,165 @@ def test_pipeline(spark, odd):
     first = {i for i, _, c in brute_components(rows) if i == c}
     kept = [(i, t) for i, t in rows if i in first]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
-    hits = {x[0]: x for x in brute_windows(kept, items)}
-    gone = {i for i, x in hits.items() if x[1] and x[1] == x[2]}
-    out = corpus_pipeline.run(spark, d).collect()
-    assert {r.doc_id for r in out} == first - gone and len(out) == len(first - gone)
+    cut = {i: brute_cut(t, items) for i, t in kept}
+    cut = {i: t for i, t in cut.items() if t is not None}
+    out = corpus_pipeline.run(spark, d)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert set(got) == set(cut) and out.count() == len(got)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "duplicates", "benchmark", "privacy", "tokens"]
-    clean = [i for i in first - gone if not hits[i][2] and sum(brute_pii(dict(kept)[i])[0]) == 0]
+    terms = brute_terms(list(cut.values()))
     with open(WORDS_FILE) as f:
         mine = bpe.Bpe(json.load(f))
-    ids = {r.doc_id: r.ids_sha256 for r in out}
-    assert clean and all(ids[i] == sha(mine.encode(dict(kept)[i])[1]) for i in clean)
+    source = {r.doc_id: r for r in docs.collect()}
+    for i, t in cut.items():
+        want = brute_sanitised(t, terms)
+        r = got[i]
+        assert r.text == want and r.n_chars == len(want) and (r.lang, r.source) == (source[i].lang, source[i].source)
+        ids = mine.ids(want)
+        assert r.ids == ids and r.n_tokens == len(ids) and r.ids_sha256 == sha(" ".join(map(str, ids))) and r.decoded_sha256 == sha(mine.decode(ids))
+
+
+def brute_cut(text, items, n=10):
+    """The text without the runs of words that benchmark windows cover; None if no word is left."""
+    t = text or ""
+    places = [m.span() for m in WORD.finditer(t.translate(LOWER))]
+    w = [t.translate(LOWER)[a:b] for a, b in places]
+    hit = set()
+    for item, body in items:
+        x = WORD.findall((body or "").translate(LOWER))
+        m = min(n, len(x))
+        windows = {tuple(x[k : k + m]) for k in range(len(x) - m + 1)} if x else set()
+        for k in range(len(w) - m + 1) if windows else ():
+            if tuple(w[k : k + m]) in windows:
+                hit |= set(range(k, k + m))
+    if w and len(hit) == len(w):
+        return None
+    out, at = "", 0
+    for k in sorted(hit):
+        if k - 1 not in hit:
+            out += t[at : places[k][0]]
+        at = places[k][1]
+    return out + t[at:] if hit else text
+
+
+def brute_spans(text):
+    """(start, kind, end, match) of the base kinds."""
+    found = []
+    for k, (kind, pattern) in enumerate(KINDS.items()):
+        for m in re.finditer(pattern, text):
+            one = brute_pii(m[0])[0] if kind != "email" else None
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(x) if j % 2 == 0 else int(x) * 2 - 9 * (int(x) > 4) for j, x in enumerate(reversed(digits))) % 10 == 0
+            if {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}[kind]:
+                assert one is None or one[k]
+                found.append((m.start(), k, m.end(), m[0]))
+    return sorted(found)
+
+
+def folded(x):
+    return x.lower().replace("ς", "σ")
+
+
+def brute_terms(texts, threshold=pii.THRESHOLD, support=pii.SUPPORT):
+    """Disclosing terms of each entity, from counts over all contexts."""
+    copies = collections.Counter(c for t in texts for c in re.findall(pii.STRETCH, t or ""))
+    n_e, n_te, n_t = collections.Counter(), collections.Counter(), collections.Counter()
+    seen_e, seen_te = collections.Counter(), collections.Counter()
+    for c, k in copies.items():
+        for w in set(WORD.findall(folded(c))):
+            n_t[w] += k
+        spans = brute_spans(c)
+        rest, at = "", 0
+        for a, _, b, _ in spans:
+            rest += c[at : max(a, at)] + " "
+            at = max(at, b)
+        words = {w for w in WORD.findall(folded(rest + c[at:])) if len(w) > 1}
+        for e in {(kind, m.translate(LOWER)) for _, kind, _, m in spans}:
+            n_e[e] += k
+            seen_e[e] += 1
+            for w in words:
+                n_te[e, w] += k
+                seen_te[e, w] += 1
+    total, out = sum(copies.values()), collections.defaultdict(set)
+    for (e, w), k in n_te.items():
+        if seen_te[e, w] >= support and 1 - np.log(max(n_t[w] / k, 1)) / np.log((total + 1) / n_e[e]) >= threshold:
+            out[e].add(w)
+    return out
+
+
+def brute_sanitised(text, terms):
+    if text is None:
+        return None
+    spans = [(a, k, b) for a, k, b, _ in brute_spans(text)]
+    known = set().union(*(terms.get((k, text[a:b].translate(LOWER)), set()) for a, k, b in spans))
+    for m in re.finditer(pii.ANY_WORD, text) if known else ():
+        if folded(m[0]) in known and not any(a < m.end() and m.start() < b for a, _, b in spans):
+            spans.append((m.start(), 4, m.end()))
+    out, at = "", 0
+    for a, k, b in sorted(spans):
+        if a >= at:
+            out += text[at:a] + f"[{[*KINDS, 'term'][k].upper()}]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_sanitised_against_counts(spark, odd):
+    rng = random.Random(17)
+    names = ["Éva", "Zoë Quark", "Ωmega", "smith"]
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 5))) for _ in range(40)]
+    sentence = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 12)))
+    rows = []
+    for k in range(150):
+        lines = [sentence() for _ in range(rng.randint(1, 4))]
+        if k % 3 == 0:
+            j = rng.randrange(4)
+            lines.insert(0, f"{sentence()} {rng.choice([str.lower, str.upper, str])(names[j])} {sentence()}, p{j}@x.org or 10.0.0.{j} {sentence()}")
+        if k % 10 == 0:
+            lines.append(rng.choice(names) + " " + sentence() * 60)
+        rows.append((k, "\n".join(lines)))
+    rows += [(200, rows[0][1]), (201, None)]
+    terms = brute_terms([t for _, t in rows])
+    assert terms
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert got == {i: brute_sanitised(t, terms) for i, t in rows} and any("[TERM]" in (t or "") for t in got.values())
+
+
+STAGE_ROWS = [(None, None), (None, "a text without an id, and a mail a@b.co"), (1, None), (2, ""), (3, "Plain words of a clean text that nobody else has."), (3, "Plain words of a clean text that nobody else has."), (4, "plain words of a clean text that nobody else has."), (5, "word " * 30_000), (6, "mail joe@x.org now")]
+
+
+def test_stages_on_odd_rows(spark, odd, tmp_path):
+    """Every stage keeps the columns, takes null and empty texts, repeated rows and empty tables."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score string, ids string, spans string, id int, key string"
+    spark.createDataFrame([(k, 1, 0) for k in range(3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing of this stands anywhere else in any of the other texts at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows in ([], STAGE_ROWS):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "y", "z", 1, "k") for i, t in rows], kind)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            got = out.collect()
+            if name != "tokens":
+                assert out.columns == docs.columns and out.schema["text"].dataType == docs.schema["text"].dataType
+            else:
+                assert set(docs.columns) <= set(out.columns) and all(r.n_tokens == len(r.ids) for r in got)
+            want = {"duplicates": len(rows) - (1 if rows else 0)}.get(name, len(rows))
+            assert len(got) == want, name
+            assert all(r.score == "x" and r.key == "k" for r in got)
+
+
+def test_queries_on_odd_tables(spark, odd, tmp_path):
+    """op1 to op10 as they are registered, on empty tables and on odd rows with clashing columns."""
+    for k, rows in enumerate(([], STAGE_ROWS)):
+        d = f"{tmp_path}/{k}"
+        extra = [(i, t, "en", "s", len(t or ""), 1.0, "y", 7) for i, t in rows]
+        spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, n_words int").write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(i, "u", t, 1.0) for i, t, *_ in extra], "page_id long, url string, html string, k double").write.parquet(f"{d}/pages.parquet")
+        spark.createDataFrame([(i, None if t is None else [float(len(t)), 1.0], 1, 2.0) for i, t, *_ in extra], "vec_id long, embedding array<float>, label int, score double").write.parquet(f"{d}/embeddings.parquet")
+        spark.createDataFrame([(i, t) for i, t, *_ in extra[:2]], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        spark.createDataFrame([(i, 1, 0) for i, *_ in extra[:4]], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        for name, query in queries.QUERIES.items():
+            n = query(spark, d).count()
+            assert n == len(rows) or name.startswith("op1_"), name
