@@ -10,10 +10,11 @@ in its own band and in those whose sets it may be the smaller partner of. Empty
 so many of them that the argument would fail otherwise, which loses nothing: two sets of which one has fewer agree in a
 part that is not empty.
 
-Of a posted state, the smallest document is the hub; every other one is verified against it on the whole sets. Where all
-of a hub's documents hold, they are connected and no pair among them is needed. Where one fails, the hub's documents are
-compared with each other, in blocks, on full bit sketches, and what passes is verified too. So no link between different
-components is lost, and no group is expanded into its pairs.
+Of a posted state, the smallest document is the hub; every other one is verified against it on the whole sets (of a hot
+state, against the smallest of its slice, and these against the hub). Where all of a hub's documents hold, they are
+connected and no pair among them is needed. Where one fails, the hub's documents are compared with each other, in blocks,
+on full bit sketches, and what passes is verified too. So no link between different components is lost, no group is
+expanded into its pairs, and no task holds all documents of a hot state.
 
 Contract. Null text counts as empty. A document without words has an empty set and no links. Rows that share an id are
 one node. A null id takes no part: its row is returned with a null component. Sets are of 64-bit hashes. Ties do not
@@ -37,12 +38,12 @@ from .shingles import mix, shingle_sets
 
 #: Linking similarity, in hundredths, and words in a shingle.
 PERCENT, WORDS = 80, 5
-#: Postings in one task's bucket.
-POSTINGS = 400_000
+#: Postings in one task's bucket, and documents of a slice from which a state they share is pre-aggregated.
+POSTINGS, HOT = 400_000, 4
 #: Documents, and bytes of text but for one document, whose sets a worker holds at once.
 SLICE, SLICE_BYTES = 400, 4 << 20
-#: Places of the fixed-size table of id hashes that spares most documents the second reading.
-FILTER_BITS = 18
+#: Places (a power of two) of the fixed-size bitmap of id hashes that spares most documents the second reading.
+FILTER_BITS = 24
 #: Documents in a block of the last comparison: at least and at most.
 BLOCK = (512, 8192)
 
@@ -88,8 +89,8 @@ def postings(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarr
         which = np.repeat(np.arange(len(at)), n)
         tokens = every[np.repeat(starts[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(at) < len(sets) else every
         part = ((tokens & np.uint64(0xFFFFFFFF)) * parts[which].astype(np.uint64)) >> np.uint64(32)
-        bit = (tokens >> np.uint64(40)) & np.uint64(0xFFFF)
-        code = mix(bit | (part << np.uint64(16)) | (band[which].astype(np.uint64) << np.uint64(48)))
+        # a part has 2^32 bits, so that unlike sets hardly ever agree in one by chance; only those toggled are held
+        code = mix((tokens >> np.uint64(32)) | (part << np.uint64(32)) | (band[which].astype(np.uint64) << np.uint64(56)))
         place = first[which] + part.astype(np.int64)
         state = np.zeros(first[-1], np.uint64)
         np.bitwise_xor.at(state, place, code)
@@ -166,64 +167,119 @@ def describe(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     return _sets(docs, key, text, words, rows, "id long, n long, fingerprint binary, sketch binary")
 
 
-def hub_pairs(docs: DataFrame, bands: Bands, buckets: int, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, hub, crowded): each document with the smallest one of every posted state that it shares; crowded: if any
-    such state has more than two documents. Postings travel packed, by bucket."""
+def _runs(states: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The postings by state and id, and where each state's begin and how many they are."""
+    order = np.lexsort((ids, states))
+    states, ids = states[order], ids[order]
+    first = np.flatnonzero(np.concatenate([[True], states[1:] != states[:-1]])) if len(states) else np.zeros(0, np.int64)
+    return states, ids, first, np.diff([*first, len(states)])
+
+
+def _pair_rows(ids: np.ndarray, hubs: np.ndarray, flags: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Distinct (id, hub, flags), packed by a hash of the id, in the columns of postings."""
+    other = ids != hubs
+    pairs = np.unique(np.stack([ids[other], hubs[other], flags[other]], 1), axis=0)
+    for batch in _dealt((mix(pairs[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), [pairs], ["bucket", "pairs"]):
+        none = pa.nulls(batch.num_rows, pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), none, none, batch.column(1)], _POSTED)
+
+
+_POSTED = ["bucket", "states", "ids", "pairs"]
+#: Of a pair: its state has more than two documents; both were met by the task that posted them; or by a state's task.
+CROWDED, LOCAL, WIDE = 1, 2, 4
+
+
+def hub_pairs(docs: DataFrame, bands: Bands, buckets: int, key: str = "doc_id", text: str = "text", words: int = WORDS, hot_from: int = HOT) -> DataFrame:
+    """(id, hub, crowded, local, wide): each document with the smallest one of every posted state that it shares; crowded:
+    if any such state has more than two documents.
+
+    Postings travel packed, by bucket: 47 bits of a state, a mark, and the id. A state that `hot_from` or more documents of one
+    slice share is pre-aggregated: they are paired with the slice's smallest (local), and only that one, marked, goes on
+    to meet those of other slices (wide). So what one task gets of the most frequent state is an id for each slice.
+    """
+    buckets |= 1  # odd: the bits that make the bucket are not those that travel
 
     def post(ids, sets):
         states, owners = postings(sets, bands)
-        yield from _dealt((states % np.uint64(buckets)).astype(np.int64), [states, ids[owners].astype(np.int64)], ["bucket", "states", "ids"])
+        states, own, first, n = _runs(states, ids[owners].astype(np.int64))
+        hot = n >= hot_from
+        sent = ~np.repeat(hot, n)
+        sent[first[hot]] = True
+        inside = np.repeat(hot, n)
+        hubs = np.repeat(own[first], n)
+        yield from _pair_rows(own[inside], hubs[inside], np.full(inside.sum(), CROWDED | LOCAL), buckets)
+        marked = np.zeros(len(states), np.uint64)
+        marked[first[hot]] = 1
+        kept = ((states << np.uint64(1)) | marked)[sent]
+        low = kept.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        own = own[sent]
+        small = len(own) and int(own.max()) - int(own.min()) < 1 << 32
+        base = own.min() if small else np.int64(0)
+        for batch in _dealt(((states[sent] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), [low, (own - base).astype("<u4" if small else "<i8")], _POSTED[:3]):
+            numbers = pa.array([base.tobytes() + x for x in batch.column(2).to_pylist()], pa.binary())  # what they count from goes before them
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), numbers, pa.nulls(batch.num_rows, pa.binary())], _POSTED)
+
+    def unpacked(states: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n = len(states) // 6
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, :6] = np.frombuffer(states, np.uint8).reshape(n, 6)
+        own = np.frombuffer(ids, "<i8" if len(ids) == 8 + 8 * n else "<u4", offset=8).astype(np.int64)
+        return whole.view("<u8").ravel(), own + np.frombuffer(ids, "<i8", 1)[0]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states, ids = [], []
+        held = []
         for batch in batches:
-            states += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            ids += [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-        if not states:
+            pairs = batch.filter(batch.column(3).is_valid())
+            if pairs.num_rows:
+                yield pairs
+            held += [unpacked(x, y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()) if x is not None]
+        if not held:
             return
-        states, ids = np.concatenate(states), np.concatenate(ids)
-        order = np.argsort(states)
-        states, ids = states[order], ids[order]
+        states, ids = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+        marked = (states & np.uint64(1)).astype(bool)
+        order = np.argsort(states >> np.uint64(1), kind="stable")
+        states, ids, marked = states[order] >> np.uint64(1), ids[order], marked[order]
         same = np.concatenate([[False], states[1:] == states[:-1], [False]])
         met = same[1:] | same[:-1]  # alone in its state: nothing to say
-        states, ids = states[met], ids[met]
-        if not len(states):
-            return
-        first = np.flatnonzero(np.concatenate([[True], states[1:] != states[:-1]]))
-        n = np.diff([*first, len(states)])
-        hub, crowd = np.repeat(np.minimum.reduceat(ids, first), n), np.repeat(n > 2, n)
-        other = ids != hub
-        pairs = np.unique(np.stack([ids[other], hub[other], crowd[other]], 1), axis=0)
-        yield from _dealt((mix(pairs[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), [pairs], ["bucket", "pairs"])
+        states, ids, marked = states[met], ids[met], marked[met]
+        if len(states):
+            first = np.flatnonzero(np.concatenate([[True], states[1:] != states[:-1]]))
+            n = np.diff([*first, len(states)])
+            crowd = (n > 2) | np.logical_or.reduceat(marked, first)
+            yield from _pair_rows(ids, np.repeat(np.minimum.reduceat(ids, first), n), np.repeat(np.where(crowd, CROWDED | WIDE, WIDE), n), buckets)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x, np.int64).reshape(-1, 3) for batch in batches for x in batch.column(1).to_pylist()]
+        held = [np.frombuffer(x, np.int64).reshape(-1, 3) for batch in batches for x in batch.column(3).to_pylist()]
         if not held:
             return
         pairs = np.unique(np.concatenate(held), axis=0)
-        last = np.append((pairs[1:, :2] != pairs[:-1, :2]).any(1), True)  # of a pair's rows the crowded one, if any
-        pairs = pairs[last]
+        first = np.flatnonzero(np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(1)))
+        flags, pairs = np.bitwise_or.reduceat(pairs[:, 2], first), pairs[first]
         for at in range(0, len(pairs), 100_000):
-            p = pairs[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 2] > 0)], ["id", "hub", "crowded"])
+            p, f = pairs[at : at + 100_000], flags[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), *(pa.array(f & x > 0) for x in (CROWDED, LOCAL, WIDE))], ["id", "hub", "crowded", "local", "wide"])
 
-    posted = _sets(docs, key, text, words, post, "bucket int, states binary, ids binary")
-    met = posted.repartition(buckets, "bucket").mapInArrow(meet, "bucket int, pairs binary")
-    return met.repartition(buckets, "bucket").mapInArrow(once, "id long, hub long, crowded boolean")
+    schema = "bucket int, states binary, ids binary, pairs binary"
+    posted = _sets(docs, key, text, words, post, schema)
+    met = posted.repartition(buckets, "bucket").mapInArrow(meet, schema)
+    return met.select("bucket", "pairs").repartition(buckets, "bucket").select("bucket", F.lit(None).alias("s"), F.lit(None).alias("i"), "pairs").mapInArrow(once, "id long, hub long, crowded boolean, local boolean, wide boolean")
 
 
 def _with_sets(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(id, set) of the documents in the pairs' columns a and b."""
     ids = settled(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << FILTER_BITS)).cast("int")
-    table = np.zeros(1 << FILTER_BITS, bool)
-    table[[r[0] for r in ids.select(place("id")).distinct().collect()]] = True  # at most so many, however many ids
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
+    table = np.zeros(1 << FILTER_BITS - 3, np.uint8).reshape(-1, 4096)
+    parts = ids.select(F.shiftright(place("id"), 15).alias("part"), place("id").bitwiseAND(32767).alias("bit"))
+    for r in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # 512 rows at most, however many ids
+        table[r.part] = np.frombuffer(r.bits, np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(table.ravel())
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(held.value).view(bool)
+        bits = held.value
         for batch in batches:
-            kept = batch.filter(pa.array(bits[batch.column(2).to_numpy()])).select([0, 1])
+            at = batch.column(2).to_numpy()
+            kept = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool))).select([0, 1])
             for part in _slices(kept):
                 sets = shingle_sets(texts(part.column(1)), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
@@ -290,18 +346,18 @@ def _in_blocks(members: DataFrame, percent: int) -> DataFrame:
                 if ok.any():
                     out.append(np.stack([np.full(ok.sum(), ids[at[k]]), ids[at[other]][ok]], 1))
         pairs = np.concatenate(out)
-        return pa.table({"a": pairs.max(1, initial=0), "b": pairs.min(1, initial=1 << 62)})
+        return pa.table({"a": pairs.max(1), "b": pairs.min(1)})
 
     return dealt.groupBy("hub", "i", "j").applyInArrow(near, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS, hot_from: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(described, linked): describe(docs), and pairs (a, b) of ids that link, enough to connect all that any link does."""
     described = settled(describe(docs, key, text, words))
     total = described.agg(F.max("n"), F.sum("n")).first()
     bands = Bands(percent, total[0] or 0)
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total[1] or 0) // POSTINGS)
-    found = settled(hub_pairs(docs, bands, buckets, key, text, words))
+    found = settled(hub_pairs(docs, bands, buckets, key, text, words, hot_from))
     info = lambda c: described.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("fingerprint").alias(f"f_{c}"), F.col("sketch").alias(f"s_{c}"))
     known = found.select(F.col("id").alias("a"), F.col("hub").alias("b")).join(info("a"), "a").join(info("b"), "b")
     known = known.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").withColumn("equal", F.expr("f_a = f_b AND n_a = n_b"))
@@ -313,8 +369,13 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     mixed = settled(unfit.select("hub").distinct())
     if mixed.isEmpty():
         return described, linked
+    # the hub of a slice answers through those that it met, whose documents are its own and those of all their slices
+    over = found.where("wide AND crowded").join(mixed.select(F.col("hub").alias("id")), "id", "left_semi")
+    mixed = settled(over.select("hub").unionByName(mixed.join(over.select(F.col("id").alias("hub")), "hub", "left_anti")).distinct())
     parts = settled(components(linked, "a", "b"))
-    members = found.where("crowded").join(mixed, "hub", "left_semi").select("hub", "id")
+    direct = found.where("crowded").join(mixed, "hub", "left_semi")
+    below = direct.where("wide").select(F.col("hub").alias("top"), F.col("id").alias("hub")).join(found.where("local").select("hub", "id"), "hub")
+    members = direct.select("hub", "id").unionByName(below.select(F.col("top").alias("hub"), "id"))
     members = members.unionByName(mixed.select("hub", F.col("hub").alias("id"))).distinct()
     members = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = settled(members.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("hub"))
@@ -326,9 +387,9 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     return described, settled(linked.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS, hot_from: int = HOT) -> DataFrame:
     """(key, n_shingles, component_id), a row for each row of docs."""
-    described, linked = links(docs, key, text, percent, words)
+    described, linked = links(docs, key, text, percent, words, hot_from)
     labels = settled(components(linked, "a", "b"))
     rows = described.join(labels, described.id == labels.node, "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     lost = docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias(key), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
