@@ -731,6 +731,26 @@ def test_jaccard_join(spark, odd, none):
     assert parity.near_duplicates(none).count() == 0 and parity.deduplicate(none).count() == 0
 
 
+def test_hot_states_in_slices(spark, odd):
+    """Documents that share passages but do not all link, under ids that are far apart, with and without pre-aggregation."""
+    rng = random.Random(18)
+    words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(300)]
+    shared = [[rng.choice(words) for _ in range(60)] for _ in range(3)]
+    rows = []
+    for k in range(120):
+        base = list(rng.choice(shared))
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            base[rng.randrange(60)] = rng.choice(words)
+        tail = [rng.choice(words) for _ in range(rng.choice([0, 1, 5, 12, 14, 16, 40]))]
+        rows.append((rng.choice([k, -k - 1, (1 << 62) + k, (1 << 33) * k]), " ".join(base + tail)))
+    rows = list(dict(rows).items())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) > 3
+    for hot in (2, 4, 1000):
+        assert bag(parity.near_duplicates(df, hot_from=hot).collect()) == want
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(2)
     for _ in range(60):
