@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ PIECE = 1 << 20
 BUCKET, CROWD = 250_000, 2000
 #: Fragments whose windows are looked at together.
 AT_ONCE = 4000
+#: Equal fragments (or windows) that one task meets from which it decides them itself and sends one on for all.
+HOT = 4
 _CODES = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
 _BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Fingerprints are polynomials modulo a prime, two in each; four bases, codes of the bytes for each.
@@ -47,8 +50,9 @@ _VALUES = np.random.default_rng(11).integers(1, _PRIME, (4, 256), dtype=np.uint6
 _LOW = np.uint64((1 << 24) - 1)
 _MARK = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("salt", "<i4"), ("start", "<i8"), ("print", "<u8"), ("n", "<i4")])
 _FOUND = np.dtype([("doc", "<i8"), ("salt", "<i4"), ("anchor", "<u8"), ("start", "<i8"), ("n", "<i4"), ("kind", "<i4")])
-_WINDOW = np.dtype([("print", "<u8"), ("other", "<u8"), ("doc", "<i8"), ("salt", "<i4"), ("start", "<i8")])
+_WINDOW = np.dtype([("print", "<u8"), ("other", "<u8"), ("doc", "<i8"), ("salt", "<i4"), ("start", "<i8"), ("many", "?")])
 SPAN, ASK, ASK_CROWD = 0, 1, 2
+FRAGMENTS, WINDOWS, DONE = 0, 1, 2
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -150,7 +154,40 @@ def _gathered(batches: Iterator[pa.RecordBatch], column: int, kind: np.dtype) ->
     return np.concatenate(held) if held else np.zeros(0, kind)
 
 
-def _marks(docs: DataFrame, buckets: int, length: int) -> DataFrame:
+def _hot(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with these keys: which agree with HOT or more, and which of those goes on for them."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    hot = np.zeros(len(order), bool)
+    group = np.cumsum(new) - 1
+    hot[order] = (np.bincount(group) >= HOT)[group] if len(order) else False
+    first = np.zeros(len(order), bool)
+    first[order[new]] = True
+    return hot, hot & first
+
+
+def _found(rows: np.ndarray, kind: int = SPAN) -> np.ndarray:
+    out = np.zeros(len(rows), _FOUND)
+    for c in set(rows.dtype.names) & {"doc", "salt", "anchor", "start", "n"}:
+        out[c] = rows[c]
+    out["kind"] = kind
+    return out
+
+
+def _apart(packed: Iterator[pa.RecordBatch], found: bool) -> Iterator[pa.RecordBatch]:
+    """(bucket, rows, found) from (bucket, rows): what is still to be met, or what is found already."""
+    for b in packed:
+        none = pa.nulls(b.num_rows, pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), *((none, b.column(1)) if found else (b.column(1), none))], ["bucket", "rows", "found"])
+
+
+def _marks(docs: DataFrame, buckets: int, doc_buckets: int, length: int) -> DataFrame:
+    """Fragments by anchor. A task that meets many equal ones says itself that they repeat, and sends one, with its number
+    of windows below 0, so that no task gets all copies of a frequent passage."""
+
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, salts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -161,16 +198,27 @@ def _marks(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                 own = np.array(places)[text]
                 rows["anchor"], rows["doc"], rows["salt"], rows["print"], rows["n"] = h, keys[own], salts[own], prints, n
                 rows["start"] = first - bounds[text] + np.array(offsets)[text]
-                yield from _packed(rows, h, buckets, ["bucket", "rows"])
+                hot, sent = _hot(rows["print"], rows["anchor"])
+                out = _found(rows[hot])
+                yield from _apart(_packed(out, out["doc"].view(np.uint64), doc_buckets, ["bucket", "rows"]), True)
+                rows["n"][sent] *= -1
+                rows = rows[~hot | sent]
+                yield from _apart(_packed(rows, rows["anchor"], buckets, ["bucket", "rows"]), False)
 
-    return docs.select("key", "salt", "text").mapInArrow(mapped, "bucket int, rows binary")
+    return docs.select("key", "salt", "text").mapInArrow(mapped, "bucket int, rows binary, found binary")
 
 
 def _meet(marks: DataFrame, buckets: int, doc_buckets: int, crowd: int) -> DataFrame:
     """What the anchors that occur again say: whole fragments that repeat, and fragments to be looked at."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _gathered(batches, 1, _MARK)
+        held = []
+        for batch in batches:
+            done = batch.filter(batch.column(2).is_valid())
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays([done.column(0), done.column(2)], ["bucket", "rows"])
+            held.append(batch.filter(batch.column(1).is_valid()))
+        rows = _gathered(iter(held), 1, _MARK)
         rows = rows[np.lexsort((rows["start"], rows["salt"], rows["doc"], rows["print"], rows["anchor"]))]
         if not len(rows):
             return
@@ -178,13 +226,12 @@ def _meet(marks: DataFrame, buckets: int, doc_buckets: int, crowd: int) -> DataF
         new_print = new_anchor | np.concatenate([[True], rows["print"][1:] != rows["print"][:-1]])
         group, kind = np.cumsum(new_anchor) - 1, np.cumsum(new_print) - 1
         kinds = np.bincount(group, new_print)[group]
-        many = np.bincount(kind)[kind] > 1
+        many = (np.bincount(kind)[kind] > 1) | (np.bincount(kind, rows["n"] < 0)[kind] > 0)
+        rows["n"] = np.abs(rows["n"])
         ask = new_print & (kinds > 1)
-        out = np.zeros(many.sum() + ask.sum(), _FOUND)
-        for at, what, code in ((slice(0, many.sum()), many, SPAN), (slice(many.sum(), None), ask, np.where(kinds[ask] > crowd, ASK_CROWD, ASK))):
-            for c in ("doc", "salt", "anchor", "start", "n"):
-                out[c][at] = rows[c][what]
-            out["kind"][at] = code
+        asked = _found(rows[ask], ASK)
+        asked["kind"][kinds[ask] > crowd] = ASK_CROWD
+        out = np.concatenate([_found(rows[many]), asked])
         yield from _packed(out, out["doc"].view(np.uint64), doc_buckets, ["bucket", "rows"])
 
     return marks.repartition(buckets, "bucket").mapInArrow(mapped, "bucket int, rows binary")
@@ -218,11 +265,23 @@ def _by_doc(found: DataFrame, doc_buckets: int, length: int) -> DataFrame:
     return found.repartition(doc_buckets, "bucket").mapInArrow(mapped, "key long, salt int, spans binary, asks binary")
 
 
-def _cut(asked: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Asked-for fragments with their texts, by anchor; of crowded anchors the windows, by fingerprint."""
+def _runs_of(w: np.ndarray) -> np.ndarray:
+    """Windows as spans, consecutive ones together."""
+    w = w[np.lexsort((w["start"], w["salt"], w["doc"]))]
+    if not len(w):
+        return np.zeros(0, _FOUND)
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(w["start"]) != 1) | (w["doc"][1:] != w["doc"][:-1]) | (w["salt"][1:] != w["salt"][:-1])]))
+    out = _found(w[new])
+    out["n"] = np.diff([*new, len(w)])
+    return out
+
+
+def _cut(asked: DataFrame, buckets: int, doc_buckets: int, length: int) -> DataFrame:
+    """Asked-for fragments with their texts, by anchor; of crowded anchors the windows, by fingerprint, those that one
+    task meets often decided there and sent once."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["bucket", "windows", "rows", "texts"], (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+        names, kinds = ["bucket", "what", "rows", "texts"], (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         for batch in batches:
             fragments: dict[int, tuple[list, list]] = {}
             crowded = []
@@ -242,15 +301,19 @@ def _cut(asked: DataFrame, buckets: int, length: int) -> DataFrame:
                     for which, c in enumerate(("print", "other")):
                         windows[c] = Prints(data, which).of(starts, starts + length)
                     crowded.append(windows)
-            out = [(b, False, np.concatenate(r).tobytes(), b"".join(t)) for b, (r, t) in fragments.items()]
+            out = [(b, FRAGMENTS, np.concatenate(r).tobytes(), b"".join(t)) for b, (r, t) in fragments.items()]
             if crowded:
                 windows = np.concatenate(crowded)
-                for part in _packed(windows, windows["print"], buckets, ["bucket", "rows"]):
-                    out += [(b, True, r, b"") for b, r in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                hot, sent = _hot(windows["other"], windows["print"])
+                windows["many"] = sent
+                done, windows = _runs_of(windows[hot]), windows[~hot | sent]
+                for what, rows, by, n in ((WINDOWS, windows, windows["print"], buckets), (DONE, done, done["doc"].view(np.uint64), doc_buckets)):
+                    for part in _packed(rows, by, n, ["bucket", "rows"]):
+                        out += [(b, what, r, b"") for b, r in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    return asked.select("text", "asks").mapInArrow(mapped, "bucket int, windows boolean, rows binary, texts binary")
+    return asked.select("text", "asks").mapInArrow(mapped, "bucket int, what int, rows binary, texts binary")
 
 
 def repeated_windows(runs: list[bytes], length: int) -> list[np.ndarray]:
@@ -309,10 +372,13 @@ def _decide(cut: DataFrame, buckets: int, doc_buckets: int, length: int) -> Data
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, windows = [], [], []
         for batch in batches:
-            for is_windows, r, t in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                if is_windows:
+            done = batch.filter(pc.equal(batch.column(1), DONE))
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays([done.column(0), done.column(2)], ["bucket", "rows"])
+            for what, r, t in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                if what == WINDOWS:
                     windows.append(np.frombuffer(r, _WINDOW))
-                else:
+                elif what == FRAGMENTS:
                     rows.append(np.frombuffer(r, _FOUND))
                     held.append(t)
         found = []
@@ -339,13 +405,7 @@ def _decide(cut: DataFrame, buckets: int, doc_buckets: int, length: int) -> Data
             w = np.concatenate(windows)
             w = w[np.lexsort((w["other"], w["print"]))]
             same = (w["print"][1:] == w["print"][:-1]) & (w["other"][1:] == w["other"][:-1])
-            w = w[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-            w = w[np.lexsort((w["start"], w["salt"], w["doc"]))]
-            if len(w):
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(w["start"]) != 1) | (w["doc"][1:] != w["doc"][:-1]) | (w["salt"][1:] != w["salt"][:-1])]))
-                out = np.zeros(len(new), _FOUND)
-                out["doc"], out["salt"], out["start"], out["n"] = w["doc"][new], w["salt"][new], w["start"][new], np.diff([*new, len(w)])
-                found.append(out)
+            found.append(_runs_of(w[np.concatenate([same, [False]]) | np.concatenate([[False], same]) | w["many"]]))
         for out in found:
             yield from _packed(out, out["doc"].view(np.uint64), doc_buckets, ["bucket", "rows"])
 
@@ -362,9 +422,9 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(n, 2 * total // (length - ANCHOR) // BUCKET)
     doc_buckets = max(n, buckets // 2)
-    first = settled(_by_doc(_meet(_marks(rows, buckets, length), buckets, doc_buckets, crowd), doc_buckets, length))
+    first = settled(_by_doc(_meet(_marks(rows, buckets, doc_buckets, length), buckets, doc_buckets, crowd), doc_buckets, length))
     asked = rows.select("key", "salt", "text").join(first.where(F.col("asks").isNotNull()).select("key", "salt", "asks"), ["key", "salt"])
-    second = settled(_by_doc(_decide(_cut(asked, buckets, length), buckets, doc_buckets, length), doc_buckets, length))
+    second = settled(_by_doc(_decide(_cut(asked, buckets, doc_buckets, length), buckets, doc_buckets, length), doc_buckets, length))
     spans = first.select("key", "salt", "spans").unionByName(second.select("key", "salt", "spans")).where(F.octet_length("spans") > 0)
     spans = spans.groupBy("key", "salt").agg(F.collect_list("spans").alias("__spans"))  # two of a document at most
     return rows.join(spans, ["key", "salt"], "left").select(F.col("__id").alias(key), F.col("text").alias("__text"), "__spans")
