@@ -306,6 +306,22 @@ def test_repeats(spark, odd, none):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def test_passages_that_one_task_meets_often(spark, odd):
+    rng = random.Random(19)
+    text = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    passages = [text(500), text(230)]
+    rows = []
+    for k in range(90):
+        p = passages[k % 2]
+        if k % 5 == 0:
+            p = p[: rng.randrange(210, len(p) + 1)]
+        rows.append((k, rng.choice(["", text(rng.randrange(300))]) + p + rng.choice(["", text(rng.randrange(300))])))
+    rows += [(200, passages[0][:250] + "#" + passages[0][250:]), (201, passages[1][5:])]
+    want = brute_repeats(rows)
+    for parts, crowd in ((1, 2000), (1, 3), (30, 2000), (30, 3)):
+        assert repeats_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), crowd=crowd) == want
+
+
 def test_crowded_anchor(spark, odd):
     rng = random.Random(3)
     passage = "".join(rng.choice("abcdef ") for _ in range(260))
