@@ -322,10 +322,11 @@ def _in_blocks(members: DataFrame, percent: int) -> DataFrame:
 
     members: (hub, id, component, n, sketch). Every hub's documents are dealt into blocks; a task has two blocks of one hub.
     """
-    sizes = settled(members.groupBy("hub").agg(F.count("*").alias("size")))
     few, most = BLOCK
+    large = settled(members.groupBy("hub").agg(F.count("*").alias("size")).where(F.col("size") > few))  # the others are one block
     n_blocks = F.greatest(F.ceil(F.col("size") / most), F.least(F.lit(32), F.ceil(F.col("size") / few))).cast("int")
-    rows = members.join(sizes.select("hub", n_blocks.alias("blocks")), "hub").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = members.join(large.select("hub", n_blocks.alias("blocks")), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("hub", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "id", "component", "n", "sketch")
 
@@ -372,16 +373,24 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     # the hub of a slice answers through those that it met, whose documents are its own and those of all their slices
     over = found.where("wide AND crowded").join(mixed.select(F.col("hub").alias("id")), "id", "left_semi")
     mixed = settled(over.select("hub").unionByName(mixed.join(over.select(F.col("id").alias("hub")), "hub", "left_anti")).distinct())
-    parts = settled(components(linked, "a", "b"))
+    parts = settled(components(linked, "a", "b")).withColumnRenamed("node", "id")
+    own = described.select("id", "fingerprint").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     direct = found.where("crowded").join(mixed, "hub", "left_semi")
-    below = direct.where("wide").select(F.col("hub").alias("top"), F.col("id").alias("hub")).join(found.where("local").select("hub", "id"), "hub")
-    members = direct.select("hub", "id").unionByName(below.select(F.col("top").alias("hub"), "id"))
-    members = members.unionByName(mixed.select("hub", F.col("hub").alias("id"))).distinct()
-    members = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = settled(members.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("hub"))
+    asked = direct.where("wide").select(F.col("id").alias("hub")).distinct()
     # exact copies answer through one of them
-    members = members.join(several, "hub", "left_semi").join(described, "id")
-    members = settled(members.groupBy("hub", "fingerprint", "component").agg(F.min(F.struct("id", "n", "sketch")).alias("x")).select("hub", "component", "x.*"))
+    inside = found.where("local").select("hub", "id").join(asked, "hub", "left_semi").join(own, "id")
+    inside = settled(inside.groupBy("hub", "fingerprint", "component").agg(F.min("id").alias("id")))
+    # only hubs that have several components are taken apart; which ones is seen from each slice's first and last component
+    ends = (F.min("component").alias("x"), F.max("component").alias("y"))
+    met = direct.select("hub", "id").unionByName(mixed.select("hub", F.col("hub").alias("id"))).join(own.select("id", "component"), "id")
+    slices = direct.where("wide").select("hub", "id").join(inside.groupBy(F.col("hub").alias("id")).agg(*ends), "id").select("hub", "x", "y")
+    spans = met.select("hub", F.col("component").alias("x"), F.col("component").alias("y")).unionByName(slices)
+    several = settled(spans.groupBy("hub").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x <> y").select("hub"))
+    direct = settled(direct.join(several, "hub", "left_semi").select("hub", "id", "wide"))
+    below = direct.where("wide").select(F.col("hub").alias("top"), F.col("id").alias("hub")).join(inside, "hub").select(F.col("top").alias("hub"), "fingerprint", "component", "id")
+    members = direct.select("hub", "id").unionByName(several.select("hub", F.col("hub").alias("id"))).join(own, "id").select("hub", "fingerprint", "component", "id")
+    members = members.unionByName(below).groupBy("hub", "fingerprint", "component").agg(F.min("id").alias("id"))
+    members = settled(members.drop("fingerprint").join(described.select("id", "n", "sketch"), "id"))
     more = settled(_in_blocks(members, percent))
     more = _verify(more, _with_sets(more, docs, key, text, words), percent).where("linked").select("a", "b")
     return described, settled(linked.unionByName(more))
