@@ -185,12 +185,13 @@ def _pair_rows(ids: np.ndarray, hubs: np.ndarray, flags: np.ndarray, buckets: in
 
 
 _POSTED = ["bucket", "states", "ids", "pairs"]
-#: Of a pair: its state has more than two documents; both were met by the task that posted them; or by a state's task.
-CROWDED, LOCAL, WIDE = 1, 2, 4
+#: Of a pair: its state has more than two documents; both were met by the task that posted them; or by a state's task; there
+#: the document stood for others of its slice.
+CROWDED, LOCAL, WIDE, MARKED = 1, 2, 4, 8
 
 
 def hub_pairs(docs: DataFrame, bands: Bands, buckets: int, key: str = "doc_id", text: str = "text", words: int = WORDS, hot_from: int = HOT) -> DataFrame:
-    """(id, hub, crowded, local, wide): each document with the smallest one of every posted state that it shares; crowded:
+    """(id, hub, crowded, local, wide, marked): each document with the smallest one of every posted state that it shares; crowded:
     if any such state has more than two documents.
 
     Postings travel packed, by bucket: 47 bits of a state, a mark, and the id. A state that `hot_from` or more documents of one
@@ -246,7 +247,7 @@ def hub_pairs(docs: DataFrame, bands: Bands, buckets: int, key: str = "doc_id",
             first = np.flatnonzero(np.concatenate([[True], states[1:] != states[:-1]]))
             n = np.diff([*first, len(states)])
             crowd = (n > 2) | np.logical_or.reduceat(marked, first)
-            yield from _pair_rows(ids, np.repeat(np.minimum.reduceat(ids, first), n), np.repeat(np.where(crowd, CROWDED | WIDE, WIDE), n), buckets)
+            yield from _pair_rows(ids, np.repeat(np.minimum.reduceat(ids, first), n), np.repeat(np.where(crowd, CROWDED | WIDE, WIDE), n) | np.where(marked, MARKED, 0), buckets)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.frombuffer(x, np.int64).reshape(-1, 3) for batch in batches for x in batch.column(3).to_pylist()]
@@ -257,12 +258,12 @@ def hub_pairs(docs: DataFrame, bands: Bands, buckets: int, key: str = "doc_id",
         flags, pairs = np.bitwise_or.reduceat(pairs[:, 2], first), pairs[first]
         for at in range(0, len(pairs), 100_000):
             p, f = pairs[at : at + 100_000], flags[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), *(pa.array(f & x > 0) for x in (CROWDED, LOCAL, WIDE))], ["id", "hub", "crowded", "local", "wide"])
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), *(pa.array(f & x > 0) for x in (CROWDED, LOCAL, WIDE, MARKED))], ["id", "hub", "crowded", "local", "wide", "marked"])
 
     schema = "bucket int, states binary, ids binary, pairs binary"
     posted = _sets(docs, key, text, words, post, schema)
     met = posted.repartition(buckets, "bucket").mapInArrow(meet, schema)
-    return met.select("bucket", "pairs").repartition(buckets, "bucket").select("bucket", F.lit(None).alias("s"), F.lit(None).alias("i"), "pairs").mapInArrow(once, "id long, hub long, crowded boolean, local boolean, wide boolean")
+    return met.select("bucket", "pairs").repartition(buckets, "bucket").select("bucket", F.lit(None).alias("s"), F.lit(None).alias("i"), "pairs").mapInArrow(once, "id long, hub long, crowded boolean, local boolean, wide boolean, marked boolean")
 
 
 def _with_sets(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -366,28 +367,30 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     verified = _verify(open_pairs, _with_sets(open_pairs, docs, key, text, words), percent)
     linked = settled(known.where("equal").select("a", "b").unionByName(verified.where("linked").select("a", "b")).distinct())
     # hubs with a failed document among more than two: their documents meet again
-    unfit = found.where("crowded").select("id", "hub").join(linked.select(F.col("a").alias("id"), F.col("b").alias("hub")), ["id", "hub"], "left_anti")
-    mixed = settled(unfit.select("hub").distinct())
+    unfit = found.where("crowded").select("id", "hub", "local").join(linked.select(F.col("a").alias("id"), F.col("b").alias("hub")), ["id", "hub"], "left_anti")
+    mixed = settled(unfit.groupBy("hub").agg(F.max("local").alias("local")))
     if mixed.isEmpty():
         return described, linked
-    # the hub of a slice answers through those that it met, whose documents are its own and those of all their slices
-    over = found.where("wide AND crowded").join(mixed.select(F.col("hub").alias("id")), "id", "left_semi")
-    mixed = settled(over.select("hub").unionByName(mixed.join(over.select(F.col("id").alias("hub")), "hub", "left_anti")).distinct())
+    # where a slice's documents fail, so do those of the states for which its hub stood
+    over = found.where("marked").join(mixed.where("local").select(F.col("hub").alias("id")), "id", "left_semi").select("hub")
+    mixed = settled(mixed.select("hub").unionByName(over).distinct())
     parts = settled(components(linked, "a", "b")).withColumnRenamed("node", "id")
-    own = described.select("id", "fingerprint").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    own = described.select("id", "fingerprint", "n").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     direct = found.where("crowded").join(mixed, "hub", "left_semi")
-    asked = direct.where("wide").select(F.col("id").alias("hub")).distinct()
+    asked = direct.where("marked").select(F.col("id").alias("hub")).distinct()
     # exact copies answer through one of them
     inside = found.where("local").select("hub", "id").join(asked, "hub", "left_semi").join(own, "id")
-    inside = settled(inside.groupBy("hub", "fingerprint", "component").agg(F.min("id").alias("id")))
+    inside = settled(inside.groupBy("hub", "fingerprint", "component", "n").agg(F.min("id").alias("id")))
     # only hubs that have several components are taken apart; which ones is seen from each slice's first and last component
     ends = (F.min("component").alias("x"), F.max("component").alias("y"))
     met = direct.select("hub", "id").unionByName(mixed.select("hub", F.col("hub").alias("id"))).join(own.select("id", "component"), "id")
-    slices = direct.where("wide").select("hub", "id").join(inside.groupBy(F.col("hub").alias("id")).agg(*ends), "id").select("hub", "x", "y")
+    slices = direct.where("marked").select("hub", "id").join(inside.groupBy(F.col("hub").alias("id")).agg(*ends), "id").select("hub", "x", "y")
     spans = met.select("hub", F.col("component").alias("x"), F.col("component").alias("y")).unionByName(slices)
     several = settled(spans.groupBy("hub").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x <> y").select("hub"))
-    direct = settled(direct.join(several, "hub", "left_semi").select("hub", "id", "wide"))
-    below = direct.where("wide").select(F.col("hub").alias("top"), F.col("id").alias("hub")).join(inside, "hub").select(F.col("top").alias("hub"), "fingerprint", "component", "id")
+    direct = settled(direct.join(several, "hub", "left_semi").select("hub", "id", "marked"))
+    # of one state are sets from the least that is posted in a band to the band's last: percent ** 2 apart at most
+    tops = direct.where("marked").join(described.select(F.col("id").alias("hub"), F.col("n").alias("top_n")), "hub").select(F.col("hub").alias("top"), "top_n", F.col("id").alias("hub"))
+    below = tops.join(inside, "hub").where(f"10000 * least(n, top_n) >= {percent * percent} * greatest(n, top_n)").select(F.col("top").alias("hub"), "fingerprint", "component", "id")
     members = direct.select("hub", "id").unionByName(several.select("hub", F.col("hub").alias("id"))).join(own, "id").select("hub", "fingerprint", "component", "id")
     members = members.unionByName(below).groupBy("hub", "fingerprint", "component").agg(F.min("id").alias("id"))
     members = settled(members.drop("fingerprint").join(described.select("id", "n", "sketch"), "id"))
