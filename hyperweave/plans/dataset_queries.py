@@ -22,7 +22,7 @@ def _matches(spark, d):
     return J.fallback_join(build, probe, "url", "title", "c_custkey")
 
 
-_MATCHES = "b AS (SELECT s_nationkey AS url, CAST(s_suppkey % 5 AS VARCHAR) AS title, s_suppkey FROM supplier), p AS (SELECT c_custkey, c_nationkey * 2 AS url, CAST(c_custkey % 7 AS VARCHAR) AS title, c_mktsegment FROM customer WHERE c_custkey % 10 = 1), m AS (SELECT c_custkey, c_mktsegment, s_suppkey AS b_s_suppkey, 'url' AS match_key FROM p JOIN b USING (url) UNION ALL SELECT c_custkey, c_mktsegment, s_suppkey, 'title' FROM p JOIN b USING (title) WHERE c_custkey NOT IN (SELECT c_custkey FROM p JOIN b USING (url)))"
+_MATCHES = "b AS (SELECT s_nationkey AS url, CAST(s_suppkey % 5 AS VARCHAR) AS title, s_suppkey FROM supplier), p AS (SELECT c_custkey, c_nationkey * 2 AS url, CAST(c_custkey % 7 AS VARCHAR) AS title, c_mktsegment FROM customer), m AS (SELECT c_custkey, c_mktsegment, s_suppkey AS b_s_suppkey, 'url' AS match_key FROM p JOIN b USING (url) UNION ALL SELECT c_custkey, c_mktsegment, s_suppkey, 'title' FROM p JOIN b USING (title) WHERE c_custkey NOT IN (SELECT c_custkey FROM p JOIN b USING (url)))"
 
 
 @Q("fallback_key_join", f"WITH {_MATCHES} SELECT c_custkey, c_mktsegment, b_s_suppkey, match_key FROM m")
@@ -79,13 +79,13 @@ def validation(spark, d):
     return D.validate_records(rows).select("doc_id", "violations")
 
 
-@Q("record_build", "SELECT 'kb:' || lang || ':' || doc_id || ':' || source AS data_id, ['a', 'b'] AS ground_truth, left(text, 10) AS content, FALSE AS image_missing FROM documents")
+@Q("record_build", "SELECT 'kb:' || lang || ':' || doc_id || ':' || source AS data_id, ['a', 'b'] AS ground_truth, text AS content, FALSE AS image_missing FROM documents")
 def build(spark, d):
     rows = read_table(spark, d, "documents").select(F.lit("kb").alias("dataset"), F.col("lang").alias("split"), F.col("doc_id").alias("index"), F.col("text").alias("question"), F.array(F.lit(" a"), F.lit("b"), F.lit("a"), F.lit("")).alias("golden_answers"), F.col("source").alias("image_id"), F.lit("x.png").alias("image_path"), F.array(F.lit("c")).alias("context"))
     return D.mm_record(rows).select("data_id", F.col("reward_model.ground_truth").alias("ground_truth"), F.col("prompt")[0]["content"].alias("content"), F.col("extra_info.image_missing").alias("image_missing"))
 
 
-@Q("contents_assembly", r"SELECT doc_id, array_to_string(list_filter([trim(source), CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END, trim(regexp_replace(left(text, 50), '\s+', ' ', 'g'))], lambda x: x <> ''), chr(10) || chr(10)) AS contents FROM documents")
+@Q("contents_assembly", r"SELECT doc_id, array_to_string(list_filter([trim(source), CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END, trim(regexp_replace(text, '\s+', ' ', 'g'))], lambda x: x <> ''), chr(10) || chr(10)) AS contents FROM documents")
 def assembly(spark, d):
     docs = read_table(spark, d, "documents").select("doc_id", "source", F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("lang")).alias("section"), F.col("text").alias("evidence"))
     return docs.select("doc_id", F.regexp_replace(D.contents("source", "section", "evidence"), r"[ ]+$", "").alias("contents"))

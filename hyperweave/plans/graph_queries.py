@@ -118,7 +118,7 @@ def connected(spark, d):
     return components(e, "a", "b")
 
 
-@Q("connected_component_largest", "WITH RECURSIVE e AS (SELECT DISTINCT least('C' || c_custkey, 'K' || (c_custkey % 11)) AS a, greatest('C' || c_custkey, 'K' || (c_custkey % 11)) AS b FROM customer WHERE c_custkey % 11 < 5), s AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT x, x FROM s UNION SELECT s.y, r.m FROM r JOIN s ON s.x = r.n), c AS (SELECT n, min(m) AS m FROM r GROUP BY 1), best AS (SELECT m FROM c GROUP BY m ORDER BY count(*) DESC, m LIMIT 1) SELECT a AS source, b AS target FROM e JOIN c ON n = a WHERE m IN (SELECT m FROM best)")
+@Q("connected_component_largest", "WITH RECURSIVE e AS (SELECT DISTINCT least('C' || c_custkey, 'K' || (c_custkey % 11)) AS a, greatest('C' || c_custkey, 'K' || (c_custkey % 11)) AS b FROM customer), s AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT x, x FROM s UNION SELECT s.y, r.m FROM r JOIN s ON s.x = r.n), c AS (SELECT n, min(m) AS m FROM r GROUP BY 1), best AS (SELECT m FROM c GROUP BY m ORDER BY count(*) DESC, m LIMIT 1) SELECT a AS source, b AS target FROM e JOIN c ON n = a WHERE m IN (SELECT m FROM best)")
 def largest(spark, d):
     c = read_table(spark, d, "customer")
     return largest_component(c.select(F.concat(F.lit(" c"), F.col("c_custkey").cast("string")).alias("a"), F.concat(F.lit("k"), (F.col("c_custkey") % 11).cast("string")).alias("b")), "a", "b")

@@ -181,7 +181,7 @@ def contract(spark, d):
     return R.contract_sort(e, ["user_id"])
 
 
-@Q("match_fallback", "WITH n AS (SELECT c_custkey % 10 AS query, row_number() OVER (PARTITION BY c_custkey % 10 ORDER BY c_custkey) - 1 AS pos, 'n' || c_nationkey AS name FROM customer WHERE c_custkey % 2 = 0), m AS (SELECT c_custkey % 10 AS query, row_number() OVER (PARTITION BY c_custkey % 10 ORDER BY c_custkey) - 1 AS pos, 'n' || (c_nationkey + 10) AS name FROM customer WHERE c_custkey % 2 = 0), k AS (SELECT query, count(*) AS c FROM n GROUP BY 1), u AS (SELECT * FROM n UNION ALL SELECT m.query, pos + c, name FROM m JOIN k USING (query)) SELECT query, name, min(pos) AS pos, 1.0::DOUBLE / (min(pos) + 1) AS coherence FROM u GROUP BY 1, 2")
+@Q("match_fallback", "WITH n AS (SELECT c_custkey % 10 AS query, row_number() OVER (PARTITION BY c_custkey % 10 ORDER BY c_custkey) - 1 AS pos, 'n' || c_nationkey AS name FROM customer), m AS (SELECT c_custkey % 10 AS query, row_number() OVER (PARTITION BY c_custkey % 10 ORDER BY c_custkey) - 1 AS pos, 'n' || (c_nationkey + 10) AS name FROM customer), k AS (SELECT query, count(*) AS c FROM n GROUP BY 1), u AS (SELECT * FROM n UNION ALL SELECT m.query, pos + c, name FROM m JOIN k USING (query)) SELECT query, name, min(pos) AS pos, 1.0::DOUBLE / (min(pos) + 1) AS coherence FROM u GROUP BY 1, 2")
 def fallback(spark, d):
     from pyspark.sql import Window
 

@@ -34,7 +34,7 @@ def contents_dedup(spark, d):
     return merges.distinct_contents(_docs(spark, d), "text", "doc_id").select("doc_id")
 
 
-@Q("section_group", r"""WITH t AS (SELECT lang AS title, source AS section, left(text, 20) AS t, min(doc_id) AS p FROM documents GROUP BY 1, 2, 3)
+@Q("section_group", r"""WITH t AS (SELECT lang AS title, source AS section, text AS t, min(doc_id) AS p FROM documents GROUP BY 1, 2, 3)
 SELECT title, section, string_agg(t, chr(10) || chr(10) ORDER BY p) AS contents, left(sha1(title || chr(10) || section), 16) AS id FROM t GROUP BY 1, 2""")
 def section_group(spark, d):
     return merges.group_sections(_docs(spark, d), F.col("lang"), F.col("source"), "text", "doc_id")
@@ -47,7 +47,7 @@ def fingerprint(spark, d):
     return merges.fingerprint(_docs(spark, d), "text")
 
 
-@Q("text_packing", r"""WITH RECURSIVE x AS (SELECT lang, doc_id, left(text, 300) AS t, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents),
+@Q("text_packing", r"""WITH RECURSIVE x AS (SELECT lang, doc_id, text AS t, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents),
 p(lang, r, size, pack) AS (SELECT lang, r, length(t), 0 FROM x WHERE r = 1 UNION ALL SELECT x.lang, x.r, CASE WHEN p.size + 2 + length(t) > 2000 THEN length(t) ELSE p.size + 2 + length(t) END, CASE WHEN p.size + 2 + length(t) > 2000 THEN pack + 1 ELSE pack END FROM p JOIN x ON x.lang = p.lang AND x.r = p.r + 1)
 SELECT p.lang, CAST(pack AS INT) AS pack, string_agg(t, chr(10) || chr(10) ORDER BY p.r) AS text FROM p JOIN x USING (lang, r) GROUP BY 1, 2""")
 def packing(spark, d):
@@ -55,11 +55,11 @@ def packing(spark, d):
 
 
 @Q("text_normalisers", r"""SELECT doc_id, regexp_replace(trim(text), '[\x00-\x1f\x7f-\x{9f}]', '', 'g') AS clean, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS query_key,
-trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS answer_key,
+trim(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '([\p{L}\p{N}\p{M}]+)', chr(1) || '\1' || chr(2), 'g'), '\x01(a|an|the)\x02', ' ', 'g'), chr(1) || chr(2), ''), '\s+', ' ', 'g')) AS answer_key,
 CASE WHEN length(c) > 60 THEN rtrim(left(c, 57)) || '...' ELSE c END AS summary,
 CASE WHEN length(text) > 200 THEN left(text, 197) || '...' ELSE text END AS preview,
 trim(regexp_replace(source, '[^A-Za-z0-9_.-]', '_', 'g'), '._-') AS dataset
-FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*'))""")
+FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents)""")
 def normalisers(spark, d):
     t = _docs(spark, d)
     return t.select("doc_id", X.clean("text", entities=False).alias("clean"), X.query_key("text").alias("query_key"), X.answer_key("text").alias("answer_key"), X.summary("text", 60).alias("summary"), X.preview("text").alias("preview"), X.dataset_name("source").alias("dataset"))
@@ -146,7 +146,7 @@ def substring(spark, d):
     return joins.substring_resolve(asked, b.withColumn("pos", F.col("id")))
 
 
-@Q("answer_in_section", r"""WITH p AS (SELECT doc_id AS page, list_transform(string_split(text, chr(10)), lambda x: ' ' || trim(regexp_replace(lower(x), '[^\p{L}\p{N}_]+', ' ', 'g')) || ' ') AS s FROM documents WHERE lang = 'en'), x AS (SELECT page, unnest(s) AS t, unnest(range(len(s))) AS section FROM p), h AS (SELECT page, section, 'of the' AS alias, 0 AS k FROM x WHERE contains(t, ' of the ') UNION ALL SELECT page, section, 'and', 1 FROM x WHERE contains(t, ' and ')),
+@Q("answer_in_section", r"""WITH p AS (SELECT doc_id AS page, list_transform(string_split(text, chr(10)), lambda x: ' ' || trim(regexp_replace(lower(x), '[^\p{L}\p{N}_]+', ' ', 'g')) || ' ') AS s FROM documents), x AS (SELECT page, unnest(s) AS t, unnest(range(len(s))) AS section FROM p), h AS (SELECT page, section, 'of the' AS alias, 0 AS k FROM x WHERE contains(t, ' of the ') UNION ALL SELECT page, section, 'and', 1 FROM x WHERE contains(t, ' and ')),
 r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY section, k) AS r FROM h) SELECT page, CAST(section AS INT) AS section, alias FROM r WHERE r = 1""")
 def answer_section(spark, d):
     t = _docs(spark, d)
@@ -166,7 +166,7 @@ def unique_suffix(spark, d):
     return merges.unique_suffix(_docs(spark, d).select("doc_id", "source"), "source", "doc_id").select("doc_id", "unique_id")
 
 
-@Q("content_lookup", r"SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS content, min(doc_id) AS doc_id FROM documents WHERE lang = 'en' AND lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) <> '' GROUP BY 1")
+@Q("content_lookup", r"SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS content, min(doc_id) AS doc_id FROM documents WHERE lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) <> '' GROUP BY 1")
 def lookup(spark, d):
     return merges.content_lookup(_docs(spark, d), X.query_key("text"), "doc_id", "doc_id")
 
