@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .text import answer_key, answer_of, blank, c, last_boxed, latex_normalised
 
@@ -146,23 +150,20 @@ def sft_row(prompt: Column | str, response: Column | str, n: int, pad: int) -> C
 
 
 def masked_spans(x: Column | str, tags: list[str]) -> Column:
-    """Character spans [start, stop) between the i-th opening and the i-th closing of every tag, in order."""
-    out = []
-    for tag in tags:
-        gaps = F.split(c(x), f"<{tag}>|</{tag}>", -1)
-        # the text's parts alternate between outside and inside; running lengths place them
-        placed = F.aggregate(
-            gaps,
-            F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast("array<struct<start:int,stop:int>>").alias("out")),
-            lambda s, g: F.struct(
-                (s["at"] + F.length(g) + F.when(s["k"] % 2 == 0, len(tag) + 2).otherwise(len(tag) + 3)).alias("at"),
-                (s["k"] + 1).alias("k"),
-                F.when((s["k"] % 2 == 1) & (s["k"] < F.size(gaps) - 1), F.concat(s["out"], F.array(F.struct((s["at"] - (len(tag) + 2)).alias("start"), (s["at"] + F.length(g) + len(tag) + 3).alias("stop"))))).otherwise(s["out"]).alias("out"),
-            ),
-            lambda s: s["out"],
-        )
-        out.append(placed)
-    return F.array_sort(F.concat(*out))
+    """Character spans [start, stop) from the i-th opening to the i-th closing of every tag, in order. A closing before
+    its opening gives a span that covers nothing (stop <= start); openings or closings without a partner give none."""
+
+    @pandas_udf("array<struct<start:int,stop:int>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        def one(text):
+            if text is None:
+                return None
+            pairs = (zip(re.finditer(f"<{re.escape(t)}>", text), re.finditer(f"</{re.escape(t)}>", text)) for t in tags)
+            return [{"start": a, "stop": b} for a, b in sorted((a.start(), b.end()) for found in pairs for a, b in found)]
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return spans(c(x))
 
 
 def tool_call(x: Column | str) -> Column:

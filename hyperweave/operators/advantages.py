@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def grpo(df: DataFrame, group: str, score: str, eps: float = 1e-6) -> DataFrame:
@@ -22,17 +26,38 @@ def rloo(df: DataFrame, group: str, score: str) -> DataFrame:
     return df.withColumn("advantage", F.when(n > 1, F.col(score) * n / (n - 1) - F.avg(score).over(w) * n / (n - 1)).otherwise(F.col(score).cast("double")))
 
 
-def reward_to_go(df: DataFrame, trajectory: str, pos: str, reward: str, gamma: float = 1.0) -> Column:
-    """Discounted sum of the rewards from here on, as a column."""
-    w = Window.partitionBy(trajectory).orderBy(pos).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+def reverse_scan(values: Column, factors: Column) -> Column:
+    """Array of y_t = x_t + f_t * y_(t+1), from the end on, in one pass; null where an array is null."""
+
+    @pandas_udf("array<double>")
+    def scan(x: pd.Series, f: pd.Series) -> pd.Series:
+        def one(a, b):
+            if a is None or b is None:
+                return None
+            steps = zip(a[::-1].tolist(), b[::-1].tolist())
+            return list(accumulate(steps, lambda y, s: s[0] + s[1] * y, initial=0.0))[:0:-1]
+
+        return pd.Series([one(a, b) for a, b in zip(x, f)], dtype=object)
+
+    return scan(values.cast("array<double>"), factors.cast("array<double>"))
+
+
+def reward_to_go(df: DataFrame, trajectory: str, pos: str, reward: str, gamma: float = 1.0, into: str = "returns") -> DataFrame:
+    """Rows with the discounted sum of their trajectory's rewards from there on. With a discount a trajectory's rows meet
+    as one array, whose returns one scan finds."""
     if gamma == 1.0:
-        return F.sum(reward).over(w)
-    return F.aggregate(F.reverse(F.collect_list(reward).over(w)), F.lit(0.0), lambda s, r: r + gamma * s)
+        w = Window.partitionBy(trajectory).orderBy(pos).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        return df.withColumn(into, F.sum(reward).over(w))
+    whole = df.select(trajectory, F.struct(F.col(pos).alias("__pos"), F.struct(*df.columns).alias("row")).alias("x"))
+    rows = whole.groupBy(trajectory).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    rewards = F.transform("x", lambda x: x["row"][reward].cast("double"))
+    scanned = rows.select("x", reverse_scan(rewards, F.transform(rewards, lambda r: F.lit(gamma))).alias("y"))
+    return scanned.select(F.explode(F.arrays_zip("x", "y")).alias("z")).select("z.x.row.*", F.col("z.y").alias(into))
 
 
 def remax(df: DataFrame, trajectory: str, pos: str, reward: str, mask: str, baseline: str) -> DataFrame:
     masked = df.withColumn("__r", F.col(reward) * F.col(mask))
-    return masked.withColumn("returns", reward_to_go(masked, trajectory, pos, "__r")).drop("__r").withColumn("advantage", F.col("returns") - F.col(baseline) * F.col(mask))
+    return reward_to_go(masked, trajectory, pos, "__r").drop("__r").withColumn("advantage", F.col("returns") - F.col(baseline) * F.col(mask))
 
 
 def masked_moments(df: DataFrame, value: str, mask: str) -> DataFrame:
@@ -49,25 +74,15 @@ def whitened(df: DataFrame, value: str, mask: str, into: str = "whitened") -> Da
 
 def discounted(rewards: Column, mask: Column, gamma: float) -> Column:
     """Array of returns R_t = r_t + gamma * R_(t+1), starting anew after a masked place."""
-    pairs = F.reverse(F.arrays_zip(rewards.alias("r"), mask.alias("m")))
-    done = F.aggregate(
-        pairs,
-        F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out")),
-        lambda s, x: F.struct(((x["r"] + gamma * s["run"]) * x["m"]).cast("double").alias("run"), F.concat(F.array((x["r"] + gamma * s["run"]).cast("double")), s["out"]).alias("out")),
-    )
-    return done["out"]
+    after = F.concat(F.slice(mask, 2, F.greatest(F.size(mask), F.lit(1))).cast("array<double>"), F.array(F.lit(0.0)))
+    return reverse_scan(rewards, F.transform(after, lambda m: m * gamma))
 
 
 def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
     """Array of advantages from arrays of rewards and values; the value after the last is 0."""
     after = F.concat(F.slice(values, 2, F.greatest(F.size(values), F.lit(1))), F.array(F.lit(0.0)))
-    delta = F.reverse(F.zip_with(F.zip_with(rewards, after, lambda r, n: r + gamma * n), values, lambda x, v: x - v))
-    done = F.aggregate(
-        delta,
-        F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out")),
-        lambda s, d: F.struct((d + gamma * lam * s["run"]).alias("run"), F.concat(F.array(d + gamma * lam * s["run"]), s["out"]).alias("out")),
-    )
-    return done["out"]
+    delta = F.zip_with(F.zip_with(rewards, after, lambda r, n: r + gamma * n), values, lambda x, v: x - v)
+    return reverse_scan(delta, F.transform(delta, lambda d: F.lit(gamma * lam)))
 
 
 def shaped(df: DataFrame, score: str, kl: str, mask: str, beta: float) -> DataFrame:

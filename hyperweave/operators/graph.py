@@ -149,12 +149,16 @@ def resolve_by_links(embeddings: DataFrame, links: DataFrame, records: DataFrame
 
 
 def random_walks(edges: DataFrame, length: int, seed: int = 42) -> DataFrame:
-    """One seeded walk from every node: (start, step, node); the next node is the neighbour with the smallest hash."""
+    """One seeded walk from every node: (start, step, node). A node's neighbours are numbered once; a walker draws a number
+    below its node's degree and joins on it, so a hub's walkers meet one neighbour each."""
     sides = symmetric(edges).select("src", "dst").distinct()
-    walk = sides.select(F.col("src").alias("start")).distinct().withColumn("step", F.lit(0)).withColumn("node", F.col("start"))
+    degrees = sides.groupBy("src").agg(F.count("*").alias("degree"))
+    placed = sides.withColumn("i", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1)
+    walk = degrees.select(F.col("src").alias("start"), F.lit(0).alias("step"), F.col("src").alias("node"))
     out = walk
     for k in range(1, length + 1):
-        w = Window.partitionBy("start").orderBy(F.xxhash64("start", "dst", F.lit(seed + k)), "dst")
-        walk = walk.join(sides, walk.node == sides.src).withColumn("r", F.row_number().over(w)).where("r = 1").select("start", F.lit(k).alias("step"), F.col("dst").alias("node"))
+        drawn = F.pmod(F.xxhash64("start", F.lit(seed + k)), F.col("degree")).cast("int")
+        at = walk.join(degrees, walk.node == degrees.src).select("start", "src", drawn.alias("i"))
+        walk = at.join(placed, ["src", "i"]).select("start", F.lit(k).alias("step"), F.col("dst").alias("node"))
         out = out.unionByName(walk)
     return out

@@ -55,8 +55,11 @@ def substring_resolve(asked: DataFrame, stored: DataFrame, least: int = 10, rati
     rest = a.join(exact.select("ask"), "ask", "left_anti").where(F.length("t") >= least)
     share = F.length("t") / F.length("c")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("c") - (least - 1)), lambda i: F.col("c").substr(i, F.lit(least))))
-    s = s.where(F.length("c") >= least).withColumn("g", F.explode(grams))
-    near = rest.withColumn("g", F.substring("t", 1, least)).join(s, "g").where(F.contains("c", F.col("t")) & (share >= ratio)).withColumn("share", share)
+    # only ids travel with the grams; the texts join what the asked grams leave
+    asked_grams = rest.select(F.substring("t", 1, least).alias("g")).distinct()
+    met = s.where(F.length("c") >= least).select("id", "pos", F.explode(grams).alias("g")).join(asked_grams, "g", "left_semi")
+    met = rest.withColumn("g", F.substring("t", 1, least)).join(met, "g").drop("g")
+    near = met.join(s.select("id", "pos", "c"), ["id", "pos"]).where(F.contains("c", F.col("t")) & (share >= ratio)).withColumn("share", share)
     near = first_per_key(near, ["ask"], [F.desc("share"), F.col("pos")]).select("ask", "id", F.lit("contains").alias("how"))
     return exact.unionByName(near)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import edge_degree, symmetric
+from ..operators.graph import symmetric
 from ..operators.kv import first_per_key
 
 #: Default sizes of the answers.
@@ -23,9 +23,14 @@ def _rank(partition: list[str], *order: Column) -> Column:
 def entity_branch(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """seeds: (query, pos, node). One hop from known entities; an ordered pair counts at its first seed; by degree and
     weight, ties in discovery order: (query, i, knowledge) with i from 0."""
-    ranked = edge_degree(edges)
-    hop = seeds.join(ranked, F.col("node") == F.col("entity")).select("query", "pos", "node", F.col("hyperedge").alias("knowledge"), "degree", "weight")
-    hop = first_per_key(hop, ["query", "node", "knowledge"], [F.col("pos")])
+    asked = seeds.select(F.col("node").alias("entity")).distinct()
+    touched = edges.join(asked, "entity", "left_semi")
+    # degrees of what the seeds touch only: the entities' edges are all among the touched ones, the hyperedges' are not
+    by_e = touched.groupBy("entity").agg(F.count("*").alias("d_e"))
+    by_h = edges.join(touched.select("hyperedge").distinct(), "hyperedge", "left_semi").groupBy("hyperedge").agg(F.count("*").alias("d_h"))
+    ranked = touched.join(by_h, "hyperedge").join(by_e, "entity").withColumn("degree", F.col("d_h") + F.col("d_e"))
+    first = seeds.groupBy("query", "node").agg(F.min("pos").alias("pos"))
+    hop = first.join(ranked, F.col("node") == F.col("entity")).select("query", "pos", "node", F.col("hyperedge").alias("knowledge"), "degree", "weight")
     return hop.select("query", (_rank(["query"], F.desc("degree"), F.desc("weight"), F.col("pos"), F.col("knowledge")) - 1).alias("i"), "knowledge")
 
 
@@ -91,16 +96,16 @@ def with_state(results: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def promote_recent(matches: DataFrame, recent: DataFrame, searchable: DataFrame) -> DataFrame:
-    """matches: (query, pos, content); recent: (seq, content, active), newest first; searchable: (content).
+    """matches: (query, pos, content); recent: (seq, content, active), the greater seq the newer; searchable: (content).
 
     Recent contents equal to the query, then those that contain it or lie in it (queries of 12 characters or more), go
-    before the matches; each content once. The ring of recent mutations holds RING rows, the bound of what is broadcast. A query without searchable contents, or a blank one, keeps its matches.
+    before the matches, the newest first; each content once. The ring of recent mutations holds RING rows, the bound of what is broadcast. A query without searchable contents, or a blank one, keeps its matches.
     """
     q = matches.select("query").distinct().withColumn("q", F.expr("lower(regexp_replace(trim(query), '\\\\s+', ' '))")).where("q <> ''")
-    recent = recent.orderBy("seq").limit(RING)
+    recent = recent.orderBy(F.desc("seq")).limit(RING)
     known = recent.join(searchable, "content", "left_semi").withColumn("c", F.expr("lower(regexp_replace(trim(content), '\\\\s+', ' '))"))
-    equal = q.join(known.where("active"), F.col("q") == F.col("c")).select("query", F.lit(0).alias("tier"), F.col("seq").alias("pos"), "content")
-    near = q.join(F.broadcast(known), (F.col("q") == F.col("c")) | ((F.length("q") >= 12) & (F.col("c").contains(F.col("q")) | F.col("q").contains(F.col("c"))))).select("query", F.lit(1).alias("tier"), F.col("seq").alias("pos"), "content")
+    equal = q.join(known.where("active"), F.col("q") == F.col("c")).select("query", F.lit(0).alias("tier"), (-F.col("seq")).alias("pos"), "content")
+    near = q.join(F.broadcast(known), (F.col("q") == F.col("c")) | ((F.length("q") >= 12) & (F.col("c").contains(F.col("q")) | F.col("q").contains(F.col("c"))))).select("query", F.lit(1).alias("tier"), (-F.col("seq")).alias("pos"), "content")
     every = equal.unionByName(near).unionByName(matches.select("query", F.lit(2).alias("tier"), "pos", "content"))
     every = first_per_key(every, ["query", "content"], [F.col("tier"), F.col("pos")])
     return every.select("query", "content", _rank(["query"], F.col("tier"), F.col("pos")).alias("rank"))

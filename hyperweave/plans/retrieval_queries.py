@@ -201,11 +201,14 @@ def fresh(spark, d):
     return R.fresh_merge(m, g)
 
 
-@Q("promote_recent", "WITH q AS (SELECT item_id, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 14) AS query FROM benchmark), m AS (SELECT query, 0 AS pos, 'match a' AS content FROM q UNION ALL SELECT query, 1, 'match b' FROM q), r AS (SELECT item_id AS seq, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS content FROM benchmark), n AS (SELECT query, 1 AS tier, seq AS pos, content FROM q JOIN r ON contains(lower(content), lower(query)) WHERE length(trim(query)) >= 12), u AS (SELECT * FROM n UNION ALL SELECT query, 2, pos, content FROM m), f AS (SELECT query, content, min(tier * 1000000 + pos) AS o FROM u GROUP BY 1, 2) SELECT query, content, CAST(row_number() OVER (PARTITION BY query ORDER BY o) AS INT) AS rank FROM f")
+@Q("promote_recent", r"""WITH b AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS content FROM benchmark), q AS (SELECT DISTINCT content AS query FROM b WHERE content <> ''),
+m AS (SELECT query, 2 AS tier, 0 AS pos, 'match a' AS content FROM q UNION ALL SELECT query, 2, 1, 'match b' FROM q), r AS (SELECT * FROM b ORDER BY item_id DESC LIMIT 256),
+n AS (SELECT query, CASE WHEN lower(content) = lower(query) THEN 0 ELSE 1 END AS tier, -item_id AS pos, content FROM q JOIN r ON lower(content) = lower(query) OR (length(query) >= 12 AND (contains(lower(content), lower(query)) OR contains(lower(query), lower(content))))),
+f AS (SELECT query, content, min(struct_pack(t := tier, p := pos)) AS o FROM (SELECT * FROM n UNION ALL SELECT * FROM m) GROUP BY 1, 2)
+SELECT query, content, CAST(row_number() OVER (PARTITION BY query ORDER BY o) AS INT) AS rank FROM f""")
 def promote(spark, d):
-    tidy = F.trim(F.regexp_replace("text", r"\s+", " "))
-    b = read_table(spark, d, "benchmark").select("item_id", tidy.alias("content"))
-    q = b.select(F.substring("content", 1, 14).alias("query"))
+    b = read_table(spark, d, "benchmark").select("item_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("content"))
+    q = b.where("content <> ''").select(F.col("content").alias("query"))
     m = q.withColumn("pos", F.lit(0)).withColumn("content", F.lit("match a")).unionByName(q.withColumn("pos", F.lit(1)).withColumn("content", F.lit("match b")))
     recent = b.select(F.col("item_id").alias("seq"), "content", F.lit(True).alias("active"))
     return R.promote_recent(m, recent, b.select("content"))

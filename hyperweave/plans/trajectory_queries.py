@@ -48,7 +48,7 @@ def remax(spark, d):
 @Q("discounted_returns", f"WITH {_STEPS}, o AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY pos) AS r FROM st) SELECT a.event_id, round(sum(b.reward * pow(0.9, b.r - a.r)), 6) AS returns FROM o a JOIN o b ON a.traj = b.traj AND b.r >= a.r GROUP BY 1")
 def discounted(spark, d):
     s = _steps(spark, d)
-    return s.select("event_id", F.round(A.reward_to_go(s, "traj", "pos", "reward", 0.9), 6).alias("returns"))
+    return A.reward_to_go(s, "traj", "pos", "reward", 0.9).select("event_id", F.round("returns", 6).alias("returns"))
 
 
 def _arrays(spark, d):
@@ -149,9 +149,13 @@ def format_reward(spark, d):
     return b.select("conv_id", S.format_reward("b", golds).alias("reward"), S.exact_match(answer_of(F.element_at("b", -1)), golds).alias("em"))
 
 
-@Q("observation_mask", "SELECT conv_id, turn, CAST(length(role) AS INT) AS start, CAST(length(role) + 23 + length(text) AS INT) AS stop FROM conversations WHERE NOT contains(text, '<')")
+@Q("observation_mask", """WITH w AS (SELECT row_number() OVER () AS n, conv_id, turn, role || '<knowledge>' || text || '</knowledge>after' AS x FROM conversations),
+p AS (SELECT n, conv_id, turn, t, string_split(x, t) AS g FROM w, (VALUES ('<knowledge>'), ('</knowledge>')) v(t)),
+u AS (SELECT n, conv_id, turn, t, unnest(g) AS part, generate_subscripts(g, 1) AS i, len(g) AS size FROM p),
+a AS (SELECT *, sum(length(part) + length(t)) OVER (PARTITION BY n, t ORDER BY i) AS past FROM u)
+SELECT o.conv_id, o.turn, CAST(o.past - 11 AS INT) AS start, CAST(s.past AS INT) AS stop FROM a o JOIN a s ON o.n = s.n AND o.i = s.i AND o.t = '<knowledge>' AND s.t = '</knowledge>' AND o.i < o.size AND s.i < s.size""")
 def observation(spark, d):
-    c = read_table(spark, d, "conversations").where("NOT contains(text, '<')")
+    c = read_table(spark, d, "conversations")
     whole = F.concat("role", F.lit("<knowledge>"), "text", F.lit("</knowledge>after"))
     return c.select("conv_id", "turn", F.explode(S.masked_spans(whole, ["knowledge"])).alias("s")).select("conv_id", "turn", "s.start", "s.stop")
 
@@ -180,9 +184,9 @@ def flops(spark, d):
     return S.flops(read_table(spark, d, "documents"), "n_chars", 2.0, 3.0)
 
 
-@Q("entropy_from_logits", "WITH e AS (SELECT vec_id, list_slice(embedding::DOUBLE[], 1, 8) AS v FROM embeddings), z AS (SELECT vec_id, list_sum(list_transform(v, lambda x: exp(x))) AS z, list_sum(list_transform(v, lambda x: exp(x) * x)) AS s, v[3] AS third FROM e) SELECT vec_id, round(ln(z) - s / z, 6) AS entropy, round(third - ln(z), 6) AS log_prob FROM z")
+@Q("entropy_from_logits", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), z AS (SELECT vec_id, list_sum(list_transform(v, lambda x: exp(x))) AS z, list_sum(list_transform(v, lambda x: exp(x) * x)) AS s, v[3] AS third FROM e) SELECT vec_id, round(ln(z) - s / z, 6) AS entropy, round(third - ln(z), 6) AS log_prob FROM z")
 def entropy(spark, d):
-    e = read_table(spark, d, "embeddings").select("vec_id", F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 8).alias("v"))
+    e = read_table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return e.select("vec_id", F.round(S.entropy("v"), 6).alias("entropy"), F.round(S.log_prob("v", F.lit(2)), 6).alias("log_prob"))
 
 

@@ -92,17 +92,48 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Lines of a GraphML body, for a text sink: (node, weight) and (source, target, weight)."""
-    quoted = lambda c: F.replace(F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    data = F.concat(F.lit('<data key="weight">'), F.coalesce(F.col("weight").cast("string"), F.lit("1.0")), F.lit("</data>"))
-    a = nodes.select(F.concat(F.lit('<node id="'), quoted("node"), F.lit('">'), data, F.lit("</node>")).alias("value"))
-    return a.unionByName(edges.select(F.concat(F.lit('<edge source="'), quoted("source"), F.lit('" target="'), quoted("target"), F.lit('">'), data, F.lit("</edge>")).alias("value")))
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """nodes: (node, data), edges: (source, target, weight, data), data maps of attributes. Every part file is a whole
+    document with a header, its attributes' keys and its own nodes and edges; read_graphml reads them all back. Characters
+    that XML cannot hold become U+FFFD."""
+    null = F.lit(None).cast("string")
+    rows = nodes.select(F.lit("node").alias("kind"), F.col("node").alias("a"), null.alias("b"), "data")
+    plain = F.map_filter(F.coalesce("data", F.create_map().cast("map<string,string>")), lambda k, v: k != "weight")
+    weighed = F.map_concat(plain, F.create_map(F.lit("weight"), F.coalesce(F.col("weight").cast("string"), F.lit("0.0"))))
+    rows = rows.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), weighed.alias("data")))
+
+    def documents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+        from xml.sax.saxutils import escape, quoteattr
+
+        lost = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+        # the parser turns bare carriage returns into line feeds, so they go as references
+        text = lambda x: escape(lost.sub("\ufffd", x), {"\r": "&#13;"})
+        attribute = lambda x: quoteattr(lost.sub("\ufffd", x), {"\r": "&#13;", "\n": "&#10;", "\t": "&#9;"})
+        keys: dict[tuple[str, str], str] = {}
+        lines = [f'<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="{_GRAPHML}"><graph edgedefault="undirected">']
+        for frame in frames:
+            for kind, a, b, data in frame.itertuples(index=False):
+                ends = f"id={attribute(a)}" if kind == "node" else f"source={attribute(a)} target={attribute(b)}"
+                held = [(keys.setdefault((kind, k), f"d{len(keys)}"), v) for k, v in sorted((data or {}).items()) if v is not None]
+                lines.append(f"<{kind} {ends}>" + "".join(f'<data key="{k}">{text(v)}</data>' for k, v in held) + f"</{kind}>")
+            yield pd.DataFrame({"value": lines})
+            lines = []
+        # the reader looks keys up by id, so they may stand after the graph that uses them
+        named = [f'<key id="{i}" for="{kind}" attr.name={attribute(k)} attr.type="string"/>' for (kind, k), i in keys.items()]
+        yield pd.DataFrame({"value": [*lines, "</graph>", *named, "</graphml>"]})
+
+    rows.mapInPandas(documents, "value string").write.mode("overwrite").text(path)
+
 
+def read_archive_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".json",), most: int | None = None) -> DataFrame:
+    """(archive, member, size, content) of TAR and ZIP files. One archive is one task's work and its members leave it one
+    by one; a member over `most` bytes, where that is given, is an error."""
 
-def read_archive_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".json",), most: int = 50 << 20) -> DataFrame:
-    """(archive, member, size, content) of TAR and ZIP files; members over `most` bytes have no content. One archive is
-    one task's work and its members leave it one by one."""
+    def small(name: str, size: int) -> bool:
+        if most is not None and size > most:
+            raise ValueError(f"{name} has {size} bytes, more than {most}")
+        return True
 
     def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -111,14 +142,14 @@ def read_archive_members(spark: SparkSession, path: str, suffixes: tuple[str, ..
                 if zipfile.is_zipfile(raw):
                     with zipfile.ZipFile(raw) as z:
                         for m in z.infolist():
-                            if m.filename.endswith(suffixes):
-                                yield pd.DataFrame([(name, m.filename, m.file_size, z.read(m) if m.file_size <= most else None)], columns=["archive", "member", "size", "content"])
+                            if m.filename.endswith(suffixes) and small(m.filename, m.file_size):
+                                yield pd.DataFrame([(name, m.filename, m.file_size, z.read(m))], columns=["archive", "member", "size", "content"])
                 else:
                     raw.seek(0)
                     with tarfile.open(fileobj=raw) as t:
                         for m in t:
-                            if m.isfile() and m.name.endswith(suffixes):
-                                yield pd.DataFrame([(name, m.name, m.size, t.extractfile(m).read() if m.size <= most else None)], columns=["archive", "member", "size", "content"])
+                            if m.isfile() and m.name.endswith(suffixes) and small(m.name, m.size):
+                                yield pd.DataFrame([(name, m.name, m.size, t.extractfile(m).read())], columns=["archive", "member", "size", "content"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, member string, size long, content binary")
 

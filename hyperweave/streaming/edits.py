@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_key
+from ..operators.partition import numbered
 from ..session import scratch, settled
 
 BATCH, RING = 50, 256
@@ -23,8 +24,7 @@ STATE = "working_dir string, id long, content string, weight double, original_we
 
 def batched(tasks: DataFrame, seq: str = "seq", size: int = BATCH) -> DataFrame:
     """Tasks with their batch number and their place in it once regrouped by type."""
-    n = F.row_number().over(Window.orderBy(seq)) - 1
-    tasks = tasks.withColumn("batch", F.floor(n / size))
+    tasks = numbered(tasks, seq, into="__n").withColumn("batch", F.floor(F.col("__n") / size)).drop("__n")
     first = F.min(seq).over(Window.partitionBy("batch", "update_type"))
     return tasks.withColumn("__first", first).withColumn("place", F.row_number().over(Window.partitionBy("batch").orderBy("__first", seq))).drop("__first")
 
@@ -57,7 +57,7 @@ def _fold(state: pd.DataFrame, tasks: pd.DataFrame) -> tuple[pd.DataFrame, list]
                         best = (len(want) / len(have), i)
         return best[1] if best else None
 
-    for t in tasks.sort_values("place").itertuples(index=False):
+    for t in tasks.sort_values(["batch", "place"]).itertuples(index=False):
         if t.update_type == "insert":
             i = resolve(t.content, False) if key(t.content) in by else None
             if i is None:
@@ -92,7 +92,7 @@ def _fold(state: pd.DataFrame, tasks: pd.DataFrame) -> tuple[pd.DataFrame, list]
 
 
 def apply_batch(state: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The state of every working directory after one batch (with `place`). Directories are independent; within one, a
+    """The state of every working directory after its batches (with `batch` and `place`). Directories are independent; within one, a
     task sees what earlier ones did, so its tasks are folded in one place, and only directories with tasks leave the JVM."""
 
     def fold(key, held: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
@@ -116,12 +116,9 @@ def task_results(state: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def apply_all(state: DataFrame, tasks: DataFrame, size: int = BATCH) -> DataFrame:
-    """All batches one after the other; the state is settled after each."""
-    numbered = settled(batched(tasks, size=size))
-    last = numbered.agg(F.max("batch")).first()[0]
-    for n in range(0 if last is None else last + 1):
-        state = settled(apply_batch(state, numbered.where(F.col("batch") == n)))
-    return state
+    """All batches in their order. Batches are cut over all directories; each directory then folds its own tasks of all
+    batches in one pass, since no task sees another directory."""
+    return settled(apply_batch(state, batched(tasks, size=size)))
 
 
 def mutation_log(tasks: DataFrame, seq: str, action: str, key: str, content: Column, active: Column) -> DataFrame:

@@ -282,13 +282,14 @@ def test_sources(spark, tmp_path):
 
     (tmp_path / "kv.json").write_text(json.dumps({"a": {"content": "x"}, "b": {"content": "y"}}))
     assert {r.id: r.value["content"] for r in files.read_json_store(spark, str(tmp_path / "kv.json")).collect()} == {"a": "x", "b": "y"}
-    nodes = spark.createDataFrame([('"A"', 1.0), ("b & c", 2.0)], "node string, weight double")
-    edges = spark.createDataFrame([('"A"', "b & c", 0.5)], "source string, target string, weight double")
-    body = "".join(r.value for r in files.graphml_lines(nodes, edges).collect())
-    (tmp_path / "g.graphml").write_text(f'<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="weight" attr.name="weight"/><graph>{body}</graph></graphml>')
+    nodes = [("A", {"role": "entity", "note": "<x>\r\n\t\"y\""}), ("b & c", None), ("d\ne", {})]
+    edges = [("A", "b & c", 0.5, {"why": "&amp; 'so'"}), ("A", "d\ne", None, None)]
+    n = spark.createDataFrame(nodes, "node string, data map<string,string>").repartition(3)
+    files.write_graphml(n, spark.createDataFrame(edges, "source string, target string, weight double, data map<string,string>"), str(tmp_path / "graph"))
     (tmp_path / "broken.graphml").write_text("<graphml")
-    n, e = files.read_graphml(spark, str(tmp_path / "*.graphml"))
-    assert {r.node for r in n.collect()} == {"A", "b & c"} and [(r.source, r.target, r.weight) for r in e.collect()] == [("A", "b & c", 0.5)]
+    n, e = files.read_graphml(spark, f"{tmp_path}/{{graph/part-*,broken.graphml}}")
+    assert {(r.node, tuple(sorted(r.data.items()))) for r in n.collect()} == {(k, tuple(sorted((d or {}).items()))) for k, d in nodes}
+    assert {(r.source, r.target, r.weight, r.data.get("why")) for r in e.collect()} == {("A", "b & c", 0.5, "&amp; 'so'"), ("A", "d\ne", 0.0, None)}
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("p.json", "{}")
         z.writestr("p.png", "png")
@@ -298,6 +299,8 @@ def test_sources(spark, tmp_path):
         t.addfile(info, io.BytesIO(b"[]"))
     got = files.read_archive_members(spark, str(tmp_path / "[ab].*"), (".json", ".png"))
     assert {r.member for r in got.collect()} == {"p.json", "p.png", "q.json"} and files.paired_members(got).count() == 1
+    with pytest.raises(Exception, match="p.json has 2 bytes"):
+        files.read_archive_members(spark, str(tmp_path / "a.zip"), most=1).collect()
     files.write_csv(spark.createDataFrame([("1", 'a "q"\nb')], "id string, t string"), str(tmp_path / "csv"), ["t", "missing"])
     back = files.read_csv(spark, str(tmp_path / "csv"))
     assert back.columns == ["t", "missing", "id"] and back.first().t == 'a "q"\nb'
@@ -378,3 +381,43 @@ def test_arguments_for_every_row_or_each(spark):
     assert sorted((r.row, r.v) for r in all_rows.collect()) == [(0, "x"), (1, "x")]
     each = J.broadcast_args(rows, spark.createDataFrame([(0, "x"), (1, "y")], "pos int, v string"), "row")
     assert sorted((r.row, r.v) for r in each.collect()) == [(0, "x"), (1, "y")]
+
+
+def test_masked_spans_pair_by_place(spark):
+    spans = lambda t: [(r.start, r.stop) for r in one(spark, S.masked_spans(F.lit(t), ["k"]))]
+    assert spans("a<k>b<k>c</k>d</k>e") == [(1, 13), (5, 18)]
+    assert spans("x</k>y<k>z</k>") == [(6, 5)]  # covers nothing
+    assert spans("<k>") == spans("") == []
+    assert one(spark, S.masked_spans(F.lit(None).cast("string"), ["k"])) is None
+
+
+def test_returns_of_long_trajectories(spark):
+    n = 20000
+    got = one(spark, A.discounted(F.array_repeat(F.lit(1.0), n), F.array_repeat(F.lit(1), n), 0.5))
+    assert len(got) == n and got[-3:] == [1.75, 1.5, 1.0]
+    rows = spark.createDataFrame([("a", 2, 1.0, "x"), ("a", 1, 2.0, "y"), ("b", 1, 3.0, "z")], "t string, pos int, r double, other string")
+    assert {(r.other, r.returns) for r in A.reward_to_go(rows, "t", "pos", "r", 0.5).collect()} == {("x", 1.0), ("y", 2.5), ("z", 3.0)}
+    empty = spark.createDataFrame([], "r array<double>, m array<int>").select(A.discounted(F.col("r"), F.col("m"), 0.5))
+    assert empty.count() == 0 and one(spark, A.discounted(F.array().cast("array<double>"), F.array().cast("array<int>"), 0.5)) == []
+
+
+def test_promotion_keeps_the_newest(spark):
+    matches = spark.createDataFrame([("some long query", 0, "m")], "query string, pos int, content string")
+    recent = spark.createDataFrame([(k, f"some long query {k}", True) for k in range(300)], "seq int, content string, active boolean")
+    got = [r.content for r in R.promote_recent(matches, recent, recent.select("content")).orderBy("rank").collect()]
+    assert got == [f"some long query {k}" for k in range(299, 43, -1)] + ["m"]
+
+
+def test_walks_reach_every_neighbour(spark):
+    star = spark.createDataFrame([("hub", f"e{k}", 1.0) for k in range(4)], "hyperedge string, entity string, weight double")
+    seen = {r.node for seed in range(40) for r in G.random_walks(star, 1, seed).where("start = 'hub' AND step = 1").collect()}
+    assert seen == {"e0", "e1", "e2", "e3"}
+
+
+def test_edits_of_many_batches(spark):
+    state = spark.createDataFrame([], E.STATE)
+    rows = [(k, "insert", f"w{k % 3}", f"fact {k % 60}", None) for k in range(120)]
+    rows += [(120 + k, "delete", f"w{k % 3}", f"fact {k}", None) for k in range(0, 60, 2)]
+    tasks = spark.createDataFrame(rows, "seq long, update_type string, working_dir string, content string, new_content string")
+    got = E.apply_all(state, tasks, size=10).collect()
+    assert {(r.working_dir, r.content, r.deleted, r.weight) for r in got} == {(f"w{k % 3}", f"fact {k}", k % 2 == 0, 0.5 if k % 2 == 0 else 1.0) for k in range(60)} and len(got) == 60
