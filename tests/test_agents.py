@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hyperweave.functions import mathematics as M
 from hyperweave.functions import records as R
+from hyperweave.functions.text import latex_normalised
 from hyperweave.operators import trajectories as A
 
 
@@ -107,3 +109,18 @@ def test_selections(spark):
     calls = spark.createDataFrame([(1, "see <img>"), (1, "see"), (2, "<img>")], "row int, query string")
     batch = spark.createDataFrame([(1, "i1", "s")], "row int, image_id string, sources string")
     assert sorted(str(r.image_id) for r in A.batch_context(calls, batch).collect()) == ["None", "None", "i1"]
+
+
+def test_math_equal(spark):
+    same = [("1,234", "1234"), ("50%", "0.5"), ("0.5", "50"), ("\\frac{1}{2}", "1/2"), ("(1, 2)", "(1.0,2)"), ("[0, 2x]", "[0, x+x]"), ("x^2-1", "(x-1)(x+1)"), ("2\\sqrt{2}", "\\sqrt{8}"), ("\\pi/4", "0.785398"), ("y = 3x", "x*3"), ("-2^2", "-4"), ("$5$", "5"), ("A", "a"), ("2^{-1}", "1/2")]
+    other = [("x+1", "x-1"), ("1", "3"), ("(1,2)", "(2,1)"), ("", "0"), ("1/0", "2/0"), ("__import__('os')", "1"), ("(" * 900, "1"), ("9^9^9^9", "1"), ("(1,2)", "1"), ("x" * 2000, "y"), ("\\unknown{2}", "2"), (None, "1"), ("1", None), ("a b", "")]
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(same + other)], "k int, a string, b string")
+    got = {r.k: r.hit for r in rows.select("k", M.math_equal("a", "b").alias("hit")).collect()}
+    assert [k for k in range(len(same)) if got[k] != 1.0] == [] and [(k, other[k - len(same)]) for k in got if k >= len(same) and got[k] != 0.0] == []
+
+
+def test_short_answers_in_one_form(spark):
+    pairs = [("0.5", "\\frac{1}{2}"), ("x = .5", "\\frac{1}{2}"), ("3\n4", "34"), ("\\\\frac12", "\\frac{1}{2}"), ("{.25}", "{0.25}"), ("1 .5", "10.5"), ("abc=4", "abc=4"), ("10\\text{ cm}", "10"), ("7\\%", "7")]
+    rows = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(pairs)], "k int, a string")
+    got = {r.k: r.x for r in rows.select("k", latex_normalised("a").alias("x")).collect()}
+    assert [got[k] for k in range(len(pairs))] == [b for _, b in pairs]
