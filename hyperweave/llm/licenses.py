@@ -1,8 +1,10 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a stretch of a paragraph of several lines (blank lines part paragraphs), since notices are wrapped;
-its set is the distinct words. Stretches follow each other so that any run of `SLACK` times as many words as the longest
-template has lies whole in one, however it is wrapped. A template is found in a block that holds at least `threshold` of its
+A block is a line, or a stretch of the whole text, since notices are wrapped and whole licenses have several paragraphs:
+ends of lines and paragraphs, comment signs and markup only separate words. Its set is the distinct words. Templates
+are searched for in stretches of their own size (they are classed by length, a class reaching to twice its shortest):
+stretches follow each other so that any run of `SLACK` times as many words as the class's longest template has lies
+whole in one. A template is found in a block that holds at least `threshold` of its
 words. Words are ordered by their frequency in the whole corpus, rarest first. Prefix filter: a block that holds `need`
 of a template's n words holds one of its first n - need + 1. Length filter: the block has at least `need` words.
 Positional filter: from the first common word on, both sides must have enough words left. What passes is verified.
@@ -88,27 +90,42 @@ def _needed(words: list[str], threshold: float) -> int:
     return max(1, min(-(-int(round(threshold * len(words) * 1e6)) // 1_000_000), len(words)))
 
 
-def _stretches(body: str, held: str, sets: list, threshold: float) -> Column:
-    """Stretches (their distinct words) of paragraphs of several lines that hold enough of any template; null for texts
-    whose words, all told, do not."""
-    span = SLACK * max([r.length for r in sets], default=1)
+def size_classes(lengths: list[int]) -> list[tuple[int, int]]:
+    """(shortest, longest) of each class of template lengths."""
+    out: list[tuple[int, int]] = []
+    for n in sorted(set(lengths)):
+        if out and n <= 2 * out[-1][0]:
+            out[-1] = (out[-1][0], n)
+        else:
+            out.append((n, n))
+    return out
 
-    def meets(words: Column) -> Column:
-        return reduce(or_, [F.size(F.array_intersect(words, F.array(*map(F.lit, r.words)))) >= _needed(r.words, threshold) for r in sets], F.lit(False))
 
-    def cut(paragraph: Column) -> Column:
+def _stretches(words: str, held: str, sets: list, threshold: float) -> Column:
+    """(kind, words) of the stretches (their distinct words) that hold enough of any template of their class; kind is the
+    class's number. Texts whose words, all told, do not hold enough are not cut."""
+
+    def meets(words: Column | str, own: list) -> Column:
+        return reduce(or_, [F.size(F.array_intersect(words, F.array(*map(F.lit, r.words)))) >= _needed(r.words, threshold) for r in own], F.lit(False))
+
+    def cut(span: int) -> Column:
         """2 * span words, a new stretch every span words."""
-        words = F.regexp_extract_all(paragraph, F.lit(WORD), F.lit(0))
-        starts = F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - span, F.lit(0)) + 1, F.lit(span)), lambda k: F.array_distinct(F.slice(w, k, F.lit(2 * span)))))
-        return F.flatten(starts)
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - span, F.lit(0)) + 1, F.lit(span))
+        return F.transform(starts, lambda k: F.array_distinct(F.slice(words, k, F.lit(2 * span))))
+
+    def of_class(kind: int, low: int, high: int) -> Column:
+        own = [r for r in sets if low <= r.length <= high]
+        kept = F.filter(cut(SLACK * high), lambda x: meets(x, own))
+        return F.when(meets(held, own), F.transform(kept, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("words")))).otherwise(none)
 
-    paragraphs = F.filter(F.split(F.lower(body), r"\n[ \t\r]*\n"), lambda x: F.contains(x, F.lit("\n")))  # of one line, they are lines
-    return F.when(meets(F.col(held)), F.filter(F.flatten(F.transform(paragraphs, cut)), meets))
+    none = F.array().cast("array<struct<kind:int,words:array<string>>>")
+    parts = [of_class(k, *c) for k, c in enumerate(size_classes([r.length for r in sets]))]
+    return F.concat(*parts) if parts else none
 
 
 def find_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, held: DataFrame | None = None) -> DataFrame:
     """(key, block, label, containment) for every block of every document and every template that it meets; block is the
-    line's number, and null for stretches of several lines.
+    line's number, and null for stretches of the text.
 
     held: a table (key, held, stretches) of each document's distinct template words and its stretches, if known already.
     """
@@ -121,14 +138,15 @@ def _find_slice(docs: DataFrame, key: str, text: str, sets: list, known: list[st
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     if held is None:
-        held = docs.select(key, body.alias("body"), _held(_block_words(body), known).alias("held")).select(key, "held", _stretches("body", "held", sets, threshold).alias("stretches"))
+        held = docs.select(key, _block_words(body).alias("w")).select(key, "w", _held("w", known).alias("held")).select(key, "held", _stretches("w", "held", sets, threshold).alias("stretches"))
     counts = {r["word"]: r["count"] for r in held.select(F.explode("held").alias("word")).groupBy("word").count().collect()}  # a row for each template word at most
     order = {w: k for k, w in enumerate(sorted(known, key=lambda w: (counts.get(w, 0), w)))}
-    rows = []
+    rows, classes = [], size_classes([r.length for r in sets])
     for r in sets:
         words, need = sorted(r.words, key=order.__getitem__), _needed(r.words, threshold)
-        rows += [(w, p, r.template, r.label, words, need) for p, w in enumerate(words[: len(words) - need + 1])]
-    prefixes = spark.createDataFrame(rows, "word string, p int, template int, label string, template_words array<string>, need int")
+        own = next(k for k, (low, high) in enumerate(classes) if low <= r.length <= high)
+        rows += [(w, p, r.template, r.label, words, need, own) for p, w in enumerate(words[: len(words) - need + 1])]
+    prefixes = spark.createDataFrame(rows, "word string, p int, template int, label string, template_words array<string>, need int, class int")
     first = sorted({r[0] for r in rows})
     lines = docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.lower(body), "\n")).alias("block", "line"))
     if first and len(first) <= MOST_NEEDLES:  # a line without the letters of any prefix word has none of the words
@@ -136,15 +154,16 @@ def _find_slice(docs: DataFrame, key: str, text: str, sets: list, known: list[st
         for w in first[1:]:
             some = some | F.contains("line", F.lit(w))
         lines = lines.where(some)
-    lines = lines.select("key", "block", F.array_distinct(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("words"))
-    stretches = held.where(F.size("stretches") > 0).select(F.col(key).alias("key"), F.lit(None).cast("int").alias("block"), F.explode("stretches").alias("words"))
+    none = F.lit(None).cast("int")
+    lines = lines.select("key", "block", none.alias("kind"), F.array_distinct(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("words"))
+    stretches = held.where(F.size("stretches") > 0).select(F.col(key).alias("key"), none.alias("block"), F.explode("stretches").alias("x")).select("key", "block", "x.kind", "x.words")
     lines = lines.unionByName(stretches)
     lines = lines.where(F.size(_held("words", first)) > 0)
     rank = F.create_map(*(F.lit(x) for pair in order.items() for x in pair)) if order else F.create_map().cast("map<string,int>")
     ranked = F.array_sort(F.filter(F.transform("words", lambda w: F.struct(F.try_element_at(rank, w).alias("r"), w.alias("w"))), lambda x: x["r"].isNotNull()))
-    lines = lines.withColumn("held", ranked).select("key", "block", "words", F.size("held").alias("n_held"), F.posexplode("held").alias("q", "x"))
+    lines = lines.withColumn("held", ranked).select("key", "block", "kind", "words", F.size("held").alias("n_held"), F.posexplode("held").alias("q", "x"))
     pairs = lines.withColumn("word", F.col("x.w")).join(F.broadcast(prefixes), "word")
-    pairs = pairs.where("size(words) >= need AND 1 + least(size(template_words) - p - 1, n_held - q - 1) >= need")
+    pairs = pairs.where("coalesce(kind = class, true) AND size(words) >= need AND 1 + least(size(template_words) - p - 1, n_held - q - 1) >= need")
     common = F.size(F.array_intersect("words", "template_words"))
     return pairs.where(common >= F.col("need")).select(F.col("key").alias(key), "block", "label", (common / F.size("template_words")).alias("containment"))
 
@@ -161,8 +180,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
     found = f"CASE WHEN array_contains(w, 'license') THEN array_sort(concat({', '.join(places)})) END"
     sets, known = _template_sets(docs, templates)[0]
     # lower() leaves the words' number as it is and makes none of the phrases' letters from others than A-Z
-    rows = docs.select(key, body.alias("body"), _block_words(body).alias("w")).select(key, "body", F.size("w").cast("long").alias("n_words"), _held("w", known).alias("held"), F.expr(found).alias("places"))
-    rows = settled(rows.select(key, "n_words", "held", "places", _stretches("body", "held", sets, threshold).alias("stretches")))
+    rows = docs.select(key, _block_words(body).alias("w")).select(key, "w", F.size("w").cast("long").alias("n_words"), _held("w", known).alias("held"), F.expr(found).alias("places"))
+    rows = settled(rows.select(key, "n_words", "held", "places", _stretches("w", "held", sets, threshold).alias("stretches")))
     blocks = find_blocks(docs, key, text, templates, threshold, rows)
     blocks = blocks.groupBy(F.col(key).alias("__key")).agg(F.collect_set("label").alias("__labels"), F.max("containment").alias("__score"))
     joined = rows.join(blocks, F.col(key).eqNullSafe(F.col("__key")), "left")

@@ -174,15 +174,18 @@ def _license_sql() -> str:
         words = phrase.split()
         same = " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(words, 1))
         places.append(f"SELECT doc_id, i, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d WHERE list_contains(w, 'license')) WHERE i + {len(words)} <= len(w) AND {same}")
-    span = licenses.SLACK * max(len(re.findall(r"[^\W_]+", body)) for _, body in licenses.TEMPLATES)
+    lengths = [len(re.findall(r"[^\W_]+", body)) for _, body in licenses.TEMPLATES]
+    stretches = ""
+    for low, high in licenses.size_classes(lengths):
+        span = licenses.SLACK * high
+        stretches += f" UNION ALL SELECT doc_id, {low}, {high}, list_distinct(p[k:k + {2 * span - 1}]) FROM (SELECT doc_id, p, unnest(range(1, greatest(len(p) - {span}, 0) + 2, {span})) AS k FROM pg)"
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
-WITH t AS (SELECT label, list_distinct({_WORDS.format('body')}) AS t FROM (VALUES {rows}) v(k, label, body)),
+WITH t AS (SELECT label, len({_WORDS.format('body')}) AS n, list_distinct({_WORDS.format('body')}) AS t FROM (VALUES {rows}) v(k, label, body)),
 d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-pg AS (SELECT doc_id, regexp_extract_all(x, '{word}') AS p FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '\n[ \t\r]*\n')) AS x FROM documents) WHERE contains(x, chr(10))),
-b AS (SELECT doc_id, list_distinct({_WORDS.format('line')}) AS w FROM (SELECT doc_id, unnest(lines) AS line FROM d)
-  UNION ALL SELECT doc_id, list_distinct(p[k:k + {2 * span - 1}]) FROM (SELECT doc_id, p, unnest(range(1, greatest(len(p) - {span}, 0) + 2, {span})) AS k FROM pg)),
-f AS (SELECT doc_id, label, len(list_intersect(w, t))::DOUBLE / len(t) AS c FROM b, t WHERE len(list_intersect(w, t)) >= ceil(round({licenses.THRESHOLD} * len(t), 6))),
+pg AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS p FROM documents),
+b AS (SELECT doc_id, 0 AS low, {max(lengths)} AS high, list_distinct({_WORDS.format('line')}) AS w FROM (SELECT doc_id, unnest(lines) AS line FROM d){stretches}),
+f AS (SELECT doc_id, label, len(list_intersect(w, t))::DOUBLE / len(t) AS c FROM b, t WHERE n BETWEEN low AND high AND len(list_intersect(w, t)) >= ceil(round({licenses.THRESHOLD} * len(t), 6))),
 p AS ({' UNION ALL '.join(places)}),
 ps AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z FROM p GROUP BY 1),
 pl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT doc_id, label FROM p) GROUP BY 1),

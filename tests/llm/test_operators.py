@@ -428,13 +428,18 @@ def test_disclosing_terms_of_all_scripts(spark, odd):
 
 
 def brute_licenses(rows, threshold=licenses.THRESHOLD):
-    sets = [(label, set(WORD.findall(body.translate(LOWER)))) for label, body in licenses.TEMPLATES]
+    sets = [(label, WORD.findall(body.translate(LOWER))) for label, body in licenses.TEMPLATES]
+    classes = licenses.size_classes([len(s) for _, s in sets])
     out = collections.defaultdict(set)
     for i, t in rows:
-        for line in (t or "").split("\n"):
-            words = set(WORD.findall(line.translate(LOWER)))
+        blocks = [(set(WORD.findall(line.translate(LOWER))), None) for line in (t or "").split("\n")]
+        words = WORD.findall((t or "").translate(LOWER))
+        for low, high in classes:
+            span = licenses.SLACK * high
+            blocks += [(set(words[k : k + 2 * span]), (low, high)) for k in range(0, max(len(words) - span, 0) + 1, span)]
+        for held, of in blocks:
             for label, s in sets:
-                if len(words & s) * 1e6 >= round(threshold * len(s) * 1e6):
+                if (of is None or of[0] <= len(s) <= of[1]) and len(held & set(s)) * 1e6 >= round(threshold * len(set(s)) * 1e6):
                     out[i].add(label)
     return out
 
@@ -471,7 +476,7 @@ def test_wrapped_notices(spark, odd):
     rows = [(1, "Prose.\n\n" + wrapped(mit, 76, " * ") + "\n\nProse."), (2, wrapped(text("bsd"), 40, "# ")), (3, "word\n" * 500 + text("mpl").replace(" ", "\r\n")), (4, wrapped("About this: " + text("cc0"), 72))]
     rows += [(5, wrapped(text("bsd"), 90).replace("\n", "\n \n")), (6, "Redistribution and use in source and binary forms, with or without modification,\n" + "word " * 400 + "\nare permitted provided that the following conditions are met"), (7, None)]
     got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: "mit", 2: "bsd", 3: "mpl", 4: "cc0", 5: "", 6: "", 7: ""}
+    assert got == {1: "mit", 2: "bsd", 3: "mpl", 4: "cc0", 5: "bsd", 6: "", 7: ""}
 
 
 def test_whole_license_texts(spark, odd, tmp_path, monkeypatch):
@@ -491,6 +496,40 @@ def test_whole_license_texts(spark, odd, tmp_path, monkeypatch):
         assert got == {k: (name, 1.0) for k, name in enumerate(texts)} | {9: ("", 0.0), 10: ("", 0.0)}
 
 
+#: A license of several paragraphs with a title, a copyright line and a list.
+WHOLE = """Sample Public License
+
+Copyright (c) 2024 The Authors
+
+Permission is granted to anyone who receives a copy of this program and its manuals to run, study, share and change it
+for any purpose, as long as each of the following terms is met:
+
+  1. The notice above and this list stay in all copies, whether in source or compiled form.
+  2. Changed versions are marked as such and are not presented as the original work.
+
+THE PROGRAM COMES "AS IS", WITHOUT WARRANTY OF ANY KIND. IN NO EVENT ARE THE AUTHORS LIABLE FOR ANY DAMAGE THAT ARISES
+FROM ITS USE, EVEN IF THEY WERE TOLD THAT IT MIGHT.
+"""
+
+
+@pytest.mark.parametrize("most", [20_000, 40])
+def test_license_files_of_several_paragraphs(spark, odd, monkeypatch, most):
+    monkeypatch.setattr(licenses, "MOST_WORDS", most)
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice(WORD.findall(WHOLE.lower())[:25] + ["other", "words"]) for _ in range(n))
+    commented = "\n".join("// " + line for line in WHOLE.split("\n"))
+    half = WHOLE[: len(WHOLE) // 2]
+    rows = [(1, WHOLE), (2, prose(900) + "\n\n" + commented + "\n\n" + prose(900)), (3, "<p>" + WHOLE.replace("\n\n", "</p>\r\n\r\n<p>") + "</p>"), (4, half), (5, half + "word " * 2000 + WHOLE[len(WHOLE) // 2 :]), (6, WHOLE.replace("\n", " ")), (7, prose(3000)), (8, ""), (9, None)]
+    templates = [("sample", WHOLE), ("mit", "Released under the MIT License")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates).collect()}
+    found = ("sample", 1.0)
+    assert got == {1: found, 2: found, 3: found, 4: ("", 0.0), 5: ("", 0.0), 6: found, 7: ("", 0.0), 8: ("", 0.0), 9: ("", 0.0)}
+
+
+def test_templates_are_classed_by_length():
+    assert licenses.size_classes([5, 3, 6, 7, 25, 15, 12]) == [(3, 6), (7, 12), (15, 25)] and licenses.size_classes([]) == []
+
+
 # 7
 
 
