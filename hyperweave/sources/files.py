@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import json
-import tarfile
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .archives import paired_members, read_archive_members  # noqa: F401
+from .graphml import NAMESPACE, read_graphml  # noqa: F401
 
 
 def read_json_store(spark: SparkSession, path: str, value: str = "map<string,string>") -> DataFrame:
@@ -62,36 +61,6 @@ def prompts_within(df: DataFrame, prompt: Column, most: int) -> DataFrame:
     return df.where(F.size(F.filter(F.split(prompt, r"\s+"), lambda w: w != "")) <= most)
 
 
-_GRAPHML = "http://graphml.graphdrawing.org/xmlns"
-
-
-def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of GraphML files, their attributes as maps. An empty or broken file gives nothing."""
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xml.etree.ElementTree as ET
-
-        for frame in frames:
-            for content in frame["content"]:
-                rows = []
-                try:
-                    root = ET.fromstring(content)
-                except ET.ParseError:
-                    continue
-                names = {k.get("id"): k.get("attr.name") for k in root.iter(f"{{{_GRAPHML}}}key")}
-                for kind in ("node", "edge"):
-                    for x in root.iter(f"{{{_GRAPHML}}}{kind}"):
-                        data = {names.get(d.get("key"), d.get("key")): d.text or "" for d in x.findall(f"{{{_GRAPHML}}}data")}
-                        rows.append((kind, x.get("id") or x.get("source"), x.get("target"), data))
-                yield pd.DataFrame(rows, columns=["kind", "a", "b", "data"])
-
-    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "kind string, a string, b string, data map<string,string>")
-    strip = lambda c: F.btrim(F.col(c), F.lit('"'))
-    return found.where("kind = 'node'").select(strip("a").alias("node"), "data"), found.where("kind = 'edge'").select(
-        strip("a").alias("source"), strip("b").alias("target"), F.coalesce(F.try_element_at("data", F.lit("weight")).try_cast("double"), F.lit(0.0)).alias("weight"), "data"
-    )
-
-
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """nodes: (node, data), edges: (source, target, weight, data), data maps of attributes. Every part file is a whole
     document with a header, its attributes' keys and its own nodes and edges; read_graphml reads them all back. Characters
@@ -111,7 +80,7 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
         text = lambda x: escape(lost.sub("\ufffd", x), {"\r": "&#13;"})
         attribute = lambda x: quoteattr(lost.sub("\ufffd", x), {"\r": "&#13;", "\n": "&#10;", "\t": "&#9;"})
         keys: dict[tuple[str, str], str] = {}
-        lines = [f'<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="{_GRAPHML}"><graph edgedefault="undirected">']
+        lines = [f'<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="{NAMESPACE}"><graph edgedefault="undirected">']
         for frame in frames:
             for kind, a, b, data in frame.itertuples(index=False):
                 ends = f"id={attribute(a)}" if kind == "node" else f"source={attribute(a)} target={attribute(b)}"
@@ -126,41 +95,6 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     rows.mapInPandas(documents, "value string").write.mode("overwrite").text(path)
 
 
-def read_archive_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".json",), most: int | None = None) -> DataFrame:
-    """(archive, member, size, content) of TAR and ZIP files. One archive is one task's work and its members leave it one
-    by one; a member over `most` bytes, where that is given, is an error."""
-
-    def small(name: str, size: int) -> bool:
-        if most is not None and size > most:
-            raise ValueError(f"{name} has {size} bytes, more than {most}")
-        return True
-
-    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"]):
-                raw = io.BytesIO(content)
-                if zipfile.is_zipfile(raw):
-                    with zipfile.ZipFile(raw) as z:
-                        for m in z.infolist():
-                            if m.filename.endswith(suffixes) and small(m.filename, m.file_size):
-                                yield pd.DataFrame([(name, m.filename, m.file_size, z.read(m))], columns=["archive", "member", "size", "content"])
-                else:
-                    raw.seek(0)
-                    with tarfile.open(fileobj=raw) as t:
-                        for m in t:
-                            if m.isfile() and m.name.endswith(suffixes) and small(m.name, m.size):
-                                yield pd.DataFrame([(name, m.name, m.size, t.extractfile(m).read())], columns=["archive", "member", "size", "content"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, member string, size long, content binary")
-
-
-def paired_members(members: DataFrame) -> DataFrame:
-    """Images with the JSON record of the same stem beside them."""
-    stem = members.withColumn("stem", F.regexp_replace("member", r"\.[^.]*$", "")).withColumn("suffix", F.regexp_extract("member", r"\.([^.]*)$", 1))
-    records = stem.where("suffix = 'json'").select("archive", "stem", F.col("content").cast("string").alias("record"))
-    return stem.where("suffix <> 'json'").join(records, ["archive", "stem"])
-
-
 def write_version(df: DataFrame, table: str, version: int) -> str:
     """Writes a new version beside the old ones and returns its path; readers move on when they are told."""
     path = f"{table}/version={version}"
