@@ -62,6 +62,27 @@ def edit_results(spark, d):
     return E.task_results(state, E.batched(tasks))
 
 
+_STREAMED = "WITH s AS (SELECT 'w' || s_nationkey AS working_dir, CAST(s_suppkey AS BIGINT) AS id, 'content of ' || lower(s_name) AS c FROM supplier)"
+
+
+@Q("edit_stream", _STREAMED + " SELECT working_dir, id, c || CASE WHEN id % 3 = 0 THEN ' new' ELSE '' END AS content, CASE WHEN id % 3 = 0 THEN CAST(id % 4 AS DOUBLE) WHEN id % 4 > 0 THEN (id % 4) / 2.0::DOUBLE ELSE 0.05 END AS weight, id % 3 <> 0 AS deleted FROM s")
+def edit_stream(spark, d):
+    """Existing records, then an update or a delete of each, as a keyed stateful stream; the flushes laid over the base."""
+    from ..session import scratch
+    from ..streaming import stateful
+
+    state = read_table(spark, d, "supplier").select(F.concat(F.lit("w"), F.col("s_nationkey").cast("string")).alias("working_dir"), F.col("s_suppkey").cast("long").alias("id"), F.concat(F.lit("content of "), F.lower("s_name")).alias("content"), (F.col("s_suppkey") % 4).cast("double").alias("weight"), F.lit(None).cast("double").alias("original_weight"), F.lit(False).alias("deleted"), F.lit(0).cast("long").alias("changed"))
+    loads, path = stateful.load_rows(state), scratch(spark, "edits")
+    kind = F.when(F.col("id") % 3 == 0, "update").otherwise("delete")
+    null = {c: F.lit(None).cast(t) for c, t in loads.dtypes if c in ("weight", "original_weight", "deleted")}
+    tasks = state.select("working_dir", F.col("id").alias("seq"), kind.alias("update_type"), "content", F.concat("content", F.lit(" new")).alias("new_content"), F.lit(None).cast("long").alias("id")).withColumns(null)
+    for part, rows in (("0", loads), ("1", tasks)):
+        rows.coalesce(1).write.parquet(f"{path}/{part}")
+    stream = spark.readStream.schema(loads.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+    out = E.drain(stateful.stream_tasks(stream, seconds=None), mode="update")
+    return stateful.latest(state, out).select("working_dir", "id", "content", "weight", "deleted")
+
+
 @Q("websearch_cache_hits", r"WITH k AS (SELECT event_id, lower(trim(regexp_replace('  Query ' || (event_id % 311) || ' x ', '\s+', ' ', 'g'))) AS query_key, '  Query ' || (event_id % 311) || ' x ' AS t FROM events) SELECT query_key, arg_min(t, event_id) AS original, count(*) - 1 AS hit_count, min(event_id) AS created, max(event_id) AS updated FROM k GROUP BY 1")
 def cache_hits(spark, d):
     e = read_table(spark, d, "events").select("event_id", F.concat(F.lit("  Query "), (F.col("event_id") % 311).cast("string"), F.lit(" x ")).alias("t"))

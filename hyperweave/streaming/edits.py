@@ -34,24 +34,45 @@ def soft_deleted(weight: Column, times: Column) -> Column:
     return F.when(times == 0, weight).when(weight > 0, weight / 2).otherwise(0.05)
 
 
+def reached(state: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The records, with their key `k`, that some lookup of the tasks can find: those of the same key, and, for updates
+    and deletes of ten characters or more, those that contain it and are at most twice as long. No task can touch others,
+    so only these need to meet in one place. Containment is an equi-join on the first ten characters, then verified."""
+    s = state.withColumn("k", query_key("content"))
+    asked = tasks.select("working_dir", query_key("content").alias("k"), (F.col("update_type") != "insert").alias("loose"))
+    exact = s.join(asked.select("working_dir", "k").distinct(), ["working_dir", "k"], "left_semi").select("working_dir", "id")
+    loose = asked.where("loose AND length(k) >= 10").select("working_dir", F.col("k").alias("t"), F.substring("k", 1, 10).alias("g")).distinct()
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("k") - 9), lambda i: F.col("k").substr(i, F.lit(10))))
+    met = s.where("length(k) > 10").select("working_dir", "id", F.explode(grams).alias("g")).join(loose.select("working_dir", "g").distinct(), ["working_dir", "g"], "left_semi")
+    near = met.join(loose, ["working_dir", "g"]).drop("g").distinct().join(s.select("working_dir", "id", "k"), ["working_dir", "id"])
+    near = near.where(F.contains("k", F.col("t")) & (F.length("t") * 2 >= F.length("k"))).select("working_dir", "id")
+    return s.join(exact.unionByName(near).distinct(), ["working_dir", "id"], "left_semi")
+
+
+def _keyed(state: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Tasks with the keys of their contents and the largest id of their directory."""
+    top = state.groupBy("working_dir").agg(F.max("id").alias("top"))
+    return tasks.withColumns({"k": query_key("content"), "new_k": query_key("new_content")}).join(top, "working_dir", "left")
+
+
 def _fold(state: pd.DataFrame, tasks: pd.DataFrame) -> tuple[pd.DataFrame, list]:
-    """State after the tasks in their order, and each task's result."""
+    """State after the tasks in their order, and each task's result. state holds what reached() keeps; the tasks' `top`
+    is the largest id of all."""
     rows = {int(r.id): dict(r._asdict()) for r in state.itertuples(index=False)}
-    key = lambda s: " ".join(str(s).split()).lower()
+    top = int(tasks["top"].fillna(0).max()) if len(tasks) else 0
     by = {}
     for i in sorted(rows):
-        by.setdefault(key(rows[i]["content"]), []).append(i)
+        by.setdefault(rows[i]["k"], []).append(i)
     results = []
 
-    def resolve(text: str, skip_deleted: bool) -> int | None:
-        want = key(text)
+    def resolve(want: str, skip_deleted: bool) -> int | None:
         for i in by.get(want, []):
             if not (skip_deleted and rows[i]["deleted"]):
                 return i
         best = None
         if len(want) >= 10:
             for i in sorted(rows):
-                have = key(rows[i]["content"])
+                have = rows[i]["k"]
                 if not (skip_deleted and rows[i]["deleted"]) and want in have and len(want) / len(have) >= 0.5:
                     if best is None or len(want) / len(have) > best[0]:
                         best = (len(want) / len(have), i)
@@ -59,25 +80,25 @@ def _fold(state: pd.DataFrame, tasks: pd.DataFrame) -> tuple[pd.DataFrame, list]
 
     for t in tasks.sort_values(["batch", "place"]).itertuples(index=False):
         if t.update_type == "insert":
-            i = resolve(t.content, False) if key(t.content) in by else None
+            i = resolve(t.k, False) if by.get(t.k) else None
             if i is None:
-                i = max(rows, default=0) + 1
-                rows[i] = {"working_dir": t.working_dir, "id": i, "content": t.content, "weight": 1.0, "original_weight": None, "deleted": False, "changed": t.seq}
-                by.setdefault(key(t.content), []).append(i)
+                i = top = top + 1
+                rows[i] = {"working_dir": t.working_dir, "id": i, "content": t.content, "weight": 1.0, "original_weight": None, "deleted": False, "changed": t.seq, "k": t.k}
+                by.setdefault(t.k, []).append(i)
                 results.append((t.seq, "succeeded", i))
             else:
                 results.append((t.seq, "skipped", i))
             continue
-        i = resolve(t.content, t.update_type == "delete")
+        i = resolve(t.k, t.update_type == "delete")
         if i is None:
             results.append((t.seq, "failed", None))
             continue
         r = rows[i]
         if t.update_type == "update":
-            by[key(r["content"])].remove(i)
-            r["content"] = t.new_content
-            by.setdefault(key(t.new_content), []).append(i)
-            by[key(t.new_content)].sort()
+            by[r["k"]].remove(i)
+            r["content"], r["k"] = t.new_content, t.new_k
+            by.setdefault(t.new_k, []).append(i)
+            by[t.new_k].sort()
             if r["deleted"]:
                 w = r["original_weight"]
                 r["weight"], r["original_weight"], r["deleted"] = (w if w is not None and w == w else r["weight"]), None, False
@@ -88,21 +109,22 @@ def _fold(state: pd.DataFrame, tasks: pd.DataFrame) -> tuple[pd.DataFrame, list]
             r["weight"], r["deleted"] = (w / 2 if w > 0 else 0.05), True
         r["changed"] = t.seq
         results.append((t.seq, "succeeded", i))
-    return pd.DataFrame(list(rows.values()), columns=list(state.columns)), results
+    return pd.DataFrame(list(rows.values()), columns=list(state.columns)).drop(columns="k"), results
 
 
 def apply_batch(state: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The state of every working directory after its batches (with `batch` and `place`). Directories are independent; within one, a
-    task sees what earlier ones did, so its tasks are folded in one place, and only directories with tasks leave the JVM."""
+    """The state of every working directory after its batches (with `batch` and `place`). Directories are independent;
+    within one, a task sees what earlier ones did, so its tasks are folded in one place, with the records that they can
+    reach; all other records, however many a directory has, stay where they are. Ids are unique in a directory."""
 
     def fold(key, held: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
         out, _ = _fold(held, todo)
         return out
 
-    touched = tasks.select("working_dir").distinct()
-    rest = state.join(touched, "working_dir", "left_anti")
-    mine = state.join(touched, "working_dir", "left_semi")
-    folded = mine.groupBy("working_dir").cogroup(tasks.groupBy("working_dir")).applyInPandas(fold, STATE)
+    mine = settled(reached(state, tasks))
+    mine = mine.select(*(F.col(c).alias(c) for c in mine.columns))  # columns of their own, should the tasks come from the state
+    folded = mine.groupBy("working_dir").cogroup(_keyed(state, tasks).groupBy("working_dir")).applyInPandas(fold, STATE)
+    rest = state.join(mine.select("working_dir", "id"), ["working_dir", "id"], "left_anti")
     return rest.unionByName(folded)
 
 
@@ -112,7 +134,7 @@ def task_results(state: DataFrame, tasks: DataFrame) -> DataFrame:
     def fold(key, held: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_fold(held, todo)[1], columns=["seq", "status", "id"])
 
-    return state.groupBy("working_dir").cogroup(tasks.groupBy("working_dir")).applyInPandas(fold, "seq long, status string, id long")
+    return reached(state, tasks).groupBy("working_dir").cogroup(_keyed(state, tasks).groupBy("working_dir")).applyInPandas(fold, "seq long, status string, id long")
 
 
 def apply_all(state: DataFrame, tasks: DataFrame, size: int = BATCH) -> DataFrame:
@@ -155,17 +177,20 @@ def cache_hits(reads: DataFrame, seq: str, text: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a bounded stream to its end into a table in the shared folder; a complete result replaces the last one."""
+    """Runs a bounded stream to its end into a table in the shared folder. Every micro-batch has a folder of its own, so
+    one that is tried again replaces what its first try left; a complete result is the last batch's."""
     spark, path, batches = stream.sparkSession, scratch(stream.sparkSession, "stream"), []
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
         batches.append(n)
 
     place = checkpoint or scratch(spark, "progress")
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", place).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path) if batches else spark.createDataFrame([], stream.schema)
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch={max(batches)}" if mode == "complete" else path).select(*stream.columns)
 
 
 def ring(rows: Iterator, size: int = RING) -> list:
