@@ -24,6 +24,24 @@ def _counts(words: Column) -> Column:
     return F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("w"), F.size(F.filter(words, lambda x: x == w)).alias("n")))
 
 
+def answer_counts(text: Column | str) -> Column:
+    """The words of an answer after normalisation, with their numbers: a map, to be made once for each text."""
+    words = F.array_sort(F.filter(F.split(answer_key(text), " "), lambda w: w != ""))
+    # sorted words: each stretch of equal ones begins where the word before differs
+    firsts = F.filter(F.sequence(F.lit(1), F.size(words) + 1), lambda i: (i > F.size(words)) | (i == 1) | (F.get(words, i - 1) != F.get(words, F.greatest(i - 2, F.lit(0)))))
+    pairs = F.transform(F.slice(firsts, 1, F.greatest(F.size(firsts) - 1, F.lit(0))), lambda i, k: F.struct(F.get(words, i - 1).alias("w"), (F.get(firsts, k + 1) - i).alias("n")))
+    return F.map_from_entries(pairs)
+
+
+def f1_of_counts(answer: Column | str, gold: Column | str) -> Column:
+    """F1 of two maps of answer_counts; two empty answers agree."""
+    a, b = c(answer), c(gold)
+    common = F.aggregate(F.array_intersect(F.map_keys(a), F.map_keys(b)), F.lit(0), lambda s, w: s + F.least(a[w], b[w]))
+    size = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda s, n: s + n)
+    total = size(a) + size(b)
+    return F.when(total == 0, 1.0).otherwise(2.0 * common / total)
+
+
 def token_f1(answer: Column | str, golds: Column | str) -> Column:
     """Best F1 of common words, with multiplicity, over the golds; two empty answers agree."""
     words = lambda x: F.filter(F.split(answer_key(x), " "), lambda w: w != "")

@@ -132,3 +132,32 @@ def value_loss(df: DataFrame, predicted: str, old: str, returns: str, mask: str,
     clipped = F.greatest(low, F.least(high, F.col(predicted)))
     a, b = F.pow(F.col(predicted) - F.col(returns), 2), F.pow(clipped - F.col(returns), 2)
     return df.agg((0.5 * F.sum(F.greatest(a, b) * F.col(mask)) / F.sum(mask)).alias("loss"), (F.sum((b > a).cast("int") * F.col(mask)) / F.sum(mask)).alias("clip_fraction"))
+
+
+def bootstrap_metrics(df: DataFrame, source: str, problem: str, attempt: str, score: str, answer: str | None = None, sizes: list[int] = (2, 4, 8), draws: int = 1000, seed: int = 42) -> DataFrame:
+    """(source, metric, size, mean, std): what validation reports of repeated attempts, averaged over a source's problems.
+
+    mean@n over all of a problem's attempts; best@k, worst@k and, with answers, maj@k over `draws` samples of k attempts
+    each, drawn with replacement. A draw is a hash of seed, problem, k, sample and place, so it is the same on every run and
+    in SQL. The majority's score is that of the first drawn attempt with the most frequent answer, the first drawn among
+    equally frequent ones. std is the population's over the samples; of mean@n over the attempts. A problem's attempts
+    (some tens) meet in one row; nulls in score are no attempts."""
+    picked = df.where(F.col(score).isNotNull())
+    told = F.struct(F.col(attempt).alias("i"), F.col(score).cast("double").alias("s"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("a"))
+    each = picked.groupBy(source, problem).agg(F.array_sort(F.collect_list(told)).alias("x"))
+
+    def at(j: Column) -> Column:
+        text = F.concat_ws(":", F.lit(str(seed)), F.col(problem).cast("string"), F.col("k").cast("string"), F.col("b").cast("string"), j.cast("string"))
+        return F.get(F.col("x"), F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.size("x").cast("long")).cast("int"))
+
+    values = lambda name: F.transform(name, lambda v: v["s"])
+    votes = F.transform("y", lambda v, p: F.struct(F.size(F.filter("y", lambda o: o["a"].eqNullSafe(v["a"]))).alias("n"), (-p).alias("p"), v["s"].alias("s")))
+    measured = {"best": F.array_max(values("y")), "worst": F.array_min(values("y"))} | ({"maj": F.array_max(votes)["s"]} if answer else {})
+    # samples are rows; those of a problem are made where its attempts are, so only their sums are shuffled
+    samples = each.withColumn("k", F.explode(F.array(*map(F.lit, sizes)))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    samples = samples.withColumn("y", F.transform(F.sequence(F.lit(0), F.col("k") - 1), at)).select(source, problem, "k", *(v.alias(n) for n, v in measured.items()))
+    sums = samples.groupBy(source, problem, "k").agg(*(f(n).alias(f"{n}_{m}") for n in measured for m, f in (("mean", F.avg), ("std", F.stddev_pop))))
+    told = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col("k").alias("size"), F.col(f"{n}_mean").alias("mean"), F.col(f"{n}_std").alias("std")) for n in measured)))
+    plain = picked.groupBy(source, problem).agg(F.count("*").cast("int").alias("size"), F.avg(F.col(score).cast("double")).alias("mean"), F.stddev_pop(F.col(score).cast("double")).alias("std"))
+    found = sums.select(source, told.alias("m")).select(source, "m.*").unionByName(plain.select(source, F.lit("mean").alias("metric"), "size", "mean", "std"))
+    return found.groupBy(source, "metric", "size").agg(F.avg("mean").alias("mean"), F.avg("std").alias("std"))

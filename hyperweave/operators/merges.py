@@ -57,12 +57,13 @@ def pack(docs: DataFrame, group: str, pos: str, text: str, target: int, joint: s
         held, size, bin_no = None, 0, 0
         for frame in frames:
             out = []
-            for g, n in zip(frame[group], frame["n"]):
+            for g, n in zip(frame[group], frame["n"].fillna(0)):
                 if g != held:
-                    held, size, bin_no = g, 0, 0
+                    held, size, bin_no = g, n, 0
                 elif size + len(joint) + n > target:
-                    size, bin_no = 0, bin_no + 1
-                size += n + (len(joint) if size else 0)
+                    size, bin_no = n, bin_no + 1
+                else:  # the first text of a pack may be empty, its joint counts all the same
+                    size += len(joint) + n
                 out.append(bin_no)
             yield frame[[group, pos]].assign(pack=out)
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,20 +127,63 @@ def differencing_partition(lengths: list[float], k: int, equal_size: bool = Fals
     return sorted(sorted(ids) for _, ids in heap[0][2]) if heap else [[] for _ in range(k)]
 
 
-#: Rows that are balanced at once: every row belongs to the batch of so many consecutive rows that it stands in.
+#: Rows, or partial partitions, that one task balances.
 BATCH = 4096
 
 
+def _differenced(states: list[list[float]]) -> tuple[list[float], list[list[int]]]:
+    """Largest differencing of partial partitions (each k totals): the totals of the whole, heaviest first, and for every
+    state where each of its bins went. Heaviest bins meet lightest, so the whole's spread is no wider than the widest state's."""
+    heap, n = [], len(states)
+    for i, totals in enumerate(states):
+        order = sorted(range(len(totals)), key=lambda j: (-totals[j], j))
+        heap.append((-(totals[order[0]] - totals[order[-1]]), i, [(totals[j], [(i, j)]) for j in order]))
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        merged = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))), key=lambda x: (-x[0], x[1][0]))
+        heapq.heappush(heap, (-(merged[0][0] - merged[-1][0]), n, merged))
+        n += 1
+    into = [[0] * len(s) for s in states]
+    for b, (_, held) in enumerate(heap[0][2]):
+        for i, j in held:
+            into[i][j] = b
+    return [x[0] for x in heap[0][2]], into
+
+
 def balanced_bins(df: DataFrame, key: str, length: str, k: int, batch: int = BATCH) -> DataFrame:
-    """(key, bin, length) for all rows: batches of consecutive rows by the key, each balanced by largest differencing."""
-    rows = numbered(df.select(key, length), key, length).withColumn("batch", F.floor(F.col("place") / batch))
+    """(key, bin, length) for all rows, by largest differencing of partial partitions.
+
+    Batches of consecutive rows by the key are each balanced in a task of their own; what they come to, k totals for each,
+    are partial partitions that are differenced again, a batch of them at a time, until one is left. A row's bin is
+    followed through these rounds. The spread of the whole is no wider than that of the worst batch, thus never more
+    than the longest row, however many batches there are; rows of one batch get what one task would give them."""
+    keep = [key, length]
+    rows = numbered(df.select(*keep), key, length).withColumn("node", F.floor(F.col("place") / batch))
 
     def placed(frame):
         frame = frame.sort_values("place", ignore_index=True)
         bins = {i: b for b, ids in enumerate(differencing_partition([float(n) for n in frame[length]], k)) for i in ids}
-        return frame[[key, length]].assign(bin=[bins[i] for i in range(len(frame))])[[key, "bin", length]]
-
-    return rows.groupBy("batch").applyInPandas(placed, _binned(df, key, length))
+        return frame[[*keep, "node"]].assign(bin=[bins[i] for i in range(len(frame))])
+
+    def lifted(frame):
+        frame = frame.sort_values(["node", "bin"], ignore_index=True)
+        nodes = list(dict.fromkeys(frame["node"]))
+        states = [[0.0] * k for _ in nodes]
+        place = {n: i for i, n in enumerate(nodes)}
+        for n, b, t in zip(frame["node"], frame["bin"], frame["total"]):
+            states[place[n]][b] = float(t)
+        totals, into = _differenced(states)
+        return pd.DataFrame([(n, b, int(frame["up"].iloc[0]), into[i][b], totals[into[i][b]]) for i, n in enumerate(nodes) for b in range(k)], columns=["node", "bin", "up", "to", "total"])
+
+    kinds = ", ".join(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in keep)
+    found = settled(rows.groupBy("node").applyInPandas(placed, f"{kinds}, node long, bin int"))
+    states = found.groupBy("node", "bin").agg(F.sum(F.col(length).cast("double")).alias("total"))
+    while states.agg(F.max("node")).first()[0]:  # a row for each batch of rows, then for each batch of these
+        moved = settled(states.withColumn("up", F.floor(F.col("node") / batch)).groupBy("up").applyInPandas(lifted, "node long, bin int, up long, to int, total double"))
+        found = found.join(moved.select("node", "bin", "up", "to"), ["node", "bin"]).select(*keep, F.col("up").alias("node"), F.col("to").alias("bin"))
+        states = moved.select(F.col("up").alias("node"), F.col("to").alias("bin"), "total").distinct()
+    return found.select(key, "bin", length)
 
 
 def greedy_bins(df: DataFrame, key: str, length: str, k: int) -> DataFrame:
@@ -168,6 +213,12 @@ def micro_batches(lengths: list[float], most: float) -> list[list[int]]:
     return differencing_partition(lengths, max(1, -(-int(sum(lengths)) // int(most))))
 
 
+def micro_batched(df: DataFrame, key: str, length: str, most: float) -> DataFrame:
+    """(key, bin, length): as many balanced bins as the total needs at `most` each."""
+    total = df.agg(F.sum(F.col(length).cast("double"))).first()[0] or 0.0
+    return balanced_bins(df, key, length, max(1, math.ceil(total / most)))
+
+
 def imbalance(df: DataFrame, part: str, length: str) -> DataFrame:
     sums = df.groupBy(part).agg(F.sum(length).alias("s"))
     return sums.agg(F.min("s").alias("least"), F.max("s").alias("most"), F.avg("s").alias("mean"))

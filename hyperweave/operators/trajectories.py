@@ -48,7 +48,7 @@ def agent_loop(envs: DataFrame, policy: Callable[[DataFrame, int], DataFrame], t
         if going.isEmpty():
             break
         seen = going.select("env", F.concat_ws("\n", "action", F.coalesce("observation", "status")).alias("__seen"))
-        active = active.join(seen, "env").select("env", F.concat_ws("\n", "state", "__seen").alias("state"))
+        active = settled(active.join(seen, "env").select("env", F.concat_ws("\n", "state", "__seen").alias("state")))
     return out.select("env", "step", "action", "tool", "status", "observation")
 
 

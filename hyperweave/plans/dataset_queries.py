@@ -17,12 +17,13 @@ Q = Catalogue()
 
 
 def _matches(spark, d):
-    build = read_table(spark, d, "supplier").select(F.col("s_nationkey").alias("url"), (F.col("s_suppkey") % 5).cast("string").alias("title"), "s_suppkey")
-    probe = read_table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") * 2).alias("url"), (F.col("c_custkey") % 7).cast("string").alias("title"), "c_mktsegment")
+    """Suppliers by address and by name; a customer's address is known to some, its name to others."""
+    build = read_table(spark, d, "supplier").select(F.concat(F.lit("u"), F.col("s_suppkey").cast("string")).alias("url"), F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("title"), "s_suppkey")
+    probe = read_table(spark, d, "customer").select("c_custkey", F.concat(F.lit("u"), F.expr("c_custkey div 3").cast("string")).alias("url"), F.concat(F.lit("t"), F.expr("c_custkey div 9").cast("string")).alias("title"), "c_mktsegment")
     return J.fallback_join(build, probe, "url", "title", "c_custkey")
 
 
-_MATCHES = "b AS (SELECT s_nationkey AS url, CAST(s_suppkey % 5 AS VARCHAR) AS title, s_suppkey FROM supplier), p AS (SELECT c_custkey, c_nationkey * 2 AS url, CAST(c_custkey % 7 AS VARCHAR) AS title, c_mktsegment FROM customer), m AS (SELECT c_custkey, c_mktsegment, s_suppkey AS b_s_suppkey, 'url' AS match_key FROM p JOIN b USING (url) UNION ALL SELECT c_custkey, c_mktsegment, s_suppkey, 'title' FROM p JOIN b USING (title) WHERE c_custkey NOT IN (SELECT c_custkey FROM p JOIN b USING (url)))"
+_MATCHES = "b AS (SELECT 'u' || s_suppkey AS url, 't' || s_suppkey AS title, s_suppkey FROM supplier), p AS (SELECT c_custkey, 'u' || (c_custkey // 3) AS url, 't' || (c_custkey // 9) AS title, c_mktsegment FROM customer), m AS (SELECT c_custkey, c_mktsegment, s_suppkey AS b_s_suppkey, 'url' AS match_key FROM p JOIN b USING (url) UNION ALL SELECT c_custkey, c_mktsegment, s_suppkey, 'title' FROM p JOIN b USING (title) WHERE c_custkey NOT IN (SELECT c_custkey FROM p JOIN b USING (url)))"
 
 
 @Q("fallback_key_join", f"WITH {_MATCHES} SELECT c_custkey, c_mktsegment, b_s_suppkey, match_key FROM m")
@@ -193,6 +194,15 @@ def balanced(spark, d):
     return P.balanced_bins(_lengths(spark, d), "item_id", "n", 4)
 
 
+@Q("micro_batches", "SELECT count(*) AS n_rows, sum(n) AS total, CAST(ceil(sum(n) / 200000.0) AS BIGINT) AS n_bins, TRUE AS even FROM (SELECT length(text) AS n FROM documents)")
+def micro(spark, d):
+    """Whole documents in as many bins as 200,000 characters each ask for: all are placed, and no two bins differ by more
+    than the longest document."""
+    docs = read_table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
+    bins = P.micro_batched(docs, "doc_id", "n", 200_000).groupBy("bin").agg(F.count("*").alias("rows"), F.sum("n").alias("s"), F.max("n").alias("longest"))
+    return bins.agg(F.sum("rows").alias("n_rows"), F.sum("s").alias("total"), F.count("*").alias("n_bins"), (F.max("s") - F.min("s") <= F.max("longest")).alias("even"))
+
+
 @Q("greedy_bins", """WITH RECURSIVE x AS (SELECT item_id, length(text) AS n, row_number() OVER (ORDER BY item_id) AS r FROM benchmark), f(r, s, b) AS (SELECT 0::BIGINT, [0, 0, 0, 0]::BIGINT[], 0::BIGINT UNION ALL SELECT x.r, list_transform(s, lambda v, i: CASE WHEN i = list_position(s, list_min(s)) THEN v + n ELSE v END), list_position(s, list_min(s)) - 1 FROM f JOIN x ON x.r = f.r + 1) SELECT item_id, CAST(b AS INT) AS bin, CAST(n AS INT) AS n FROM f JOIN x USING (r)""")
 def greedy(spark, d):
     return P.greedy_bins(_lengths(spark, d), "item_id", "n", 4)

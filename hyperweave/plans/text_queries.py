@@ -34,10 +34,11 @@ def contents_dedup(spark, d):
     return merges.distinct_contents(_docs(spark, d), "text", "doc_id").select("doc_id")
 
 
-@Q("section_group", r"""WITH t AS (SELECT lang AS title, source AS section, text AS t, min(doc_id) AS p FROM documents GROUP BY 1, 2, 3)
+@Q("section_group", r"""WITH t AS (SELECT lang || (doc_id // 20) AS title, source AS section, text AS t, min(doc_id) AS p FROM documents GROUP BY 1, 2, 3)
 SELECT title, section, string_agg(t, chr(10) || chr(10) ORDER BY p) AS contents, left(sha1(title || chr(10) || section), 16) AS id FROM t GROUP BY 1, 2""")
 def section_group(spark, d):
-    return merges.group_sections(_docs(spark, d), F.col("lang"), F.col("source"), "text", "doc_id")
+    """Titles of some twenty documents, parted by source."""
+    return merges.group_sections(_docs(spark, d), F.concat("lang", F.expr("doc_id div 20").cast("string")), F.col("source"), "text", "doc_id")
 
 
 @Q("fingerprint", """WITH h AS (SELECT sha256(length(text) || ':' || text) AS h FROM documents),

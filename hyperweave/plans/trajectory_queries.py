@@ -101,6 +101,32 @@ def source_metrics(spark, d):
     return A.batch_metrics(_scored(spark, d), ["score"], ["source"]).withColumn("score_mean", F.round("score_mean", 6))
 
 
+@Q("bootstrap_metrics", """WITH a AS (SELECT source, doc_id // 200 AS problem, doc_id AS i, (doc_id % 11) / 10.0::DOUBLE AS s, lang AS a FROM documents),
+g AS (SELECT source, problem, list({'s': s, 'a': a} ORDER BY i) AS x, count(*) AS n FROM a GROUP BY 1, 2),
+d AS (SELECT source, problem, k, list_transform(range(k), lambda j: x[1 + CAST('0x' || substr(md5(concat_ws(':', '42', problem, k, b, j)), 1, 8) AS BIGINT) % n]) AS y FROM g, (VALUES (2), (4), (8)) t(k), range(1000) r(b)),
+v AS (SELECT source, problem, k, list_max(list_transform(y, lambda v: v.s)) AS best, list_min(list_transform(y, lambda v: v.s)) AS worst, list_max(list_transform(y, lambda v, p: {'n': len(list_filter(y, lambda o: o.a = v.a)), 'p': -p, 's': v.s})).s AS maj FROM d),
+m AS (SELECT source, problem, 'mean' AS metric, CAST(count(*) AS INT) AS size, avg(s) AS mean, stddev_pop(s) AS std FROM a GROUP BY 1, 2 UNION ALL SELECT source, problem, 'best', k, avg(best), stddev_pop(best) FROM v GROUP BY 1, 2, k UNION ALL SELECT source, problem, 'worst', k, avg(worst), stddev_pop(worst) FROM v GROUP BY 1, 2, k UNION ALL SELECT source, problem, 'maj', k, avg(maj), stddev_pop(maj) FROM v GROUP BY 1, 2, k)
+SELECT source, metric, size, round(avg(mean), 6) AS mean, round(avg(std), 6) AS std FROM m GROUP BY 1, 2, 3""")
+def bootstrap(spark, d):
+    rows = read_table(spark, d, "documents").select("source", F.expr("doc_id div 200").alias("problem"), "doc_id", (F.col("doc_id") % 11 / 10.0).alias("score"), "lang")
+    found = A.bootstrap_metrics(rows, "source", "problem", "doc_id", "score", "lang")
+    return found.select("source", "metric", "size", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@Q("reward_manager", """WITH t AS (SELECT item_id, ['exact', 'part', 'other'][item_id % 3 + 1] AS source, item_id % 5 AS n, text FROM benchmark),
+s AS (SELECT *, CASE source WHEN 'exact' THEN CASE WHEN item_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0 END WHEN 'part' THEN 1.0 ELSE 0.5 END AS score FROM t)
+SELECT item_id, source, score, list_transform(range(5), lambda j: CASE WHEN j = CASE WHEN n > 0 THEN n - 1 ELSE 4 END THEN score ELSE 0.0::DOUBLE END) AS reward FROM s""")
+def manager(spark, d):
+    from ..operators.rewards import reward_manager
+
+    source = F.element_at(F.array(*map(F.lit, ("exact", "part", "other"))), (F.col("item_id") % 3 + 1).cast("int"))
+    start = F.when(source == "part", "it is ").when(F.col("item_id") % 2 == 1, "not ").otherwise("")
+    mask = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: (j < F.col("item_id") % 5).cast("int"))
+    rows = read_table(spark, d, "benchmark").select("item_id", source.alias("source"), F.concat(start, "text").alias("response"), F.array("text").alias("golds"), mask.alias("mask"))
+    scored = reward_manager(rows, {"exact": S.exact_match, "part": S.contains_match}, "source", "response", "golds", "mask", default=lambda r, g: F.lit(0.5))
+    return scored.select("item_id", "source", "score", "reward")
+
+
 @Q("explained_variance", f"WITH {_STEPS} SELECT round(1 - var_samp(reward - value) / (var_samp(reward) + 1e-5), 4) AS explained_variance FROM st")
 def explained(spark, d):
     return A.explained_variance(_steps(spark, d), "reward", "value").select(F.round("explained_variance", 4).alias("explained_variance"))
@@ -114,13 +140,14 @@ def pass_k(spark, d):
 _WORDS = r"string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')), ' ')"
 
 
-@Q("token_f1", rf"""WITH t AS (SELECT item_id, list_filter({_WORDS}, lambda x: x <> '') AS w FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, a.w AS x, b.w AS y FROM t a JOIN t b ON b.item_id % 5 = a.item_id % 5),
+@Q("token_f1", rf"""WITH t AS (SELECT item_id, item_id // 8 AS k, list_filter({_WORDS}, lambda x: x <> '') AS w FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, a.w AS x, b.w AS y FROM t a JOIN t b USING (k)),
 u AS (SELECT a, b, unnest(list_distinct(x)) AS v, x, y FROM p), c AS (SELECT a, b, sum(least(len(list_filter(x, lambda q: q = v)), len(list_filter(y, lambda q: q = v)))) AS n, any_value(len(x) + len(y)) AS s FROM u GROUP BY 1, 2)
 SELECT a, b, round(2.0::DOUBLE * n / s, 6) AS f1 FROM c""")
 def token_f1(spark, d):
-    t = read_table(spark, d, "benchmark")
-    a, b = t.select(F.col("item_id").alias("a"), F.col("text").alias("x")), t.select(F.col("item_id").alias("b"), F.array("text").alias("y"))
-    return a.join(b, F.col("a") % 5 == F.col("b") % 5).select("a", "b", F.round(S.token_f1("x", "y"), 6).alias("f1"))
+    """Every item as an answer to the golds of its key, eight to a key; words are counted once for each text."""
+    t = read_table(spark, d, "benchmark").select("item_id", F.expr("item_id div 8").alias("k"), S.answer_counts("text").alias("n"))
+    a, b = t.select("k", F.col("item_id").alias("a"), F.col("n").alias("x")), t.select("k", F.col("item_id").alias("b"), F.col("n").alias("y"))
+    return a.join(b, "k").select("a", "b", F.round(S.f1_of_counts("x", "y"), 6).alias("f1"))
 
 
 def _turns(spark, d):

@@ -52,6 +52,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read from there: a lost executor or a retried task does not run its lineage again."""
+    """df written once to the shared folder and read from there: a lost executor or a retried task does not run its lineage
+    again. The package goes to the executors first, wherever df was read."""
+    ship(df.sparkSession)
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

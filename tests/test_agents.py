@@ -112,8 +112,8 @@ def test_selections(spark):
 
 
 def test_math_equal(spark):
-    same = [("1,234", "1234"), ("50%", "0.5"), ("0.5", "50"), ("\\frac{1}{2}", "1/2"), ("(1, 2)", "(1.0,2)"), ("[0, 2x]", "[0, x+x]"), ("x^2-1", "(x-1)(x+1)"), ("2\\sqrt{2}", "\\sqrt{8}"), ("\\pi/4", "0.785398"), ("y = 3x", "x*3"), ("-2^2", "-4"), ("$5$", "5"), ("A", "a"), ("2^{-1}", "1/2")]
-    other = [("x+1", "x-1"), ("1", "3"), ("(1,2)", "(2,1)"), ("", "0"), ("1/0", "2/0"), ("__import__('os')", "1"), ("(" * 900, "1"), ("9^9^9^9", "1"), ("(1,2)", "1"), ("x" * 2000, "y"), ("\\unknown{2}", "2"), (None, "1"), ("1", None), ("a b", "")]
+    same = [("1,234", "1234"), ("50%", "0.5"), ("0.5", "50"), ("\\frac{1}{2}", "1/2"), ("(1, 2)", "(1.0,2)"), ("[0, 2x]", "[0, x+x]"), ("x^2-1", "(x-1)(x+1)"), ("2\\sqrt{2}", "\\sqrt{8}"), ("\\pi/4", "0.785398"), ("y = 3x", "x*3"), ("-2^2", "-4"), ("$5$", "5"), ("Yes", "yes"), ("2^{-1}", "1/2")]
+    other = [("x+1", "x-1"), ("1", "3"), ("(1,2)", "(2,1)"), ("", "0"), ("1/0", "2/0"), ("__import__('os')", "1"), ("(" * 900, "1"), ("9^9^9^9", "1"), ("(1,2)", "1"), ("x" * 2000, "y"), ("\\unknown{2}", "2"), (None, "1"), ("1", None), ("a b", ""), ("A", "a"), ("(1,2]", "[1,2)")]
     rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(same + other)], "k int, a string, b string")
     got = {r.k: r.hit for r in rows.select("k", M.math_equal("a", "b").alias("hit")).collect()}
     assert [k for k in range(len(same)) if got[k] != 1.0] == [] and [(k, other[k - len(same)]) for k in got if k >= len(same) and got[k] != 0.0] == []
