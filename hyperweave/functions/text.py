@@ -223,7 +223,7 @@ def wrong_call(x: Column | str, tools: list[str]) -> Column:
 
 def token_chunks(docs: DataFrame, key: str, text: str, most: int = 768, overlap: int = 64) -> DataFrame:
     """(key, chunk_order_index, tokens, content): windows of `most` tokens that start every most - overlap tokens. The
-    last may hold nothing but overlap. Tokens are words between white space, or, with a vocabulary, what it makes of them."""
+    last may hold nothing but overlap. Tokens are words between white space; `tokens` has windows of a vocabulary's tokens."""
     step = most - overlap
     words = docs.select(key, F.filter(F.split(c(text), r"\s+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
     starts = words.select(key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(step))).alias("s"))

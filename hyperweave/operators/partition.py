@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -225,11 +224,42 @@ def imbalance(df: DataFrame, part: str, length: str) -> DataFrame:
 
 
 def shard_cover(shards: list[tuple[str, int, set]], wanted: set) -> list[str]:
-    """Names of the shards that cover all wanted items, by fewest bytes, then fewest shards, then names. Runs on the driver over shards."""
-    best = None
-    for n in range(1, len(shards) + 1):
-        for pick in combinations(sorted(shards), n):
-            if wanted <= set().union(*(s[2] for s in pick)):
-                cost = (sum(s[1] for s in pick), n, [s[0] for s in pick])
-                best = cost if best is None or cost < best else best
+    """Names of the shards that cover all wanted items, by fewest bytes, then fewest shards, then names; none if they cannot.
+
+    Weighted set cover on bit sets: shards that another covers at no more bytes (and a name before theirs on ties) go first; then
+    branch and bound on the item that the fewest shards hold. The bound shares each shard's bytes out over the open items that it
+    holds. What is reached again at a worse cost is left. Runs on the driver: over shards, of which there are some tens."""
+    places = {x: 1 << k for k, x in enumerate(sorted(wanted, key=repr))}
+    everything = (1 << len(places)) - 1
+    masks = [(name, size, sum(places[x] for x in items if x in places)) for name, size, items in sorted(shards, key=lambda s: (s[1], s[0]))]
+    kept: list[tuple[str, int, int]] = []
+    for name, size, mask in masks:  # in the order of bytes and names, so only earlier ones can replace one
+        if mask and not any(mask & ~other == 0 for _, _, other in kept):
+            kept.append((name, size, mask))
+    holders = [[s for s in kept if s[2] >> k & 1] for k in range(len(places))]
+    if not all(holders):
+        return []
+    best: tuple | None = None
+    seen: dict[int, tuple] = {}
+
+    def bound(left: int) -> float:
+        share = {s[0]: s[1] / (s[2] & left).bit_count() for s in kept if s[2] & left}
+        return sum(min(share[s[0]] for s in holders[k]) for k in range(len(places)) if left >> k & 1)
+
+    def search(left: int, size: int, picked: tuple) -> None:
+        nonlocal best
+        cost = (size, len(picked), sorted(picked))
+        if left in seen and seen[left] <= cost:
+            return
+        seen[left] = cost
+        if not left:
+            best = cost if best is None or cost < best else best
+            return
+        if best is not None and size + bound(left) > best[0] * (1 + 1e-12) + 1e-9:
+            return
+        k = min((k for k in range(len(places)) if left >> k & 1), key=lambda k: (len(holders[k]), k))
+        for name, more, mask in sorted(holders[k], key=lambda s: (s[1] / (s[2] & left).bit_count(), s[0])):
+            search(left & ~mask, size + more, (*picked, name))
+
+    search(everything, 0, ())
     return best[2] if best else []

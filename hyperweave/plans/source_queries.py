@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
+from ..functions import tokens
 from ..session import scratch
-from ..sources import archives, files, graphml, tables
+from ..sources import archives, files, graphml, stores, tables
 from ..streaming.versions import Versions
 from .base import GRAPH, Catalogue, orders_graph, read_table
 
 Q = Catalogue()
 
+#: Folder of the public vocabulary files; a parameter, since they are not part of the repository.
+TOKENIZERS = os.environ.get("HYPERWEAVE_TOKENIZERS", "/opt/tokenizers")
+
 
 @Q("tar_members", "SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n_bytes, sha256(coalesce(html, '')) AS digest FROM pages")
 def tar_members(spark, d):
@@ -103,3 +109,24 @@ def version_restore(spark, d):
     seen.append(held.read("nation"))
     held.restore(0)
     return seen[0].unionByName(seen[1]).unionByName(held.read("nation"))
+
+
+@Q("kv_store_merge", "SELECT 'c' || c_custkey AS id, c_name AS name, CAST(n AS BIGINT) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def kv_store_merge(spark, d):
+    """Customers put into a store that is not there yet, a second insert that changes nothing, and a field laid over some."""
+    path = scratch(spark, "store").removeprefix("file://") + ".db"
+    stores.register(spark)
+    orders = read_table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"))
+    c = read_table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), "c_name")
+    laid = orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("id"), F.to_json(F.struct("orders")).alias("value"))
+    for rows, merge in ((c.select("id", F.to_json(F.struct(F.col("c_name").alias("name"))).alias("value")), "insert"), (c.select("id", F.lit("{}").alias("value")), "insert"), (laid, "fields")):
+        rows.write.format("kv_store").options(path=path, table="customers", merge=merge).mode("append").save()
+    back = spark.read.format("kv_store").options(path=path, table="customers").load()
+    return back.select("id", F.from_json("value", "name string, orders long").alias("v")).select("id", "v.name", "v.orders")
+
+
+@Q("token_windows")
+def token_windows(spark, d):
+    """Whole documents in windows of 768 tokens that overlap by 64; tests hold them against the tokenizer by hand."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    return tokens.token_windows(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken").select("doc_id", "chunk_order_index", "tokens", "start", "end", "text")
