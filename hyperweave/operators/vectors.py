@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import settled
+
 #: Queries in one broadcast of an exact search; more take more passes over the vectors.
 SLICE = 8192
 
@@ -104,8 +106,11 @@ def reindex(new: DataFrame, old: DataFrame, encode) -> DataFrame:
     """new: (pos, content); old: (pos, content, embedding). Embeddings are reused by content, the i-th copy taking the
     i-th old one's; only what is left is encoded (a Column function of the content). Order is kept."""
     copy = lambda d: d.withColumn("h", F.md5("content")).withColumn("copy", F.row_number().over(Window.partitionBy("h").orderBy("pos")))
-    joined = copy(new).join(copy(old).select("h", "copy", F.col("embedding").alias("kept")), ["h", "copy"], "left")
-    return joined.select("pos", "content", F.coalesce("kept", F.when(F.col("kept").isNull(), encode(F.col("content")))).alias("embedding"), F.col("kept").isNotNull().alias("reused"))
+    joined = settled(copy(new).join(copy(old).select("h", "copy", F.col("embedding").alias("kept")), ["h", "copy"], "left"))
+    # apart, since a Python encoder would otherwise see every row, whatever condition stands around it
+    held = joined.where(F.col("kept").isNotNull()).select("pos", "content", F.col("kept").alias("embedding"), F.lit(True).alias("reused"))
+    fresh = joined.where(F.col("kept").isNull()).select("pos", "content", encode(F.col("content")).alias("embedding"), F.lit(False).alias("reused"))
+    return held.unionByName(fresh)
 
 
 def hash_encoder(dimension: int = 1024):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens
 from ..session import scratch
 from ..sources import archives, files, graphml, stores, tables
+from ..streaming import salvage
 from ..streaming.versions import Versions
 from .base import GRAPH, Catalogue, orders_graph, read_table
 
@@ -130,3 +131,30 @@ def token_windows(spark, d):
     """Whole documents in windows of 768 tokens that overlap by 64; tests hold them against the tokenizer by hand."""
     docs = read_table(spark, d, "documents").select("doc_id", "text")
     return tokens.token_windows(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken").select("doc_id", "chunk_order_index", "tokens", "start", "end", "text")
+
+
+@Q("cache_salvage", "SELECT 'q' || (event_id % 311) AS query_key, arg_max('Q ' || event_type, event_id) AS original, arg_max('r' || event_id, event_id) AS result, max(event_id) AS created, max(event_id) AS updated, max(event_id % 7) AS hit_count FROM events GROUP BY 1")
+def cache_salvage(spark, d):
+    """A cache's log with every line once whole and once torn, the torn ones with the next line behind them."""
+    e = read_table(spark, d, "events")
+    key = F.concat(F.lit("q"), (F.col("event_id") % 311).cast("string"))
+    seq = F.col("event_id").cast("long")
+    rows = e.select(key.alias("query_key"), F.concat(F.lit("Q "), "event_type").alias("original"), F.concat(F.lit("r"), seq.cast("string")).alias("result"), seq.alias("created"), seq.alias("updated"), (seq % 7).alias("hit_count"))
+    path, whole = scratch(spark, "cache"), salvage.lines(rows)
+    whole.select(F.concat(F.expr("substring(value, 1, length(value) - 1 - abs(hash(value)) % 40)"), "value").alias("value")).write.text(path)
+    return salvage.read_cache(spark, path)
+
+
+@Q("index_artifacts", """WITH n AS (SELECT count(*) AS n, count(*) FILTER (c_nationkey = 3) AS e FROM customer)
+SELECT 0 AS build, 'rebuild' AS decision, n, n AS encoded, 16 AS dimension FROM n UNION ALL SELECT 1, 'reuse', n, 0, 16 FROM n UNION ALL SELECT 2, 'repair', n, e, 16 FROM n""")
+def index_artifacts(spark, d):
+    """An index built, built again, and built after the contents of one nation changed."""
+    from ..operators.vectors import hash_encoder
+    from .artifacts import build_artifact
+
+    c = read_table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws(" ", "c_name", F.when(F.col("c_nationkey") == 3, "new")).alias("content"), F.col("c_name").alias("before"))
+    root, out = scratch(spark, "artifacts"), []
+    for k, text in enumerate(("before", "before", "content")):
+        told = build_artifact(c.select("id", F.col(text).alias("content")), hash_encoder(16), root, "customers", "hash-16")
+        out.append((k, told["decision"], told["n"], told["encoded"], told["dimension"]))
+    return spark.createDataFrame(out, "build int, decision string, n long, encoded long, dimension int")
