@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .kv import first_per_key, merge_fields
 
 SEP = "<SEP>"
@@ -148,17 +151,71 @@ def resolve_by_links(embeddings: DataFrame, links: DataFrame, records: DataFrame
     return found.join(records.withColumnRenamed("id", "target_id"), "target_id").withColumnRenamed("source_id", "id")
 
 
+def _drawn(*parts: Column | str) -> Column:
+    """A number of 32 bits that the parts decide."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
+
+
+def _placed(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sides, degrees, placed): distinct (src, dst), their numbers, and every node's neighbours numbered from 0."""
+    sides = symmetric(edges).select("src", "dst").distinct()
+    degrees = sides.groupBy("src").agg(F.count("*").alias("degree"))
+    return sides, degrees, sides.withColumn("i", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1)
+
+
 def random_walks(edges: DataFrame, length: int, seed: int = 42) -> DataFrame:
     """One seeded walk from every node: (start, step, node). A node's neighbours are numbered once; a walker draws a number
     below its node's degree and joins on it, so a hub's walkers meet one neighbour each."""
-    sides = symmetric(edges).select("src", "dst").distinct()
-    degrees = sides.groupBy("src").agg(F.count("*").alias("degree"))
-    placed = sides.withColumn("i", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1)
+    _, degrees, placed = _placed(edges)
     walk = degrees.select(F.col("src").alias("start"), F.lit(0).alias("step"), F.col("src").alias("node"))
     out = walk
     for k in range(1, length + 1):
-        drawn = F.pmod(F.xxhash64("start", F.lit(seed + k)), F.col("degree")).cast("int")
+        drawn = F.pmod(_drawn(F.lit(str(seed + k)), "start"), F.col("degree")).cast("int")
         at = walk.join(degrees, walk.node == degrees.src).select("start", "src", drawn.alias("i"))
         walk = at.join(placed, ["src", "i"]).select("start", F.lit(k).alias("step"), F.col("dst").alias("node"))
         out = out.unionByName(walk)
     return out
+
+
+def biased_walks(edges: DataFrame, length: int, p: float = 1.0, q: float = 1.0, seed: int = 42, walks: int = 1) -> DataFrame:
+    """Second-order walks: (start, walk, step, node), `walks` from every node. From v, reached from t, the next node x weighs 1/p
+    if it is t, 1 if t and x are neighbours, and 1/q otherwise.
+
+    By rejection: a walker draws a neighbour of v as in random_walks and keeps it with its weight's share of the greatest;
+    those that rejected draw again. Whether t and x are neighbours is a join on the pair, so nothing meets at a hub but
+    the draws of its own walkers, one neighbour each. Every round is settled; a share of at least
+    min(1, 1/p, 1/q) / max(1, 1/p, 1/q) of the walkers leaves it."""
+    sides, degrees, placed = map(settled, _placed(edges))
+    most = max(1.0, 1 / p, 1 / q)
+    start = degrees.select(F.col("src").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"))
+    at = start.select("start", "walk", F.lit(None).cast(start.schema["start"].dataType).alias("before"), F.col("start").alias("node"))
+    out = [start.select("start", "walk", F.lit(0).alias("step"), F.col("start").alias("node"))]
+    near = sides.select(F.col("src").alias("before"), F.col("dst").alias("x"), F.lit(True).alias("near"))
+    for k in range(1, length + 1):
+        left, taken, turn = at, [], 0
+        while True:
+            name = [F.lit(str(seed)), "start", F.col("walk").cast("string"), F.lit(f"{k}:{turn}")]
+            drawn = F.pmod(_drawn(*name), F.col("degree")).cast("int")
+            met = left.join(degrees, left.node == degrees.src).select(*left.columns, "src", drawn.alias("i")).join(placed, ["src", "i"]).withColumnRenamed("dst", "x")
+            weight = F.when(F.col("before").isNull(), most).when(F.col("x") == F.col("before"), 1 / p).when(F.col("near"), 1.0).otherwise(1 / q)
+            keep = _drawn(*name, F.lit("keep")) < weight / most * 2.0**32
+            met = settled(met.join(near, ["before", "x"], "left").select("start", "walk", "before", "node", "x", keep.alias("keep")))
+            taken.append(met.where("keep").select("start", "walk", F.col("node").alias("before"), F.col("x").alias("node")))
+            left, turn = met.where("NOT keep").select(*at.columns), turn + 1
+            if left.isEmpty():
+                break
+        at = reduce(DataFrame.unionByName, taken)
+        out.append(at.select("start", "walk", F.lit(k).alias("step"), "node"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def node_embeddings(walks: DataFrame, size: int = 64, window: int = 5, seed: int = 42, rounds: int = 1) -> DataFrame:
+    """(node, embedding) by skip-grams over the walks. Spark's Word2Vec keeps the vectors of all nodes on the driver and in
+    every task, so this is for graphs of some millions of nodes."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    steps = F.array_sort(F.collect_list(F.struct("step", F.col("node").cast("string").alias("node"))))
+    lines = settled(walks.groupBy("start", "walk").agg(F.transform(steps, lambda x: x["node"]).alias("line")))
+    held = Word2Vec(vectorSize=size, windowSize=window, seed=seed, minCount=0, maxIter=rounds, numPartitions=1, inputCol="line", outputCol="v").fit(lines)
+    return held.getVectors().select(F.col("word").alias("node"), vector_to_array("vector", "float32").alias("embedding"))

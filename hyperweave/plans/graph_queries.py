@@ -124,11 +124,20 @@ def largest(spark, d):
     return largest_component(c.select(F.concat(F.lit(" c"), F.col("c_custkey").cast("string")).alias("a"), F.concat(F.lit("k"), (F.col("c_custkey") % 11).cast("string")).alias("b")), "a", "b")
 
 
-@Q("random_walks")
+_WALK = "w{0} AS (SELECT start, {0} AS step, dst AS node FROM w{1} JOIN deg ON deg.src = node JOIN pl ON pl.src = node AND pl.i = CAST('0x' || substr(md5('{2}:' || start), 1, 8) AS BIGINT) % n)"
+
+
+@Q("random_walks", f"WITH {GRAPH}, {SYM}, sd AS (SELECT DISTINCT src, dst FROM sym), deg AS (SELECT src, count(*) AS n FROM sd GROUP BY 1), pl AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS i FROM sd), w0 AS (SELECT src AS start, 0 AS step, src AS node FROM deg), " + ", ".join(_WALK.format(k, k - 1, 42 + k) for k in (1, 2, 3)) + " SELECT * FROM w0 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3")
 def walks(spark, d):
     return G.random_walks(orders_graph(spark, d), 3)
 
 
+@Q("biased_walks")
+def biased(spark, d):
+    """Second-order walks over the whole graph; tests hold their steps against the weights."""
+    return G.biased_walks(orders_graph(spark, d), 3, p=4.0, q=0.5)
+
+
 @Q("cross_modal_nodes", "WITH x AS (SELECT doc_id, source AS image_id, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE lang END AS title FROM documents), e AS (SELECT *, upper(coalesce(nullif(trim(title), ''), nullif(trim(image_id), ''), 'UNKNOWN')) AS ent FROM x) SELECT 'image:' || image_id AS node, 'image_anchor' AS role FROM e UNION SELECT 'entity:' || ent, 'entity' FROM e UNION SELECT 'text:' || doc_id, 'text_evidence' FROM e UNION SELECT 'sample:' || doc_id, 'sample_hyperedge' FROM e")
 def cross_nodes(spark, d):
     return G.cross_modal(_modal(spark, d))[0]
