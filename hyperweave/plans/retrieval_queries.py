@@ -227,3 +227,14 @@ def incremental(spark, d):
     name = lambda k: F.concat(F.lit("c"), (F.col("vec_id") % k).cast("string")).alias("content")
     old = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("pos"), name(40), "embedding")
     return V.reindex(e.select(F.col("vec_id").alias("pos"), name(45)), old, V.hash_encoder(64)).select("pos", "reused")
+
+
+@Q("graph_search", "WITH s AS (SELECT q.vec_id AS query, c.vec_id AS id, CASE WHEN c.label < 5 THEN 'bge_entity' ELSE 'bge_hyperedge' END AS modality, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query, modality ORDER BY s DESC, id) - 1 AS r FROM s) SELECT query, CAST(r + CASE WHEN modality = 'bge_entity' THEN 0 ELSE 5 END AS INT) AS place, modality, id, round(s, 6) AS score FROM r WHERE r < 5")
+def graph_search(spark, d):
+    """Queries against two indexes, entities and hyperedges, with where each hit comes from."""
+    from .search import graph_search as search
+
+    e = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    asked = e.where("id % 100 = 0").select(F.col("id").alias("query"), "embedding")
+    found = search(asked, e.where("label < 5"), e.where("label >= 5"), 5, 5)
+    return found.select("query", "place", "modality", "id", F.round("score", 6).alias("score"))

@@ -50,3 +50,42 @@ def routed_search(queries: DataFrame, indexes: dict[str, DataFrame], vectors: Da
     mixed = R.entity_fusion(hits.where("route <> 'visual_entity'").drop("route"))
     even = R.entity_fusion(hits.where("route = 'visual_entity'").drop("route"), R.EVEN)
     return mixed.unionByName(even).join(routed.select(F.col("id").alias("query"), "route"), "query").select("query", "url", "score", "rank", "route")
+
+
+#: Modality, index and store of the two graph indexes, in the order of their answers (fixed values of the contract).
+GRAPH_INDEXES = (("bge_entity", "kv_store_entities.json"), ("bge_hyperedge", "kv_store_hyperedges.json"))
+
+
+def graph_corpora(entities: DataFrame, hyperedges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity corpus, hyperedge corpus), each (id, content): what is embedded, and under which text it is found.
+
+    entities: (entity_name, content); an entity is found by its name and embedded by its content, by its name where that is
+    blank; blank names are left out. hyperedges: (content, hyperedge_name, deleted); deleted and blank ones are left out, and the
+    name stands in for a missing content. Equal texts are one."""
+    blank = lambda x: F.coalesce(F.trim(x), F.lit("")) == ""
+    named = entities.where(~blank(F.col("entity_name"))).select(F.col("entity_name").alias("id"), F.when(blank(F.col("content")), F.col("entity_name")).otherwise(F.col("content")).alias("content"))
+    text = F.when(F.coalesce(F.col("content"), F.lit("")) == "", F.col("hyperedge_name")).otherwise(F.col("content"))
+    live = hyperedges.where(~F.coalesce(F.col("deleted"), F.lit(False))).select(text.alias("content")).where(~blank(F.col("content")))
+    return named.groupBy("id").agg(F.min("content").alias("content")), live.distinct().select(F.col("content").alias("id"), "content")
+
+
+def graph_search(asked: DataFrame, entity_index: DataFrame, hyperedge_index: DataFrame, entity_k: int = R.ENTITY_K, hyperedge_k: int = R.HYPEREDGE_K, context: Callable[[DataFrame, DataFrame], DataFrame] | None = None, dataset: str = "", subset: str = "") -> DataFrame:
+    """asked: (query, embedding); indexes: (id, embedding), id the text that is found. (query, place, modality, id, knowledge,
+    coherence, score, provenance): the nearest of both indexes by inner product, entities first.
+
+    context: (entity hits, hyperedge hits) -> rows of the same columns; a query that has such rows gets them instead."""
+    found = []
+    for (modality, store), index, k in zip(GRAPH_INDEXES, (entity_index, hyperedge_index), (entity_k, hyperedge_k)):
+        if k <= 0:
+            continue
+        rank = F.col("rank") - 1
+        provenance = F.struct(F.lit(dataset).alias("dataset"), F.lit(subset).alias("subset"), F.lit(modality).alias("index"), rank.alias("rank"), F.col("id").cast("string").alias("embedding_id"), F.lit(store).alias("store_path"))
+        hits = top_k(index, asked, k)
+        found.append(hits.select("query", (rank + (entity_k if found else 0)).alias("place"), F.lit(modality).alias("modality"), "id", F.col("id").alias("knowledge"), F.col("score").alias("coherence"), "score", provenance.alias("provenance")))
+    if not found:
+        raise ValueError("one of the indexes must be asked for at least one hit")
+    out = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    if context is None:
+        return out
+    more = context(*(out.where(F.col("modality") == m) for m, _ in GRAPH_INDEXES))
+    return out.join(more.select("query").distinct(), "query", "left_anti").unionByName(more.select(*out.columns))
