@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import ship
+
 #: Symbols of a piece up to which the rank array is scanned.
 LONG = 256
 #: Chunks in each of the two generations that a worker remembers.
@@ -172,6 +174,7 @@ def _held(key: str, model) -> Bpe:
 
 
 def _mapped(docs: DataFrame, model_path: str, text: str, added: list[T.StructField], row) -> DataFrame:
+    ship(docs.sparkSession)
     with open(model_path, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     at, names = docs.columns.index(text), [*docs.columns, *(f.name for f in added)]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WORD, WORD_TABLE, ascii_lower, texts
+from .common import WORD, WORD_TABLE, ascii_lower, ship, texts
 
 #: Words of benchmark items in one broadcast, about.
 SLICE_WORDS = 4_000_000
@@ -119,6 +119,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: st
     cut: the hit words' spans leave the text too, in the same pass.
     """
     spark = docs.sparkSession
+    ship(spark)
     words = F.regexp_extract_all(ascii_lower(F.col(item_text).cast("string")), F.lit(WORD), F.lit(0))
     items = benchmark.select(F.col(item).alias("i"), words.alias("w")).dropna().where(F.size("w") > 0).distinct()
     slices = max(1, -(-(items.agg(F.sum(F.size("w"))).first()[0] or 0) // slice_words))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settled, texts
+from .common import settled, ship, texts
 from .shingles import CHUNK, _words
 
 #: Labelled rows that the fit may use, and lines that these may have together.
@@ -229,6 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: LineCrf, text: str = "text", into: str = "score") -> DataFrame:
     """docs with the column `into`: the probability of label 1."""
+    ship(docs.sparkSession)
     held, at, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text), [*docs.columns, into]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
