@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import settled
+from ..session import settled, ship
 
 #: Queries in one broadcast of an exact search; more take more passes over the vectors.
 SLICE = 8192
@@ -56,6 +56,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vecto
     before ranking (over=1) or, as an over-fetching store does, after the over * k best are taken.
     """
     spark = vectors.sparkSession
+    ship(spark)
     n = over * k
     kind = vectors.schema[key].dataType.simpleString()
     passes = max(1, -(-queries.count() // SLICE))

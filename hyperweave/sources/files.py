@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .archives import paired_members, read_archive_members  # noqa: F401
 from .graphml import NAMESPACE, read_graphml  # noqa: F401
 
@@ -65,6 +66,7 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """nodes: (node, data), edges: (source, target, weight, data), data maps of attributes. Every part file is a whole
     document with a header, its attributes' keys and its own nodes and edges; read_graphml reads them all back. Characters
     that XML cannot hold become U+FFFD."""
+    ship(nodes.sparkSession)
     null = F.lit(None).cast("string")
     rows = nodes.select(F.lit("node").alias("kind"), F.col("node").alias("a"), null.alias("b"), "data")
     plain = F.map_filter(F.coalesce("data", F.create_map().cast("map<string,string>")), lambda k, v: k != "weight")
