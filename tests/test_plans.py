@@ -114,7 +114,7 @@ def test_whole_texts(spark, tmp_path):
             at[lang] = at.get(lang, -1) + 1
             packs[lang, at[lang]] = t
     assert {(r.lang, r.pack): r.text for r in run("text_packing")} == packs
-    assert {r.title: r.contents for r in run("section_group")} == {"en": "\n\n".join(texts[:4]), "fr": texts[5]}
+    assert {r.title: r.contents for r in run("section_group")} == {"en0": "\n\n".join(texts[:4]), "fr0": texts[5]}
     assert {r.content for r in run("record_build")} == set(texts)
     assert {r.doc_id: r.contents for r in run("contents_assembly")} == {k: "\n\n".join(["s"] + ["en" if k < 5 else "fr"] * (k % 2) + [" ".join(t.split())]) for k, t in enumerate(texts)}
 
@@ -131,7 +131,7 @@ def test_rows_of_all_languages(spark, tmp_path):
         assert got[k].clean == re.sub(r"[\x00-\x1f\x7f-\x9f]", "", t) and got[k].query_key == flat[k].lower() and got[k].answer_key == keys[k]
         assert got[k].summary == flat[k] and got[k].preview == t and got[k].dataset == "s"
     words = [collections.Counter(k.split()) for k in keys]
-    f1 = {(5 * i, 5 * j): round(2 * (x & y).total() / (x.total() + y.total()), 6) for i, x in enumerate(words) for j, y in enumerate(words)}
+    f1 = {(5 * i, 5 * j): round(2 * (x & y).total() / (x.total() + y.total()), 6) for i, x in enumerate(words) for j, y in enumerate(words) if 5 * i // 8 == 5 * j // 8}
     assert {(r.a, r.b): r.f1 for r in run("token_f1")} == f1
     assert {(r.page, r.section, r.alias) for r in run("answer_in_section")} == {(0, 0, "and"), (1, 0, "of the"), (2, 0, "of the"), (3, 0, "and"), (4, 0, "of the")}
     assert {(r.content, r.doc_id) for r in run("content_lookup")} == {(flat[k].lower(), k) for k in range(4)}
@@ -144,11 +144,13 @@ def test_bins_hold_every_item(spark, tmp_path):
     want = {i: (b, sizes[i]) for b, ids in enumerate(P.greedy_partition(sizes, 4)) for i in ids}
     assert got == want
     got = {r.item_id: (r.bin, r.n) for r in catalogue.QUERIES["balanced_bins"](spark, d).collect()}
-    want = {}
-    for at in range(0, len(sizes), 4096):
+    assert {i: n for i, (_, n) in got.items()} == dict(enumerate(sizes))
+    sums = [sum(n for b, n in got.values() if b == k) for k in range(4)]
+    assert max(sums) - min(sums) <= max(sizes)
+    for at in range(0, len(sizes), 4096):  # a batch's rows lie together as one task would have them
         batch = sizes[at : at + 4096]
-        want |= {at + i: (b, batch[i]) for b, ids in enumerate(P.differencing_partition(batch, 4)) for i in ids}
-    assert got == want and len(got) == 9000
+        together = {k: {i for i in range(len(batch)) if got[at + i][0] == k} for k in range(4)}
+        assert {frozenset(x) for x in together.values()} == {frozenset(x) for x in P.differencing_partition(batch, 4)}
 
 
 def test_all_ids(spark, tmp_path):
@@ -163,10 +165,10 @@ def test_all_ids(spark, tmp_path):
     walks = {(r.start, r.step): r.node for r in run("random_walks")}
     assert set(walks) == {(a, k) for a, _ in both for k in range(4)}
     assert all(walks[a, 0] == a and all((walks[a, k], walks[a, k + 1]) in both for k in range(3)) for a, _ in both)
-    pairs = {(c, s, "url") for c, n, _ in customers for s in range(6) if 2 * n == s}
-    pairs |= {(c, s, "title") for c, n, _ in customers for s in range(6) if 2 * n > 5 and c % 7 == s % 5}
+    pairs = {(c, s, "url") for c, *_ in customers for s in range(6) if c // 3 == s}
+    pairs |= {(c, s, "title") for c, *_ in customers for s in range(6) if c // 3 > 5 and c // 9 == s}
     assert {(r.c_custkey, r.b_s_suppkey, r.match_key) for r in run("fallback_key_join")} == pairs
-    assert {(r.dimension, r.value): r.n for r in run("alignment_summary")} == {("match_key", "url"): 44} | {("c_mktsegment", x): sum(c[2] == x for c in customers) for x in "ABC"}
+    assert {(r.dimension, r.value): r.n for r in run("alignment_summary")} == {("match_key", "url"): 17, ("match_key", "title"): 27} | {("c_mktsegment", x): sum(c[2] == x for c in customers) for x in "ABC"}
     wide = [(k, 0, "A") for k in range(1, 46)] + [(11 * k + 7, 0, "A") for k in range(10, 20)]  # the key 7 has most customers
     (tmp_path / "wide").mkdir()
     d = table(spark, tmp_path / "wide", "customer", wide, "c_custkey long, c_nationkey int, c_mktsegment string")
