@@ -181,27 +181,39 @@ def biased_walks(edges: DataFrame, length: int, p: float = 1.0, q: float = 1.0,
     """Second-order walks: (start, walk, step, node), `walks` from every node. From v, reached from t, the next node x weighs 1/p
     if it is t, 1 if t and x are neighbours, and 1/q otherwise.
 
-    By rejection: a walker draws a neighbour of v as in random_walks and keeps it with its weight's share of the greatest;
-    those that rejected draw again. Whether t and x are neighbours is a join on the pair, so nothing meets at a hub but
-    the draws of its own walkers, one neighbour each. Every round is settled; a share of at least
-    min(1, 1/p, 1/q) / max(1, 1/p, 1/q) of the walkers leaves it."""
-    sides, degrees, placed = map(settled, _placed(edges))
-    most = max(1.0, 1 / p, 1 / q)
-    start = degrees.select(F.col("src").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"))
-    at = start.select("start", "walk", F.lit(None).cast(start.schema["start"].dataType).alias("before"), F.col("start").alias("node"))
-    out = [start.select("start", "walk", F.lit(0).alias("step"), F.col("start").alias("node"))]
-    near = sides.select(F.col("src").alias("before"), F.col("dst").alias("x"), F.lit(True).alias("near"))
+    t is one of v's neighbours, so its share against the others, each taken at the greatest weight, is known: a walker
+    goes back with it, and no draw is lost on the way back. Else it draws one of the others and keeps it with its weight's
+    share of the greatest; those that rejected draw again, more at a time in each round. Whether t and x are neighbours is
+    a join on the pair, so nothing meets at a hub but the draws of its own walkers, one neighbour each. Every round is
+    settled; a draw is kept with a share of at least min(1, 1/q) / max(1, 1/q), by all where nothing links t and x."""
+    _, degrees, placed = _placed(edges)
+    placed = settled(placed.join(degrees, "src"))
+    most = max(1.0, 1 / q)
+    own = placed.where("i = 0").select(F.col("src").alias("node"), "degree")
+    start = own.select("node", "degree", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"))
+    there = placed.select(F.col("src").alias("node"), "i", F.col("dst").alias("x"))
+    known = placed.select(F.col("src").alias("node"), F.col("dst").alias("before"), F.col("i").alias("back"), "degree")
+    near = placed.select(F.col("src").alias("before"), F.col("dst").alias("x"), F.lit(True).alias("near"))
+    out = [start.select(F.col("node").alias("start"), "walk", F.lit(0).alias("step"), "node")]
     for k in range(1, length + 1):
-        left, taken, turn = at, [], 0
-        while True:
-            name = [F.lit(str(seed)), "start", F.col("walk").cast("string"), F.lit(f"{k}:{turn}")]
+        name = [F.lit(str(seed)), "start", F.col("walk").cast("string"), F.concat(F.lit(f"{k}:"), F.col("turn").cast("string"))]
+        if k == 1:
             drawn = F.pmod(_drawn(*name), F.col("degree")).cast("int")
-            met = left.join(degrees, left.node == degrees.src).select(*left.columns, "src", drawn.alias("i")).join(placed, ["src", "i"]).withColumnRenamed("dst", "x")
-            weight = F.when(F.col("before").isNull(), most).when(F.col("x") == F.col("before"), 1 / p).when(F.col("near"), 1.0).otherwise(1 / q)
-            keep = _drawn(*name, F.lit("keep")) < weight / most * 2.0**32
-            met = settled(met.join(near, ["before", "x"], "left").select("start", "walk", "before", "node", "x", keep.alias("keep")))
-            taken.append(met.where("keep").select("start", "walk", F.col("node").alias("before"), F.col("x").alias("node")))
-            left, turn = met.where("NOT keep").select(*at.columns), turn + 1
+            first = start.select(F.col("node").alias("start"), "walk", "node", "degree", F.lit(0).alias("turn")).withColumn("i", drawn)
+            at = settled(first.join(there, ["node", "i"]).select("start", "walk", F.col("node").alias("before"), F.col("x").alias("node")))
+            out.append(at.select("start", "walk", F.lit(k).alias("step"), "node"))
+            continue
+        left, taken, turn, draws = at.join(known, ["node", "before"]), [], 0, 1
+        while True:
+            other = F.pmod(_drawn(*name), F.greatest(F.col("degree") - 1, F.lit(1))).cast("int")
+            home = _drawn(*name, F.lit("back")) < (1 / p) / (1 / p + (F.col("degree") - 1) * most) * 2.0**32
+            tries = left.withColumn("turn", F.explode(F.sequence(F.lit(turn), F.lit(turn + draws - 1)))).withColumn("other", other)
+            tries = tries.withColumn("i", F.when(home, F.col("back")).otherwise(F.col("other") + (F.col("other") >= F.col("back")).cast("int")))
+            keep = (F.col("i") == F.col("back")) | (_drawn(*name, F.lit("keep")) < F.when(F.col("near"), 1.0).otherwise(1 / q) / most * 2.0**32)
+            met = tries.join(there, ["node", "i"]).join(near, ["before", "x"], "left").withColumn("kept", F.when(keep, F.struct("turn", "x")))
+            met = settled(met.groupBy(*left.columns).agg(F.min("kept").alias("kept")) if draws > 1 else met.select(*left.columns, "kept"))
+            taken.append(met.where("kept IS NOT NULL").select("start", "walk", F.col("node").alias("before"), F.col("kept.x").alias("node")))
+            left, turn, draws = met.where("kept IS NULL").drop("kept"), turn + draws, min(4 * draws, 64)
             if left.isEmpty():
                 break
         at = reduce(DataFrame.unionByName, taken)

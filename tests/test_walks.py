@@ -39,3 +39,13 @@ def test_embeddings_of_walks(spark):
     assert {r.node for r in walks.collect()} == {f"{g}{i}" for g in "xy" for i in range(6)}
     got = {r.node: r.embedding for r in G.node_embeddings(walks, size=8, rounds=3).collect()}
     assert len(got) == 12 and all(len(v) == 8 for v in got.values())
+
+
+def test_walkers_at_leaves_go_back_at_once(spark, monkeypatch):
+    """A walker at a leaf can only go back, however little that weighs: it takes one round, not one for each rejection."""
+    rounds = []
+    monkeypatch.setattr(G, "settled", lambda df, f=G.settled: rounds.append(1) or f(df))
+    df = spark.createDataFrame([(f"h{i}", "hub", 1.0) for i in range(300)], "hyperedge string, entity string, weight double")
+    got = G.biased_walks(df, 3, p=1000.0, q=0.5).collect()
+    assert len(got) == 4 * 301 and len(rounds) == 4
+    assert {r.node for r in got if r.start != "hub" and r.step in (1, 3)} == {"hub"}
