@@ -421,3 +421,29 @@ def test_edits_of_many_batches(spark):
     tasks = spark.createDataFrame(rows, "seq long, update_type string, working_dir string, content string, new_content string")
     got = E.apply_all(state, tasks, size=10).collect()
     assert {(r.working_dir, r.content, r.deleted, r.weight) for r in got} == {(f"w{k % 3}", f"fact {k}", k % 2 == 0, 0.5 if k % 2 == 0 else 1.0) for k in range(60)} and len(got) == 60
+
+
+@pytest.mark.parametrize("measure", ["ip", "cosine"])
+def test_best_holds_a_block_of_scores(measure):
+    """The scores of all queries by all rows of a batch are never held at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    q, v = rng.normal(size=(2500, 8)), rng.normal(size=(10_000, 8)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(v))), pa.array(v.tolist(), pa.list_(pa.float32()))], ["id", "embedding"])
+    tracemalloc.start()
+    got = {}
+    for part in V._best([batch], list(range(len(q))), q, 3, "id", measure, 0.1):
+        for r in part.to_pylist():
+            got.setdefault(r["query"], []).append((-r["score"], r["id"]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # all scores are 200 MB
+    w = v.astype(float)
+    if measure == "cosine":
+        q, w = q / np.linalg.norm(q, axis=1)[:, None], w / np.linalg.norm(w, axis=1)[:, None]
+    for k in range(0, len(q), 50):
+        assert [i for _, i in sorted(got[k])] == list(np.argsort(-(w @ q[k]))[:3])
