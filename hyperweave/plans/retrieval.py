@@ -62,14 +62,19 @@ def token_budget(df: DataFrame, partition: list[str], order: list[Column], token
 
 
 def text_units_from_entities(edges: DataFrame, sources: DataFrame, seeds: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
-    """sources: (node, chunk). Chunks of the seeds, by seed order and by how many one-hop neighbours share the chunk."""
-    own = seeds.join(sources, "node").select("query", "pos", "node", "chunk")
+    """sources: (node, chunk). Chunks of the seeds, by seed order and by how many one-hop neighbours share the chunk. How many
+    share it is counted once for each node and chunk, whichever and however many queries ask for the node."""
+    asked = sources.join(seeds.select("node").distinct(), "node", "left_semi").select("node", "chunk")
     hop = symmetric(edges).select(F.col("src").alias("node"), F.col("dst").alias("other"))
-    shared = own.join(hop, "node").join(sources.select(F.col("node").alias("other"), "chunk"), ["other", "chunk"], "left_semi")
-    counts = shared.groupBy("query", "node", "chunk").agg(F.count_distinct("other").alias("relations"))
-    units = own.join(counts, ["query", "node", "chunk"], "left").fillna(0, ["relations"]).groupBy("query", "chunk").agg(F.min("pos").alias("pos"), F.max("relations").alias("relations"))
-    units = units.join(chunks, "chunk")
-    return token_budget(units, ["query"], [F.col("pos"), F.desc("relations"), F.col("chunk")], "tokens", most)
+    beside = hop.join(seeds.select("node").distinct(), "node", "left_semi").join(sources.select(F.col("node").alias("other"), "chunk"), "other")
+    # a node's own chunks (without other) and those of its neighbours meet in one grouping; a chunk counts where it is the node's own
+    both = asked.select("node", "chunk", F.lit(None).cast(hop.schema["other"].dataType).alias("other")).unionByName(beside.select("node", "chunk", "other"))
+    both = both.repartition("node", "chunk").groupBy("node", "chunk", "other").agg(F.lit(1).alias("one"))
+    counts = both.groupBy("node", "chunk").agg(F.count("other").alias("relations"), F.bool_or(F.col("other").isNull()).alias("own")).where("own").drop("own")
+    units = seeds.join(counts.join(chunks, "chunk"), "node").repartition("query")
+    others = [c for c in chunks.columns if c != "chunk"]
+    units = units.groupBy("query", "chunk").agg(F.min("pos").alias("pos"), F.max("relations").alias("relations"), *(F.first(c).alias(c) for c in others))
+    return token_budget(units, ["query"], [F.col("pos"), F.desc("relations"), F.col("chunk")], "tokens", most).select("chunk", "query", "pos", "relations", *others)
 
 
 def entities_from_hyperedges(edges: DataFrame, seeds: DataFrame) -> DataFrame:

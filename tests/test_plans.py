@@ -174,3 +174,30 @@ def test_all_ids(spark, tmp_path):
     d = table(spark, tmp_path / "wide", "customer", wide, "c_custkey long, c_nationkey int, c_mktsegment string")
     assert {(r.source, r.target) for r in run("connected_component_largest")} == {(f"C{k}", "K7") for k, _, _ in wide if k % 11 == 7}
     assert {r.query for r in run("match_fallback")} == set(range(10))
+
+
+def test_text_units_count_once_for_each_node(spark):
+    from hyperweave.plans import retrieval as R
+
+    lines = [(f"h{(i * 7) % 23}", f"e{i % 5}", f"c{i % 9}") for i in range(120)]
+    edges = spark.createDataFrame(sorted({(h, e, 1.0) for h, e, _ in lines}), "hyperedge string, entity string, weight double")
+    src = {(n, c) for h, e, c in lines for n in (h, e)}
+    tokens = {f"c{i}": 10 + i for i in range(8)}  # c8 has no text
+    seeds = [(q, pos, f"e{(q + pos) % 6}") for q in range(12) for pos in range(3)]
+    got = R.text_units_from_entities(edges, spark.createDataFrame(sorted(src), "node string, chunk string"), spark.createDataFrame(seeds, "query int, pos int, node string"), spark.createDataFrame(list(tokens.items()), "chunk string, tokens int"), 60)
+    assert not re.search(r"Aggregate \[query#\d+L?, node", got._jdf.queryExecution().optimizedPlan().toString())  # else hop rows grow with the queries
+    near, want = {(h, e) for h, e, _ in lines}, set()
+    for q in range(12):
+        units = {}
+        for _, pos, n in (s for s in seeds if s[0] == q):
+            for c in {c for m, c in src if m == n and c in tokens}:
+                k = sum((h, c) in src for h, e in near if e == n)
+                p, r = units.get(c, (pos, k))
+                units[c] = (min(p, pos), max(r, k))
+        total = 0
+        for c, (p, r) in sorted(units.items(), key=lambda x: (x[1][0], -x[1][1], x[0])):
+            total += tokens[c]
+            if total > 60:
+                break
+            want.add((q, c, p, r, tokens[c]))
+    assert {(r.query, r.chunk, r.pos, r.relations, r.tokens) for r in got.collect()} == want
