@@ -201,3 +201,16 @@ def test_text_units_count_once_for_each_node(spark):
                 break
             want.add((q, c, p, r, tokens[c]))
     assert {(r.query, r.chunk, r.pos, r.relations, r.tokens) for r in got.collect()} == want
+
+
+def test_first_file_wins_by_place_in_the_table(spark, tmp_path):
+    """Rows of one order: the first in the table wins, though later files are larger and are read first."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "lineitem.parquet").mkdir()
+    for k in range(6):
+        n = 20 * (k + 1) ** 3
+        pq.write_table(pa.table({"l_partkey": [i % 20 for i in range(n)], "l_suppkey": [1_000_000 * k + i for i in range(n)], "l_orderkey": [3] * n, "l_linenumber": [1] * n}), tmp_path / f"lineitem.parquet/part-{k}.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["first_file_wins"](spark, str(tmp_path)).collect()}
+    assert got == {(i, i, 31) for i in range(20)}
