@@ -26,11 +26,14 @@ def _counts(words: Column) -> Column:
 
 def answer_counts(text: Column | str) -> Column:
     """The words of an answer after normalisation, with their numbers: a map, to be made once for each text."""
-    words = F.array_sort(F.filter(F.split(answer_key(text), " "), lambda w: w != ""))
-    # sorted words: each stretch of equal ones begins where the word before differs
-    firsts = F.filter(F.sequence(F.lit(1), F.size(words) + 1), lambda i: (i > F.size(words)) | (i == 1) | (F.get(words, i - 1) != F.get(words, F.greatest(i - 2, F.lit(0)))))
-    pairs = F.transform(F.slice(firsts, 1, F.greatest(F.size(firsts) - 1, F.lit(0))), lambda i, k: F.struct(F.get(words, i - 1).alias("w"), (F.get(firsts, k + 1) - i).alias("n")))
-    return F.map_from_entries(pairs)
+    held = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # noqa: E731 (a lambda's body is evaluated for each element: x once, as its variable)
+
+    def counted(words: Column) -> Column:
+        # sorted words: each stretch of equal ones begins where the word before differs
+        firsts = F.filter(F.sequence(F.lit(1), F.size(words) + 1), lambda i: (i > F.size(words)) | (i == 1) | (F.get(words, i - 1) != F.get(words, F.greatest(i - 2, F.lit(0)))))
+        return held(firsts, lambda at: F.transform(F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), lambda i, k: F.struct(F.get(words, i - 1).alias("w"), (F.get(at, k + 1) - i).alias("n"))))
+
+    return F.map_from_entries(held(F.array_sort(F.filter(F.split(answer_key(text), " "), lambda w: w != "")), counted))
 
 
 def f1_of_counts(answer: Column | str, gold: Column | str) -> Column:

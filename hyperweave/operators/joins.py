@@ -10,6 +10,13 @@ from .kv import first_per_key
 from .partition import numbered
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, row: str, spread: int = 16) -> DataFrame:
+    """Inner join on a key of few values: the left's rows are dealt over `spread` parts of each key by `row`, the right's go to all."""
+    part = F.pmod(F.xxhash64(row), F.lit(spread)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
+    return left.withColumn("__part", part).join(right.withColumn("__part", every), [on, "__part"]).drop("__part")
+
+
 def fallback_join(build: DataFrame, probe: DataFrame, first: str, second: str, row: str) -> DataFrame:
     """All matches on the first key; rows without any are matched on the second. match_key says which. row: the probe's id."""
     b1 = build.select(F.col(first).alias("__k"), *[F.col(x).alias(f"b_{x}") for x in build.columns])

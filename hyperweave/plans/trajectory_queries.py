@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import advantages as A
+from ..operators.joins import spread_join
 from .base import Catalogue, read_table
 
 Q = Catalogue()
@@ -140,14 +141,14 @@ def pass_k(spark, d):
 _WORDS = r"string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')), ' ')"
 
 
-@Q("token_f1", rf"""WITH t AS (SELECT item_id, item_id // 8 AS k, list_filter({_WORDS}, lambda x: x <> '') AS w FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, a.w AS x, b.w AS y FROM t a JOIN t b USING (k)),
+@Q("token_f1", rf"""WITH t AS (SELECT item_id, list_filter({_WORDS}, lambda x: x <> '') AS w FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, a.w AS x, b.w AS y FROM t a JOIN t b ON b.item_id % 5 = a.item_id % 5),
 u AS (SELECT a, b, unnest(list_distinct(x)) AS v, x, y FROM p), c AS (SELECT a, b, sum(least(len(list_filter(x, lambda q: q = v)), len(list_filter(y, lambda q: q = v)))) AS n, any_value(len(x) + len(y)) AS s FROM u GROUP BY 1, 2)
 SELECT a, b, round(2.0::DOUBLE * n / s, 6) AS f1 FROM c""")
 def token_f1(spark, d):
-    """Every item as an answer to the golds of its key, eight to a key; words are counted once for each text."""
-    t = read_table(spark, d, "benchmark").select("item_id", F.expr("item_id div 8").alias("k"), S.answer_counts("text").alias("n"))
+    """Every item as an answer to all items of its residue; words are counted once for each text."""
+    t = read_table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 5).alias("k"), S.answer_counts("text").alias("n"))
     a, b = t.select("k", F.col("item_id").alias("a"), F.col("n").alias("x")), t.select("k", F.col("item_id").alias("b"), F.col("n").alias("y"))
-    return a.join(b, "k").select("a", "b", F.round(S.f1_of_counts("x", "y"), 6).alias("f1"))
+    return spread_join(a, b, "k", "a").select("a", "b", F.round(S.f1_of_counts("x", "y"), 6).alias("f1"))
 
 
 def _turns(spark, d):
