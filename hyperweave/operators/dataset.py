@@ -97,9 +97,9 @@ def counts(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
 
 
-def alignment_summary(matches: DataFrame, row: str, by: list[str]) -> DataFrame:
-    """(dimension, value, n): all matches by match_key, distinct raw rows by every other dimension."""
-    out = matches.groupBy(F.lit("match_key").alias("dimension"), F.col("match_key").alias("value")).agg(F.count("*").alias("n"))
+def alignment_summary(matches: DataFrame, row: str, by: list[str], n: str | None = None) -> DataFrame:
+    """(dimension, value, n): all matches by match_key, distinct raw rows by every other dimension. n: how many matches a row stands for."""
+    out = matches.groupBy(F.lit("match_key").alias("dimension"), F.col("match_key").alias("value")).agg((F.sum(n) if n else F.count("*")).alias("n"))
     for d in by:
         out = out.unionByName(matches.select(row, d).distinct().groupBy(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")).agg(F.count("*").alias("n")))
     return out

@@ -17,13 +17,26 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, row: str, spread: in
     return left.withColumn("__part", part).join(right.withColumn("__part", every), [on, "__part"]).drop("__part")
 
 
-def fallback_join(build: DataFrame, probe: DataFrame, first: str, second: str, row: str) -> DataFrame:
-    """All matches on the first key; rows without any are matched on the second. match_key says which. row: the probe's id."""
-    b1 = build.select(F.col(first).alias("__k"), *[F.col(x).alias(f"b_{x}") for x in build.columns])
-    b2 = build.select(F.col(second).alias("__k"), *[F.col(x).alias(f"b_{x}") for x in build.columns])
-    on_first = probe.join(b1, F.col(first) == F.col("__k")).drop("__k").withColumn("match_key", F.lit(first))
-    rest = probe.join(on_first.select(row).distinct(), row, "left_anti")
-    return on_first.unionByName(rest.join(b2, F.col(second) == F.col("__k")).drop("__k").withColumn("match_key", F.lit(second)))
+def fallback_join(build: DataFrame, probe: DataFrame, first: str, second: str, row: str, spread: int = 1) -> DataFrame:
+    """All matches on the first key; rows without any are matched on the second. match_key says which. row: the probe's id.
+    spread: parts that each key's probe rows are dealt over, where keys are few and have many rows."""
+    sides = [build.select(F.col(k).alias("__k"), *[F.col(x).alias(f"b_{x}") for x in build.columns]) for k in (first, second)]
+    return _fallback(sides, probe, first, second, row, spread)
+
+
+def fallback_counts(build: DataFrame, probe: DataFrame, first: str, second: str, row: str) -> DataFrame:
+    """The probe's matched rows with match_key and n, the number of their matches in fallback_join, none of which are made."""
+    sides = [build.groupBy(F.col(k).alias("__k")).agg(F.count("*").alias("n")) for k in (first, second)]
+    return _fallback(sides, probe, first, second, row, 1)
+
+
+def _fallback(sides: list[DataFrame], probe: DataFrame, first: str, second: str, row: str, spread: int) -> DataFrame:
+    def on(rows: DataFrame, key: str, side: DataFrame) -> DataFrame:
+        keyed = rows.withColumn("__k", F.col(key))
+        return (spread_join(keyed, side, "__k", row, spread) if spread > 1 else keyed.join(side, "__k")).drop("__k").withColumn("match_key", F.lit(key))
+
+    met = probe.join(sides[0].select("__k").distinct(), F.col(first) == F.col("__k"), "left_semi").select(row).distinct()
+    return on(probe, first, sides[0]).unionByName(on(probe.join(met, row, "left_anti"), second, sides[1]))
 
 
 def left_prefer(left: DataFrame, right: DataFrame, on: str) -> DataFrame:

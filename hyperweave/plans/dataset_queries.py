@@ -16,24 +16,24 @@ from .base import Catalogue, read_table
 Q = Catalogue()
 
 
-def _matches(spark, d):
-    """Suppliers by address and by name; a customer's address is known to some, its name to others."""
-    build = read_table(spark, d, "supplier").select(F.concat(F.lit("u"), F.col("s_suppkey").cast("string")).alias("url"), F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("title"), "s_suppkey")
-    probe = read_table(spark, d, "customer").select("c_custkey", F.concat(F.lit("u"), F.expr("c_custkey div 3").cast("string")).alias("url"), F.concat(F.lit("t"), F.expr("c_custkey div 9").cast("string")).alias("title"), "c_mktsegment")
-    return J.fallback_join(build, probe, "url", "title", "c_custkey")
+def _sides(spark, d):
+    """Suppliers and customers that share addresses (a nation's) or else titles (a residue)."""
+    build = read_table(spark, d, "supplier").select(F.col("s_nationkey").alias("url"), (F.col("s_suppkey") % 5).cast("string").alias("title"), "s_suppkey")
+    probe = read_table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") * 2).alias("url"), (F.col("c_custkey") % 7).cast("string").alias("title"), "c_mktsegment")
+    return build, probe
 
 
-_MATCHES = "b AS (SELECT 'u' || s_suppkey AS url, 't' || s_suppkey AS title, s_suppkey FROM supplier), p AS (SELECT c_custkey, 'u' || (c_custkey // 3) AS url, 't' || (c_custkey // 9) AS title, c_mktsegment FROM customer), m AS (SELECT c_custkey, c_mktsegment, s_suppkey AS b_s_suppkey, 'url' AS match_key FROM p JOIN b USING (url) UNION ALL SELECT c_custkey, c_mktsegment, s_suppkey, 'title' FROM p JOIN b USING (title) WHERE c_custkey NOT IN (SELECT c_custkey FROM p JOIN b USING (url)))"
+_MATCHES = "b AS (SELECT s_nationkey AS url, CAST(s_suppkey % 5 AS VARCHAR) AS title, s_suppkey FROM supplier), p AS (SELECT c_custkey, c_nationkey * 2 AS url, CAST(c_custkey % 7 AS VARCHAR) AS title, c_mktsegment FROM customer), m AS (SELECT c_custkey, c_mktsegment, s_suppkey AS b_s_suppkey, 'url' AS match_key FROM p JOIN b USING (url) UNION ALL SELECT c_custkey, c_mktsegment, s_suppkey, 'title' FROM p JOIN b USING (title) WHERE c_custkey NOT IN (SELECT c_custkey FROM p JOIN b USING (url)))"
 
 
 @Q("fallback_key_join", f"WITH {_MATCHES} SELECT c_custkey, c_mktsegment, b_s_suppkey, match_key FROM m")
 def fallback(spark, d):
-    return _matches(spark, d).select("c_custkey", "c_mktsegment", "b_s_suppkey", "match_key")
+    return J.fallback_join(*_sides(spark, d), "url", "title", "c_custkey", spread=16).select("c_custkey", "c_mktsegment", "b_s_suppkey", "match_key")
 
 
 @Q("alignment_summary", f"WITH {_MATCHES} SELECT 'match_key' AS dimension, match_key AS value, count(*) AS n FROM m GROUP BY 2 UNION ALL SELECT 'c_mktsegment', c_mktsegment, count(DISTINCT c_custkey) FROM m GROUP BY 2")
 def alignment(spark, d):
-    return D.alignment_summary(_matches(spark, d), "c_custkey", ["c_mktsegment"])
+    return D.alignment_summary(J.fallback_counts(*_sides(spark, d), "url", "title", "c_custkey"), "c_custkey", ["c_mktsegment"], "n")
 
 
 _REASONS = "r AS (SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 THEN 'duplicate' WHEN lang NOT IN ('en', 'fr') THEN 'language' WHEN n_chars < 200 THEN 'short' ELSE 'eligible' END AS reason FROM documents)"
