@@ -447,3 +447,14 @@ def test_best_holds_a_block_of_scores(measure):
         q, w = q / np.linalg.norm(q, axis=1)[:, None], w / np.linalg.norm(w, axis=1)[:, None]
     for k in range(0, len(q), 50):
         assert [i for _, i in sorted(got[k])] == list(np.argsort(-(w @ q[k]))[:3])
+
+
+def test_fallback_counts_are_those_of_the_matches(spark):
+    build = spark.createDataFrame([(k % 3, f"t{k % 4}", k) for k in range(20)], "url int, title string, s int")
+    probe = spark.createDataFrame([(c, c % 6, f"t{c % 7}") for c in range(40)], "row int, url int, title string")
+    made = lambda spread: J.fallback_join(build, probe, "url", "title", "row", spread)
+    rows = sorted((r.row, r.match_key, r.b_s) for r in made(1).collect())
+    assert rows == sorted((r.row, r.match_key, r.b_s) for r in made(5).collect())
+    assert rows == sorted([(c, "url", k) for c in range(40) for k in range(20) if c % 6 == k % 3] + [(c, "title", k) for c in range(40) for k in range(20) if c % 6 > 2 and c % 7 == k % 4])
+    counts = {(r.row, r.match_key): r.n for r in J.fallback_counts(build, probe, "url", "title", "row").collect()}
+    assert counts == {key: sum(x[:2] == key for x in rows) for key in {x[:2] for x in rows}}
