@@ -128,6 +128,8 @@ def differencing_partition(lengths: list[float], k: int, equal_size: bool = Fals
 
 #: Rows, or partial partitions, that one task balances.
 BATCH = 4096
+#: Bins that differencing fills; each of its steps touches every bin, so more of them are dealt.
+DIFFERENCED = 64
 
 
 def _differenced(states: list[list[float]]) -> tuple[list[float], list[list[int]]]:
@@ -150,13 +152,25 @@ def _differenced(states: list[list[float]]) -> tuple[list[float], list[list[int]
     return [x[0] for x in heap[0][2]], into
 
 
+def dealt_bins(df: DataFrame, key: str, length: str, k: int) -> DataFrame:
+    """(key, bin, length) for all rows: from the longest on, k rows a round, one for each bin, every other round backwards.
+
+    Bins differ in a round by no more than its longest row less its shortest, and the next round begins no higher than
+    that, so over all rounds by no more than the longest row. A row costs the same however many bins there are."""
+    rows = numbered(df.select(key, length), F.desc_nulls_last(length), key)
+    at = F.col("place") % k
+    return rows.select(key, F.when(F.floor(F.col("place") / k) % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("bin"), length)
+
+
 def balanced_bins(df: DataFrame, key: str, length: str, k: int, batch: int = BATCH) -> DataFrame:
-    """(key, bin, length) for all rows, by largest differencing of partial partitions.
+    """(key, bin, length) for all rows, by largest differencing of partial partitions; beyond DIFFERENCED bins, dealt.
 
     Batches of consecutive rows by the key are each balanced in a task of their own; what they come to, k totals for each,
     are partial partitions that are differenced again, a batch of them at a time, until one is left. A row's bin is
     followed through these rounds. The spread of the whole is no wider than that of the worst batch, thus never more
     than the longest row, however many batches there are; rows of one batch get what one task would give them."""
+    if k > DIFFERENCED:
+        return dealt_bins(df, key, length, k)
     keep = [key, length]
     rows = numbered(df.select(*keep), key, length).withColumn("node", F.floor(F.col("place") / batch))
 
@@ -213,7 +227,9 @@ def micro_batches(lengths: list[float], most: float) -> list[list[int]]:
 
 
 def micro_batched(df: DataFrame, key: str, length: str, most: float) -> DataFrame:
-    """(key, bin, length): as many balanced bins as the total needs at `most` each."""
+    """(key, bin, length): as many balanced bins as the total needs at `most` each. The lengths are settled, so that what
+    they are taken from is read once."""
+    df = settled(df.select(key, length))
     total = df.agg(F.sum(F.col(length).cast("double"))).first()[0] or 0.0
     return balanced_bins(df, key, length, max(1, math.ceil(total / most)))
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,21 @@ def test_micro_batches(spark):
     assert len(sums) == 3 and max(r.s for r in sums) <= 100
 
 
+@pytest.mark.parametrize("n,k", [(1000, 65), (90, 100), (20_000, 5_000)])
+def test_many_bins_are_dealt(spark, n, k):
+    """As many bins as this were differenced for minutes: every step touched all of them."""
+    rng = random.Random(k)
+    rows = [(i, None if i == 7 else rng.randint(1, 1000)) for i in range(n)]
+    began = time.time()
+    got = P.balanced_bins(spark.createDataFrame(rows, "id long, n int").repartition(5), "id", "n", k).collect()
+    assert time.time() - began < 60
+    assert sorted((r.id, r.n) for r in got) == sorted(rows) and {r.bin for r in got} == set(range(min(n, k)))
+    sums = [0] * k
+    for r in got:
+        sums[r.bin] += r.n or 0
+    assert max(sums) - min(sums) <= 1000
+
+
 def test_packs_count_the_joint_of_an_empty_first_text(spark):
     rows = [("g", 1, ""), ("g", 2, "abcd"), ("g", 3, "ef"), ("h", 1, None), ("h", 2, "abcdefgh")]
     got = {(r.g, r.pack): r.text for r in merges.pack(spark.createDataFrame(rows, "g string, i int, t string"), "g", "i", "t", 8).collect()}
