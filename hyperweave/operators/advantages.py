@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..session import ship
+
 
 def grpo(df: DataFrame, group: str, score: str, eps: float = 1e-6) -> DataFrame:
     """(score - mean) / (sample deviation + eps) within a group; a lone row has mean 0 and deviation 1."""
@@ -145,19 +151,43 @@ def bootstrap_metrics(df: DataFrame, source: str, problem: str, attempt: str, sc
     picked = df.where(F.col(score).isNotNull())
     told = F.struct(F.col(attempt).alias("i"), F.col(score).cast("double").alias("s"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("a"))
     each = picked.groupBy(source, problem).agg(F.array_sort(F.collect_list(told)).alias("x"))
-
-    def at(j: Column) -> Column:
-        text = F.concat_ws(":", F.lit(str(seed)), F.col(problem).cast("string"), F.col("k").cast("string"), F.col("b").cast("string"), j.cast("string"))
-        return F.get(F.col("x"), F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.size("x").cast("long")).cast("int"))
-
-    values = lambda name: F.transform(name, lambda v: v["s"])
-    votes = F.transform("y", lambda v, p: F.struct(F.size(F.filter("y", lambda o: o["a"].eqNullSafe(v["a"]))).alias("n"), (-p).alias("p"), v["s"].alias("s")))
-    measured = {"best": F.array_max(values("y")), "worst": F.array_min(values("y"))} | ({"maj": F.array_max(votes)["s"]} if answer else {})
-    # samples are rows; those of a problem are made where its attempts are, so only their sums are shuffled
-    samples = each.withColumn("k", F.explode(F.array(*map(F.lit, sizes)))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    samples = samples.withColumn("y", F.transform(F.sequence(F.lit(0), F.col("k") - 1), at)).select(source, problem, "k", *(v.alias(n) for n, v in measured.items()))
-    sums = samples.groupBy(source, problem, "k").agg(*(f(n).alias(f"{n}_{m}") for n in measured for m, f in (("mean", F.avg), ("std", F.stddev_pop))))
-    told = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col("k").alias("size"), F.col(f"{n}_mean").alias("mean"), F.col(f"{n}_std").alias("std")) for n in measured)))
+    name = F.concat_ws(":", F.lit(str(seed)), F.col(problem).cast("string"))
+    each = each.select(source, name.alias("name"), F.transform("x", lambda v: v["s"]).alias("s"), F.transform("x", lambda v: v["a"]).alias("a"))
+    metrics = ["best", "worst", *(["maj"] if answer else [])]
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, numbers = None, {}
+        for batch in batches:
+            out = []
+            for whose, name, s, a in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != held:
+                    held, numbers = name, {k: _draws(name, k, draws) for k in sizes}
+                s, codes = np.array(s, dtype=float), {}
+                a = np.array([codes.setdefault(v, len(codes)) for v in a])
+                for k in sizes:
+                    at = numbers[k] % len(s)
+                    y = s[at]
+                    found = {"best": y.max(axis=1), "worst": np.fmin.reduce(y, axis=1)}  # a NaN is the greatest, as in SQL
+                    if answer:
+                        votes = a[at]
+                        most = (votes[:, :, None] == votes[:, None, :]).sum(axis=2).argmax(axis=1)  # the first of equally frequent ones
+                        found["maj"] = y[np.arange(draws), most]
+                    out += [(whose, m, k, float(found[m].mean()), float(found[m].std())) for m in metrics]
+            if out:
+                types = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [source, "metric", "size", "mean", "std"])
+
+    ship(df.sparkSession)
+    kind = df.schema[source].dataType.simpleString()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # what is drawn depends on the problem alone: problems of the same name stand together, and their sources share the draws
+    sums = each.repartition(parts, "name").sortWithinPartitions("name").mapInArrow(measured, f"`{source}` {kind}, metric string, size int, mean double, std double")
     plain = picked.groupBy(source, problem).agg(F.count("*").cast("int").alias("size"), F.avg(F.col(score).cast("double")).alias("mean"), F.stddev_pop(F.col(score).cast("double")).alias("std"))
-    found = sums.select(source, told.alias("m")).select(source, "m.*").unionByName(plain.select(source, F.lit("mean").alias("metric"), "size", "mean", "std"))
+    found = sums.unionByName(plain.select(source, F.lit("mean").alias("metric"), "size", "mean", "std"))
     return found.groupBy(source, "metric", "size").agg(F.avg("mean").alias("mean"), F.avg("std").alias("std"))
+
+
+def _draws(name: str, k: int, draws: int) -> np.ndarray:
+    """The numbers of 32 bits that samples of k attempts are drawn by, a row for each sample."""
+    digests = b"".join(md5(f"{name}:{k}:{b}:{j}".encode()).digest() for b in range(draws) for j in range(k))
+    return np.frombuffer(digests, ">u4")[::4].astype(np.int64).reshape(draws, k)

@@ -41,6 +41,19 @@ def test_bootstrap_metrics(spark):
         assert got[key] == pytest.approx(tuple(statistics.fmean(x) for x in zip(*parts)))
 
 
+def test_bootstrap_sources_share_the_draws_of_a_problem(spark):
+    """Each of them had drawn all samples again, and asked each of its attempts for votes one by one: minutes for this table."""
+    rows = [(None if s == 3 else s, None if p == 2 else p, i, (s + i) % 4 / 3.0, None if i % 2 else "a") for s in range(600) for p in range(3) for i in range(5)]
+    df = spark.createDataFrame(rows, "source int, problem int, i int, score double, answer string")
+    run = lambda d: {(r.source, r.metric, r.size): (r.mean, r.std) for r in A.bootstrap_metrics(d, "source", "problem", "i", "score", "answer").where("metric <> 'mean'").collect()}
+    began = time.time()
+    got = run(df)
+    assert time.time() - began < 40
+    assert got.keys() == {(None if s == 3 else s, m, k) for s in range(600) for m in ("best", "worst", "maj") for k in (2, 4, 8)}
+    for key, found in run(df.where("source = 5")).items():
+        assert got[key] == pytest.approx(found)
+
+
 def test_reward_manager(spark):
     rows = [(1, "em", "The Cat", ["cat"], [1, 1, 0], None), (2, "em", "dog", ["cat"], [1, 1, 1], None), (3, "f1", "a cat sat", ["cat"], [0, 0, 0], None), (4, "em", None, None, [1], None), (5, "em", "x", ["y"], [1, 0], 0.25)]
     df = spark.createDataFrame(rows, "id int, source string, response string, golds array<string>, mask array<int>, known double")
