@@ -113,7 +113,12 @@ def edges_with_text(edges: DataFrame, chunks: DataFrame, created: str, limit: in
 
 def statistics(edges: DataFrame) -> DataFrame:
     """One row: distinct hyperedges, entities, nodes and edges."""
-    return edges.agg(F.count_distinct("hyperedge").alias("hyperedges"), F.count_distinct("entity").alias("entities"), F.count_distinct("hyperedge", "entity").alias("edges")).withColumn("nodes", F.col("hyperedges") + F.col("entities"))
+    pairs = edges.select("hyperedge", "entity").distinct()
+    hyperedges = edges.select("hyperedge").distinct().agg(F.count("hyperedge").alias("hyperedges"))
+    # an entity's pairs are counted on the way, so the pairs themselves go nowhere; nulls count for nothing
+    by_e = pairs.groupBy("entity").agg(F.count("hyperedge").alias("n"))
+    rest = by_e.agg(F.count("entity").alias("entities"), F.coalesce(F.sum(F.when(F.col("entity").isNotNull(), F.col("n"))), F.lit(0)).alias("edges"))
+    return hyperedges.crossJoin(rest).withColumn("nodes", F.col("hyperedges") + F.col("entities"))
 
 
 def sample_rows(df: DataFrame, order: str, text: str, n: int = 5, width: int = 100) -> DataFrame:

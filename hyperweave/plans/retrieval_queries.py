@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import vectors as V
+from ..session import spread
 from . import retrieval as R
 from .base import GRAPH, Catalogue, orders_graph, read_table
 
@@ -57,7 +58,8 @@ _SOURCES = "src AS (SELECT DISTINCT 'p' || l_partkey AS node, 's' || l_suppkey A
 def _sources(spark, d):
     li = read_table(spark, d, "lineitem")
     s = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("chunk")
-    src = li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("node"), s).union(li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), s)).distinct()
+    src = li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("node"), s).union(li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), s))
+    src = spread(src, "node", of=src).distinct()
     chunks = read_table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("chunk"), (F.col("s_suppkey") % 50 + 100).alias("tokens"))
     return src, chunks
 

@@ -57,7 +57,9 @@ def node_link_json(spark, d):
     inc = orders_graph(spark, d)
     nodes = inc.select(F.col("hyperedge").alias("node")).union(inc.select("entity")).distinct().withColumn("data", F.create_map().cast("map<string,string>"))
     path = scratch(spark, "json")
-    graphml.to_node_link(nodes, inc.select(F.col("hyperedge").alias("source"), F.col("entity").alias("target"), "weight", F.create_map().cast("map<string,string>").alias("data"))).write.partitionBy("kind").text(path)
+    lines = graphml.to_node_link(nodes, inc.select(F.col("hyperedge").alias("source"), F.col("entity").alias("target"), "weight", F.create_map().cast("map<string,string>").alias("data")))
+    for kind in ("node", "edge"):  # each to its own folder: with partitionBy, a task sorts its lines by kind first
+        lines.where(F.col("kind") == kind).select("value").write.text(f"{path}/kind={kind}")
     back = spark.read.text(path).select("kind", F.from_json("value", "id string, source string, target string").alias("x"))
     return back.select("kind", F.coalesce("x.id", "x.source").alias("a"), F.col("x.target").alias("b"))
 

@@ -214,3 +214,23 @@ def test_first_file_wins_by_place_in_the_table(spark, tmp_path):
         pq.write_table(pa.table({"l_partkey": [i % 20 for i in range(n)], "l_suppkey": [1_000_000 * k + i for i in range(n)], "l_orderkey": [3] * n, "l_linenumber": [1] * n}), tmp_path / f"lineitem.parquet/part-{k}.parquet")
     got = {tuple(r) for r in catalogue.QUERIES["first_file_wins"](spark, str(tmp_path)).collect()}
     assert got == {(i, i, 31) for i in range(20)}
+
+
+def test_order_graph_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
+    """Grouping had begun in the input's splits, whose tasks grew with the table (statistics threefold, by three counts)."""
+    from hyperweave import session
+    from hyperweave.operators import graph as G
+    from hyperweave.plans.base import orders_graph
+    from hyperweave.plans.retrieval_queries import _sources
+
+    monkeypatch.setattr(session, "ROWS", 10)
+    lines = [(o, p, p, 1.0) for o in range(40) for p in (o % 5, o % 7)] + [(1, None, 2, 1.0)]
+    d = table(spark, tmp_path, "lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double")
+    table(spark, tmp_path, "supplier", [(k,) for k in range(7)], "s_suppkey long")
+    g = orders_graph(spark, d)
+    assert g.rdd.getNumPartitions() == 9 and _sources(spark, d)[0].rdd.getNumPartitions() == 17
+    assert "Expand" not in G.statistics(g)._jdf.queryExecution().toString()
+    edges = {(f"o{o}", f"p{p}") for o, p, *_ in lines if p is not None}
+    assert G.statistics(g).first().asDict() == {"hyperedges": 40, "entities": 7, "edges": len(edges), "nodes": 47}
+    back = {(r.kind, r.a, r.b) for r in catalogue.QUERIES["node_link_json"](spark, table(spark, tmp_path / "whole", "lineitem", lines[:-1], "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double")).collect()}
+    assert back == {("edge", *e) for e in edges} | {("node", x, None) for e in edges for x in e}
