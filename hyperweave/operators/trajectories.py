@@ -23,7 +23,8 @@ def environment_step(actions: DataFrame, tools: dict[str, Tool]) -> DataFrame:
     asks = F.col("action").contains("<tool_call>") | F.col("action").contains("<query>")
     known = F.col("call.tool").isin(list(tools))
     status = F.when(~asks, "answer").when(F.col("call.tool") == "INVALID", "invalid").when(known, "called").otherwise("unknown")
-    calls = calls.select("env", F.when(asks, F.col("call.tool")).alias("tool"), F.col("call.args").alias("args"), status.alias("status"))
+    # settled: what follows asks for the calls once for each tool and once more, and each time they would be parsed again
+    calls = settled(calls.select("env", F.when(asks, F.col("call.tool")).alias("tool"), F.col("call.args").alias("args"), status.alias("status")))
     results = None
     for name, tool in tools.items():
         mine = tool(calls.where((F.col("status") == "called") & (F.col("tool") == name)).select("env", "args")).select("env", F.col("result").cast("string").alias("result"))

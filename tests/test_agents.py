@@ -124,3 +124,12 @@ def test_short_answers_in_one_form(spark):
     rows = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(pairs)], "k int, a string")
     got = {r.k: r.x for r in rows.select("k", latex_normalised("a").alias("x")).collect()}
     assert [got[k] for k in range(len(pairs))] == [b for _, b in pairs]
+
+
+def test_environment_step_parses_once(spark):
+    """Every tool's side and the join had parsed all actions again."""
+    rows = [(1, '<tool_call>{"tool": "t", "args": {"query": "x"}}</tool_call>'), (2, "done")]
+    tool = lambda calls: calls.select("env", F.col("args")["query"].alias("result"))
+    got = A.environment_step(spark.createDataFrame(rows, "env int, action string"), {"t": tool, "u": tool})
+    assert "get_json_object" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.env, r.status, r.observation) for r in got.collect()} == {(1, "called", "x"), (2, "answer", None)}
