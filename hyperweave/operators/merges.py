@@ -23,11 +23,11 @@ def merge_hyperedges(mentions: DataFrame, existing: DataFrame | None = None) ->
 
 def merge_entities(mentions: DataFrame) -> DataFrame:
     """mentions: (name, type, description, source, pos). Most frequent type, the first seen on ties; sorted distinct
-    descriptions, joined; sorted distinct sources."""
-    types = mentions.groupBy("name", "type").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    best = first_per_key(types, ["name"], [F.desc("n"), F.col("first")]).select("name", "type")
-    rest = mentions.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("description")), SEP).alias("description"), F.array_sort(F.collect_set("source")).alias("sources"))
-    return rest.join(best, "name")
+    descriptions, joined; sorted distinct sources. The mentions are read once: by name and type, then by name."""
+    types = mentions.where("name IS NOT NULL").groupBy("name", "type").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.collect_set("description").alias("d"), F.collect_set("source").alias("s"))
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    best = F.min_by("type", F.struct(-F.col("n"), "first")).alias("type")
+    return types.groupBy("name").agg(F.array_join(every("d"), SEP).alias("description"), every("s").alias("sources"), best)
 
 
 def merge_incidence(mentions: DataFrame) -> DataFrame:

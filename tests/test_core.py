@@ -458,3 +458,21 @@ def test_fallback_counts_are_those_of_the_matches(spark):
     assert rows == sorted([(c, "url", k) for c in range(40) for k in range(20) if c % 6 == k % 3] + [(c, "title", k) for c in range(40) for k in range(20) if c % 6 > 2 and c % 7 == k % 4])
     counts = {(r.row, r.match_key): r.n for r in J.fallback_counts(build, probe, "url", "title", "row").collect()}
     assert counts == {key: sum(x[:2] == key for x in rows) for key in {x[:2] for x in rows}}
+
+
+def test_entities_read_their_mentions_once(spark):
+    """Types and descriptions had each run the whole extraction."""
+    from hyperweave.operators import merges
+
+    rows = [("A", "x", "d2", "s1", "1"), ("A", "y", "d1", "s2", "0"), ("A", "x", "d1", "s1", "2"), ("B", "q", None, "s1", "4"), ("B", None, "e", "s3", "3"), (None, "x", "d", "s", "5")]
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            runs.add(len(frame))
+            yield frame
+
+    kinds = "name string, type string, description string, source string, pos string"
+    got = merges.merge_entities(spark.createDataFrame(rows, kinds).mapInPandas(counted, kinds)).collect()
+    assert {r.name: (r.type, r.description, r.sources) for r in got} == {"A": ("x", "d1<SEP>d2", ["s1", "s2"]), "B": (None, "e", ["s1", "s3"])}
+    assert runs.value == len(rows)
