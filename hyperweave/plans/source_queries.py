@@ -42,13 +42,12 @@ def zip_pages(spark, d):
 @Q("graphml_scan", f"WITH {GRAPH} SELECT 'edge' AS kind, hyperedge AS source, entity AS target, CAST(weight AS DOUBLE) AS weight, NULL AS role FROM inc UNION ALL SELECT DISTINCT 'node', hyperedge, NULL, NULL, 'hyper & edge' FROM inc UNION ALL SELECT DISTINCT 'node', entity, NULL, NULL, 'entity' FROM inc")
 def graphml_scan(spark, d):
     inc = orders_graph(spark, d)
-    nodes = inc.select(F.col("hyperedge").alias("node"), F.lit("hyper & edge").alias("role")).union(inc.select("entity", F.lit("entity"))).distinct()
+    # roles differ, so either side is made distinct by itself; orders lie where they were grouped
+    nodes = inc.select(F.col("hyperedge").alias("node"), F.lit("hyper & edge").alias("role")).distinct().union(inc.select("entity", F.lit("entity")).distinct())
     path = scratch(spark, "graph")
     files.write_graphml(nodes.select("node", F.create_map(F.lit("role"), "role").alias("data")), inc.select(F.col("hyperedge").alias("source"), F.col("entity").alias("target"), F.col("weight").cast("double").alias("weight"), F.lit(None).cast("map<string,string>").alias("data")), path)
-    nodes, edges = graphml.read_graphml(spark, path, split=1 << 20)
-    null = F.lit(None).cast("string")
-    found = edges.select(F.lit("edge").alias("kind"), "source", "target", "weight", null.alias("role"))
-    return found.unionByName(nodes.select(F.lit("node").alias("kind"), F.col("node").alias("source"), null.alias("target"), F.lit(None).cast("double").alias("weight"), F.col("data")["role"].alias("role")))
+    found = graphml.read_elements(spark, path, split=1 << 20)
+    return found.select("kind", "source", "target", "weight", F.when(F.col("kind") == "node", F.col("data")["role"]).alias("role"))
 
 
 @Q("node_link_json", f"WITH {GRAPH} SELECT 'edge' AS kind, hyperedge AS a, entity AS b FROM inc UNION ALL SELECT DISTINCT 'node', hyperedge, NULL FROM inc UNION ALL SELECT DISTINCT 'node', entity, NULL FROM inc")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,34 +67,51 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     document with a header, its attributes' keys and its own nodes and edges; read_graphml reads them all back. Characters
     that XML cannot hold become U+FFFD."""
     ship(nodes.sparkSession)
-    null = F.lit(None).cast("string")
-    rows = nodes.select(F.lit("node").alias("kind"), F.col("node").alias("a"), null.alias("b"), "data")
-    plain = F.map_filter(F.coalesce("data", F.create_map().cast("map<string,string>")), lambda k, v: k != "weight")
+    null, none = F.lit(None).cast("string"), F.create_map().cast("map<string,string>")
+    rows = nodes.select(F.lit("node").alias("kind"), F.col("node").alias("a"), null.alias("b"), F.coalesce("data", none).alias("data"))
+    plain = F.map_filter(F.coalesce("data", none), lambda k, v: k != "weight")
     weighed = F.map_concat(plain, F.create_map(F.lit("weight"), F.coalesce(F.col("weight").cast("string"), F.lit("0.0"))))
     rows = rows.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), weighed.alias("data")))
+    held = F.map_filter("data", lambda _, v: v.isNotNull())
+    held = F.when(F.size(held) > 1, F.map_from_entries(F.array_sort(F.map_entries(held)))).otherwise(held)
 
-    def documents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-        from xml.sax.saxutils import escape, quoteattr
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        def escaped(x: pa.Array, *pairs: tuple[str, str]) -> pa.Array:
+            x = pc.replace_substring_regex(x, r"[^\t\n\r\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "\ufffd")
+            # the parser turns bare carriage returns into line feeds, so they go as references
+            for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;"), *pairs):
+                x = pc.replace_substring(x, sign, name)
+            return x
+
+        def joined(*parts: pa.Array | str) -> pa.Array:
+            return pc.binary_join_element_wise(*parts, "")
+
+        def attribute(x: pa.Array) -> pa.Array:
+            return escaped(x, ('"', "&quot;"), ("\n", "&#10;"), ("\t", "&#9;"))
 
-        lost = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
-        # the parser turns bare carriage returns into line feeds, so they go as references
-        text = lambda x: escape(lost.sub("\ufffd", x), {"\r": "&#13;"})
-        attribute = lambda x: quoteattr(lost.sub("\ufffd", x), {"\r": "&#13;", "\n": "&#10;", "\t": "&#9;"})
         keys: dict[tuple[str, str], str] = {}
-        lines = [f'<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="{NAMESPACE}"><graph edgedefault="undirected">']
-        for frame in frames:
-            for kind, a, b, data in frame.itertuples(index=False):
-                ends = f"id={attribute(a)}" if kind == "node" else f"source={attribute(a)} target={attribute(b)}"
-                held = [(keys.setdefault((kind, k), f"d{len(keys)}"), v) for k, v in sorted((data or {}).items()) if v is not None]
-                lines.append(f"<{kind} {ends}>" + "".join(f'<data key="{k}">{text(v)}</data>' for k, v in held) + f"</{kind}>")
-            yield pd.DataFrame({"value": lines})
-            lines = []
+        yield pa.RecordBatch.from_arrays([pa.array([f'<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="{NAMESPACE}"><graph edgedefault="undirected">'])], ["value"])
+        for batch in batches:
+            for kind in ("node", "edge"):
+                part = batch.filter(pc.equal(batch.column(0), kind))
+                if not part.num_rows:
+                    continue
+                data = part.column(3)
+                at, names = data.offsets, data.keys.dictionary_encode()
+                ids = pa.array([keys.setdefault((kind, n), f"d{len(keys)}") for n in names.dictionary.to_pylist()], pa.string())
+                each = joined('<data key="', ids.take(names.indices), '">', escaped(data.items), "</data>")
+                inner = pc.binary_join(pa.ListArray.from_arrays(at, each), "")
+                ends = (attribute(part.column(k)) for k in (1, 2))
+                first = joined('<node id="', next(ends)) if kind == "node" else joined('<edge source="', next(ends), '" target="', next(ends))
+                yield pa.RecordBatch.from_arrays([joined(first, '">', inner, f"</{kind}>")], ["value"])
         # the reader looks keys up by id, so they may stand after the graph that uses them
-        named = [f'<key id="{i}" for="{kind}" attr.name={attribute(k)} attr.type="string"/>' for (kind, k), i in keys.items()]
-        yield pd.DataFrame({"value": [*lines, "</graph>", *named, "</graphml>"]})
+        named = attribute(pa.array([n for _, n in keys], pa.string())).to_pylist()
+        named = [f'<key id="{i}" for="{kind}" attr.name="{n}" attr.type="string"/>' for ((kind, _), i), n in zip(keys.items(), named)]
+        yield pa.RecordBatch.from_arrays([pa.array(["</graph>", *named, "</graphml>"], pa.string())], ["value"])
 
-    rows.mapInPandas(documents, "value string").write.mode("overwrite").text(path)
+    rows.withColumn("data", held).mapInArrow(documents, "value string").write.mode("overwrite").text(path)
 
 
 def write_version(df: DataFrame, table: str, version: int) -> str:

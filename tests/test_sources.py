@@ -237,3 +237,25 @@ def test_node_link(spark):
     edges = spark.createDataFrame([("a", "b", 0.5, None)], "source string, target string, weight double, data map<string,string>")
     got = {(r.kind, r.value) for r in graphml.to_node_link(nodes, edges).collect()}
     assert got == {("node", '{"data":{"k":"v"},"id":"a"}'), ("edge", '{"source":"a","target":"b","weight":0.5}')}
+
+
+def test_broken_elements_among_whole_ones():
+    """Elements are parsed some at once; one that is broken, or would take the next in, costs itself alone."""
+    whole = [f'<node id="{k}"/>'.encode() for k in range(5)]
+    ids = lambda texts: [x.get("id") for x in graphml._parsed(texts, b"<g>")]
+    assert ids([*whole[:2], b'<node id="x"><data></node>', *whole[2:]]) == list("01234")
+    assert ids([whole[0], b'<node id="x"><!-- </node>', b'<node id="y">--></node>', whole[1]]) == list("0y1")
+
+
+def test_graph_is_written_and_parsed_once(spark, tmp_path):
+    """Nodes, edges and keys had been three parses of every element, and what was parsed was dealt by its file."""
+    lines = spark.createDataFrame([(o, p, 1.5) for o in range(30) for p in (o % 5, o % 7)], "l_orderkey long, l_partkey long, l_quantity double")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    from hyperweave.plans import catalogue
+
+    got = catalogue.QUERIES["graphml_scan"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan[: plan.index("MapInArrow")] and "Union" not in plan
+    rows = {(r.kind, r.source, r.target, r.weight, r.role) for r in got.collect()}
+    edges = {(f"o{o}", f"p{p}") for o in range(30) for p in (o % 5, o % 7)}
+    assert rows == {("edge", *e, 3.0 if int(e[0][1:]) % 5 == int(e[0][1:]) % 7 else 1.5, None) for e in edges} | {("node", x, None, None, "hyper & edge" if x[0] == "o" else "entity") for e in edges for x in e}
