@@ -161,25 +161,34 @@ def _drawn(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def _placed(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sides, degrees, placed): distinct (src, dst), their numbers, and every node's neighbours numbered from 0."""
-    sides = symmetric(edges).select("src", "dst").distinct()
-    degrees = sides.groupBy("src").agg(F.count("*").alias("degree"))
-    return sides, degrees, sides.withColumn("i", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1)
+def _placed(edges: DataFrame) -> DataFrame:
+    """(src, dst, degree, i): every node's distinct neighbours, numbered from 0, with their number. The graph is read once
+    for both directions and dealt once, by src."""
+    ways = F.explode(F.array(*(F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in (("hyperedge", "entity"), ("entity", "hyperedge")))))
+    sides = edges.select(ways.alias("x")).select("x.*").repartition("src").distinct()
+    own = Window.partitionBy("src")
+    return sides.withColumn("degree", F.count("*").over(own)).withColumn("i", F.row_number().over(own.orderBy("dst")) - 1)
 
 
 def random_walks(edges: DataFrame, length: int, seed: int = 42) -> DataFrame:
     """One seeded walk from every node: (start, step, node). A node's neighbours are numbered once; a walker draws a number
-    below its node's degree and joins on it, so a hub's walkers meet one neighbour each."""
-    _, degrees, placed = _placed(edges)
-    walk = degrees.select(F.col("src").alias("start"), F.lit(0).alias("step"), F.col("src").alias("node"))
-    out = walk
-    for k in range(1, length + 1):
-        drawn = F.pmod(_drawn(F.lit(str(seed + k)), "start"), F.col("degree")).cast("int")
-        at = walk.join(degrees, walk.node == degrees.src).select("start", "src", drawn.alias("i"))
-        walk = at.join(placed, ["src", "i"]).select("start", F.lit(k).alias("step"), F.col("dst").alias("node"))
-        out = out.unionByName(walk)
-    return out
+    below its node's degree and joins on it, so a hub's walkers meet one neighbour each. A walker is one row with its path,
+    so each step is made once; the first is chosen where the neighbours are numbered."""
+    placed = _placed(edges)
+    drawn = lambda k: F.pmod(_drawn(F.lit(str(seed + k)), "start"), F.col("degree")).cast("int")
+    first = placed.withColumn("start", F.col("src"))
+    walk = first.where(F.col("i") == (drawn(1) if length else 0)).select("start", F.col("dst").alias("n1"))
+    degrees = placed.groupBy(F.col("src").alias("of")).agg(F.count("*").alias("degree"))
+    there = placed.select(F.col("src").alias("of"), F.col("i").alias("at"), "dst")
+    path = ["start", *(f"n{k}" for k in range(1, length + 1))]
+    for k in range(2, length + 1):
+        # nulls meet as well, so the tables are read alike everywhere and dealt once; what lies behind them goes below
+        node = F.col(path[k - 1])
+        at = walk.join(degrees, node.eqNullSafe(F.col("of"))).select(*path[:k], drawn(k).alias("i"))
+        walk = at.join(there, node.eqNullSafe(F.col("of")) & (F.col("i") == F.col("at"))).select(*path[:k], F.col("dst").alias(path[k]))
+    last = F.coalesce(*(F.when(F.col(c).isNull(), k) for k, c in enumerate(path)), F.lit(length))  # a walk ends at a null
+    steps = walk.select("start", last.alias("last"), F.posexplode(F.array(*path)).alias("step", "node"))
+    return steps.where("step <= last").select("start", "step", "node")
 
 
 def biased_walks(edges: DataFrame, length: int, p: float = 1.0, q: float = 1.0, seed: int = 42, walks: int = 1) -> DataFrame:
@@ -191,8 +200,7 @@ def biased_walks(edges: DataFrame, length: int, p: float = 1.0, q: float = 1.0,
     share of the greatest; those that rejected draw again, more at a time in each round. Whether t and x are neighbours is
     a join on the pair, so nothing meets at a hub but the draws of its own walkers, one neighbour each. Every round is
     settled; a draw is kept with a share of at least min(1, 1/q) / max(1, 1/q), by all where nothing links t and x."""
-    _, degrees, placed = _placed(edges)
-    placed = settled(placed.join(degrees, "src"))
+    placed = settled(_placed(edges).where("src IS NOT NULL"))
     most = max(1.0, 1 / q)
     own = placed.where("i = 0").select(F.col("src").alias("node"), "degree")
     start = own.select("node", "degree", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"))

@@ -49,3 +49,31 @@ def test_walkers_at_leaves_go_back_at_once(spark, monkeypatch):
     got = G.biased_walks(df, 3, p=1000.0, q=0.5).collect()
     assert len(got) == 4 * 301 and len(rounds) == 4
     assert {r.node for r in got if r.start != "hub" and r.step in (1, 3)} == {"hub"}
+
+
+def test_a_walker_takes_each_step_once(spark):
+    """Every step had been made anew for each longer one: six pairs of joins for three steps. Nulls end a walk."""
+    import hashlib
+
+    edges = {("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", None), (None, "e")}
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(edges, key=str)] * 2, "hyperedge string, entity string, weight double")
+    walks = G.random_walks(df, 3)
+    plan = walks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 4 and "Union" not in plan
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    want = set()
+    for start in near:
+        node = start
+        want.add((start, 0, node))
+        for k in (1, 2, 3):
+            if node is None:
+                break
+            there = sorted(near[node], key=lambda x: (x is not None, x))  # Spark's order: nulls first
+            node = there[int(hashlib.md5(f"{42 + k}:{start}".encode()).hexdigest()[:8], 16) % len(there)]
+            want.add((start, k, node))
+    assert {tuple(r) for r in walks.collect()} == want and (None, 0, None) in want and any(k and n is None for _, k, n in want)
+    assert G.random_walks(df, 3).count() == len(want)
+    assert {tuple(r) for r in G.random_walks(df, 0).collect()} == {x for x in want if x[1] == 0}
