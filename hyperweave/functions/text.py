@@ -60,7 +60,7 @@ def _unescape(values):
 def clean(x: Column | str, entities: bool = True) -> Column:
     """Trimmed, HTML entities resolved, control characters dropped."""
     v = F.trim(c(x))
-    v = F.when(v.contains("&"), _unescape(v)).otherwise(v) if entities else v
+    v = F.when(v.contains("&"), _unescape(F.when(v.contains("&"), v))).otherwise(v) if entities else v
     return F.regexp_replace(v, r"[\x00-\x1f\x7f-\x9f]", "")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean, document_id, md5_id, number_or, split_on, token_chunks
 from ..operators.kv import first_per_key, missing_keys
-from ..operators.merges import carry_forward, merge_entities, merge_hyperedges, merge_incidence
+from ..operators.merges import merge_entities, merge_hyperedges, merge_incidence
 
 #: What parts the records of an extraction, and their fields.
 FIELD, RECORD, DONE = "<|>", "##", "<|COMPLETE|>"
@@ -22,27 +22,31 @@ def parse_records(responses: DataFrame, chunk: str = "chunk", text: str = "respo
 
     A record is what stands between the outermost parentheses of a line. Blank fields are dropped before they are
     counted. Hyper-relations are tested first; an entity belongs to the latest hyper-relation and is dropped without one.
+    A response is cut at its hyper-relations while it is still one row, so its records are neither dealt nor sorted.
     """
-    parts = responses.select(chunk, F.posexplode(split_on(text, [RECORD, DONE])).alias("pos", "record"))
-    body = F.regexp_extract("record", r"\((.*)\)", 1)
-    fields = parts.where(body != "").select(chunk, "pos", split_on(body, [FIELD]).alias("f"))
-    at = lambda k: F.try_element_at("f", F.lit(k))
-    is_h = (F.size("f") >= 3) & (at(1) == '"hyper-relation"')
-    is_e = (F.size("f") >= 5) & (at(1) == '"entity"') & ~is_h
-    kinds = fields.withColumn("kind", F.when(is_h, "hyperedge").when(is_e, "entity")).where("kind IS NOT NULL")
-    name = clean(at(2))
-    kinds = kinds.withColumn("own", F.when(F.col("kind") == "hyperedge", F.concat(F.lit(MARK), name)))
-    kinds = kinds.withColumn("hyperedge", carry_forward(kinds, [chunk], "pos", F.col("own")))
+    at = lambda f, k: F.try_element_at(f, F.lit(k))
+    is_h = lambda f: (F.size(f) >= 3) & (at(f, 1) == '"hyper-relation"')
+    is_e = lambda f: (F.size(f) >= 5) & (at(f, 1) == '"entity"')
+    bodies = F.transform(split_on(text, [RECORD, DONE]), lambda r, i: F.struct(i.alias("pos"), F.regexp_extract(r, r"\((.*)\)", 1).alias("body")))
+    fields = F.transform(F.filter(bodies, lambda x: x["body"] != ""), lambda x: F.struct(x["pos"].alias("pos"), split_on(x["body"], [FIELD]).alias("f")))
+    rows = responses.select(chunk, F.filter(fields, lambda x: is_h(x["f"]) | is_e(x["f"])).alias("r"))
+    rows = rows.withColumn("first", F.filter(F.transform("r", lambda x, i: F.when(is_h(x["f"]), i + 1)), lambda p: p.isNotNull()))
+    stop = lambda i: F.coalesce(F.try_element_at("first", i + 2), F.size("r") + 1)
+    groups = F.transform("first", lambda p, i: F.struct(at(F.try_element_at("r", p)["f"], 2).alias("own"), F.slice("r", p, stop(i) - p).alias("items")))
+    groups = rows.select(chunk, F.explode(groups).alias("g")).select(chunk, F.concat(F.lit(MARK), clean(F.col("g.own"))).alias("hyperedge"), F.col("g.items").alias("items"))
+    kinds = groups.select(chunk, "hyperedge", F.explode("items").alias("x")).select(chunk, "hyperedge", "x.pos", "x.f")
+    kinds = kinds.withColumn("kind", F.when(is_h(F.col("f")), "hyperedge").otherwise("entity"))
+    at, name = (lambda k: F.try_element_at("f", F.lit(k))), clean(F.try_element_at("f", F.lit(2)))
     return kinds.select(
         chunk,
         "pos",
         "kind",
-        F.when(F.col("kind") == "hyperedge", F.col("own")).otherwise(F.upper(name)).alias("name"),
+        F.when(F.col("kind") == "hyperedge", F.col("hyperedge")).otherwise(F.upper(name)).alias("name"),
         F.when(F.col("kind") == "entity", F.upper(clean(at(3)))).alias("type"),
         F.when(F.col("kind") == "entity", clean(at(4))).alias("description"),
         F.when(F.col("kind") == "entity", number_or(at(5), ENTITY_WEIGHT)).otherwise(number_or(at(3), HYPEREDGE_WEIGHT)).alias("weight"),
         "hyperedge",
-    ).where("kind = 'hyperedge' OR (hyperedge IS NOT NULL AND trim(name) <> '')")
+    ).where("kind = 'hyperedge' OR trim(name) <> ''")
 
 
 def offline_extractor(text: Column) -> Column:
@@ -61,14 +65,17 @@ def offline_extractor(text: Column) -> Column:
 
 def insert_documents(docs: DataFrame, text: str, known_docs: DataFrame | None = None, known_chunks: DataFrame | None = None, extract: Callable[[Column], Column] = offline_extractor, most: int = 768, overlap: int = 64) -> dict[str, DataFrame]:
     """New documents as tables: full_docs, chunks, hyperedges, entities, incidence, and the two key-value stores."""
-    full = docs.select(document_id(text).alias("id"), F.trim(text).alias("content")).where("content <> ''").dropDuplicates(["id"])
+    rows = docs.select(document_id(text).alias("id"), F.trim(text).alias("content")).where("content <> ''")
     if known_docs is not None:
-        full = full.join(missing_keys(full, known_docs), "id", "left_semi")
-    chunks = token_chunks(full, "id", "content", most, overlap).select(md5_id("chunk-", "content").alias("chunk"), F.col("id").alias("full_doc_id"), "chunk_order_index", "tokens", "content")
-    chunks = first_per_key(chunks, ["chunk"], [F.col("full_doc_id"), F.col("chunk_order_index")])
+        rows = rows.join(missing_keys(rows, known_docs), "id", "left_semi")
+    full = rows.distinct()
+    cut = lambda d: token_chunks(d, "id", "content", most, overlap).select(md5_id("chunk-", "content").alias("chunk"), F.col("id").alias("full_doc_id"), "chunk_order_index", "tokens", "content")
+    chunks = first_per_key(cut(full), ["chunk"], [F.col("full_doc_id"), F.col("chunk_order_index")])
+    # the same texts, whichever documents hold them: these are dealt once, and not sorted
+    texts = cut(rows).select("chunk", "content").distinct()
     if known_chunks is not None:
-        chunks = chunks.join(known_chunks.select("chunk"), "chunk", "left_anti")
-    records = parse_records(chunks.select("chunk", extract(F.col("content")).alias("response")))
+        chunks, texts = (t.join(known_chunks.select("chunk"), "chunk", "left_anti") for t in (chunks, texts))
+    records = parse_records(texts.select("chunk", extract(F.col("content")).alias("response")))
     order = F.concat_ws(":", "chunk", F.lpad(F.col("pos").cast("string"), 9, "0"))
     mentions = records.withColumn("order", order)
     hyperedges = merge_hyperedges(mentions.where("kind = 'hyperedge'").select("name", "weight", F.col("chunk").alias("source")))

@@ -234,3 +234,24 @@ def test_order_graph_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
     assert G.statistics(g).first().asDict() == {"hyperedges": 40, "entities": 7, "edges": len(edges), "nodes": 47}
     back = {(r.kind, r.a, r.b) for r in catalogue.QUERIES["node_link_json"](spark, table(spark, tmp_path / "whole", "lineitem", lines[:-1], "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double")).collect()}
     assert back == {("edge", *e) for e in edges} | {("node", x, None) for e in edges for x in e}
+
+
+def test_records_are_not_dealt_before_they_are_merged(spark):
+    """Texts had been sorted twice to be made distinct, and every record dealt and sorted to find its hyper-relation."""
+    from hyperweave.plans import construction as C
+
+    texts = ["Alpha met Betatron. Gamma left &amp; Delta.", "one Alpha", " Alpha met Betatron. Gamma left &amp; Delta. ", "", "Alpha met Betatron. " * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    made = C.insert_documents(docs, "text")
+    found = made["incidence"].drop("sources")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and "Sort " not in plan and "Window" not in plan
+    cuts = {" ".join(w[k : k + 768]) for t in texts for w in [t.split()] for k in range(0, len(w), 704)}
+    want = collections.Counter((f"<hyperedge>{x.strip().replace('&amp;', '&')}", e.upper()) for c in cuts for x in re.split(r"[.!?]\s+", c) for e in dict.fromkeys(re.findall("[A-Z][a-z]+|[A-Za-z]{9,}", x)))
+    assert {(r.hyperedge, r.entity): r.weight for r in found.collect()} == dict(want) and len(cuts) == 4 and max(want.values()) > 400
+    assert made["full_docs"].count() == 3 and made["chunks"].count() == len({s for r in made["incidence"].collect() for s in r.sources})
+    again = C.insert_documents(docs, "text", known_docs=made["full_docs"].limit(3), known_chunks=made["chunks"])
+    assert again["incidence"].count() == again["full_docs"].count() == 0
+    odd = '("entity"<|>"x"<|>"t"<|>"d"<|>1)##("hyper-relation"<|>"A"<|>2)##junk##("entity"<|>"y"<|>"t"<|>"d"<|>3)##("hyper-relation"<|>"B"<|>4)##("entity"<|>" "<|>"t"<|>"d"<|>5)'
+    odd = C.parse_records(spark.createDataFrame([("c", odd)], "chunk string, response string"))
+    assert [(r.pos, r.kind, r.name, r.weight, r.hyperedge) for r in odd.orderBy("pos").collect()] == [(1, "hyperedge", '<hyperedge>"A"', 2.0, '<hyperedge>"A"'), (3, "entity", '"Y"', 3.0, '<hyperedge>"A"'), (4, "hyperedge", '<hyperedge>"B"', 4.0, '<hyperedge>"B"'), (5, "entity", '" "', 5.0, '<hyperedge>"B"')]
