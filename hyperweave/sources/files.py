@@ -98,6 +98,8 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
                 part = batch.filter(pc.equal(batch.column(0), kind))
                 if not part.num_rows:
                     continue
+                if any(part.column(k).null_count for k in ((1,) if kind == "node" else (1, 2))):
+                    raise ValueError(f"{kind} without a name")  # a joined line would be null and be lost
                 data = part.column(3)
                 at, names = data.offsets, data.keys.dictionary_encode()
                 ids = pa.array([keys.setdefault((kind, n), f"d{len(keys)}") for n in names.dictionary.to_pylist()], pa.string())

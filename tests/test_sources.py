@@ -259,3 +259,14 @@ def test_graph_is_written_and_parsed_once(spark, tmp_path):
     rows = {(r.kind, r.source, r.target, r.weight, r.role) for r in got.collect()}
     edges = {(f"o{o}", f"p{p}") for o in range(30) for p in (o % 5, o % 7)}
     assert rows == {("edge", *e, 3.0 if int(e[0][1:]) % 5 == int(e[0][1:]) % 7 else 1.5, None) for e in edges} | {("node", x, None, None, "hyper & edge" if x[0] == "o" else "entity") for e in edges for x in e}
+
+
+def test_nameless_ends_are_not_lost(spark, tmp_path):
+    from hyperweave.sources import files
+
+    nodes = spark.createDataFrame([("a", {"k": None, "l": "1"})], "node string, data map<string,string>")
+    edges = spark.createDataFrame([("a", None, 1.0, None)], "source string, target string, weight double, data map<string,string>")
+    with pytest.raises(Exception, match="edge without a name"):
+        files.write_graphml(nodes, edges, str(tmp_path / "x"))
+    files.write_graphml(nodes, edges.limit(0), str(tmp_path / "y"))
+    assert [(r.node, r.data) for r in graphml.read_graphml(spark, str(tmp_path / "y"))[0].collect()] == [("a", {"l": "1"})]
