@@ -239,10 +239,10 @@ def assets(spark, d):
 
 @Q("first_file_wins", "SELECT l_partkey, l_suppkey, l_orderkey * 10 + l_linenumber AS o FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber) AS r FROM lineitem) WHERE r = 1")
 def first_file(spark, d):
-    """Of rows with the same order, the one that the table holds first."""
+    """Of rows with the same order, the one that the table holds first; rows without an order come last, as in the SQL."""
     place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
     rows = read_table(spark, d, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), *place)
-    return first_per_key(rows, ["l_partkey"], [F.col("o"), F.col("file"), F.col("place")]).drop("file", "place")
+    return first_per_key(rows, ["l_partkey"], [F.asc_nulls_last("o"), F.col("file"), F.col("place")]).drop("file", "place")
 
 
 @Q("image_compaction", "WITH f AS (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o) AS place FROM f) SELECT user_id, CAST(place AS INT) AS place, event_type FROM r WHERE place <= 3")

@@ -216,6 +216,18 @@ def test_first_file_wins_by_place_in_the_table(spark, tmp_path):
     assert got == {(i, i, 31) for i in range(20)}
 
 
+def test_first_file_wins_takes_rows_without_an_order_last(spark, tmp_path):
+    """A null order key had come first; the SQL takes it last, and only where a part has no other."""
+    import duckdb
+
+    lines = [(1, 10, None, 1), (1, 11, 5, 2), (1, 12, 5, None), (1, 13, 4, 9), (2, 20, None, 3), (None, 30, 7, None), (None, 31, 8, 1)]
+    d = table(spark, tmp_path, "lineitem", lines, "l_partkey long, l_suppkey long, l_orderkey long, l_linenumber int")
+    got = {tuple(r) for r in catalogue.QUERIES["first_file_wins"](spark, d).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{d}/lineitem.parquet/*.parquet')")
+    assert got == set(con.execute(catalogue.ORACLE_SQL["first_file_wins"]).fetchall()) == {(1, 13, 49), (2, 20, None), (None, 31, 81)}
+
+
 def test_order_graph_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
     """Grouping had begun in the input's splits, whose tasks grew with the table (statistics threefold, by three counts)."""
     from hyperweave import session
