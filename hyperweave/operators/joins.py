@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import compact, query_key
@@ -17,9 +19,35 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, row: str, spread: in
     return left.withColumn("__part", part).join(right.withColumn("__part", every), [on, "__part"]).drop("__part")
 
 
+#: The right's rows in one list of paired_join, and the pairs that the rows of one part make with a list.
+LIST, PAIRS = 1 << 12, 1 << 24
+
+
+def paired_join(left: DataFrame, right: DataFrame, on: str, row: str, spread: int) -> DataFrame:
+    """Inner join on a key whose pairs are far more than its rows, dealt by pairs: the right's rows lie in lists of at most
+    LIST, the left's rows of a key in `spread` parts by `row`, or more where a part would make over PAIRS pairs with a list.
+    A list meets one part in one place and is unfolded there, so a task holds one list at a time and nothing is broadcast.
+    Tasks are as many as pairs demand, since the rows that make them are too few to tell."""
+    n = left.groupBy(on).agg(F.count("*").alias("__l")).join(right.groupBy(on).agg(F.count("*").alias("__r")), on)
+    most = F.ceil(F.col("__l") * F.least(F.col("__r"), F.lit(LIST)) / PAIRS)
+    sizes = n.select(on, F.ceil(F.col("__r") / LIST).alias("__blocks"), F.greatest(F.least(F.lit(spread), "__l"), most).alias("__parts"))
+    pairs = n.agg(F.sum(F.col("__l").cast("double") * F.col("__r"))).first()[0] or 0
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / (4 * PAIRS)))
+    below = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    dealt, others = [on, "__block", "__part"], [c for c in right.columns if c != on]
+    parts = left.join(sizes, on).withColumn("__part", F.pmod(F.xxhash64(row), F.col("__parts"))).withColumn("__block", below("__blocks"))
+    # a list's place comes from its rows alone; where many are equal, their block has more lists than one
+    place = F.xxhash64(*right.columns)
+    blocks = right.join(sizes, on).withColumn("__place", place).withColumn("__block", F.pmod("__place", F.col("__blocks")))
+    blocks = blocks.withColumn("__i", F.floor((F.row_number().over(Window.partitionBy(on, "__block").orderBy("__place", *others)) - 1) / LIST))
+    lists = blocks.groupBy(on, "__block", "__parts", "__i").agg(F.collect_list(F.struct(*others)).alias("__list"))
+    lists = lists.select(on, "__block", below("__parts").alias("__part"), "__list").repartition(tasks, *dealt).hint("merge")
+    return parts.repartition(tasks, *dealt).join(lists, dealt).select(*left.columns, F.inline("__list"))
+
+
 def fallback_join(build: DataFrame, probe: DataFrame, first: str, second: str, row: str, spread: int = 1) -> DataFrame:
     """All matches on the first key; rows without any are matched on the second. match_key says which. row: the probe's id.
-    spread: parts that each key's probe rows are dealt over, where keys are few and have many rows."""
+    spread: parts that each key's probe rows are dealt over at least, where keys are few and have many rows (paired_join)."""
     sides = [build.select(F.col(k).alias("__k"), *[F.col(x).alias(f"b_{x}") for x in build.columns]) for k in (first, second)]
     return _fallback(sides, probe, first, second, row, spread)
 
@@ -33,7 +61,7 @@ def fallback_counts(build: DataFrame, probe: DataFrame, first: str, second: str,
 def _fallback(sides: list[DataFrame], probe: DataFrame, first: str, second: str, row: str, spread: int) -> DataFrame:
     def on(rows: DataFrame, key: str, side: DataFrame) -> DataFrame:
         keyed = rows.withColumn("__k", F.col(key))
-        return (spread_join(keyed, side, "__k", row, spread) if spread > 1 else keyed.join(side, "__k")).drop("__k").withColumn("match_key", F.lit(key))
+        return (paired_join(keyed, side, "__k", row, spread) if spread > 1 else keyed.join(side, "__k")).drop("__k").withColumn("match_key", F.lit(key))
 
     met = probe.join(sides[0].select("__k").distinct(), F.col(first) == F.col("__k"), "left_semi").select(row).distinct()
     return on(probe, first, sides[0]).unionByName(on(probe.join(met, row, "left_anti"), second, sides[1]))

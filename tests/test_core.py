@@ -1,5 +1,6 @@
 """Literal fixtures and properties of the core operators."""
 
+import collections
 import math
 import random
 
@@ -460,6 +461,25 @@ def test_fallback_counts_are_those_of_the_matches(spark):
     assert counts == {key: sum(x[:2] == key for x in rows) for key in {x[:2] for x in rows}}
 
 
+def test_fallback_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """The probe's few splits had made all pairs, however many. Lists and parts are bounded, also where rows are equal."""
+    monkeypatch.setattr(J, "LIST", 8, raising=False)
+    monkeypatch.setattr(J, "PAIRS", 256, raising=False)
+    near = [(k % 2 if k % 9 else None, f"t{k % 3}", k if k < 80 else 80) for k in range(120)]
+    far = [(c, c % 4 if c % 11 else None, f"t{c % 5}" if c % 7 else None) for c in range(400)]
+    build = spark.createDataFrame(near, "url int, title string, s int")
+    got = J.fallback_join(build, spark.createDataFrame(far, "row int, url int, title string"), "url", "title", "row", 2)
+    want = collections.Counter((c, u, t, *b, "url") for c, u, t in far for b in near if u == b[0] and u is not None)
+    met = {x[0] for x in want}
+    want += collections.Counter((c, u, t, *b, "title") for c, u, t in far if c not in met for b in near if t == b[1])
+    assert got.columns == ["row", "url", "title", "b_url", "b_title", "b_s", "match_key"]
+    made = got.rdd.glom().map(lambda rows: [tuple(r) for r in rows]).collect()
+    assert collections.Counter(r for rows in made for r in rows) == want
+    assert max(map(len, made)) < want.total() / 6
+    none = J.fallback_join(build.limit(0), build.select(F.col("s").alias("row"), "url", "title"), "url", "title", "row", 2)
+    assert none.collect() == []
+
+
 def test_entities_read_their_mentions_once(spark):
     """Types and descriptions had each run the whole extraction."""
     from hyperweave.operators import merges
