@@ -191,45 +191,82 @@ def random_walks(edges: DataFrame, length: int, seed: int = 42) -> DataFrame:
     return steps.where("step <= last").select("start", "step", "node")
 
 
+#: Neighbours in one list.
+LIST = 1 << 10
+
+
+def _lists(edges: DataFrame) -> DataFrame:
+    """(src, block, degree, mixed, near): every node's distinct neighbours in their order, in lists of at most LIST numbered
+    from 0, beside their whole number; mixed where the node is a hyperedge as well as an entity. The graph is read once for
+    both directions and dealt once, by src."""
+    ways = F.explode(F.array(*(F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(k).alias("side")) for k, (a, b) in enumerate((("hyperedge", "entity"), ("entity", "hyperedge"))))))
+    sides = edges.select(ways.alias("x")).select("x.*").where("src IS NOT NULL")
+    sides = sides.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src").groupBy("src", "dst").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
+    order = Window.partitionBy("src").orderBy("dst")
+    own = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = sides.select("src", "dst", F.count("*").over(own).alias("degree"), (F.min("lo").over(own) < F.max("hi").over(own)).alias("mixed"), F.floor((F.row_number().over(order) - 1) / LIST).cast("int").alias("block"))
+    near = F.array_sort(F.collect_list("dst"))
+    null = F.array(F.lit(None).cast(sides.schema["dst"].dataType))  # comes first, and is not collected
+    return rows.groupBy("src", "block", "degree", "mixed").agg(F.when(F.count("*") > F.count("dst"), F.concat(null, near)).otherwise(near).alias("near"))
+
+
 def biased_walks(edges: DataFrame, length: int, p: float = 1.0, q: float = 1.0, seed: int = 42, walks: int = 1) -> DataFrame:
     """Second-order walks: (start, walk, step, node), `walks` from every node. From v, reached from t, the next node x weighs 1/p
     if it is t, 1 if t and x are neighbours, and 1/q otherwise.
 
     t is one of v's neighbours, so its share against the others, each taken at the greatest weight, is known: a walker
-    goes back with it, and no draw is lost on the way back. Else it draws one of the others and keeps it with its weight's
-    share of the greatest; those that rejected draw again, more at a time in each round. Whether t and x are neighbours is
-    a join on the pair, so nothing meets at a hub but the draws of its own walkers, one neighbour each. Every round is
-    settled; a draw is kept with a share of at least min(1, 1/q) / max(1, 1/q), by all where nothing links t and x."""
-    placed = settled(_placed(edges).where("src IS NOT NULL"))
-    most = max(1.0, 1 / q)
-    own = placed.where("i = 0").select(F.col("src").alias("node"), "degree")
-    start = own.select("node", "degree", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"))
-    there = placed.select(F.col("src").alias("node"), "i", F.col("dst").alias("x"))
-    known = placed.select(F.col("src").alias("node"), F.col("dst").alias("before"), F.col("i").alias("back"), "degree")
-    near = placed.select(F.col("src").alias("before"), F.col("dst").alias("x"), F.lit(True).alias("near"))
-    out = [start.select(F.col("node").alias("start"), "walk", F.lit(0).alias("step"), "node")]
+    goes back with it, and no draw is lost on the way back. Else it draws one of the others. A walker and its node's list of
+    neighbours meet once in a step, so no edge travels alone; at a node of more than LIST, each meets the list of its draw.
+
+    Where no node is a hyperedge as well as an entity, no neighbours of v are neighbours: the others weigh 1/q each, and
+    every draw is kept. Else a draw is kept with its weight's share of the greatest; those that rejected draw again, more at a
+    time in each round. Whether t and x are neighbours is a join on the pair. Every round is settled; a draw is kept with a
+    share of at least min(1, 1/q) / max(1, 1/q), by all where nothing links t and x."""
+    lists = settled(_lists(edges))
+    mixed, longest = lists.agg(F.max("mixed"), F.max("degree")).first()
+    hubs = (longest or 0) > LIST
+    most = max(1.0, 1 / q) if mixed else 1 / q
+    each = F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk")
+    there = lists.select(F.col("src").alias("node"), "block", "degree", "near")
+    out = [lists.where("block = 0").select(F.col("src").alias("start"), each, F.lit(0).alias("step"), F.col("src").alias("node"))]
     for k in range(1, length + 1):
         name = [F.lit(str(seed)), "start", F.col("walk").cast("string"), F.concat(F.lit(f"{k}:"), F.col("turn").cast("string"))]
         if k == 1:
-            drawn = F.pmod(_drawn(*name), F.col("degree")).cast("int")
-            first = start.select(F.col("node").alias("start"), "walk", "node", "degree", F.lit(0).alias("turn")).withColumn("i", drawn)
-            at = settled(first.join(there, ["node", "i"]).select("start", "walk", F.col("node").alias("before"), F.col("x").alias("node")))
+            first = lists.select(F.col("src").alias("start"), each, "block", "degree", "near", F.lit(0).alias("turn")).withColumn("i", F.pmod(_drawn(*name), F.col("degree")))
+            first = first.where(F.floor(F.col("i") / LIST) == F.col("block"))
+            at = settled(first.select("start", "walk", F.col("start").alias("before"), F.get("near", (F.col("i") % LIST).cast("int")).alias("node")))
             out.append(at.select("start", "walk", F.lit(k).alias("step"), "node"))
             continue
-        left, taken, turn, draws = at.join(known, ["node", "before"]), [], 0, 1
+
+        def home(degree: Column, name: list = name) -> Column:
+            return _drawn(*name, F.lit("back")) < (1 / p) / (1 / p + (degree - 1) * most) * 2.0**32
+
+        def chosen(back: Column, degree: Column, name: list = name) -> Column:
+            other = F.pmod(_drawn(*name), F.greatest(degree - 1, F.lit(1)))
+            return F.when(home(degree), back).otherwise(other + (other >= back).cast("int"))
+
+        left, taken, turn, draws = at, [], 0, 1
         while True:
-            other = F.pmod(_drawn(*name), F.greatest(F.col("degree") - 1, F.lit(1))).cast("int")
-            home = _drawn(*name, F.lit("back")) < (1 / p) / (1 / p + (F.col("degree") - 1) * most) * 2.0**32
-            tries = left.withColumn("turn", F.explode(F.sequence(F.lit(turn), F.lit(turn + draws - 1)))).withColumn("other", other)
-            tries = tries.withColumn("i", F.when(home, F.col("back")).otherwise(F.col("other") + (F.col("other") >= F.col("back")).cast("int")))
-            keep = (F.col("i") == F.col("back")) | (_drawn(*name, F.lit("keep")) < F.when(F.col("near"), 1.0).otherwise(1 / q) / most * 2.0**32)
-            met = tries.join(there, ["node", "i"]).join(near, ["before", "x"], "left").withColumn("kept", F.when(keep, F.struct("turn", "x")))
+            tries, on, back = left.withColumn("turn", F.explode(F.sequence(F.lit(turn), F.lit(turn + draws - 1)))), ["node"], F.array_position("near", F.col("before")) - 1
+            if hubs:
+                far = there.where(F.col("degree") > LIST).select("node", "block", F.col("degree").alias("all"), F.posexplode("near").alias("back", "before"))
+                far = far.select("node", "before", "all", (F.col("block") * LIST + F.col("back")).cast("long").alias("back"))
+                tries = tries.join(far, ["node", "before"], "left").withColumn("block", F.coalesce(F.floor(chosen(F.col("back"), F.col("all")) / LIST), F.lit(0)).cast("int"))
+                on, back = ["node", "block"], F.coalesce("back", back)
+            tries = tries.join(there, on).withColumn("home", home(F.col("degree"))).withColumn("i", chosen(back, F.col("degree")))
+            tries = tries.select(*left.columns, "turn", "home", F.get("near", (F.col("i") % LIST).cast("int")).alias("x"))
+            if not mixed:
+                at = settled(tries.select("start", "walk", F.col("node").alias("before"), F.col("x").alias("node")))
+                break
+            pairs = lists.select(F.col("src").alias("before"), F.explode("near").alias("x"), F.lit(True).alias("linked"))
+            keep = F.col("home") | (_drawn(*name, F.lit("keep")) < F.when(F.col("linked"), 1.0).otherwise(1 / q) / most * 2.0**32)
+            met = tries.join(pairs, ["before", "x"], "left").withColumn("kept", F.when(keep, F.struct("turn", "x")))
             met = settled(met.groupBy(*left.columns).agg(F.min("kept").alias("kept")) if draws > 1 else met.select(*left.columns, "kept"))
             taken.append(met.where("kept IS NOT NULL").select("start", "walk", F.col("node").alias("before"), F.col("kept.x").alias("node")))
             left, turn, draws = met.where("kept IS NULL").drop("kept"), turn + draws, min(4 * draws, 64)
             if left.isEmpty():
+                at = reduce(DataFrame.unionByName, taken)
                 break
-        at = reduce(DataFrame.unionByName, taken)
         out.append(at.select("start", "walk", F.lit(k).alias("step"), "node"))
     return reduce(DataFrame.unionByName, out)
 

@@ -51,6 +51,57 @@ def test_walkers_at_leaves_go_back_at_once(spark, monkeypatch):
     assert {r.node for r in got if r.start != "hub" and r.step in (1, 3)} == {"hub"}
 
 
+@pytest.mark.parametrize("most", [2, 1024])
+def test_hyperedges_and_entities_apart_take_one_join_a_step(spark, monkeypatch, most):
+    """Edges had been dealt three times for each step, and draws rejected, though no two neighbours of a node can be linked."""
+    import hashlib
+    import re
+
+    plans = []
+    monkeypatch.setattr(G, "LIST", most, raising=False)
+    monkeypatch.setattr(G, "settled", lambda df, f=G.settled: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df))
+    edges = {(f"h{i}", f"e{j}") for i in range(9) for j in range(7) if (i * j) % 3 == 1 or j == 0} | {("h1", None), ("h9", None), (None, "e8")}
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(edges, key=str)] * 2, "hyperedge string, entity string, weight double")
+    got = sorted(map(tuple, G.biased_walks(df, 4, p=4.0, q=2.0, walks=5).collect()), key=str)
+    assert len(plans) == 5
+    if most > 9:
+        assert all(len(re.findall(r"\bJoin ", x)) <= 1 for x in plans)
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    there = {v: sorted(x, key=lambda y: (y is not None, y)) for v, x in near.items() if v is not None}  # nulls first
+    drawn = lambda *x: int(hashlib.md5(":".join(map(str, x)).encode()).hexdigest()[:8], 16)
+    want = []
+    for start in there:
+        for w in range(5):
+            before, node = None, start
+            for k in range(5):
+                if k:
+                    n, other = there[node], drawn(42, start, w, f"{k}:0")
+                    if k == 1:
+                        i = other % len(n)
+                    else:
+                        back, i = n.index(before), other % max(len(n) - 1, 1)
+                        share = (1 / 4) / (1 / 4 + (len(n) - 1) / 2)
+                        i = back if drawn(42, start, w, f"{k}:0", "back") < share * 2**32 else i + (i >= back)
+                    before, node = node, n[i]
+                want.append((start, w, k, node))
+                if node is None:
+                    break
+    assert got == sorted(want, key=str) and any(r[3] is None for r in got)
+
+
+def test_walks_do_not_depend_on_the_length_of_lists(spark, monkeypatch):
+    """With nodes that are hyperedges and entities, loops and hubs."""
+    edges = sorted({(f"n{i}", f"n{(i * i + j) % 30}", 1.0) for i in range(30) for j in range(4)} | {("n0", f"n{j}", 1.0) for j in range(30)})
+    df = spark.createDataFrame(edges, "hyperedge string, entity string, weight double")
+    whole = sorted(map(tuple, G.biased_walks(df, 3, p=0.5, q=4.0, walks=3).collect()))
+    monkeypatch.setattr(G, "LIST", 5)
+    assert sorted(map(tuple, G.biased_walks(df, 3, p=0.5, q=4.0, walks=3).collect())) == whole and len(whole) == 30 * 3 * 4
+    assert G.biased_walks(df.limit(0), 3).collect() == []
+
+
 def test_a_walker_takes_each_step_once(spark):
     """Every step had been made anew for each longer one: six pairs of joins for three steps. Nulls end a walk."""
     import hashlib
