@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import settled, spread
 from .kv import first_per_key, merge_fields
 
 SEP = "<SEP>"
@@ -195,13 +195,13 @@ def random_walks(edges: DataFrame, length: int, seed: int = 42) -> DataFrame:
 LIST = 1 << 10
 
 
-def _lists(edges: DataFrame) -> DataFrame:
+def _lists(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(src, block, degree, mixed, near): every node's distinct neighbours in their order, in lists of at most LIST numbered
     from 0, beside their whole number; mixed where the node is a hyperedge as well as an entity. The graph is read once for
-    both directions and dealt once, by src."""
+    both directions and dealt once, by src, into parts for the rows of the table `of`."""
     ways = F.explode(F.array(*(F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(k).alias("side")) for k, (a, b) in enumerate((("hyperedge", "entity"), ("entity", "hyperedge"))))))
     sides = edges.select(ways.alias("x")).select("x.*").where("src IS NOT NULL")
-    sides = sides.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src").groupBy("src", "dst").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
+    sides = spread(sides, "src", of=of).groupBy("src", "dst").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
     order = Window.partitionBy("src").orderBy("dst")
     own = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = sides.select("src", "dst", F.count("*").over(own).alias("degree"), (F.min("lo").over(own) < F.max("hi").over(own)).alias("mixed"), F.floor((F.row_number().over(order) - 1) / LIST).cast("int").alias("block"))
@@ -210,9 +210,9 @@ def _lists(edges: DataFrame) -> DataFrame:
     return rows.groupBy("src", "block", "degree", "mixed").agg(F.when(F.count("*") > F.count("dst"), F.concat(null, near)).otherwise(near).alias("near"))
 
 
-def biased_walks(edges: DataFrame, length: int, p: float = 1.0, q: float = 1.0, seed: int = 42, walks: int = 1) -> DataFrame:
+def biased_walks(edges: DataFrame, length: int, p: float = 1.0, q: float = 1.0, seed: int = 42, walks: int = 1, of: DataFrame | None = None) -> DataFrame:
     """Second-order walks: (start, walk, step, node), `walks` from every node. From v, reached from t, the next node x weighs 1/p
-    if it is t, 1 if t and x are neighbours, and 1/q otherwise.
+    if it is t, 1 if t and x are neighbours, and 1/q otherwise. of: the table that the edges were made from, if it is large.
 
     t is one of v's neighbours, so its share against the others, each taken at the greatest weight, is known: a walker
     goes back with it, and no draw is lost on the way back. Else it draws one of the others. A walker and its node's list of
@@ -222,7 +222,7 @@ def biased_walks(edges: DataFrame, length: int, p: float = 1.0, q: float = 1.0,
     every draw is kept. Else a draw is kept with its weight's share of the greatest; those that rejected draw again, more at a
     time in each round. Whether t and x are neighbours is a join on the pair. Every round is settled; a draw is kept with a
     share of at least min(1, 1/q) / max(1, 1/q), by all where nothing links t and x."""
-    lists = settled(_lists(edges))
+    lists = settled(_lists(edges, of))
     mixed, longest = lists.agg(F.max("mixed"), F.max("degree")).first()
     hubs = (longest or 0) > LIST
     most = max(1.0, 1 / q) if mixed else 1 / q

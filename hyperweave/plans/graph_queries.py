@@ -135,7 +135,7 @@ def walks(spark, d):
 @Q("biased_walks")
 def biased(spark, d):
     """Second-order walks over the whole graph; tests hold their steps against the weights."""
-    return G.biased_walks(orders_graph(spark, d), 3, p=4.0, q=0.5)
+    return G.biased_walks(orders_graph(spark, d), 3, p=4.0, q=0.5, of=read_table(spark, d, "lineitem"))
 
 
 @Q("cross_modal_nodes", "WITH x AS (SELECT doc_id, source AS image_id, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE lang END AS title FROM documents), e AS (SELECT *, upper(coalesce(nullif(trim(title), ''), nullif(trim(image_id), ''), 'UNKNOWN')) AS ent FROM x) SELECT 'image:' || image_id AS node, 'image_anchor' AS role FROM e UNION SELECT 'entity:' || ent, 'entity' FROM e UNION SELECT 'text:' || doc_id, 'text_evidence' FROM e UNION SELECT 'sample:' || doc_id, 'sample_hyperedge' FROM e")

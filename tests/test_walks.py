@@ -100,6 +100,8 @@ def test_walks_do_not_depend_on_the_length_of_lists(spark, monkeypatch):
     monkeypatch.setattr(G, "LIST", 5)
     assert sorted(map(tuple, G.biased_walks(df, 3, p=0.5, q=4.0, walks=3).collect())) == whole and len(whole) == 30 * 3 * 4
     assert G.biased_walks(df.limit(0), 3).collect() == []
+    monkeypatch.setattr("hyperweave.session.ROWS", 10)
+    assert G._lists(df, of=df).rdd.getNumPartitions() == -(-len(edges) // 10)
 
 
 def test_a_walker_takes_each_step_once(spark):
