@@ -27,11 +27,14 @@ def paired_join(left: DataFrame, right: DataFrame, on: str, row: str, spread: in
     """Inner join on a key whose pairs are far more than its rows, dealt by pairs: the right's rows lie in lists of at most
     LIST, the left's rows of a key in `spread` parts by `row`, or more where a part would make over PAIRS pairs with a list.
     A list meets one part in one place and is unfolded there, so a task holds one list at a time and nothing is broadcast.
-    Tasks are as many as pairs demand, since the rows that make them are too few to tell."""
+    Tasks are as many as pairs demand, since the rows that make them are too few to tell. Up to PAIRS pairs are one task's
+    work and joined plainly."""
     n = left.groupBy(on).agg(F.count("*").alias("__l")).join(right.groupBy(on).agg(F.count("*").alias("__r")), on)
+    pairs = n.agg(F.sum(F.col("__l").cast("double") * F.col("__r"))).first()[0] or 0
+    if pairs <= PAIRS:
+        return spread_join(left, right, on, row, spread)
     most = F.ceil(F.col("__l") * F.least(F.col("__r"), F.lit(LIST)) / PAIRS)
     sizes = n.select(on, F.ceil(F.col("__r") / LIST).alias("__blocks"), F.greatest(F.least(F.lit(spread), "__l"), most).alias("__parts"))
-    pairs = n.agg(F.sum(F.col("__l").cast("double") * F.col("__r"))).first()[0] or 0
     tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / (4 * PAIRS)))
     below = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     dealt, others = [on, "__block", "__part"], [c for c in right.columns if c != on]
